@@ -10,18 +10,19 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokenize
 from tidemark.functions.vectors import norm
 from tidemark.operators.index import weighted_terms
-from tidemark.plans.skew import join_hot, materialize, small_enough, top_k
+from tidemark.plans.skew import BROADCAST_BYTES, join_hot, materialize, small_enough, top_k
 
 PLACES = 6
 QUERY_BLOCK_BYTES = 16 * 1024 * 1024
+TERM_ROW_GROWTH = 16  # a text of n bytes has at most n/2 terms, of some 32 bytes a row
 
-BEST_FIRST = (F.desc("score"), F.asc("child_id"))
+BEST_FIRST = ("-score", "child_id")
 
 
 # --- sparse ---------------------------------------------------------------------------------
@@ -57,7 +58,7 @@ def sparse_scores(
     """
     terms = query_terms(queries, idf, tokens)
     keys = ["kb_id", "term"]
-    fits = small_enough(queries)
+    fits = small_enough(queries, BROADCAST_BYTES // TERM_ROW_GROWTH)
     needed = postings.select("kb_id", "term", "parent_id", "child_id", "weight")
     if fits:
         terms = F.broadcast(terms)
@@ -285,7 +286,9 @@ def rerank(
 ) -> DataFrame:
     """Score hydrated hits again by (query, text). Equal scores keep the order they had."""
     text = F.coalesce(F.col("content" if on == "parent" else "matched_text"), F.lit(""))
-    asked = queries.select("query_id", F.coalesce("asked", "text").alias("_asked")) if "asked" in queries.columns else queries.select("query_id", F.col("text").alias("_asked"))
+    asked = queries.select(
+        "query_id", F.col("asked" if "asked" in queries.columns else "text").alias("_asked")
+    )
     scored = (
         hits.join(asked, "query_id")
         .withColumn("prior_rank", F.col("rank"))
@@ -297,7 +300,8 @@ def rerank(
 
 def reorder(scored: DataFrame) -> DataFrame:
     """Rank by score; `prior_rank` decides ties. A query has at most its pool of rows."""
-    return top_k(scored, ["query_id"], (F.desc("score"), F.asc("prior_rank")), 2**31 - 1)
+    window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("prior_rank"))
+    return scored.withColumn("rank", F.row_number().over(window))
 
 
 def maxsim(query_vectors: Column, chunk_vectors: Column) -> Column:

@@ -80,9 +80,13 @@ def join_hot(
     return big.withColumn("_part", part).join(repeated, [*on, "_part"], how).drop("_part")
 
 
-def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first `k` rows of each group; each task cuts its own rows before the shuffle."""
-    window = Window.partitionBy(*by).orderBy(*order)
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, rank: str = "rank") -> DataFrame:
+    """The first `k` rows of each group; each task cuts its own rows before the shuffle.
+
+    A column named with a leading minus sorts downwards.
+    """
+    sorting = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    window = Window.partitionBy(*by).orderBy(*sorting)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
