@@ -14,6 +14,7 @@ from tidemark.functions import text as X
 from tidemark.functions.vectors import hashed_terms
 from tidemark.operators import chunking, index, search
 from tidemark.plans.retrieval import retrieve
+from tidemark.plans.skew import materialize, spread
 
 Q, O = {}, {}
 
@@ -248,7 +249,7 @@ sentences AS (
 
 
 @query("semantic_breaks", f"""WITH {_SENTENCES},
-vectors AS (SELECT kb_id, doc_id, pos, {sql.hashed(sql.tokens('context'))} AS v FROM sentences),
+{sql.hashed('vectors', 'sentences', 'kb_id, doc_id, pos', sql.tokens('context'))},
 gaps AS (SELECT doc_id, pos, round(1 - {sql.cosine('v', 'lead(v) OVER w')}, 6) AS distance,
   lead(pos) OVER w AS following FROM vectors WINDOW w AS (PARTITION BY kb_id, doc_id ORDER BY pos)),
 known AS (SELECT doc_id, pos, CASE WHEN following IS NULL THEN NULL ELSE distance END AS distance FROM gaps)
@@ -552,22 +553,26 @@ def index_subset(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-# French questions against English bases and the like: bases are the languages here
-@query("empty_queries", f"""WITH found AS (SELECT DISTINCT c.conv_id, c.turn FROM
-  (SELECT conv_id, turn, unnest({sql.tokens('text')}) AS term FROM conversations) c
-  JOIN (SELECT DISTINCT unnest({sql.tokens('text')}) AS term FROM benchmark) b USING (term))
-SELECT conv_id * 1000 + turn AS query_id FROM conversations WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM found)""")
+# a base per document source; questions put to a source that has no documents find nothing
+@query("empty_queries", f"""WITH {sql.PARENTS}, {sql.CHILDREN},
+held AS (SELECT DISTINCT d.source AS kb_id, unnest({sql.tokens('c.content')}) AS term FROM children c JOIN documents d USING (doc_id)),
+asked AS (SELECT DISTINCT conv_id * 1000 + turn AS query_id, 'src' || conv_id % 25 AS kb_id, unnest({sql.tokens('text')}) AS term FROM conversations)
+SELECT conv_id * 1000 + turn AS query_id FROM conversations
+EXCEPT SELECT query_id FROM asked JOIN held USING (kb_id, term)""")
 def empty_queries(spark, sf):
-    passages = load(spark, sf, "benchmark").select(
-        F.lit(BASE).alias("kb_id"), F.col("item_id").alias("doc_id"), F.lit("b").alias("source"),
-        F.col("item_id").cast("string").alias("parent_id"), F.col("item_id").cast("string").alias("child_id"),
-        F.lit(0).alias("seq"), F.col("text").alias("content"),
+    docs = load(spark, sf, "documents")
+    whole = docs.select(
+        F.col("source").alias("kb_id"), "doc_id", F.col("doc_id").cast("string").alias("source"), "text"
     )
-    rows = index.postings(passages)
+    chunks = chunking.chunk_children(chunking.chunk_fixed(spread(whole, "doc_id")))
     asked = load(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.lit(BASE).alias("kb_id"), "text"
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        F.concat(F.lit("src"), F.col("conv_id") % 25).alias("kb_id"),
+        "text",
     )
-    hits = search.sparse_search(asked, rows, index.term_idf(rows, passages), 1)
+    children = materialize(chunks, "children")
+    rows = materialize(index.postings(children), "postings")
+    hits = search.sparse_search(asked, rows, index.term_idf(rows, children), 1)
     return search.empty_queries(asked, hits).select("query_id")
 
 

@@ -61,16 +61,19 @@ def sid(kind: str, *parts: str) -> str:
     return f"left(sha256(concat_ws('|', '{kind}', {', '.join(parts)})), 21)"
 
 
-def hashed(terms: str, dims: int = 64) -> str:
-    buckets = f"list_transform({terms}, lambda t: ('0x' || left(md5(t), 8))::UBIGINT % {dims})"
-    return (
-        f"list_transform(range({dims}), lambda d: "
-        f"len(list_filter({buckets}, lambda b: b = d::UBIGINT))::DOUBLE)"
-    )
+def hashed(out: str, terms_from: str, keys: str, terms: str = "terms", dims: int = 64) -> str:
+    """CTE `out`(keys, v): term counts in hash buckets, as the built-in embedder makes them."""
+    return f"""{out}_terms AS MATERIALIZED (SELECT {keys}, {terms} AS terms FROM {terms_from}),
+{out}_buckets AS MATERIALIZED (
+  SELECT {keys}, list_transform(terms, lambda t: ('0x' || left(md5(t), 8))::UBIGINT % {dims}) AS b FROM {out}_terms),
+{out} AS MATERIALIZED (SELECT {keys}, list_transform(range({dims}), lambda d:
+  len(list_filter(b, lambda x: x = d::UBIGINT))::DOUBLE) AS v FROM {out}_buckets)"""
 
 
 def cosine(a: str, b: str) -> str:
-    return f"coalesce(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 0)"
+    """0 when a vector is all zeros, where DuckDB has NaN."""
+    sim = f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
+    return f"(CASE WHEN isnan({sim}) THEN 0 ELSE {sim} END)"
 
 
 PARENTS = f"""parents AS (
@@ -122,8 +125,8 @@ def sparse(queries: str, out: str = "sparse") -> str:
 
 def dense(queries: str, out: str = "near") -> str:
     """Cosine of hashed-term vectors for every (query, child)."""
-    return f"""{out}_q AS (SELECT query_id, kb_id, {hashed(tokens('text'))} AS v FROM {queries}),
-{out}_c AS (SELECT kb_id, parent_id, child_id, {hashed('terms')} AS v FROM tokens),
+    return f"""{hashed(out + '_q', queries, 'query_id, kb_id', tokens('text'))},
+{hashed(out + '_c', 'tokens', 'kb_id, parent_id, child_id')},
 {out} AS (
   SELECT q.query_id, c.kb_id, c.parent_id, c.child_id, round({cosine('q.v', 'c.v')}, 6) AS score
   FROM {out}_q q JOIN {out}_c c USING (kb_id))"""

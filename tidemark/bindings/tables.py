@@ -11,6 +11,7 @@ from tidemark.config import KbConfig
 from tidemark.functions.text import tokenize
 from tidemark.functions.vectors import hashed_terms
 from tidemark.plans.corpus import Corpus, build_corpus
+from tidemark.plans.skew import spread
 
 BASE = "main"
 HASHED = "hashed"
@@ -24,7 +25,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, by_language: bool = False) -> DataFrame:
     kb = F.col("lang") if by_language else F.lit(BASE)
-    return load(spark, sf_dir, "documents").select(
+    return spread(load(spark, sf_dir, "documents"), "doc_id").select(
         kb.alias("kb_id"), "doc_id", F.col("doc_id").cast("string").alias("source"), "text"
     )
 

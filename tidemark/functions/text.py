@@ -32,6 +32,11 @@ WHITESPACE = r"(?U)[\s\x1c-\x1f]"
 ERROR_LENGTH = 2000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` worked out once, however often `body` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def linearize_markup(text: Column) -> Column:
     """Table and page markup to plain lines: cells joined by ` | `, one row per line."""
     for pattern, replacement in MARKUP_STEPS:

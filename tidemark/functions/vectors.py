@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -17,8 +19,9 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0.0 when either vector is all zeros."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+    return let(
+        norm(a) * norm(b), lambda size: F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+    )
 
 
 def hashed_terms(terms: Column, dims: int = 64) -> Column:
@@ -26,7 +29,11 @@ def hashed_terms(terms: Column, dims: int = 64) -> Column:
     buckets = F.transform(
         terms, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims
     )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: (F.size(buckets) - F.size(F.array_remove(buckets, d.cast("long")))).cast("float"),
-    )
+
+    def counted(held: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda d: (F.size(held) - F.size(F.array_remove(held, d.cast("long")))).cast("float"),
+        )
+
+    return let(buckets, counted)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import CHILD_OVERLAP, CHILD_SIZE, MIN_PARENT_SIZE, PARENT_SIZE
 from tidemark.functions.splitting import SENTENCE_BREAKS, TAG_BREAKS, TEXT_BREAKS, split_spans
-from tidemark.functions.text import strip
+from tidemark.functions.text import let, strip
 from tidemark.functions.vectors import cosine
 from tidemark.plans.skew import running_total
 
@@ -324,25 +324,24 @@ def reassemble(chunks: DataFrame) -> DataFrame:
         return F.coalesce(F.get(fitting, F.lit(0)), F.lit(0))
 
     def add(state: Column, chunk: Column) -> Column:
-        overlap = shared(state["tail"], chunk["content"])
-        gap = F.when((state["at"] > 0) & (overlap == 0), PAGE_JOIN).otherwise("")
-        piece = F.concat(gap, F.substring(chunk["content"], overlap + 1, F.length(chunk["content"])))
-        end = state["at"] + F.length(piece)
-        return F.struct(
-            F.right(F.concat(state["tail"], piece), F.col("_longest")).alias("tail"),
-            end.alias("at"),
-            F.concat(state["parts"], F.array(piece)).alias("parts"),
-            F.concat(
-                state["ranges"],
-                F.array(
-                    F.struct(
-                        chunk["seq"].cast("int").alias("seq"),
-                        state["at"].alias("start"),
-                        end.alias("end"),
-                    )
-                ),
-            ).alias("ranges"),
-        )
+        def piece(overlap: Column) -> Column:
+            gap = F.when((state["at"] > 0) & (overlap == 0), PAGE_JOIN).otherwise("")
+            rest = F.substring(chunk["content"], overlap + 1, F.length(chunk["content"]))
+            return F.concat(gap, rest)
+
+        def appended(text: Column) -> Column:
+            end = state["at"] + F.length(text)
+            place = F.struct(
+                chunk["seq"].cast("int").alias("seq"), state["at"].alias("start"), end.alias("end")
+            )
+            return F.struct(
+                F.right(F.concat(state["tail"], text), F.col("_longest")).alias("tail"),
+                end.alias("at"),
+                F.concat(state["parts"], F.array(text)).alias("parts"),
+                F.concat(state["ranges"], F.array(place)).alias("ranges"),
+            )
+
+        return let(let(shared(state["tail"], chunk["content"]), piece), appended)
 
     done = ordered.withColumn("_done", F.aggregate("_chunks", begin, add))
     return done.select(

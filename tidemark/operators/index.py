@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import tokenize
+from tidemark.functions.text import let, tokenize
 
 # BM25 constants; index and query must use the same.
 K1 = 1.2
@@ -26,25 +26,28 @@ def term_weight(tf: Column, length: Column) -> Column:
 def weighted_terms(terms: Column) -> Column:
     """An array of terms to array<struct<term, tf, weight>>, counted inside the row."""
 
-    def counted(term: Column) -> Column:
-        tf = F.size(terms) - F.size(F.array_remove(terms, term))
-        return F.struct(
-            term.alias("term"),
-            tf.alias("tf"),
-            term_weight(tf.cast("double"), F.size(terms)).alias("weight"),
-        )
+    def weighted(held: Column) -> Column:
+        def counted(term: Column) -> Column:
+            tf = F.size(held) - F.size(F.array_remove(held, term))
+            return F.struct(
+                term.alias("term"),
+                tf.alias("tf"),
+                term_weight(tf.cast("double"), F.size(held)).alias("weight"),
+            )
+
+        return F.transform(F.array_distinct(held), counted)
 
-    return F.transform(F.array_distinct(terms), counted)
+    return let(terms, weighted)
 
 
 def postings(children: DataFrame, tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
     """One row per child and term. A projection and an explode: nothing is shuffled."""
     return (
-        children.withColumn("_terms", tokens(F.col("content")))
-        .withColumn("_weighted", weighted_terms(F.col("_terms")))
+        children.withColumn("_weighted", weighted_terms(tokens(F.col("content"))))
         .select(
             "kb_id", "doc_id", "parent_id", "child_id",
-            F.size("_terms").alias("doc_len"), F.inline("_weighted"),
+            F.aggregate("_weighted", F.lit(0), lambda n, w: n + w["tf"]).alias("doc_len"),
+            F.inline("_weighted"),
         )
     )
 
