@@ -268,7 +268,7 @@ def semantic_breaks(spark, sf):
 @query("bm25_weights", f"""WITH {sql.PARENTS}, {sql.CHILDREN}, {sql.POSTINGS}
 SELECT child_id, term, tf, doc_len, round(weight, 6) AS weight FROM postings""")
 def bm25_weights(spark, sf):
-    return index.postings(corpus(spark, sf).children).select(
+    return index.postings(index.child_terms(corpus(spark, sf).children)).select(
         "child_id", "term", F.col("tf").cast("long"), F.col("doc_len").cast("long"),
         F.round("weight", 6).alias("weight"),
     )
@@ -277,8 +277,7 @@ def bm25_weights(spark, sf):
 @query("term_idf", f"""WITH {sql.PARENTS}, {sql.CHILDREN}, {sql.POSTINGS}
 SELECT term, df, n_children, round(idf, 6) AS idf FROM idf""")
 def term_idf(spark, sf):
-    tables = corpus(spark, sf)
-    return index.term_idf(tables.postings, tables.children).select(
+    return index.term_idf(corpus(spark, sf).terms).select(
         "term", "df", "n_children", F.round("idf", 6).alias("idf")
     )
 
@@ -372,7 +371,7 @@ _BOTH = f"{_SPARSE}, {sql.dense('queries')}"
 @query("bm25_search", f"{_SPARSE} SELECT query_id, rank, child_id, parent_id, score FROM ({sql.ranked('sparse', 10)})")
 def bm25_search(spark, sf):
     tables = corpus(spark, sf)
-    found = search.sparse_search(queries(spark, sf), tables.postings, tables.idf, 10)
+    found = search.sparse_search(queries(spark, sf), tables.terms, tables.idf, 10)
     return found.select("query_id", F.col("rank").cast("long"), "child_id", "parent_id", "score")
 
 
@@ -428,7 +427,7 @@ EMBED = {HASHED: _query_vectors}
 def _legs(spark, sf, limit=20, asked=None):
     tables = corpus(spark, sf)
     asked = queries(spark, sf) if asked is None else asked
-    sparse = search.sparse_search(asked, tables.postings, tables.idf, limit)
+    sparse = search.sparse_search(asked, tables.terms, tables.idf, limit)
     near = search.dense_search(_query_vectors(asked), tables.dense[HASHED], limit)
     return sparse, near
 
@@ -453,8 +452,7 @@ hydrated AS (SELECT h.*, p.content, p.source, c.content AS matched_text FROM hit
 
 def _hydrated(spark, sf, pool=5):
     tables = corpus(spark, sf)
-    scored = search.sparse_scores(queries(spark, sf), tables.postings, tables.idf)
-    hits = search.collapse_parents(scored, pool)
+    hits = search.sparse_search(queries(spark, sf), tables.terms, tables.idf, pool, per_parent=True)
     gone = load(spark, sf, "labels").where("quality = 0").select("doc_id").distinct()
     return search.hydrate(hits, tables.parents.join(gone, "doc_id", "left_anti"), tables.children)
 
@@ -570,9 +568,8 @@ def empty_queries(spark, sf):
         F.concat(F.lit("src"), F.col("conv_id") % 25).alias("kb_id"),
         "text",
     )
-    children = materialize(chunks, "children")
-    rows = materialize(index.postings(children), "postings")
-    hits = search.sparse_search(asked, rows, index.term_idf(rows, children), 1)
+    terms = materialize(index.child_terms(chunks), "terms")
+    hits = search.sparse_search(asked, terms, index.term_idf(terms), 1)
     return search.empty_queries(asked, hits).select("query_id")
 
 

@@ -5,6 +5,7 @@ Everything here is a composition of built-in functions, so it stays in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -27,6 +28,8 @@ REPEAT_MARK = r"(?U)\s*ๆ"
 JOINERS = r"[-–—/\\]"
 TERM_EDGE = "\"'“”‘’()[]{}<>:;,.|/\\-–—…!?*=+#&~`"
 TERM_KEEP = r"[ก-ฮะ-์a-zA-Z0-9]"
+EDGES = rf"(?U)(?<!\S)[{re.escape(TERM_EDGE)}]+|[{re.escape(TERM_EDGE)}]+(?!\S)"
+UNKEPT = rf"(?U)(?<!\S)[^\s{TERM_KEEP[1:-1]}]+(?!\S)"
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+|\n+"
 WHITESPACE = r"(?U)[\s\x1c-\x1f]"
 ERROR_LENGTH = 2000
@@ -56,15 +59,21 @@ def ungroup_digits(text: Column) -> Column:
 def tokenize(text: Column, split_words: Callable[[Column], Column] | None = None) -> Column:
     """Text to an array of lower-case index terms, repeats kept.
 
+    The steps work on the whole text rather than on each word, which keeps them in generated
+    code; text without markup skips the markup steps.
+
     `split_words` may cut unspaced scripts into words: it maps the cleaned text to text whose
     words are separated by whitespace. The same function must be used for texts and queries.
     """
-    text = ungroup_digits(fold_digits(linearize_markup(text)))
+    marked = F.contains(text, F.lit("<")) | F.contains(text, F.lit("|"))
+    text = F.when(marked, linearize_markup(text)).otherwise(text)
+    text = ungroup_digits(fold_digits(text))
     text = F.regexp_replace(F.regexp_replace(text, REPEAT_MARK, ""), JOINERS, " ")
     if split_words is not None:
         text = split_words(text)
-    pieces = F.transform(F.split(text, r"(?U)\s+"), lambda p: F.btrim(p, F.lit(TERM_EDGE)))
-    return F.transform(F.filter(pieces, lambda p: p.rlike(TERM_KEEP)), F.lower)
+    trimmed = F.regexp_replace(text, EDGES, "")
+    kept = F.lower(F.regexp_replace(trimmed, UNKEPT, ""))
+    return F.array_remove(F.split(kept, r"(?U)\s+"), "")
 
 
 def normalize_for_match(text: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.config import CHILD_OVERLAP, CHILD_SIZE, MIN_PARENT_SIZE, PARENT_SIZE
 from tidemark.functions.splitting import SENTENCE_BREAKS, TAG_BREAKS, TEXT_BREAKS, split_spans
 from tidemark.functions.text import let, strip
-from tidemark.functions.vectors import cosine
+from tidemark.functions.vectors import dot, norm
 from tidemark.plans.skew import running_total
 
 PAGE_JOIN = "\n\n"
@@ -178,14 +178,23 @@ def semantic_breaks(embedded: DataFrame, percentile: float = 95.0) -> DataFrame:
     windows run per document, and a document is at most one text.
     """
     document = Window.partitionBy("kb_id", "doc_id")
-    after = F.lead("embedding").over(document.orderBy("pos"))
-    distance = F.when(after.isNotNull(), F.round(1 - cosine(F.col("embedding"), after), 6))
-    marked = embedded.withColumn("distance", distance)
+    sized = embedded.withColumn("_norm", norm(F.col("embedding")))
+    following = document.orderBy("pos")
+    paired = sized.withColumns(
+        {
+            "_after": F.lead("embedding").over(following),
+            "_scale": F.col("_norm") * F.lead("_norm").over(following),
+        }
+    )
+    similar = F.when(F.col("_scale") > 0, dot(F.col("embedding"), F.col("_after")) / F.col("_scale"))
+    distance = F.when(
+        F.col("_after").isNotNull(), F.round(1 - F.coalesce(similar, F.lit(0.0)), 6)
+    )
+    marked = paired.withColumn("distance", distance).drop("_norm", "_after", "_scale", "embedding", "context")
     threshold = F.round(F.percentile("distance", F.lit(percentile / 100)).over(document), 6)
     return (
         marked.withColumn("threshold", threshold)
         .withColumn("is_break", F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False)))
-        .drop("embedding", "context")
     )
 
 

@@ -24,30 +24,19 @@ def category_slots(files: DataFrame, seed: int = 0) -> DataFrame:
     Slots are drawn with replacement at the mix's weights; without a positive weight all are
     `simple`.
     """
-    weights = F.array(
-        *(
-            F.struct(F.lit(c).alias("category"), F.greatest(F.coalesce(F.col("mix")[c], F.lit(0)), F.lit(0)).alias("weight"))
-            for c in CATEGORIES
-        )
+    through = [F.lit(0)]
+    for name in CATEGORIES:
+        weight = F.greatest(F.coalesce(F.col("mix")[name], F.lit(0)), F.lit(0))
+        through.append(through[-1] + weight)
+    bounds = [bound.alias(f"_to_{i}") for i, bound in enumerate(through[1:])]
+    slots = files.select("dataset_id", "file", *bounds, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("slot"))
+    total = F.col(f"_to_{len(CATEGORIES) - 1}")
+    drawn = slots.withColumn(
+        "_at", _draw(F.greatest(total, F.lit(1)), F.col("file"), F.col("slot"), F.lit(seed))
     )
-    slots = files.withColumn("_weights", weights).select(
-        "dataset_id", "file", "_weights", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("slot")
-    )
-    total = F.aggregate("_weights", F.lit(0), lambda acc, w: acc + w["weight"])
-    drawn = slots.withColumn("_total", total).withColumn(
-        "_at", _draw(F.greatest("_total", F.lit(1)), F.col("file"), F.col("slot"), F.lit(seed))
-    )
-    begin = F.struct(F.lit(0).alias("sum"), F.lit(None).cast("string").alias("category"))
-
-    def pick(state: Column, w: Column) -> Column:
-        through = state["sum"] + w["weight"]
-        here = state["category"].isNull() & (F.col("_at") < through)
-        return F.struct(
-            through.alias("sum"), F.when(here, w["category"]).otherwise(state["category"]).alias("category")
-        )
-
-    picked = F.aggregate("_weights", begin, pick)["category"]
-    category = F.when(F.col("_total") > 0, picked).otherwise(CATEGORIES[0])
+    category = F.when(total == 0, CATEGORIES[0])
+    for i, name in enumerate(CATEGORIES):
+        category = category.when(F.col("_at") < F.col(f"_to_{i}"), name)
     return drawn.select("dataset_id", "file", "slot", category.alias("category"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import let, tokenize
+from tidemark.plans.skew import join_hot
 
 # BM25 constants; index and query must use the same.
 K1 = 1.2
@@ -40,29 +41,40 @@ def weighted_terms(terms: Column) -> Column:
     return let(terms, weighted)
 
 
-def postings(children: DataFrame, tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
-    """One row per child and term. A projection and an explode: nothing is shuffled."""
-    return (
-        children.withColumn("_weighted", weighted_terms(tokens(F.col("content"))))
-        .select(
-            "kb_id", "doc_id", "parent_id", "child_id",
-            F.aggregate("_weighted", F.lit(0), lambda n, w: n + w["tf"]).alias("doc_len"),
-            F.inline("_weighted"),
-        )
+def child_terms(children: DataFrame, tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """The stored index: one row per child with its terms, counts and weights side by side."""
+    weighted = children.withColumn("_weighted", weighted_terms(tokens(F.col("content"))))
+    return weighted.select(
+        "kb_id", "doc_id", "parent_id", "child_id",
+        F.aggregate("_weighted", F.lit(0), lambda n, w: n + w["tf"]).alias("doc_len"),
+        F.col("_weighted.term").alias("terms"),
+        F.col("_weighted.tf").alias("tfs"),
+        F.col("_weighted.weight").alias("weights"),
     )
 
 
-def term_idf(posting_rows: DataFrame, children: DataFrame) -> DataFrame:
+def postings(indexed: DataFrame) -> DataFrame:
+    """child_terms as one row per child and term. Nothing is shuffled."""
+    rows = F.arrays_zip(
+        F.col("terms").alias("term"), F.col("tfs").alias("tf"), F.col("weights").alias("weight")
+    )
+    return indexed.select("kb_id", "doc_id", "parent_id", "child_id", "doc_len", F.inline(rows))
+
+
+def term_idf(indexed: DataFrame) -> DataFrame:
     """Per base and term: children holding it and its inverse document frequency.
 
-    A child and term meet in one posting, so a plain count is the document frequency. The
-    child counts have one row per base; the count of bases is not bounded, so Spark sizes
-    that join itself.
+    `indexed` is child_terms. A child lists a term once, so a plain count is the document
+    frequency, and each task adds up its own rows before the shuffle.
     """
-    sizes = children.groupBy("kb_id").agg(F.count("*").alias("n_children"))
-    held = posting_rows.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
+    sizes = indexed.groupBy("kb_id").agg(F.count("*").alias("n_children"))
+    held = (
+        indexed.select("kb_id", F.explode("terms").alias("term"))
+        .groupBy("kb_id", "term")
+        .agg(F.count("*").alias("df"))
+    )
     rarity = F.log(1 + (F.col("n_children") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return held.join(sizes, "kb_id").select("kb_id", "term", "df", "n_children", rarity.alias("idf"))
+    return join_hot(held, sizes, ["kb_id"], ["term"]).select("kb_id", "term", "df", "n_children", rarity.alias("idf"))
 
 
 def multivec_rows(token_vectors: DataFrame) -> DataFrame:

@@ -7,20 +7,28 @@ smaller id, so a rank does not hang on the order in which Spark adds numbers up.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.text import tokenize
-from tidemark.functions.vectors import norm
+from tidemark.operators import index
 from tidemark.operators.index import weighted_terms
-from tidemark.plans.skew import BROADCAST_BYTES, join_hot, materialize, small_enough, top_k
+from tidemark.plans.skew import join_hot, materialize, small_enough, top_k
 
 PLACES = 6
 QUERY_BLOCK_BYTES = 16 * 1024 * 1024
-TERM_ROW_GROWTH = 16  # a text of n bytes has at most n/2 terms, of some 32 bytes a row
+QUERIES_PER_BLOCK = 512
+TERMS_PER_BLOCK = 50_000
+MOST_BLOCKS = 8
+SCORE_CELLS = 4_000_000
 
 BEST_FIRST = ("-score", "child_id")
 
@@ -43,58 +51,141 @@ def query_terms(
     ).select("query_id", "kb_id", "term", (F.col("weight") * F.col("idf")).alias("query_weight"))
 
 
-def sparse_scores(
-    queries: DataFrame,
-    postings: DataFrame,
-    idf: DataFrame,
-    tokens: Callable[[Column], Column] = tokenize,
-) -> DataFrame:
+def sparse_scores(terms: DataFrame, indexed: DataFrame) -> DataFrame:
     """Every child that shares a term with a query: (query_id, kb_id, parent_id, child_id, score).
 
-    With a small query batch the postings are first cut to the terms in use and spread by
-    parent. All rows of a parent then lie in one task: the sums, the best child per parent and
-    each task's own top list need no further shuffle, and a term that is in every child is
-    spread like any other.
+    A join on (base, term), for query batches too large to ship. A term that is in every child
+    is cut into parts by child.
     """
-    terms = query_terms(queries, idf, tokens)
     keys = ["kb_id", "term"]
-    fits = small_enough(queries, BROADCAST_BYTES // TERM_ROW_GROWTH)
-    needed = postings.select("kb_id", "term", "parent_id", "child_id", "weight")
-    if fits:
-        terms = F.broadcast(terms)
-        used = terms.select(*keys).distinct()
-        needed = needed.join(F.broadcast(used), keys, "left_semi").repartition("parent_id")
-        met = needed.join(terms, keys)
-    else:
-        met = join_hot(needed, terms, keys, ["child_id"], fits=False)
+    met = join_hot(index.postings(indexed), terms, keys, ["child_id"], fits=False)
     return met.groupBy("query_id", "kb_id", "parent_id", "child_id").agg(
         F.round(F.sum(F.col("query_weight") * F.col("weight")), PLACES).alias("score")
     )
 
 
 def sparse_search(
-    queries: DataFrame, postings: DataFrame, idf: DataFrame, limit: int, tokens=tokenize
+    queries: DataFrame,
+    indexed: DataFrame,
+    idf: DataFrame,
+    limit: int,
+    per_parent: bool = False,
+    tokens: Callable[[Column], Column] = tokenize,
 ) -> DataFrame:
-    return top_k(sparse_scores(queries, postings, idf, tokens), ["query_id"], BEST_FIRST, limit)
-
+    """The `limit` best children (or parents, by their best child) that share a term.
 
-# --- dense ----------------------------------------------------------------------------------
+    `indexed` is index.child_terms: each child's terms lie in one row. Small query batches are
+    shipped to the rows, and a task gives up only its own best, so the index is not shuffled
+    and no (query, child) pairs are built. Batches of many blocks go through sparse_scores.
+    """
+    terms = materialize(query_terms(queries, idf, tokens), "query_terms")
+    asked = terms.agg(F.count_distinct("query_id"), F.count("*")).head()
+    blocks = max(-(-asked[0] // QUERIES_PER_BLOCK), -(-asked[1] // TERMS_PER_BLOCK))
+    if blocks > MOST_BLOCKS:
+        found = sparse_scores(terms, indexed)
+    else:
+        found = _scan_blocks(_blocks_of(terms, blocks), queries, indexed, limit, per_parent, _sparse)
+    if per_parent:
+        found = best_children(found)
+    return top_k(found, ["query_id"], BEST_FIRST, limit)
 
 
-def _query_blocks(queries: DataFrame) -> list[pd.DataFrame]:
-    """The query vectors, in blocks small enough to ship to every task."""
-    vectors = queries.select("query_id", "kb_id", F.col("embedding").cast("array<float>"))
-    width = vectors.select(F.max(F.size("embedding")), F.count("*")).head()
-    per_block = max(1, QUERY_BLOCK_BYTES // (4 * (width[0] or 1)))
-    if width[1] <= per_block:
-        return [vectors.toPandas()] if width[1] else []
-    blocks = -(-width[1] // per_block) * 2
-    numbered = materialize(
-        vectors.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries"
+def _sparse(block: pd.DataFrame):
+    """Score function of one block of query terms, per base."""
+    bases = {}
+    for base, part in block.groupby("kb_id"):
+        ids, column = np.unique(part["query_id"].to_numpy(), return_inverse=True)
+        words, row = np.unique(part["term"].to_numpy(dtype=object), return_inverse=True)
+        weights = np.zeros((len(words), len(ids)))
+        weights[row, column] = part["query_weight"]
+        bases[base] = (ids, pa.array(words, pa.string()), weights)
+
+    def score(base: str, rows: pa.Table):
+        ids, words, query_weights = bases[base]
+        terms, weights = rows["terms"].combine_chunks(), rows["weights"].combine_chunks()
+        codes = pc.fill_null(pc.index_in(terms.flatten(), value_set=words), -1).to_numpy()
+        lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        used = codes >= 0
+        owner, codes, held = owner[used], codes[used], weights.flatten().to_numpy()[used]
+        scores = np.zeros((len(lengths), len(ids)))
+        step = max(1, SCORE_CELLS // max(1, len(ids)))
+        for at in range(0, len(owner), step):
+            cut = slice(at, at + step)
+            firsts = np.flatnonzero(np.r_[True, np.diff(owner[cut]) > 0])
+            sums = np.add.reduceat(query_weights[codes[cut]] * held[cut, None], firsts, axis=0)
+            scores[owner[cut][firsts]] += sums
+        return ids, np.where(scores > 0, np.round(scores, PLACES), -np.inf)
+
+    return bases.keys(), score
+
+
+# --- scanning an index with a block of queries ----------------------------------------------
+
+
+def _blocks_of(queries: DataFrame, blocks: int) -> list[pd.DataFrame]:
+    """Query rows in blocks small enough to ship to every task. A query stays in one block."""
+    if blocks <= 1:
+        return [queries.toPandas()]
+    part = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
+    return [queries.where(part == b).toPandas() for b in range(2 * blocks)]
+
+
+def _scan_blocks(blocks, queries: DataFrame, rows: DataFrame, limit: int, per_parent: bool, make) -> DataFrame:
+    """Run each block over the index; every task gives its best rows per query."""
+    schema = "query_id {}, kb_id string, parent_id {}, child_id {}, score double".format(
+        queries.schema["query_id"].dataType.simpleString(),
+        rows.schema["parent_id"].dataType.simpleString(),
+        rows.schema["child_id"].dataType.simpleString(),
     )
-    return [
-        numbered.where(F.col("_block") == b).drop("_block").toPandas() for b in range(blocks)
-    ]
+    used = [c for c in ("terms", "weights", "embedding") if c in rows.columns]
+    sent = rows.select("kb_id", "parent_id", "child_id", *used)
+    group = "parent_id" if per_parent else "child_id"
+    context = rows.sparkSession.sparkContext
+    found = None
+    for block in blocks:
+        if block.empty:
+            continue
+        scan = _scanner(context.broadcast(block), make, limit, group, T.StructType.fromDDL(schema))
+        part = sent.mapInArrow(scan, schema)
+        found = part if found is None else found.unionByName(part)
+    return rows.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def _scanner(shipped, make, limit: int, group: str, schema: T.StructType):
+    arrow = to_arrow_schema(schema)
+    order = [("query_id", "ascending"), ("score", "descending"), ("child_id", "ascending")]
+
+    def cut(tables: list[pa.Table]) -> pa.Table:
+        best = pa.concat_tables(tables).sort_by(order).to_pandas()
+        best = best.drop_duplicates(["query_id", group]).groupby("query_id", sort=False).head(limit)
+        return pa.Table.from_pandas(best, schema=arrow, preserve_index=False)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bases, score = make(shipped.value)
+        most = 4 * limit * shipped.value["query_id"].nunique()
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for base in pc.unique(table["kb_id"]).to_pylist():
+                if base not in bases:
+                    continue
+                rows = table.filter(pc.equal(table["kb_id"], base)).sort_by(group)
+                ids, scores = score(base, rows)
+                at, to = _best(scores, rows[group].to_numpy(), limit)
+                near = rows.select(["kb_id", "parent_id", "child_id"]).take(pa.array(at))
+                near = near.append_column("query_id", pa.array(ids[to]))
+                near = near.append_column("score", pa.array(scores[at, to]))
+                held.append(near.select(arrow.names).cast(arrow))
+            if sum(t.num_rows for t in held) > most:
+                held = [cut(held)]
+        if held:
+            yield from cut(held).to_batches()
+
+    return scan
+
+
+# --- dense ----------------------------------------------------------------------------------
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -138,68 +229,39 @@ def dense_search(
     `per_parent` a parent counts once, by its best child. `hashing` = (tables, bits, seed)
     compares only vectors that share a hash bucket: faster, and approximate.
     """
-    spark = dense.sparkSession
-    schema = "query_id {}, kb_id string, parent_id {}, child_id {}, score double".format(
-        queries.schema["query_id"].dataType.simpleString(),
-        dense.schema["parent_id"].dataType.simpleString(),
-        dense.schema["child_id"].dataType.simpleString(),
-    )
-    group = "parent_id" if per_parent else "child_id"
-    sent = dense.select("kb_id", "parent_id", "child_id", "embedding")
-    found = None
-    for block in _query_blocks(queries):
-        if block.empty:
-            continue
-        shipped = spark.sparkContext.broadcast(block)
-        scan = _nearest(shipped, limit, group, hashing)
-        part = sent.mapInPandas(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    vectors = queries.select("query_id", "kb_id", F.col("embedding").cast("array<float>"))
+    width = vectors.select(F.max(F.size("embedding")), F.count("*")).head()
+    blocks = -(-4 * (width[0] or 0) * width[1] // QUERY_BLOCK_BYTES)
+    if blocks > 1:
+        vectors = materialize(vectors, "query_vectors")
+    make = partial(_dense, hashing=hashing)
+    found = _scan_blocks(_blocks_of(vectors, blocks), queries, dense, limit, per_parent, make)
     if per_parent:
         found = best_children(found)
     return top_k(found, ["query_id"], BEST_FIRST, limit)
 
 
-def _nearest(shipped, limit: int, group: str, hashing):
-    order = ["query_id", "score", "child_id"]
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ascending=[True, False, True])
-        rows = rows.drop_duplicates(["query_id", group])
-        return rows.groupby("query_id", sort=False).head(limit)
+def _dense(block: pd.DataFrame, hashing=None):
+    """Score function of one block of query vectors, per base."""
+    bases = {
+        base: (part["query_id"].to_numpy(), _unit(np.vstack(part["embedding"]).astype("float64")))
+        for base, part in block.groupby("kb_id")
+    }
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = shipped.value
-        by_base = {
-            base: (part["query_id"].to_numpy(), _unit(np.vstack(part["embedding"]).astype("float64")))
-            for base, part in asked.groupby("kb_id")
-        }
-        held: list[pd.DataFrame] = []
-        rows_held = 0
-        for batch in batches:
-            for base, part in batch.groupby("kb_id"):
-                if base not in by_base:
-                    continue
-                ids, wanted = by_base[base]
-                part = part.sort_values(group)
-                vectors = _unit(np.vstack(part["embedding"]).astype("float64"))
-                scores = np.round(vectors @ wanted.T, PLACES) + 0.0
-                if hashing:
-                    mine, theirs = _hash_codes(vectors, *hashing), _hash_codes(wanted, *hashing)
-                    meets = (mine[:, None, :] == theirs[None, :, :]).any(axis=2)
-                    scores = np.where(meets, scores, -np.inf)
-                at, to = _best(scores, part[group].to_numpy(), limit)
-                near = part.iloc[at][["kb_id", "parent_id", "child_id"]].reset_index(drop=True)
-                held.append(near.assign(query_id=ids[to], score=scores[at, to]))
-                rows_held += len(near)
-            if rows_held > 4 * limit * len(asked):
-                held = [cut(pd.concat(held))]
-                rows_held = len(held[0])
-        if held:
-            yield cut(pd.concat(held))[["query_id", "kb_id", "parent_id", "child_id", "score"]]
+    def score(base: str, rows: pa.Table):
+        ids, wanted = bases[base]
+        flat = rows["embedding"].combine_chunks().flatten().to_numpy().astype("float64")
+        vectors = _unit(flat.reshape(rows.num_rows, -1))
+        scores = np.round(vectors @ wanted.T, PLACES) + 0.0
+        if hashing:
+            mine, theirs = _hash_codes(vectors, *hashing), _hash_codes(wanted, *hashing)
+            meets = np.zeros(scores.shape, dtype=bool)
+            for table in range(mine.shape[1]):
+                meets |= mine[:, table, None] == theirs[None, :, table]
+            scores = np.where(meets, scores, -np.inf)
+        return ids, scores
 
-    return scan
+    return bases.keys(), score
 
 
 # --- fusion and parents ---------------------------------------------------------------------
@@ -260,6 +322,7 @@ def hydrate(hits: DataFrame, parents: DataFrame, children: DataFrame) -> DataFra
     Hits are few (queries x pool), so they are made the broadcast side of two scans; when they
     are too many for that, both joins become ordinary shuffled joins on unique ids.
     """
+    hits = materialize(hits, "hits")
     keys = ["kb_id", "parent_id", "child_id"]
     wanted = hits.select(*keys).distinct()
     text = parents.select("kb_id", "parent_id", "content", F.col("source"))

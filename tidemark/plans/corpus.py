@@ -20,7 +20,7 @@ class Corpus:
 
     parents: DataFrame
     children: DataFrame
-    postings: DataFrame | None
+    terms: DataFrame | None
     idf: DataFrame | None
     dense: dict[str, DataFrame]
 
@@ -34,16 +34,16 @@ def build_corpus(
     """Chunk and index documents(kb_id, doc_id, source, text).
 
     `embedders` maps a model id to a function that adds `embedding` for the column `content`
-    (or `context`, for semantic chunking). Chunks and postings are written once, because
+    (or `context`, for semantic chunking). Chunks and terms are written once, because
     several later steps read each of them.
     """
     embedders = embedders or {}
     parents = materialize(_parents(documents, config, embedders), "parents")
     children = materialize(chunking.chunk_children(parents), "children")
-    postings = idf = None
+    terms = idf = None
     if BM25 in config.indexes:
-        postings = materialize(index.postings(children, tokens), "postings")
-        idf = materialize(index.term_idf(postings, children), "idf")
+        terms = materialize(index.child_terms(children, tokens), "terms")
+        idf = materialize(index.term_idf(terms), "idf")
     dense = {
         model: materialize(
             embedders[model](children).select("kb_id", "parent_id", "child_id", "embedding"), "dense"
@@ -51,7 +51,7 @@ def build_corpus(
         for model in config.indexes
         if model != BM25
     }
-    return Corpus(parents, children, postings, idf, dense)
+    return Corpus(parents, children, terms, idf, dense)
 
 
 def _parents(documents: DataFrame, config: KbConfig, embedders) -> DataFrame:

@@ -11,7 +11,6 @@ from tidemark.config import BM25, KbConfig, SearchConfig
 from tidemark.functions.text import tokenize
 from tidemark.operators import search
 from tidemark.plans.corpus import Corpus
-from tidemark.plans.skew import materialize
 
 COLUMNS = (
     "query_id", "rank", "kb_id", "parent_id", "score", "child_id", "matched_text", "content", "source",
@@ -37,21 +36,18 @@ def retrieve(
     config.check_against(base)
     asked = search.search_text(queries, hypotheses if config.hyde else None)
     single = len(config.indexes) == 1
+    limit = config.pool if single else config.prefetch
     legs = []
     for name in config.indexes:
         if name == BM25:
-            scored = search.sparse_scores(asked, corpus.postings, corpus.idf, tokens)
-            legs.append(
-                scored
-                if single
-                else search.top_k(scored, ["query_id"], search.BEST_FIRST, config.prefetch)
-            )
+            legs.append(search.sparse_search(asked, corpus.terms, corpus.idf, limit, single, tokens))
         else:
             vectors = embed_queries[name](asked)
-            limit = config.pool if single else config.prefetch
             legs.append(search.dense_search(vectors, corpus.dense[name], limit, per_parent=single))
-    scored = legs[0] if single else search.fuse(legs, config.prefetch, config.rrf_k)
-    hits = materialize(search.collapse_parents(scored.drop("rank"), config.pool), "hits")
+    hits = legs[0]
+    if not single:
+        fused = search.fuse(legs, config.prefetch, config.rrf_k)
+        hits = search.collapse_parents(fused, config.pool)
     full = search.hydrate(hits, corpus.parents, corpus.children)
     if config.rerank_on:
         full = (
