@@ -34,7 +34,7 @@ def query(name: str, oracle: str | None = None):
 
 @query("linearize_markup", f"SELECT page_id, {sql.linear('html')} AS linear FROM pages")
 def linearize_markup(spark, sf):
-    return load(spark, sf, "pages").select("page_id", X.linearize_markup(F.col("html")).alias("linear"))
+    return spread(load(spark, sf, "pages"), "page_id").select("page_id", X.linearize_markup(F.col("html")).alias("linear"))
 
 
 @query("fold_digits", f"""SELECT doc_id, {sql.fold("translate(text, '0123456789', '๐๑๒๓๔๕๖๗๘๙')")} AS folded FROM documents""")
@@ -55,14 +55,14 @@ def ungroup_digits(spark, sf):
 
 @query("tokenize_terms", f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS terms FROM documents")
 def tokenize_terms(spark, sf):
-    return load(spark, sf, "documents").select(
+    return spread(load(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("terms")
     )
 
 
 @query("normalize_match", f"SELECT doc_id, {sql.match_key('text')} AS normalized FROM documents")
 def normalize_match(spark, sf):
-    return load(spark, sf, "documents").select(
+    return spread(load(spark, sf, "documents"), "doc_id").select(
         "doc_id", X.normalize_for_match(F.col("text")).alias("normalized")
     )
 
@@ -72,7 +72,7 @@ def normalize_match(spark, sf):
   FROM (SELECT doc_id, {sql.sentences('text')} AS s FROM documents))""")
 def split_sentences(spark, sf):
     rows = F.posexplode(X.split_sentences(F.col("text"))).alias("pos", "sentence")
-    return load(spark, sf, "documents").select("doc_id", rows).withColumn("pos", F.col("pos").cast("long"))
+    return spread(load(spark, sf, "documents"), "doc_id").select("doc_id", rows).withColumn("pos", F.col("pos").cast("long"))
 
 
 _SPAN_SQL = """spans AS (

@@ -68,7 +68,9 @@ def tokenize(text: Column, split_words: Callable[[Column], Column] | None = None
     marked = F.contains(text, F.lit("<")) | F.contains(text, F.lit("|"))
     text = F.when(marked, linearize_markup(text)).otherwise(text)
     text = ungroup_digits(fold_digits(text))
-    text = F.regexp_replace(F.regexp_replace(text, REPEAT_MARK, ""), JOINERS, " ")
+    repeats = F.contains(text, F.lit("ๆ"))
+    text = F.when(repeats, F.regexp_replace(text, REPEAT_MARK, "")).otherwise(text)
+    text = F.regexp_replace(text, JOINERS, " ")
     if split_words is not None:
         text = split_words(text)
     trimmed = F.regexp_replace(text, EDGES, "")

@@ -30,13 +30,13 @@ def weighted_terms(terms: Column) -> Column:
     def weighted(held: Column) -> Column:
         def counted(term: Column) -> Column:
             tf = F.size(held) - F.size(F.array_remove(held, term))
-            return F.struct(
-                term.alias("term"),
-                tf.alias("tf"),
-                term_weight(tf.cast("double"), F.size(held)).alias("weight"),
-            )
+            return F.struct(term.alias("term"), tf.alias("tf"))
 
-        return F.transform(F.array_distinct(held), counted)
+        def with_weight(c: Column) -> Column:
+            weight = term_weight(c["tf"].cast("double"), F.size(held))
+            return F.struct(c["term"].alias("term"), c["tf"].alias("tf"), weight.alias("weight"))
+
+        return F.transform(F.transform(F.array_distinct(held), counted), with_weight)
 
     return let(terms, weighted)
 
