@@ -113,7 +113,7 @@ def written(df: DataFrame, make: Callable[[], Callable[[dict], list[dict]]], sch
     return df.mapInPandas(run, schema)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def term_id(terms: pd.Series) -> pd.Series:
     """A term's 32-bit number in indexes that address terms by hash."""
     return terms.map(
