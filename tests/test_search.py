@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.bindings.tables import embed_hashed, queries
 from tidemark.bindings.tables import corpus as given_corpus
 from tidemark.config import KbConfig, SearchConfig
+from tidemark.functions import text as X
 from tidemark.operators import index, search
 from tidemark.plans import skew
 from tidemark.plans.corpus import build_corpus
@@ -95,17 +96,40 @@ def test_orphan_hit_keeps_child_text(spark):
     assert set(search.context_passages(full).head()["passages"].split("\n\n")) == {"parent text", "orphan text"}
 
 
+def brute_bm25(built, question):
+    idf = {r["term"]: r["idf"] for r in built.idf.collect()}
+    weigh = index.weighted_terms(X.tokenize(F.col("text")))
+    scores = {}
+    held = [(r["parent_id"], r["child_id"], dict(zip(r["terms"], r["weights"]))) for r in built.terms.collect()]
+    for q in question.select("query_id", weigh.alias("w")).collect():
+        for parent, child, weights in held:
+            s = sum(w["weight"] * idf[w["term"]] * weights[w["term"]] for w in q["w"] if w["term"] in weights)
+            if s > 0:
+                scores.setdefault(q["query_id"], []).append((-round(s, 6), child, parent))
+    return scores
+
+
 @pytest.mark.parametrize("per_parent", [False, True])
-def test_shipped_and_joined_sparse_search_agree(spark, sf, monkeypatch, per_parent):
+def test_sparse_search_equals_brute_force(spark, sf, monkeypatch, per_parent):
     built, question = given_corpus(spark, sf), queries(spark, sf)
-    run = lambda: search.sparse_search(question, built.terms, built.idf, 7, per_parent).orderBy("query_id", "rank").collect()
-    shipped = run()
+    expected = []
+    for query, rows in brute_bm25(built, question).items():
+        best = {}
+        for score, child, parent in sorted(rows):
+            best.setdefault(parent if per_parent else child, (score, child))
+        expected += [(query, n, c, -s) for n, (s, c) in enumerate(sorted(best.values())[:7], 1)]
+
+    def run():
+        found = search.sparse_search(question, built.terms, built.idf, 7, per_parent).collect()
+        return sorted((r["query_id"], r["rank"], r["child_id"], r["score"]) for r in found)
+
+    whole = run()
+    assert [r[:3] for r in whole] == [r[:3] for r in sorted(expected)]
+    assert [r[3] for r in whole] == pytest.approx([r[3] for r in sorted(expected)], abs=2e-6)
     monkeypatch.setattr(search, "QUERIES_PER_BLOCK", 9)
-    blocks = run()
-    monkeypatch.setattr(search, "MOST_BLOCKS", 0)
-    joined = run()
-    strip = lambda rows: [(r["query_id"], r["rank"], r["child_id"], r["score"]) for r in rows]
-    assert strip(shipped) == strip(blocks) == strip(joined)
+    monkeypatch.setattr(search, "BLOCKS_PER_JOB", 3)
+    monkeypatch.setattr(search, "SCORE_CELLS", 500)
+    assert run() == whole
 
 
 def test_dense_blocks_agree(spark, sf, monkeypatch):

@@ -197,7 +197,7 @@ def best_prior_scores(runs: DataFrame, metrics: Sequence[str] = METRICS) -> Data
     """For every run and metric the best score of successful runs made strictly earlier.
 
     Runs made at the same moment are folded into one row first, so equal times never count as
-    earlier; a dataset's history is scanned month by month.
+    earlier; a dataset's history is scanned day by day.
     """
     moments = runs.select(
         "dataset_id",
@@ -207,9 +207,9 @@ def best_prior_scores(runs: DataFrame, metrics: Sequence[str] = METRICS) -> Data
     ).groupBy("dataset_id", "metric", "created_at").agg(
         F.max(F.col("_scores")[F.col("metric")]).alias("_score")
     )
-    months = moments.withColumn("_month", F.date_trunc("month", "created_at"))
+    days = moments.withColumn("_day", F.date_trunc("day", "created_at"))
     best = running_max_before(
-        months, ["dataset_id", "metric"], "_month", ["created_at"], "_score", "best"
+        days, ["dataset_id", "metric"], "_day", ["created_at"], "_score", "best"
     ).where("best IS NOT NULL").select("dataset_id", "created_at", "metric", "best")
     return runs.select("run_id", "dataset_id", "created_at").join(best, ["dataset_id", "created_at"])
 
@@ -234,12 +234,12 @@ def score_delta(runs: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
 
 def run_numbers(runs: DataFrame) -> DataFrame:
     """Runs named `<dataset>#<n>` in the order they were made."""
-    counted = runs.withColumn("_one", F.lit(1)).withColumn("_month", F.date_trunc("month", "created_at"))
+    counted = runs.withColumn("_one", F.lit(1)).withColumn("_day", F.date_trunc("day", "created_at"))
     numbered = running_total(
-        counted, ["dataset_id"], "_month", ["created_at", "run_id"], "_one", "run_number"
+        counted, ["dataset_id"], "_day", ["created_at", "run_id"], "_one", "run_number"
     )
     name = F.concat("dataset_name", F.lit(" #"), "run_number")
-    return numbered.withColumn("name", name).drop("_one", "_month")
+    return numbered.withColumn("name", name).drop("_one", "_day")
 
 
 def reset_runs(runs: DataFrame, again: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ smaller id, so a rank does not hang on the order in which Spark adds numbers up.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -19,15 +19,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.text import tokenize
-from tidemark.operators import index
 from tidemark.operators.index import weighted_terms
 from tidemark.plans.skew import join_hot, materialize, small_enough, top_k
 
 PLACES = 6
 QUERY_BLOCK_BYTES = 16 * 1024 * 1024
 QUERIES_PER_BLOCK = 512
-TERMS_PER_BLOCK = 50_000
-MOST_BLOCKS = 8
+TERMS_PER_BLOCK = 20_000
+BLOCKS_PER_JOB = 8
 SCORE_CELLS = 4_000_000
 
 BEST_FIRST = ("-score", "child_id")
@@ -51,19 +50,6 @@ def query_terms(
     ).select("query_id", "kb_id", "term", (F.col("weight") * F.col("idf")).alias("query_weight"))
 
 
-def sparse_scores(terms: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Every child that shares a term with a query: (query_id, kb_id, parent_id, child_id, score).
-
-    A join on (base, term), for query batches too large to ship. A term that is in every child
-    is cut into parts by child.
-    """
-    keys = ["kb_id", "term"]
-    met = join_hot(index.postings(indexed), terms, keys, ["child_id"], fits=False)
-    return met.groupBy("query_id", "kb_id", "parent_id", "child_id").agg(
-        F.round(F.sum(F.col("query_weight") * F.col("weight")), PLACES).alias("score")
-    )
-
-
 def sparse_search(
     queries: DataFrame,
     indexed: DataFrame,
@@ -74,20 +60,14 @@ def sparse_search(
 ) -> DataFrame:
     """The `limit` best children (or parents, by their best child) that share a term.
 
-    `indexed` is index.child_terms: each child's terms lie in one row. Small query batches are
-    shipped to the rows, and a task gives up only its own best, so the index is not shuffled
-    and no (query, child) pairs are built. Batches of many blocks go through sparse_scores.
+    `indexed` is index.child_terms: each child's terms lie in one row. Blocks of queries are
+    shipped to the rows, and a task gives up only its own best. So the index is not shuffled,
+    no (query, child) pairs are built, and a term that is in every child is no special case.
     """
     terms = materialize(query_terms(queries, idf, tokens), "query_terms")
     asked = terms.agg(F.count_distinct("query_id"), F.count("*")).head()
     blocks = max(-(-asked[0] // QUERIES_PER_BLOCK), -(-asked[1] // TERMS_PER_BLOCK))
-    if blocks > MOST_BLOCKS:
-        found = sparse_scores(terms, indexed)
-    else:
-        found = _scan_blocks(_blocks_of(terms, blocks), queries, indexed, limit, per_parent, _sparse)
-    if per_parent:
-        found = best_children(found)
-    return top_k(found, ["query_id"], BEST_FIRST, limit)
+    return _scan(terms, blocks, indexed, limit, per_parent, _sparse)
 
 
 def _sparse(block: pd.DataFrame):
@@ -123,16 +103,23 @@ def _sparse(block: pd.DataFrame):
 # --- scanning an index with a block of queries ----------------------------------------------
 
 
-def _blocks_of(queries: DataFrame, blocks: int) -> list[pd.DataFrame]:
+def _blocks_of(queries: DataFrame, blocks: int) -> Iterator[pd.DataFrame]:
     """Query rows in blocks small enough to ship to every task. A query stays in one block."""
     if blocks <= 1:
-        return [queries.toPandas()]
+        yield queries.toPandas()
+        return
     part = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-    return [queries.where(part == b).toPandas() for b in range(2 * blocks)]
+    for b in range(2 * blocks):
+        yield queries.where(part == b).toPandas()
+
 
+def _scan(queries: DataFrame, blocks: int, rows: DataFrame, limit: int, per_parent: bool, make) -> DataFrame:
+    """Run each query block over the index; every task gives its best rows per query.
 
-def _scan_blocks(blocks, queries: DataFrame, rows: DataFrame, limit: int, per_parent: bool, make) -> DataFrame:
-    """Run each block over the index; every task gives its best rows per query."""
+    Blocks are fetched one after another. A few of them make one job; when there are more,
+    their results are written and their broadcasts dropped before the next are fetched, so
+    neither the driver nor an executor ever holds the whole query set.
+    """
     schema = "query_id {}, kb_id string, parent_id {}, child_id {}, score double".format(
         queries.schema["query_id"].dataType.simpleString(),
         rows.schema["parent_id"].dataType.simpleString(),
@@ -141,15 +128,30 @@ def _scan_blocks(blocks, queries: DataFrame, rows: DataFrame, limit: int, per_pa
     used = [c for c in ("terms", "weights", "embedding") if c in rows.columns]
     sent = rows.select("kb_id", "parent_id", "child_id", *used)
     group = "parent_id" if per_parent else "child_id"
-    context = rows.sparkSession.sparkContext
-    found = None
-    for block in blocks:
+    spark = rows.sparkSession
+
+    def best(parts: list[DataFrame]) -> DataFrame:
+        found = reduce(DataFrame.unionByName, parts)
+        if per_parent:
+            found = best_children(found)
+        return top_k(found, ["query_id"], BEST_FIRST, limit)
+
+    done, waiting, shipped = [], [], []
+    for block in _blocks_of(queries, blocks):
         if block.empty:
             continue
-        scan = _scanner(context.broadcast(block), make, limit, group, T.StructType.fromDDL(schema))
-        part = sent.mapInArrow(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    return rows.sparkSession.createDataFrame([], schema) if found is None else found
+        shipped.append(spark.sparkContext.broadcast(block))
+        scan = _scanner(shipped[-1], make, limit, group, T.StructType.fromDDL(schema))
+        bases = block["kb_id"].unique().tolist()
+        waiting.append(sent.where(F.col("kb_id").isin(bases)).mapInArrow(scan, schema))
+        if len(waiting) == BLOCKS_PER_JOB and blocks > BLOCKS_PER_JOB:
+            done.append(materialize(best(waiting), "found"))
+            while shipped:
+                shipped.pop().destroy()
+            waiting = []
+    if waiting or not done:
+        done.append(best(waiting or [spark.createDataFrame([], schema)]))
+    return reduce(DataFrame.unionByName, done)
 
 
 def _scanner(shipped, make, limit: int, group: str, schema: T.StructType):
@@ -234,11 +236,7 @@ def dense_search(
     blocks = -(-4 * (width[0] or 0) * width[1] // QUERY_BLOCK_BYTES)
     if blocks > 1:
         vectors = materialize(vectors, "query_vectors")
-    make = partial(_dense, hashing=hashing)
-    found = _scan_blocks(_blocks_of(vectors, blocks), queries, dense, limit, per_parent, make)
-    if per_parent:
-        found = best_children(found)
-    return top_k(found, ["query_id"], BEST_FIRST, limit)
+    return _scan(vectors, blocks, dense, limit, per_parent, partial(_dense, hashing=hashing))
 
 
 def _dense(block: pd.DataFrame, hashing=None):

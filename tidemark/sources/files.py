@@ -121,20 +121,18 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def write_index(rows: DataFrame, path: str) -> None:
-    """Index rows as Parquet, a folder per base, so a search reads its own base only.
-
-    A large base is spread over several files by a hash of the row, not gathered in one.
-    """
+    """Index rows as Parquet, a folder per base, so a search reads its own base only."""
     _replace(rows, path, "parquet", "kb_id")
 
 
 def append_index(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("kb_id").parquet(path)
+    rows.hint("rebalance", "kb_id").write.mode("append").partitionBy("kb_id").parquet(path)
 
 
 def _replace(df: DataFrame, path: str, kind: str, by: str) -> None:
+    """Rebalancing gives small folders one file and splits a folder that holds most rows."""
     (
-        df.write.format(kind).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", by).write.format(kind).mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(by).save(path)
     )
 
