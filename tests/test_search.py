@@ -127,7 +127,7 @@ def test_sparse_search_equals_brute_force(spark, sf, monkeypatch, per_parent):
     assert [r[:3] for r in whole] == [r[:3] for r in sorted(expected)]
     assert [r[3] for r in whole] == pytest.approx([r[3] for r in sorted(expected)], abs=2e-6)
     monkeypatch.setattr(search, "QUERIES_PER_BLOCK", 9)
-    monkeypatch.setattr(search, "BLOCKS_PER_JOB", 3)
+    monkeypatch.setattr(search, "BLOCKS_PER_READ", 3)
     monkeypatch.setattr(search, "SCORE_CELLS", 500)
     assert run() == whole
 

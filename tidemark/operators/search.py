@@ -24,9 +24,9 @@ from tidemark.plans.skew import join_hot, materialize, small_enough, top_k
 
 PLACES = 6
 QUERY_BLOCK_BYTES = 16 * 1024 * 1024
-QUERIES_PER_BLOCK = 512
+QUERIES_PER_BLOCK = 128
 TERMS_PER_BLOCK = 20_000
-BLOCKS_PER_JOB = 8
+BLOCKS_PER_READ = 8
 SCORE_CELLS = 4_000_000
 
 BEST_FIRST = ("-score", "child_id")
@@ -108,17 +108,18 @@ def _blocks_of(queries: DataFrame, blocks: int) -> Iterator[pd.DataFrame]:
     if blocks <= 1:
         yield queries.toPandas()
         return
-    part = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-    for b in range(2 * blocks):
+    parts = blocks + -(-blocks // 4)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    for b in range(parts):
         yield queries.where(part == b).toPandas()
 
 
 def _scan(queries: DataFrame, blocks: int, rows: DataFrame, limit: int, per_parent: bool, make) -> DataFrame:
     """Run each query block over the index; every task gives its best rows per query.
 
-    Blocks are fetched one after another. A few of them make one job; when there are more,
-    their results are written and their broadcasts dropped before the next are fetched, so
-    neither the driver nor an executor ever holds the whole query set.
+    Blocks are fetched one after another, and one read of the index serves a few of them. When
+    there are more, results are written and the broadcasts dropped before the next are
+    fetched, so neither the driver nor an executor ever holds the whole query set.
     """
     schema = "query_id {}, kb_id string, parent_id {}, child_id {}, score double".format(
         queries.schema["query_id"].dataType.simpleString(),
@@ -130,27 +131,26 @@ def _scan(queries: DataFrame, blocks: int, rows: DataFrame, limit: int, per_pare
     group = "parent_id" if per_parent else "child_id"
     spark = rows.sparkSession
 
-    def best(parts: list[DataFrame]) -> DataFrame:
-        found = reduce(DataFrame.unionByName, parts)
+    def best(shipped: list, bases: set) -> DataFrame:
+        scan = _scanner(shipped, make, limit, group, T.StructType.fromDDL(schema))
+        found = sent.where(F.col("kb_id").isin(list(bases))).mapInArrow(scan, schema)
         if per_parent:
             found = best_children(found)
         return top_k(found, ["query_id"], BEST_FIRST, limit)
 
-    done, waiting, shipped = [], [], []
+    done, shipped, bases = [], [], set()
     for block in _blocks_of(queries, blocks):
         if block.empty:
             continue
         shipped.append(spark.sparkContext.broadcast(block))
-        scan = _scanner(shipped[-1], make, limit, group, T.StructType.fromDDL(schema))
-        bases = block["kb_id"].unique().tolist()
-        waiting.append(sent.where(F.col("kb_id").isin(bases)).mapInArrow(scan, schema))
-        if len(waiting) == BLOCKS_PER_JOB and blocks > BLOCKS_PER_JOB:
-            done.append(materialize(best(waiting), "found"))
-            while shipped:
-                shipped.pop().destroy()
-            waiting = []
-    if waiting or not done:
-        done.append(best(waiting or [spark.createDataFrame([], schema)]))
+        bases.update(block["kb_id"])
+        if len(shipped) == BLOCKS_PER_READ and blocks > BLOCKS_PER_READ:
+            done.append(materialize(best(shipped, bases), "found"))
+            for sent_block in shipped:
+                sent_block.destroy()
+            shipped, bases = [], set()
+    if shipped or not done:
+        done.append(best(shipped, bases))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -164,21 +164,24 @@ def _scanner(shipped, make, limit: int, group: str, schema: T.StructType):
         return pa.Table.from_pandas(best, schema=arrow, preserve_index=False)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bases, score = make(shipped.value)
-        most = 4 * limit * shipped.value["query_id"].nunique()
+        scorers = [make(block.value) for block in shipped]
+        most = 4 * limit * sum(block.value["query_id"].nunique() for block in shipped)
         held: list[pa.Table] = []
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for base in pc.unique(table["kb_id"]).to_pylist():
-                if base not in bases:
+                asked = [score for bases, score in scorers if base in bases]
+                if not asked:
                     continue
                 rows = table.filter(pc.equal(table["kb_id"], base)).sort_by(group)
-                ids, scores = score(base, rows)
-                at, to = _best(scores, rows[group].to_numpy(), limit)
-                near = rows.select(["kb_id", "parent_id", "child_id"]).take(pa.array(at))
-                near = near.append_column("query_id", pa.array(ids[to]))
-                near = near.append_column("score", pa.array(scores[at, to]))
-                held.append(near.select(arrow.names).cast(arrow))
+                groups = rows[group].to_numpy()
+                for score in asked:
+                    ids, scores = score(base, rows)
+                    at, to = _best(scores, groups, limit)
+                    near = rows.select(["kb_id", "parent_id", "child_id"]).take(pa.array(at))
+                    near = near.append_column("query_id", pa.array(ids[to]))
+                    near = near.append_column("score", pa.array(scores[at, to]))
+                    held.append(near.select(arrow.names).cast(arrow))
             if sum(t.num_rows for t in held) > most:
                 held = [cut(held)]
         if held:
