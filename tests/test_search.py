@@ -89,6 +89,25 @@ def test_maxsim_scores(spark):
     assert [(r["parent_id"], r["score"]) for r in got] == [("both", 2.0), ("coins", 1.0), ("unknown", 0.0)]
 
 
+def token_axes(df):
+    """A unit vector per known word; `victor` and `winner` mean the same."""
+    text = next(c for c in ("content", "text") if c in df.columns)
+    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w.isin("coins", "victor", "winner"))
+    axis_of = lambda w: F.array(*(F.when(c, 1.0).otherwise(0.0).cast("float") for c in (w == "coins", w != "coins")))
+    return df.withColumn("embedding", F.transform(words, axis_of))
+
+
+@pytest.mark.parametrize("on, scores", [("parent", [("0.txt", 2.0), ("1.txt", 1.0)]), ("child", [("1.txt", 1.0), ("0.txt", 1.0)])])
+def test_late_interaction_on_parent_or_child(spark, on, scores):
+    long = "victor " + "filler words go on and on " * 30 + " coins at last"
+    base = KbConfig(reranker_type="late-interaction", reranker_model_id="late")
+    built = build_corpus(docs(spark, long, "coins coins coins"), base, {"late": token_axes})
+    assert built.tokens.where("is_parent").count() == 2
+    config = SearchConfig(rerank_on=on)
+    found = retrieve(asked(spark, "coins winner"), built, base, config, {"late": token_axes})
+    assert [(r["source"], r["score"]) for r in found.orderBy("rank").collect()] == scores
+
+
 def test_orphan_hit_keeps_child_text(spark):
     built = build_corpus(docs(spark, "parent text", "orphan text"))
     hits = search.sparse_search(asked(spark, "parent orphan text"), built.terms, built.idf, 5, per_parent=True)

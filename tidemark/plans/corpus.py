@@ -16,13 +16,17 @@ from tidemark.plans.skew import materialize
 
 @dataclass(frozen=True)
 class Corpus:
-    """Index tables of any number of bases; `dense` maps a model id to its vectors."""
+    """Index tables of any number of bases; `dense` maps a model id to its vectors.
+
+    `tokens` holds a row per chunk with its token vectors, for late interaction.
+    """
 
     parents: DataFrame
     children: DataFrame
     terms: DataFrame | None
     idf: DataFrame | None
     dense: dict[str, DataFrame]
+    tokens: DataFrame | None = None
 
 
 def build_corpus(
@@ -34,7 +38,7 @@ def build_corpus(
     """Chunk and index documents(kb_id, doc_id, source, text).
 
     `embedders` maps a model id to a function that adds `embedding` for the column `content`
-    (or `context`, for semantic chunking). Chunks and terms are written once, because
+    (or `context`, for semantic chunking; one vector per token for late interaction). Chunks and terms are written once, because
     several later steps read each of them.
     """
     embedders = embedders or {}
@@ -51,7 +55,24 @@ def build_corpus(
         for model in config.indexes
         if model != BM25
     }
-    return Corpus(parents, children, terms, idf, dense)
+    vectors = None
+    if config.reranker_type == "late-interaction":
+        vectors = materialize(
+            _token_vectors(parents, children, embedders[config.reranker_model_id]), "token_vectors"
+        )
+    return Corpus(parents, children, terms, idf, dense, vectors)
+
+
+def _token_vectors(parents: DataFrame, children: DataFrame, embed) -> DataFrame:
+    """Token vectors of parents and children alike: a rerank may look at either."""
+    chunks = parents.select(
+        "kb_id", F.col("parent_id").alias("chunk_id"), F.lit(True).alias("is_parent"), "content"
+    ).unionByName(
+        children.select(
+            "kb_id", F.col("child_id").alias("chunk_id"), F.lit(False).alias("is_parent"), "content"
+        )
+    )
+    return embed(chunks).select("kb_id", "chunk_id", "is_parent", F.col("embedding").alias("vectors"))
 
 
 def _parents(documents: DataFrame, config: KbConfig, embedders) -> DataFrame:

@@ -30,8 +30,9 @@ def retrieve(
     """Up to `top_k` parents per query, best first.
 
     A single index ranks parents by its own score; several are fused by rank, each cut to
-    `prefetch` children first. `embed_queries` adds `embedding` for `text`. `rerank(hits,
-    queries)` replaces the built-in lexical scorer, for example with maxsim_rerank.
+    `prefetch` children first. `embed_queries` adds `embedding` for `text`. A base with late
+    interaction reranks by its stored token vectors, another by the built-in lexical scorer;
+    `rerank(hits, queries)` replaces either. Reranking goes by the question as asked.
     """
     config.check_against(base)
     asked = search.search_text(queries, hypotheses if config.hyde else None)
@@ -49,10 +50,13 @@ def retrieve(
         fused = search.fuse(legs, config.prefetch, config.rrf_k)
         hits = search.collapse_parents(fused, config.pool)
     full = search.hydrate(hits, corpus.parents, corpus.children)
-    if config.rerank_on:
-        full = (
-            rerank(full, asked)
-            if rerank is not None
-            else search.rerank(full, asked, config.rerank_on)
-        )
+    if config.rerank_on and rerank is not None:
+        full = rerank(full, asked)
+    elif config.rerank_on and base.reranker_type == "late-interaction":
+        original = asked.withColumn("text", F.col("asked"))
+        vectors = embed_queries[base.reranker_model_id](original)
+        query_tokens = vectors.select("query_id", F.col("embedding").alias("vectors"))
+        full = search.maxsim_rerank(full, query_tokens, corpus.tokens, config.rerank_on)
+    elif config.rerank_on:
+        full = search.rerank(full, asked, config.rerank_on)
     return full.where(F.col("rank") <= config.top_k).select(*COLUMNS)
