@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.bindings import sql
@@ -11,7 +10,6 @@ from tidemark.bindings.tables import (
 )
 from tidemark.config import SearchConfig
 from tidemark.functions import text as X
-from tidemark.functions.vectors import hashed_terms
 from tidemark.operators import chunking, index, search
 from tidemark.plans.retrieval import retrieve
 from tidemark.plans.skew import materialize, spread
@@ -220,7 +218,6 @@ def chunk_counts(spark, sf):
 _REASSEMBLE_CHUNKS = f"""WITH {sql.PARENTS}, {sql.CHILDREN}, ordered AS (
   SELECT c.doc_id, list(c.content ORDER BY p.seq, c.seq) AS chunks FROM children c JOIN parents p USING (parent_id)
   GROUP BY c.doc_id)"""
-_ADD = """text || CASE WHEN text <> '' AND k = 0 THEN chr(10) || chr(10) ELSE '' END || substring(c, k + 1)"""
 
 
 @query("reassemble_chunks", _REASSEMBLE_CHUNKS + """, folded AS (SELECT doc_id, list_reduce(chunks,
@@ -324,8 +321,8 @@ def index_points(spark, sf):
     tables = corpus(spark, sf)
     lines = pages(spark, sf)
     # the stored text joins its lines by one character, not two
-    window_free = chunking.page_spans(lines).withColumn("start", F.col("start") - F.col("page_index"))
-    spans = window_free.withColumn("end", F.col("end") - F.col("page_index"))
+    shifted = chunking.page_spans(lines).withColumn("start", F.col("start") - F.col("page_index"))
+    spans = shifted.withColumn("end", F.col("end") - F.col("page_index"))
     points = index.index_points(tables.children, chunking.chunk_pages(tables.parents, spans))
     return points.select(
         "child_id", "parent_id", "node_id", "source", "content",

@@ -152,4 +152,3 @@ def fused(legs: list[str], prefetch: int, k: int = 60) -> str:
 
 
 BASE = f"WITH {PARENTS}, {CHILDREN}, {POSTINGS}, {QUERIES}"
-EVENT_US = "epoch_us(ts)"

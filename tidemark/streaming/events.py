@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.skew import join_hot, previous_value, running_total
+from tidemark.plans.skew import previous_value, running_total
 
 ENVELOPE = "topic string, event struct<type:string, session_id:string, data:string>"
 # The kinds of events a reader knows.
