@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, minhash_dedup, quality_rules
+from tidemark.llm import decontaminate, minhash_dedup, mixing, quality_rules, token_files
+from tidemark.llm.bindings import tokenizer
 from tidemark.plans.skew import materialize
 
 
@@ -23,7 +24,24 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
-STAGES = [("quality rules", rules), ("near duplicates", near_dedup), ("decontamination", decontamination)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources reach their target weights."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the shared folder; per document its place in them and a checksum read back."""
+    index = token_files.write(docs, tokenizer(), token_files.new_folder(spark))
+    return token_files.read(index).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("near duplicates", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+    ("token files", tokens),
+]
 ORACLE_SQL = None  # tested against brute-force versions
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, license_scan, minhash_dedup, quality_rules
+from tidemark.llm import decontaminate, license_scan, minhash_dedup, mixing, quality_rules, token_files
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 O: dict[str, str] = {}  # noqa: E741
@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_files.write(table(spark, sf_dir, "documents"), tokenizer(), token_files.new_folder(spark))
+    return token_files.read(index).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -37,6 +49,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.copies(table(spark, sf_dir, "documents"))
+    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))

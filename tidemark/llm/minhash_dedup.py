@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows:
     held = docs.select(
         F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.col(f"`{text}`").alias("text")
     )
-    schema = T.StructType(held.schema.fields[:2]).add("n_shingles", "long").add("node", "long").add("bands", T.ArrayType(T.LongType()))
+    schema = T.StructType(held.schema.fields[:2]).add("n_shingles", T.LongType()).add("node", T.LongType()).add("bands", T.ArrayType(T.LongType()))
     return held.mapInArrow(run, schema)
 
 
