@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    compression_classifier, decontaminate, license_scan, minhash_dedup, mixing, quality_rules, token_files, url_filter,
+    compression_classifier, decontaminate, license_scan, line_dedup, log_bilinear, minhash_dedup, mixing, quality_rules, token_files, url_filter,
 )
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(index).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.spans(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,3 +82,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.report(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+@query
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score(table(spark, sf_dir, "documents"))
