@@ -119,8 +119,30 @@ def test_semantic_cut_and_cap(spark):
 
 def test_reassemble(spark):
     rows = [("d", 0, "hello wor"), ("d", 1, "world, and"), ("d", 2, "nothing shared"), ("e", 0, "only")]
-    chunks = spark.createDataFrame(rows, "doc_id string, seq int, content string")
+    chunks = spark.createDataFrame([("kb", *r) for r in rows], "kb_id string, doc_id string, seq int, content string")
     got = {r["doc_id"]: r for r in chunking.reassemble(chunks).collect()}
     assert got["d"]["text"] == "hello world, and\n\nnothing shared"
     assert [(r["start"], r["end"]) for r in got["d"]["ranges"]] == [(0, 9), (9, 16), (16, 32)]
     assert got["e"]["text"] == "only"
+
+
+def test_one_file_in_two_bases(spark):
+    """The same document id in two bases stays two documents, whatever is derived from its pages."""
+    pages = spark.createDataFrame(
+        [(kb, "d", "d", i, t) for kb, texts in (("a", ["abc", "defg"]), ("b", ["uvwxyz", "rs"])) for i, t in enumerate(texts)],
+        "kb_id string, doc_id string, source string, page_index int, markdown string",
+    )
+    spans = {(r.kb_id, r.page_index): (r.start, r.end) for r in chunking.page_spans(pages).collect()}
+    assert spans == {("a", 0): (0, 3), ("a", 1): (5, 9), ("b", 0): (0, 6), ("b", 1): (8, 10)}
+    parents = chunking.chunk_fixed(chunking.join_pages(pages), 100)
+    touched = {(r.kb_id, tuple(r.pages)) for r in chunking.chunk_pages(parents, chunking.page_spans(pages)).collect()}
+    assert touched == {("a", (0, 1)), ("b", (0, 1))}
+    whole = {r.kb_id: r.text for r in chunking.reassemble(parents).collect()}
+    assert whole == {"a": "abc\n\ndefg", "b": "uvwxyz\n\nrs"}
+
+
+def test_many_children_keep_their_order(spark):
+    pieces = [(1, "d", p, c, f"<{p}.{c}>") for p in (0, 1) for c in range(1500)]
+    rows = spark.createDataFrame(pieces, "kb_id int, doc_id string, parent int, child int, content string")
+    text = chunking.reassemble(rows.selectExpr("kb_id", "doc_id", "struct(parent, child) AS seq", "content")).first().text
+    assert text == "\n\n".join(p[-1] for p in pieces)

@@ -119,3 +119,13 @@ def test_retry(status, calls):
 def test_measured_side(spark):
     df = spark.createDataFrame([("x" * 100, [1, 2])] * 100, "s string, a array<int>")
     assert skew.small_enough(df, 20_000) and not skew.small_enough(df, 10_000)
+
+
+def test_pages_of_white_space_are_blank(spark):
+    pages = spark.createDataFrame(
+        [("a", "d", 0, "\n \t\n"), ("a", "d", 1, "text"), ("b", "d", 0, "\u3000")], "kb_id string, doc_id string, page_index int, markdown string"
+    )
+    assert {(r.kb_id, r.page_index) for r in files.blank_pages(pages).collect()} == {("a", 0), ("b", 0)}
+    read = spark.createDataFrame([("a", "d", 0, "read a"), ("b", "d", 0, "read b")], "kb_id string, doc_id string, page_index int, ocr_text string")
+    merged = {(r.kb_id, r.page_index): r.markdown for r in files.merge_page_text(pages, read).collect()}
+    assert merged == {("a", 0): "read a", ("a", 1): "text", ("b", 0): "read b"}

@@ -12,7 +12,7 @@ from tidemark.config import CATEGORIES, METRICS
 from tidemark.functions.text import normalize_for_match, split_sentences
 from tidemark.operators import evalset, evaluate
 from tidemark.plans.retrieval import retrieve
-from tidemark.plans.skew import join_hot, materialize, spread
+from tidemark.plans.skew import materialize, spread
 
 Q, O = {}, {}
 
@@ -63,7 +63,7 @@ def pairs(spark, sf):
         said = documents.select("doc_id", F.explode(split_sentences(F.col("text"))).alias("_s")).select(
             "doc_id", normalize_for_match(F.col("_s")).alias("k")
         ).distinct()
-        shared = join_hot(said, keys("benchmark", "item_id"), ["k"], ["doc_id"]).groupBy("item_id", "doc_id").agg(
+        shared = said.join(keys("benchmark", "item_id"), "k").groupBy("item_id", "doc_id").agg(
             F.count("*").alias("n")
         )
         origins = shared.groupBy("item_id").agg(

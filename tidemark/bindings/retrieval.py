@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.bindings import sql
@@ -230,7 +231,7 @@ def reassemble_chunks(spark, sf):
     tables = corpus(spark, sf)
     order = tables.parents.select("parent_id", F.col("seq").alias("parent_seq"))
     chunks = tables.children.join(order, "parent_id").select(
-        "doc_id", (F.col("parent_seq") * 1000 + F.col("seq")).alias("seq"), "content"
+        "kb_id", "doc_id", F.struct("parent_seq", "seq").alias("seq"), "content"
     )
     return chunking.reassemble(chunks).select("doc_id", "text")
 
@@ -319,7 +320,7 @@ SELECT c.child_id, c.parent_id, c.doc_id AS node_id, c.source, c.content, coales
 FROM children c LEFT JOIN touched t USING (parent_id)""")
 def index_points(spark, sf):
     tables = corpus(spark, sf)
-    lines = pages(spark, sf)
+    lines = pages(spark, sf).withColumn("kb_id", F.lit(BASE))
     # the stored text joins its lines by one character, not two
     shifted = chunking.page_spans(lines).withColumn("start", F.col("start") - F.col("page_index"))
     spans = shifted.withColumn("end", F.col("end") - F.col("page_index"))
@@ -359,21 +360,26 @@ def layout_changed(spark, sf):
     return index.layout_changed(configs).select("kb_id", "changed", "missing_token_vectors")
 
 
+def score() -> Column:
+    """Shown to 6 places; ranks are taken before."""
+    return F.round("score", 6).alias("score")
+
+
 # --- search ---------------------------------------------------------------------------------
 
 _SPARSE = f"{sql.BASE}, {sql.sparse('queries')}"
 _BOTH = f"{_SPARSE}, {sql.dense('queries')}"
 
 
-@query("bm25_search", f"{_SPARSE} SELECT query_id, rank, child_id, parent_id, score FROM ({sql.ranked('sparse', 10)})")
+@query("bm25_search", f"{_SPARSE} SELECT query_id, rank, child_id, parent_id, round(score, 6) AS score FROM ({sql.ranked('sparse', 10)})")
 def bm25_search(spark, sf):
     tables = corpus(spark, sf)
     found = search.sparse_search(queries(spark, sf), tables.terms, tables.idf, 10)
-    return found.select("query_id", F.col("rank").cast("long"), "child_id", "parent_id", "score")
+    return found.select("query_id", F.col("rank").cast("long"), "child_id", "parent_id", score())
 
 
 _VECTORS_SQL = f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS child_id,
-  round({sql.cosine('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a, embeddings b)"""
+  round({sql.cosine('a.embedding', 'b.embedding')}, 9) AS score FROM embeddings a, embeddings b)"""
 
 
 def _vectors(spark, sf):
@@ -386,29 +392,29 @@ def _vectors(spark, sf):
     return asked, held
 
 
-@query("dense_search", f"WITH {_VECTORS_SQL} SELECT query_id, rank, child_id, score FROM ({sql.ranked('pairs', 5)})")
+@query("dense_search", f"WITH {_VECTORS_SQL} SELECT query_id, rank, child_id, round(score, 6) AS score FROM ({sql.ranked('pairs', 5)})")
 def dense_search(spark, sf):
     asked, held = _vectors(spark, sf)
     found = search.dense_search(asked, held, 5)
-    return found.select("query_id", F.col("rank").cast("long"), "child_id", "score")
+    return found.select("query_id", F.col("rank").cast("long"), "child_id", score())
 
 
 @query("dense_search_by_base", f"""WITH pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS child_id, b.vec_id // 8 AS parent_id,
-  '' AS kb_id, round({sql.cosine('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b USING (label))
-SELECT query_id, rank, parent_id, child_id, score FROM ({sql.collapsed('pairs', 5)})""")
+  '' AS kb_id, round({sql.cosine('a.embedding', 'b.embedding')}, 9) AS score FROM embeddings a JOIN embeddings b USING (label))
+SELECT query_id, rank, parent_id, child_id, round(score, 6) AS score FROM ({sql.collapsed('pairs', 5)})""")
 def dense_search_by_base(spark, sf):
     rows = load(spark, sf, "embeddings").withColumn("kb_id", F.col("label").cast("string"))
     held = rows.select("kb_id", F.floor(F.col("vec_id") / 8).alias("parent_id"), F.col("vec_id").alias("child_id"), "embedding")
     asked = rows.select(F.col("vec_id").alias("query_id"), "kb_id", "embedding")
     found = search.dense_search(asked, held, 5, per_parent=True)
-    return found.select("query_id", F.col("rank").cast("long"), "parent_id", "child_id", "score")
+    return found.select("query_id", F.col("rank").cast("long"), "parent_id", "child_id", score())
 
 
 @query("dense_search_approx")
 def dense_search_approx(spark, sf):
     asked, held = _vectors(spark, sf)
     found = search.dense_search(asked, held, 5, hashing=(16, 6, 7))
-    return found.select("query_id", F.col("rank").cast("long"), "child_id", "score")
+    return found.select("query_id", F.col("rank").cast("long"), "child_id", score())
 
 
 _HYBRID = f"{_BOTH}, fused AS ({sql.fused(['sparse', 'near'], 20)})"
@@ -429,15 +435,15 @@ def _legs(spark, sf, limit=20, asked=None):
     return sparse, near
 
 
-@query("hybrid_rrf", f"{_HYBRID} SELECT query_id, child_id, parent_id, score FROM fused")
+@query("hybrid_rrf", f"{_HYBRID} SELECT query_id, child_id, parent_id, round(score, 6) AS score FROM fused")
 def hybrid_rrf(spark, sf):
-    return search.fuse(_legs(spark, sf), 20).select("query_id", "child_id", "parent_id", "score")
+    return search.fuse(_legs(spark, sf), 20).select("query_id", "child_id", "parent_id", score())
 
 
-@query("collapse_parents", f"{_HYBRID} SELECT query_id, rank, parent_id, child_id, score FROM ({sql.collapsed('fused', 10)})")
+@query("collapse_parents", f"{_HYBRID} SELECT query_id, rank, parent_id, child_id, round(score, 6) AS score FROM ({sql.collapsed('fused', 10)})")
 def collapse_parents(spark, sf):
     pool = search.collapse_parents(search.fuse(_legs(spark, sf), 20), 10)
-    return pool.select("query_id", F.col("rank").cast("long"), "parent_id", "child_id", "score")
+    return pool.select("query_id", F.col("rank").cast("long"), "parent_id", "child_id", score())
 
 
 # parents without a language label are taken as deleted, so some hits have no parent text
@@ -469,13 +475,13 @@ def context_passages(spark, sf):
 
 @query("rerank_overlap", f"""{_HYDRATED}, terms AS (SELECT h.*, list_distinct({sql.tokens('b.text')}) AS a,
   {sql.tokens("coalesce(h.content, '')")} AS t FROM hydrated h JOIN benchmark b ON b.item_id = h.query_id),
-scored AS (SELECT *, round(len(list_intersect(a, t)) / greatest(len(a), 1)::DOUBLE, 6) AS overlap FROM terms)
+scored AS (SELECT *, round(len(list_intersect(a, t)) / greatest(len(a), 1)::DOUBLE, 9) AS overlap FROM terms)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, rank) AS rank, rank AS prior_rank,
-  parent_id, overlap AS score FROM scored""")
+  parent_id, round(overlap, 6) AS score FROM scored""")
 def rerank_overlap(spark, sf):
     ranked = search.rerank(_hydrated(spark, sf), queries(spark, sf), "parent")
     return ranked.select(
-        "query_id", F.col("rank").cast("long"), F.col("prior_rank").cast("long"), "parent_id", "score"
+        "query_id", F.col("rank").cast("long"), F.col("prior_rank").cast("long"), "parent_id", score()
     )
 
 
@@ -488,8 +494,8 @@ sims AS (SELECT p.query_id, p.chunk_id, p.rank, q.vec_id AS token, max({sql.cosi
   WHERE p.chunk_id NOT IN (SELECT vec_id // 8 FROM embeddings WHERE label = 3)
   GROUP BY ALL),
 scored AS (SELECT p.query_id, p.chunk_id, p.rank AS prior_rank, coalesce(s.score, 0) AS score FROM pool p LEFT JOIN (
-  SELECT query_id, chunk_id, round(sum(best), 6) AS score FROM sims GROUP BY 1, 2) s USING (query_id, chunk_id))
-SELECT query_id, chunk_id, prior_rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prior_rank) AS rank
+  SELECT query_id, chunk_id, round(sum(best), 9) AS score FROM sims GROUP BY 1, 2) s USING (query_id, chunk_id))
+SELECT query_id, chunk_id, prior_rank, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prior_rank) AS rank
 FROM scored""")
 def maxsim_rerank(spark, sf):
     asked, held = _vectors(spark, sf)
@@ -502,7 +508,7 @@ def maxsim_rerank(spark, sf):
     query_tokens = asked.withColumn("chunk_id", F.floor(F.col("query_id") / 8)).join(tokens, "chunk_id")
     ranked = search.maxsim_rerank(pool, query_tokens.select("query_id", "vectors"), stored, "parent")
     return ranked.select(
-        "query_id", F.col("parent_id").alias("chunk_id"), F.col("prior_rank").cast("long"), "score",
+        "query_id", F.col("parent_id").alias("chunk_id"), F.col("prior_rank").cast("long"), score(),
         F.col("rank").cast("long"),
     )
 
@@ -531,17 +537,17 @@ SELECT query_id, rank, parent_id, child_id, score, source FROM hits JOIN parents
 def hyde_search(spark, sf):
     config = SearchConfig(indexes=("bm25", HASHED), top_k=5, hyde=True)
     found = retrieve(queries(spark, sf), corpus(spark, sf), FIXED_CONFIG, config, EMBED, hypotheses(spark, sf))
-    return found.select("query_id", F.col("rank").cast("long"), "parent_id", "child_id", "score", "source")
+    return found.select("query_id", F.col("rank").cast("long"), "parent_id", "child_id", score(), "source")
 
 
 @query("index_subset", f"""{_BOTH}, only_sparse AS ({sql.collapsed('sparse', 5)}), only_dense AS ({sql.collapsed('near', 5)})
-SELECT 'bm25' AS used, query_id, rank, parent_id, score FROM only_sparse
-UNION ALL SELECT 'hashed', query_id, rank, parent_id, score FROM only_dense""")
+SELECT 'bm25' AS used, query_id, rank, parent_id, round(score, 6) AS score FROM only_sparse
+UNION ALL SELECT 'hashed', query_id, rank, parent_id, round(score, 6) AS score FROM only_dense""")
 def index_subset(spark, sf):
     tables, asked = corpus(spark, sf), queries(spark, sf)
     parts = [
         retrieve(asked, tables, FIXED_CONFIG, SearchConfig(indexes=(name,)), EMBED).select(
-            F.lit(name).alias("used"), "query_id", F.col("rank").cast("long"), "parent_id", "score"
+            F.lit(name).alias("used"), "query_id", F.col("rank").cast("long"), "parent_id", score()
         )
         for name in ("bm25", HASHED)
     ]

@@ -118,7 +118,7 @@ def sparse(queries: str, out: str = "sparse") -> str:
         FROM (SELECT *, len(terms) AS n, unnest(terms) AS term
               FROM (SELECT query_id, kb_id, {tokens('text')} AS terms FROM {queries})) GROUP BY ALL)),
 {out} AS (
-  SELECT q.query_id, p.kb_id, p.parent_id, p.child_id, round(sum(q.w * i.idf * p.weight), 6) AS score
+  SELECT q.query_id, p.kb_id, p.parent_id, p.child_id, round(sum(q.w * i.idf * p.weight), 9) AS score
   FROM {out}_terms q JOIN idf i USING (kb_id, term) JOIN postings p USING (kb_id, term)
   GROUP BY q.query_id, p.kb_id, p.parent_id, p.child_id)"""
 
@@ -128,7 +128,7 @@ def dense(queries: str, out: str = "near") -> str:
     return f"""{hashed(out + '_q', queries, 'query_id, kb_id', tokens('text'))},
 {hashed(out + '_c', 'tokens', 'kb_id, parent_id, child_id')},
 {out} AS (
-  SELECT q.query_id, c.kb_id, c.parent_id, c.child_id, round({cosine('q.v', 'c.v')}, 6) AS score
+  SELECT q.query_id, c.kb_id, c.parent_id, c.child_id, round({cosine('q.v', 'c.v')}, 9) AS score
   FROM {out}_q q JOIN {out}_c c USING (kb_id))"""
 
 
@@ -147,7 +147,7 @@ def collapsed(scored: str, pool: int) -> str:
 
 def fused(legs: list[str], prefetch: int, k: int = 60) -> str:
     union = " UNION ALL ".join(f"({ranked(leg, prefetch)})" for leg in legs)
-    return f"""SELECT query_id, kb_id, parent_id, child_id, round(sum(1e0 / ({k} + rank)), 6) AS score
+    return f"""SELECT query_id, kb_id, parent_id, child_id, round(sum(1e0 / ({k} + rank)), 9) AS score
   FROM ({union}) GROUP BY query_id, kb_id, parent_id, child_id"""
 
 

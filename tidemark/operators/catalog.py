@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.skew import join_hot
+from tidemark.functions.text import strip
 
 # Which model kinds each API schema serves.
 SERVED = {
@@ -74,7 +74,7 @@ def file_chunks(parents: DataFrame, doc_id) -> DataFrame:
 
 def file_kind(mime_type: Column) -> Column:
     """text, pdf or image; NULL for what cannot be read."""
-    plain = F.lower(F.trim(F.split_part(mime_type, F.lit(";"), F.lit(1))))
+    plain = F.lower(strip(F.split_part(mime_type, F.lit(";"), F.lit(1))))
     return (
         F.when(F.startswith(plain, F.lit(TEXT_PREFIX)), "text")
         .when(plain == PDF, "pdf")
@@ -104,7 +104,7 @@ def mark_out_of_sync(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     marks = changed.select("kb_id").distinct().withColumn("_changed", F.lit(True))
     stale = F.coalesce("_changed", F.lit(False)) & (F.col("status") == "completed")
     return (
-        join_hot(nodes, marks, ["kb_id"], ["node_id"], "left")
+        nodes.join(marks, "kb_id", "left")
         .withColumn("status", F.when(stale, "out_of_sync").otherwise(F.col("status")))
         .drop("_changed")
     )
@@ -114,7 +114,7 @@ def resync(nodes: DataFrame, kbs: DataFrame) -> DataFrame:
     """Out-of-sync files, ready to be built again with their base's present config."""
     waiting = nodes.where("type = 'file' AND status = 'out_of_sync'").drop("config")
     return (
-        join_hot(waiting, kbs.select("kb_id", "config"), ["kb_id"], ["node_id"])
+        waiting.join(kbs.select("kb_id", "config"), "kb_id")
         .withColumn("status", F.lit("processing"))
         .withColumn("error", F.lit(None).cast("string"))
     )
@@ -123,7 +123,7 @@ def resync(nodes: DataFrame, kbs: DataFrame) -> DataFrame:
 def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame, key: str) -> dict[str, DataFrame]:
     """What is left of each table once the keys in `deleted` and all their rows are gone."""
     gone = deleted.select(key).distinct()
-    return {name: join_hot(df, gone, [key], df.columns, "left_anti") for name, df in tables.items()}
+    return {name: df.join(gone, key, "left_anti") for name, df in tables.items()}
 
 
 # --- references and keys --------------------------------------------------------------------
@@ -132,7 +132,7 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame, key: str) -
 def with_model_name(datasets: DataFrame, models: DataFrame) -> DataFrame:
     """Datasets with the name of the model that wrote them, NULL once it is deleted."""
     names = models.select("model_id", F.col("name").alias("model_name"))
-    return join_hot(datasets, names, ["model_id"], ["dataset_id"], "left")
+    return datasets.join(names, "model_id", "left")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,14 +144,14 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def null_dangling(df: DataFrame, key: str, targets: DataFrame) -> DataFrame:
     """References whose target is gone become NULL."""
     there = targets.select(key).distinct().withColumn("_there", F.lit(True))
-    joined = join_hot(df, there, [key], [c for c in df.columns if c != key] or [key], "left")
+    joined = df.join(there, key, "left")
     return joined.withColumn(key, F.when(F.col("_there"), F.col(key))).drop("_there")
 
 
 def drop_dangling(df: DataFrame, key: str, targets: DataFrame) -> DataFrame:
     """Rows whose owner is gone go with it."""
     owners = targets.select(key).distinct()
-    return join_hot(df, owners, [key], [c for c in df.columns if c != key] or [key], "left_semi")
+    return df.join(owners, key, "left_semi")
 
 
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
@@ -216,13 +216,9 @@ def allowed_transfers(transfers: DataFrame, agents: DataFrame) -> DataFrame:
     edges = handoff_edges(agents)
     auto = edges.where("target_id IS NULL").select("agent_id")
     known = agents.select(F.col("agent_id").alias("target_id"), "description")
-    others = [c for c in transfers.columns if c not in ("agent_id", "target_id")] or ["agent_id"]
-    open_ended = join_hot(
-        join_hot(transfers.where("target_id <> agent_id"), auto, ["agent_id"], others, "left_semi"),
-        known, ["target_id"], others,
-    )
+    open_ended = transfers.where("target_id <> agent_id").join(auto, "agent_id", "left_semi").join(known, "target_id")
     named = edges.where("target_id IS NOT NULL")
-    listed = join_hot(transfers, named, ["agent_id", "target_id"], others)
+    listed = transfers.join(named, ["agent_id", "target_id"])
     return open_ended.unionByName(listed)
 
 

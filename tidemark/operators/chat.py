@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.skew import (
-    join_hot, previous_value, running_max_before, top_k,
+    previous_value, running_max_before, top_k,
 )
 
 # Weights of the attention score, its smoothing, bands, and the idle limit.
@@ -82,7 +82,7 @@ def attention_flags(events: DataFrame) -> DataFrame:
     """
     moment = F.struct("ts", "event_id")
     visits = events.where("kind = 'visit'").groupBy("session_id").agg(F.max(moment).alias("_visit"))
-    since = join_hot(events, visits, ["session_id"], ["event_id"], "left").where(
+    since = events.join(visits, "session_id", "left").where(
         F.col("_visit").isNull() | (moment > F.col("_visit"))
     )
     stuck = F.max_by(F.when(F.col("kind") == "answer", F.col("stuck")), F.when(F.col("kind") == "answer", moment))

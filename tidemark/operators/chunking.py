@@ -44,16 +44,17 @@ def join_pages(pages: DataFrame) -> DataFrame:
 def page_spans(pages: DataFrame) -> DataFrame:
     """Where each page lies in its document's joined text, as `[start, end)`."""
     sized = pages.select(
+        "kb_id",
         "doc_id",
         "page_index",
         F.length("markdown").alias("_length"),
         (F.length("markdown") + len(PAGE_JOIN)).cast("long").alias("_step"),
         (F.col("page_index") / SCAN_BLOCK).cast("long").alias("_stretch"),
     )
-    total = running_total(sized, ["doc_id"], "_stretch", ["page_index"], "_step", "_through")
+    total = running_total(sized, ["kb_id", "doc_id"], "_stretch", ["page_index"], "_step", "_through")
     start = F.col("_through") - F.col("_step")
     return total.select(
-        "doc_id", "page_index", start.alias("start"), (start + F.col("_length")).alias("end")
+        "kb_id", "doc_id", "page_index", start.alias("start"), (start + F.col("_length")).alias("end")
     )
 
 
@@ -73,18 +74,18 @@ def chunk_pages(parents: DataFrame, spans: DataFrame) -> DataFrame:
 
     chunks = stretched(
         parents.select(
-            "doc_id", "parent_id", F.col("start").alias("_s"),
+            "kb_id", "doc_id", "parent_id", F.col("start").alias("_s"),
             (F.col("start") + F.length("content")).alias("_e"),
         ),
         F.col("_s"), F.col("_e"),
     ).withColumnRenamed("_first", "_chunk_first")
     pages = stretched(spans, F.col("start"), F.col("end"))
-    touching = chunks.join(pages, ["doc_id", "_stretch"]).where(
+    touching = chunks.join(pages, ["kb_id", "doc_id", "_stretch"]).where(
         (F.col("start") < F.col("_e"))
         & (F.col("_s") < F.col("end"))
         & (F.col("_stretch") == F.greatest("_chunk_first", "_first"))
     )
-    return touching.groupBy("doc_id", "parent_id").agg(
+    return touching.groupBy("kb_id", "doc_id", "parent_id").agg(
         F.array_sort(F.collect_list("page_index")).alias("pages")
     )
 
@@ -312,10 +313,11 @@ def chunk_counts(parents: DataFrame, children: DataFrame) -> DataFrame:
 def reassemble(chunks: DataFrame) -> DataFrame:
     """Ordered chunks of a document back to one text, overlaps dropped.
 
-    `chunks` has doc_id, seq, content. Gives doc_id, text and ranges(seq, start, end). Only the
-    last characters of the text so far are carried along, as many as the longest chunk has.
+    `chunks` has kb_id, doc_id, seq, content; seq may be of any type that sorts, a struct of several
+    numbers too. Gives kb_id, doc_id, text and ranges(seq, start, end). Only the last characters of the text so far are carried along, as many as the longest chunk has.
     """
-    ordered = chunks.groupBy("doc_id").agg(
+    place_type = chunks.schema["seq"].dataType.simpleString()
+    ordered = chunks.groupBy("kb_id", "doc_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("_chunks"),
         F.max(F.length("content")).alias("_longest"),
     )
@@ -323,7 +325,7 @@ def reassemble(chunks: DataFrame) -> DataFrame:
         F.lit("").alias("tail"),
         F.lit(0).alias("at"),
         F.array().cast("array<string>").alias("parts"),
-        F.array().cast("array<struct<seq:int,start:int,end:int>>").alias("ranges"),
+        F.array().cast(f"array<struct<seq:{place_type},start:int,end:int>>").alias("ranges"),
     )
 
     def shared(tail: Column, content: Column) -> Column:
@@ -341,7 +343,7 @@ def reassemble(chunks: DataFrame) -> DataFrame:
         def appended(text: Column) -> Column:
             end = state["at"] + F.length(text)
             place = F.struct(
-                chunk["seq"].cast("int").alias("seq"), state["at"].alias("start"), end.alias("end")
+                chunk["seq"].alias("seq"), state["at"].alias("start"), end.alias("end")
             )
             return F.struct(
                 F.right(F.concat(state["tail"], text), F.col("_longest")).alias("tail"),
@@ -354,5 +356,5 @@ def reassemble(chunks: DataFrame) -> DataFrame:
 
     done = ordered.withColumn("_done", F.aggregate("_chunks", begin, add))
     return done.select(
-        "doc_id", F.array_join("_done.parts", "").alias("text"), F.col("_done.ranges").alias("ranges")
+        "kb_id", "doc_id", F.array_join("_done.parts", "").alias("text"), F.col("_done.ranges").alias("ranges")
     )

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.skew import join_hot, previous_value, running_total
+from tidemark.functions.text import strip
+from tidemark.plans.skew import previous_value, running_total
 
 # Upper bounds of the histograms, in seconds.
 SEARCH_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 20, 30)
@@ -87,7 +88,7 @@ def handoff_traffic(frames: DataFrame) -> DataFrame:
 def step_limit_runs(calls: DataFrame, limits: DataFrame) -> DataFrame:
     """Runs in which an agent made as many model calls as it may: limits(agent, max_step)."""
     made = calls.groupBy("run_id", "agent").agg(F.count("*").alias("steps"))
-    return join_hot(made, limits, ["agent"], ["run_id"]).where(F.col("steps") >= F.col("max_step"))
+    return made.join(limits, "agent").where(F.col("steps") >= F.col("max_step"))
 
 
 def stage_breakdown(timings: DataFrame, labels: Sequence[str], stages: Sequence[str] = STAGES) -> DataFrame:
@@ -108,6 +109,6 @@ def visible_transcript(frames: DataFrame) -> DataFrame:
     One row per message; a run is never gathered into one value, and long runs are counted
     through day by day.
     """
-    said = frames.where((F.col("type") == "message") & (F.length(F.trim("content")) > 0))
+    said = frames.where((F.col("type") == "message") & (F.length(strip(F.col("content"))) > 0))
     days = said.withColumn("_one", F.lit(1)).withColumn("_day", F.date_trunc("day", "ts"))
     return running_total(days, ["run_id"], "_day", ["ts", "frame_id"], "_one", "place").drop("_one", "_day")

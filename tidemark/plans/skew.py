@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 32
 
 
 # --- written tables -------------------------------------------------------------------------
@@ -44,6 +43,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 # --- joins ----------------------------------------------------------------------------------
+#
+# Joins on keys that may be hot are plain joins: each side is shuffled once, and adaptive execution
+# measures what was written, sends a side that turned out small to all tasks, and splits the
+# partitions of hot keys.
 
 
 def _bytes_of(field: T.StructField) -> Column:
@@ -64,28 +67,6 @@ def small_enough(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return (measured or 0) <= max_bytes
 
 
-def join_hot(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "inner",
-    fits: bool | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join on keys that may be hot on the `big` side.
-
-    The small side is broadcast when its measured size allows it. Otherwise each key is cut
-    into `salts` parts by a hash of `spread_by`, and the small side is repeated once per part.
-    `how` may be inner, left, left_semi or left_anti.
-    """
-    if small_enough(small) if fits is None else fits:
-        return big.join(F.broadcast(small), list(on), how)
-    part = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    repeated = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_part", part).join(repeated, [*on, "_part"], how).drop("_part")
-
-
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, rank: str = "rank") -> DataFrame:
     """The first `k` rows of each group; each task cuts its own rows before the shuffle.
 

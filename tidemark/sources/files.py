@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tidemark.functions.text import strip
+
 
 # What an operating system leaves in an archive.
 JUNK_STARTS = (".", "__MACOSX")
@@ -81,13 +83,17 @@ def as_pages(files: DataFrame, kb_id: str) -> DataFrame:
 
 def blank_pages(pages: DataFrame) -> DataFrame:
     """Pages without a text of their own: the work list for reading them from the image."""
-    return pages.where(F.length(F.trim(F.coalesce("markdown", F.lit("")))) == 0)
+    return pages.where(F.length(strip(F.coalesce("markdown", F.lit("")))) == 0)
 
 
 def merge_page_text(pages: DataFrame, read: DataFrame) -> DataFrame:
-    """Keep each page's own text; blank pages take what was read(doc_id, page_index, ocr_text)."""
-    own = F.when(F.length(F.trim("markdown")) > 0, F.col("markdown"))
-    return pages.join(read, ["doc_id", "page_index"], "left").withColumn(
+    """Keep each page's own text; blank pages take what was read(kb_id, doc_id, page_index, ocr_text).
+
+    `read` may lack kb_id where file ids are unique across bases.
+    """
+    keys = [c for c in ("kb_id", "doc_id", "page_index") if c in read.columns]
+    own = F.when(F.length(strip(F.col("markdown"))) > 0, F.col("markdown"))
+    return pages.join(read, keys, "left").withColumn(
         "markdown", F.coalesce(own, "ocr_text")
     ).drop("ocr_text")
 
