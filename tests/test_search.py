@@ -123,7 +123,7 @@ def brute_bm25(built, question):
         for parent, child, weights in held:
             s = sum(w["weight"] * idf[w["term"]] * weights[w["term"]] for w in q["w"] if w["term"] in weights)
             if s > 0:
-                scores.setdefault(q["query_id"], []).append((-round(s, 6), child, parent))
+                scores.setdefault(q["query_id"], []).append((-round(s, 9), child, parent))
     return scores
 
 
@@ -144,17 +144,36 @@ def test_sparse_search_equals_brute_force(spark, sf, monkeypatch, per_parent):
     whole = run()
     assert [r[:3] for r in whole] == [r[:3] for r in sorted(expected)]
     assert [r[3] for r in whole] == pytest.approx([r[3] for r in sorted(expected)], abs=2e-6)
-    monkeypatch.setattr(search, "QUERIES_PER_BLOCK", 9)
-    monkeypatch.setattr(search, "BLOCKS_PER_READ", 3)
     monkeypatch.setattr(search, "SCORE_CELLS", 500)
     assert run() == whole
+    monkeypatch.setattr(search, "SHIPPED_QUERIES", 9)  # the join instead
+    joined = run()
+    assert [r[:3] for r in joined] == [r[:3] for r in whole]
+    assert [r[3] for r in joined] == pytest.approx([r[3] for r in whole])
+
+
+def test_many_queries_stay_on_the_executors(spark, sf, monkeypatch):
+    built, question = given_corpus(spark, sf), queries(spark, sf)
+    monkeypatch.setattr(search, "SHIPPED_QUERIES", 1)
+    monkeypatch.setattr(search, "TILE", 16)
+
+    def never(*_):
+        raise AssertionError("fetched")
+
+    monkeypatch.setattr(type(question), "toPandas", never)
+    monkeypatch.setattr(type(question), "toArrow", never)
+    search.sparse_search(question, built.terms, built.idf, 7).write.format("noop").mode("overwrite").save()
+    found = search.dense_search(embed_hashed(question), built.dense["hashed"], 5)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
 
 
 def test_dense_blocks_agree(spark, sf, monkeypatch):
     built, question = given_corpus(spark, sf), embed_hashed(queries(spark, sf))
     run = lambda: search.dense_search(question, built.dense["hashed"], 5, True).orderBy("query_id", "rank").collect()
     whole = run()
-    monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", 3000)
+    monkeypatch.setattr(search, "SCORE_CELLS", 400)
+    assert run() == whole
+    monkeypatch.setattr(search, "TILE", 16)
     assert run() == whole
 
 

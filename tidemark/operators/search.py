@@ -8,7 +8,7 @@ legs differ by more than that down to rank 30,000.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -24,10 +24,9 @@ from tidemark.operators.index import weighted_terms
 from tidemark.plans.skew import materialize, small_enough, top_k
 
 PLACES = 9
-QUERY_BLOCK_BYTES = 16 * 1024 * 1024
-QUERIES_PER_BLOCK = 128
-TERMS_PER_BLOCK = 20_000
-BLOCKS_PER_READ = 8
+SHIPPED_QUERIES = 512  # sparse queries, with SHIPPED_TERMS terms, that are sent to the index
+SHIPPED_TERMS = 40_000
+TILE = 2000  # dense queries sent to the index; beyond, queries and rows of a tile
 SCORE_CELLS = 4_000_000
 
 BEST_FIRST = ("-score", "child_id")
@@ -57,14 +56,23 @@ def sparse_search(
 ) -> DataFrame:
     """The `limit` best children (or parents, by their best child) that share a term.
 
-    `indexed` is index.child_terms: each child's terms lie in one row. Blocks of queries are
-    shipped to the rows, and a task gives up only its own best. So the index is not shuffled,
-    no (query, child) pairs are built, and a term that is in every child is no special case.
+    `indexed` is index.child_terms: each child's terms lie in one row. A small set of queries, by
+    its counted size, is sent to the rows, and a task gives up only its own best, so the index is
+    not shuffled. Larger sets stay on the executors: query terms meet the index's terms in a join,
+    whose hot terms adaptive execution splits, and products are summed per (query, child).
     """
     terms = materialize(query_terms(queries, idf, tokens), "query_terms")
     asked = terms.agg(F.count_distinct("query_id"), F.count("*")).head()
-    blocks = max(-(-asked[0] // QUERIES_PER_BLOCK), -(-asked[1] // TERMS_PER_BLOCK))
-    return _scan(terms, blocks, indexed, limit, per_parent, _sparse)
+    if asked[0] <= SHIPPED_QUERIES and asked[1] <= SHIPPED_TERMS:
+        return _scan(terms, indexed, limit, per_parent, _sparse)
+    held = indexed.join(terms.select("kb_id").distinct(), "kb_id", "left_semi").select(
+        "kb_id", "parent_id", "child_id", F.explode(F.arrays_zip("terms", "weights")).alias("_held")
+    )
+    held = held.select("kb_id", "parent_id", "child_id", F.col("_held.terms").alias("term"), F.col("_held.weights").alias("_weight"))
+    scored = held.join(terms, ["kb_id", "term"]).groupBy("query_id", "kb_id", "parent_id", "child_id").agg(
+        F.round(F.sum(F.col("query_weight") * F.col("_weight")), PLACES).alias("score")
+    ).where("score > 0")
+    return _ranked(scored, limit, per_parent)
 
 
 def _sparse(block: pd.DataFrame):
@@ -100,55 +108,63 @@ def _sparse(block: pd.DataFrame):
 # --- scanning an index with a block of queries ----------------------------------------------
 
 
-def _blocks_of(queries: DataFrame, blocks: int) -> Iterator[pd.DataFrame]:
-    """Query rows in blocks small enough to ship to every task. A query stays in one block."""
-    if blocks <= 1:
-        yield queries.toPandas()
-        return
-    parts = blocks + -(-blocks // 4)
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    for b in range(parts):
-        yield queries.where(part == b).toPandas()
+def _ranked(found: DataFrame, limit: int, per_parent: bool) -> DataFrame:
+    return top_k(best_children(found) if per_parent else found, ["query_id"], BEST_FIRST, limit)
 
 
-def _scan(queries: DataFrame, blocks: int, rows: DataFrame, limit: int, per_parent: bool, make) -> DataFrame:
-    """Run each query block over the index; every task gives its best rows per query.
+def _found_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (rows, "parent_id"), (rows, "child_id"))]
+    return T.StructType.fromDDL("query_id {}, kb_id string, parent_id {}, child_id {}, score double".format(*kinds))
 
-    Blocks are fetched one after another, and one read of the index serves a few of them. When
-    there are more, results are written and the broadcasts dropped before the next are
-    fetched, so neither the driver nor an executor ever holds the whole query set.
-    """
-    schema = "query_id {}, kb_id string, parent_id {}, child_id {}, score double".format(
-        queries.schema["query_id"].dataType.simpleString(),
-        rows.schema["parent_id"].dataType.simpleString(),
-        rows.schema["child_id"].dataType.simpleString(),
-    )
+
+def _scan(queries: DataFrame, rows: DataFrame, limit: int, per_parent: bool, make) -> DataFrame:
+    """Send one block of queries, of checked size, to the index; every task gives its best rows per query."""
+    schema = _found_schema(queries, rows)
     used = [c for c in ("terms", "weights", "embedding") if c in rows.columns]
-    sent = rows.select("kb_id", "parent_id", "child_id", *used)
-    group = "parent_id" if per_parent else "child_id"
-    spark = rows.sparkSession
-
-    def best(shipped: list, bases: set) -> DataFrame:
-        scan = _scanner(shipped, make, limit, group, T.StructType.fromDDL(schema))
-        found = sent.where(F.col("kb_id").isin(list(bases))).mapInArrow(scan, schema)
-        if per_parent:
-            found = best_children(found)
-        return top_k(found, ["query_id"], BEST_FIRST, limit)
-
-    done, shipped, bases = [], [], set()
-    for block in _blocks_of(queries, blocks):
-        if block.empty:
-            continue
-        shipped.append(spark.sparkContext.broadcast(block))
-        bases.update(block["kb_id"])
-        if len(shipped) == BLOCKS_PER_READ and blocks > BLOCKS_PER_READ:
-            done.append(materialize(best(shipped, bases), "found"))
-            for sent_block in shipped:
-                sent_block.destroy()
-            shipped, bases = [], set()
-    if shipped or not done:
-        done.append(best(shipped, bases))
-    return reduce(DataFrame.unionByName, done)
+    asked = F.broadcast(queries.select("kb_id").distinct())
+    sent = rows.select("kb_id", "parent_id", "child_id", *used).join(asked, "kb_id", "left_semi")
+    shipped = rows.sparkSession.sparkContext.broadcast(queries.toPandas())
+    scan = _scanner([shipped], make, limit, "parent_id" if per_parent else "child_id", schema)
+    return _ranked(sent.mapInArrow(scan, schema), limit, per_parent)
+
+
+def _tiled(queries: DataFrame, rows: DataFrame, limit: int, per_parent: bool, make) -> DataFrame:
+    """Queries and rows of a base are dealt into tiles of about TILE each; every pair of tiles is a group.
+
+    A group holds TILE x TILE scores and gives up its best rows per query, so memory does not grow
+    with either side and nothing passes through the driver.
+    """
+    schema = _found_schema(queries, rows)
+
+    def sized(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("kb_id").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+
+    tiles = sized(queries, "_q").join(sized(rows, "_r"), "kb_id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    asked = queries.join(tiles, "kb_id").withColumn("_qt", mine("query_id", "_q")).withColumn("_rt", each("_r")).drop("_q", "_r")
+    held = rows.select("kb_id", "parent_id", "child_id", "embedding").join(tiles, "kb_id")
+    held = held.withColumn("_rt", mine("child_id", "_r")).withColumn("_qt", each("_q")).drop("_q", "_r")
+    arrow, group = to_arrow_schema(schema), "parent_id" if per_parent else "child_id"
+
+    def meet(block: pa.Table, part: pa.Table) -> pa.Table:
+        if not block.num_rows or not part.num_rows:
+            return arrow.empty_table()
+        _, score = make(block.to_pandas())
+        return _near(score, block["kb_id"][0].as_py(), part.sort_by(group), group, limit, arrow)
+
+    keys = ["kb_id", "_qt", "_rt"]
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, schema)
+    return _ranked(found, limit, per_parent)
+
+
+def _near(score, base: str, rows: pa.Table, group: str, limit: int, arrow: pa.Schema) -> pa.Table:
+    """The rows (sorted by `group`) that may be among a query's best, with their scores."""
+    ids, scores = score(base, rows)
+    at, to = _best(scores, rows[group].to_numpy(), limit)
+    near = rows.select(["kb_id", "parent_id", "child_id"]).take(pa.array(at))
+    near = near.append_column("query_id", pa.array(ids[to])).append_column("score", pa.array(scores[at, to]))
+    return near.select(arrow.names).cast(arrow)
 
 
 def _scanner(shipped, make, limit: int, group: str, schema: T.StructType):
@@ -171,14 +187,10 @@ def _scanner(shipped, make, limit: int, group: str, schema: T.StructType):
                 if not asked:
                     continue
                 rows = table.filter(pc.equal(table["kb_id"], base)).sort_by(group)
-                groups = rows[group].to_numpy()
+                step = max(1, SCORE_CELLS // max(1, most // (4 * limit)))
                 for score in asked:
-                    ids, scores = score(base, rows)
-                    at, to = _best(scores, groups, limit)
-                    near = rows.select(["kb_id", "parent_id", "child_id"]).take(pa.array(at))
-                    near = near.append_column("query_id", pa.array(ids[to]))
-                    near = near.append_column("score", pa.array(scores[at, to]))
-                    held.append(near.select(arrow.names).cast(arrow))
+                    for start in range(0, rows.num_rows, step):
+                        held.append(_near(score, base, rows.slice(start, step), group, limit, arrow))
             if sum(t.num_rows for t in held) > most:
                 held = [cut(held)]
         if held:
@@ -226,17 +238,15 @@ def dense_search(
     """Nearest children by cosine: queries(query_id, kb_id, embedding) against
     dense(kb_id, parent_id, child_id, embedding), within one base.
 
-    Vectors are read once and never shuffled. Each batch is multiplied with the query matrix
-    and gives up all but its own best rows, so no (query, child) pairs are built. With
+    Up to TILE queries, counted first, are sent to the vectors, which are read once and not
+    shuffled. More queries and the vectors meet in tiles of bounded size. Either way a matrix
+    product gives up all but its own best rows, so no (query, child) pairs are built. With
     `per_parent` a parent counts once, by its best child. `hashing` = (tables, bits, seed)
-    compares only vectors that share a hash bucket: faster, and approximate.
+    compares only vectors that share a hash bucket: approximate, to be used for its recall only.
     """
-    vectors = queries.select("query_id", "kb_id", F.col("embedding").cast("array<float>"))
-    width = vectors.select(F.max(F.size("embedding")), F.count("*")).head()
-    blocks = -(-4 * (width[0] or 0) * width[1] // QUERY_BLOCK_BYTES)
-    if blocks > 1:
-        vectors = materialize(vectors, "query_vectors")
-    return _scan(vectors, blocks, dense, limit, per_parent, partial(_dense, hashing=hashing))
+    vectors = materialize(queries.select("query_id", "kb_id", F.col("embedding").cast("array<float>")), "query_vectors")
+    search_in = _scan if vectors.count() <= TILE else _tiled
+    return search_in(vectors, dense, limit, per_parent, partial(_dense, hashing=hashing))
 
 
 def _dense(block: pd.DataFrame, hashing=None):
