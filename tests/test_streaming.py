@@ -40,6 +40,27 @@ def test_votes_equal_batch(spark, sf, tmp_path):
     assert same(got, chat.vote_deltas(votes))
 
 
+def test_old_votes_are_forgotten(spark, tmp_path):
+    """A message without votes for longer than `keep` starts anew, and its state is gone."""
+    moments = [(1, "a", 0), (2, "b", 50), (3, "c", 51), (4, "c", 52), (5, "a", 53)]
+    votes = spark.createDataFrame(
+        [(i, "s", m, "like", T0 + timedelta(days=d)) for i, m, d in moments],
+        "vote_id int, session_id string, message_id string, value string, ts timestamp",
+    )
+    for keep, again in (("30 days", 1), (None, 0)):
+        name = f"kept_{again}"
+        stream = stream_of(spark, votes, str(tmp_path / name), parts=5)
+        query = (
+            streams.vote_deltas(stream, keep).writeStream.format("memory").queryName(name).outputMode("append")
+            .option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(120)
+        ups = {r.vote_id: r.up for r in spark.table(name).collect()}
+        assert ups == {1: 1, 2: 1, 3: 1, 4: 0, 5: again}
+        dropped = sum(o["numRowsRemoved"] for p in query.recentProgress for o in p["stateOperators"])
+        assert dropped == (1 if keep else 0)
+
+
 def test_attention_equals_batch(spark, sf, tmp_path):
     events = given._stream(spark, sf).withColumn("kind", F.when(F.col("kind") == "other", "message").otherwise(F.col("kind")))
     changes = streams.attention(stream_of(spark, events, str(tmp_path / "in"), parts=1))

@@ -15,7 +15,6 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.chat import attention_score
-from tidemark.plans.skew import shared_folder
 from tidemark.sources.files import as_pages
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -51,14 +50,28 @@ def windowed_counts(events: DataFrame, ts: str, width: str, late_by: str, labels
 # --- keyed state ----------------------------------------------------------------------------
 
 
-def vote_deltas(votes: DataFrame) -> DataFrame:
-    """What each vote changes, from the last vote kept per message. As chat.vote_deltas."""
-    out = "vote_id long, session_id long, message_id long, up int, down int"
+def _kinds(df: DataFrame, *names: str) -> str:
+    return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def vote_deltas(votes: DataFrame, keep: str | None = None) -> DataFrame:
+    """What each vote changes, from the last vote kept per message. As chat.vote_deltas.
+
+    With `keep`, a time such as `30 days`, `ts` has a watermark that far behind, and a message
+    whose last vote it has passed is forgotten; without it all last votes are kept for ever.
+    """
+    out = f"{_kinds(votes, 'vote_id', 'session_id', 'message_id')}, up int, down int"
+    votes, timeout, expires = _kept_for(votes, keep)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         old = state.get[0] if state.exists else None
+        latest = 0
         for batch in batches:
             batch = batch.sort_values(["ts", "vote_id"])
+            latest = max(latest, _millis(batch["ts"]))
             values = batch["value"].where(batch["value"].notna(), None)
             before = pd.Series([old, *values[:-1]], index=batch.index, dtype=object)
             old = values.iloc[-1]
@@ -70,25 +83,46 @@ def vote_deltas(votes: DataFrame) -> DataFrame:
                 }
             )
         state.update((old,))
+        expires(state, latest)
 
-    return votes.groupBy("session_id", "message_id").applyInPandasWithState(
-        step, out, "value string", "append", GroupStateTimeout.NoTimeout
-    )
+    return votes.groupBy("session_id", "message_id").applyInPandasWithState(step, out, "value string", "append", timeout)
+
+
+def _millis(moments: pd.Series) -> int:
+    return int(pd.Timestamp(moments.max()).timestamp() * 1000) if len(moments) else 0
+
+
+def _kept_for(events: DataFrame, keep: str | None):
+    """Events with a watermark, the kind of timeout, and what sets a key's end."""
+    if keep is None:
+        return events, GroupStateTimeout.NoTimeout, lambda state, latest: None
+
+    def expires(state: GroupState, latest: int) -> None:
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)  # the watermark lags by `keep`
+
+    return events.withWatermark("ts", keep), GroupStateTimeout.EventTimeTimeout, expires
 
 
-def attention(events: DataFrame) -> DataFrame:
+def attention(events: DataFrame, keep: str | None = None) -> DataFrame:
     """Keeps likes, dislikes, stuck and message count per session, and scores every change.
 
     events(event_id, session_id, ts, kind, stuck) as for chat.attention_flags, plus kind
     `message`. Events count in the order they arrive; a visit starts the counts anew. One row
-    per session and trigger comes out, in update mode; score it with `scored`.
+    per session and trigger comes out, in update mode; score it with `scored`. `keep` as for
+    `vote_deltas`: a session without events for so long is forgotten.
     """
-    out = "session_id long, upvote_count long, downvote_count long, agent_cannot_answer boolean, message_count long"
+    events, timeout, expires = _kept_for(events, keep)
+    out = f"{_kinds(events, 'session_id')}, " + "upvote_count long, downvote_count long, agent_cannot_answer boolean, message_count long"
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         up, down, stuck, count = state.get if state.exists else (0, 0, False, 0)
+        latest = 0
         for batch in batches:
             batch = batch.sort_values(["ts", "event_id"])
+            latest = max(latest, _millis(batch["ts"]))
             count += int((batch["kind"] == "message").sum())
             visits = (batch["kind"] == "visit").to_numpy().nonzero()[0]
             if len(visits):
@@ -99,6 +133,7 @@ def attention(events: DataFrame) -> DataFrame:
             answers = batch.loc[batch["kind"] == "answer", "stuck"]
             stuck = bool(answers.iloc[-1]) if len(answers) else stuck
         state.update((up, down, stuck, count))
+        expires(state, latest)
         yield pd.DataFrame(
             {
                 "session_id": [key[0]], "upvote_count": [up], "downvote_count": [down],
@@ -107,7 +142,7 @@ def attention(events: DataFrame) -> DataFrame:
         )
 
     return events.groupBy("session_id").applyInPandasWithState(
-        step, out, "up long, down long, stuck boolean, count long", "update", GroupStateTimeout.NoTimeout
+        step, out, "up long, down long, stuck boolean, count long", "update", timeout
     )
 
 
@@ -145,7 +180,7 @@ def uploaded_pages(spark: SparkSession, path: str, kb_id: str, per_trigger: int
 
 
 def index_uploads(
-    pages: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]], out: str, checkpoint: str | None = None
+    pages: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]], out: str, checkpoint: str
 ) -> StreamingQuery:
     """Chunk and index each trigger's files. `build` maps pages to tables, written under
     `out/<table>/batch=<id>`; a trigger that runs twice overwrites its own folder."""
@@ -154,8 +189,7 @@ def index_uploads(
         for name, table in build(batch).items():
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
-    place = checkpoint or f"{shared_folder(pages.sparkSession)}/uploads"
     return (
-        pages.writeStream.option("checkpointLocation", place)
+        pages.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(index).start()
     )
