@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import alnum_words, packed, unpacked
+from tidemark.llm.text import alnum_words, packed, small_batches, unpacked
 from tidemark.llm.words import ALNUM, Splitter, grams, slices
 
 SPAN = 13
@@ -164,6 +164,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> list[pa.Table]:
 
 def _over(docs: DataFrame, block: pa.Table) -> DataFrame:
     """`docs` has any columns besides `text`, which is dropped."""
+    small_batches(docs.sparkSession)
     rows = [c for c in docs.columns if c != "text"]
     held = docs.sparkSession.sparkContext.broadcast(block)
     schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + T._parse_datatype_string(RESULT).fields)

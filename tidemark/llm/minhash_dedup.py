@@ -8,7 +8,9 @@ of 6 values a pair at the threshold of 0.85 is missed with a chance of 5e-6.
 
 Copies (equal sets) are folded into one class first. Then, without building all pairs of a bucket:
 
-1. every class is checked against one pivot per bucket, and confirmed links are joined to components;
+1. every class is checked against one pivot per bucket, the one with the smallest key, then in
+   buckets of several components against the one with most links; confirmed links are joined to
+   components;
 2. buckets that still hold several components are searched exactly. A class whose set has too many
    shingles that no other contested class has cannot reach the threshold with any of them, and
    leaves. What remains is paired across components, bounded by size and by those counts, and
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.text import small_batches
 from tidemark.llm.words import SPACED, Splitter, draws, grams, mix, slices
 from tidemark.plans.skew import materialize
 
@@ -38,6 +41,7 @@ PERCENT = 85
 BANDS = 26
 ROWS = 6  # values of a band, half of them smallest and half largest hashes
 PEELS = 2
+LINKS_PER_TASK = 100_000
 BLOCK = 4096
 
 
@@ -150,9 +154,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round is a few aggregates and joins over the links, written to the shared folder. A star's
     hub is only ever a join key whose rows are spread by adaptive skew handling.
     """
-    stars = materialize(
-        links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct(), "links"
-    )
+    n = links.count()
+    stars = _held(links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct(), n, "links")
     before = None
     while True:
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).head()
@@ -160,16 +163,20 @@ def components(links: DataFrame) -> DataFrame:
             return stars.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(
                 stars.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct()
             )
-        before = state
+        before, n = state, state[0]
         both = stars.unionByName(stars.select(F.col("low").alias("high"), F.col("high").alias("low")))
         hub = both.groupBy("high").agg(F.min("low").alias("hub")).withColumn("hub", F.least("hub", "high"))
         large = both.where("low > high").join(hub, "high").select(F.col("low").alias("high"), F.col("hub").alias("low"))
-        large = materialize(
-            large.unionByName(hub.where("hub < high").select("high", F.col("hub").alias("low"))).where("high <> low").distinct(), "large_stars"
-        )
+        large = large.unionByName(hub.where("hub < high").select("high", F.col("hub").alias("low")))
+        large = _held(large.where("high <> low").distinct(), n, "large_stars")
         hub = large.groupBy("high").agg(F.min("low").alias("hub"))
         small = large.join(hub, "high").where("low <> hub").select(F.col("low").alias("high"), F.col("hub").alias("low"))
-        stars = materialize(small.unionByName(hub.select("high", F.col("hub").alias("low"))).distinct(), "small_stars")
+        stars = _held(small.unionByName(hub.select("high", F.col("hub").alias("low"))).distinct(), n, "small_stars")
+
+
+def _held(df: DataFrame, n: int, name: str) -> DataFrame:
+    """Written by as many tasks as about `n` links need, however many partitions a shuffle has."""
+    return materialize(df.coalesce(1 + n // LINKS_PER_TASK), name)
 
 
 def _contested(members: DataFrame) -> DataFrame:
@@ -178,8 +185,28 @@ def _contested(members: DataFrame) -> DataFrame:
     return members.join(mixed.select("bucket"), "bucket")
 
 
-def _cross_pairs(members: DataFrame, sets: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components that could still reach the threshold."""
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _pair(x: str, y: str):
+    return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).alias("x")
+
+
+def _hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Per bucket of several components, its member with most links against those of other components."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    rest = materialize(_contested(members).join(ends, "node", "left").withColumn("links", F.coalesce("links", F.lit(0))), "contested")
+    hubs = rest.groupBy("bucket").agg(F.max(F.struct("links", "node", "root")).alias("hub"))
+    others = rest.join(hubs, "bucket").where("root <> hub.root")
+    return others.select(_pair("node", "hub.node")).select("x.*").distinct()
+
+
+def _cross_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components that could still reach the threshold.
+
+    A pair comes out of the first bucket it shares only.
+    """
     rest = materialize(_contested(members), "contested")
     for _ in range(PEELS):
         shingles = sets.join(rest.select("node").distinct(), "node").select("node", F.explode("shingles").alias("s"))
@@ -187,18 +214,21 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, checked: DataFrame, percen
         counted = rest.drop("alone").join(alone.groupBy("node").agg(F.count("*").alias("alone")), "node", "left")
         counted = counted.withColumn("alone", F.coalesce("alone", F.lit(0)))
         rest = materialize(_contested(counted.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))), "contested")
-    x = rest.select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "alone", "root")])
-    y = rest.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "alone", "root")])
+    rest = rest.join(classes.select("node", "bands"), "node").withColumn("met", F.slice("bands", F.lit(1), F.col("band")))
+    used = ("node", "n", "alone", "root", "met")
+    x = rest.select("bucket", *[F.col(c).alias(f"{c}_x") for c in used])
+    y = rest.select("bucket", *[F.col(c).alias(f"{c}_y") for c in used])
     fits = 100 * F.least(F.expr("n_x - alone_x"), F.expr("n_y - alone_y")) >= percent * F.greatest(
         F.expr("n_x + alone_y"), F.expr("n_y + alone_x")
     )
-    on = (x["bucket"] == y["bucket"]) & F.expr("node_x < node_y") & F.expr("root_x <> root_y") & fits
+    on = (x["bucket"] == y["bucket"]) & F.expr("node_x < node_y") & F.expr("root_x <> root_y") & fits & ~F.arrays_overlap("met_x", "met_y")
     pairs = x.join(y, on).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     return pairs.join(checked, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id, version, n_shingles, component_id (smallest key reachable), kept."""
+    small_batches(docs.sparkSession)
     rows = materialize(fingerprints(docs, key, text), "fingerprints")
     classes = (
         rows.where("node IS NOT NULL AND id IS NOT NULL")
@@ -206,23 +236,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         .agg(F.min("id").alias("id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
     )
     banded = materialize(classes, "classes")
-    buckets = banded.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
+    buckets = banded.select("node", "id", "n", F.posexplode("bands").alias("band", "bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "node"))["node"].alias("pivot"), F.count("*").alias("m"))
+    shared = shared.where("m > 1").drop("m")
     members = materialize(buckets.join(shared, "bucket"), "members")
-    ids = banded.join(members.select("node").distinct(), "node", "left_semi").select("id")
+    ids = members.select("id").distinct()
     sets = materialize(_sets(docs, ids, key, text), "sets")
 
-    pairs = materialize(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = materialize(members.where("node <> pivot").select(_pair("node", "pivot")).select("x.*").distinct(), "pairs")
     links = materialize(_confirmed(pairs, sets, percent), "confirmed")
+    members = members.drop("pivot", "id")
+    roots = components(links)
+    more = materialize(_hub_pairs(_placed(members, roots), links).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = materialize(links.unionByName(_confirmed(more, sets, percent)), "confirmed")
     roots = components(links)
-    placed = members.drop("pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    late = materialize(_confirmed(_cross_pairs(placed, sets, pairs, percent), sets, percent), "confirmed")
+    checked = pairs.unionByName(more)
+    late = materialize(_confirmed(_cross_pairs(_placed(members, roots), banded, sets, checked, percent), sets, percent), "confirmed")
     if not late.isEmpty():
         roots = components(links.unionByName(late))
 
-    named = materialize(banded.select("node", "id").join(roots, "node", "left"), "named")
-    smallest = named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("smallest"))
-    named = named.join(smallest, "root", "left").select("node", F.coalesce("smallest", "id").alias("component_id"))
+    linked = materialize(roots.join(banded.select("node", "id"), "node"), "linked")
+    smallest = linked.join(linked.groupBy("root").agg(F.min("id").alias("smallest")), "root").select("node", "smallest")
+    named = banded.select("node", "id").join(smallest, "node", "left").select("node", F.coalesce("smallest", "id").alias("component_id"))
     judged = rows.drop("bands").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return judged.select("id", "version", "n_shingles", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), kept.alias("kept"))

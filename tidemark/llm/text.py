@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -34,3 +34,11 @@ def packed(docs: DataFrame, **columns: Column) -> DataFrame:
 
 def unpacked(df: DataFrame, *more: Column) -> DataFrame:
     return df.select(f"{ROW}.*", *more)
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lets no Arrow batch grow far beyond `size` bytes, whatever the number of rows; a session setting."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(spark.conf.get(name, None) or "")
+    if not held.rstrip("bB").isdigit() or int(held.rstrip("bB")) > size:
+        spark.conf.set(name, str(size))
