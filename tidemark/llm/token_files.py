@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.text import small_batches
 from tidemark.llm.words import slices
 from tidemark.plans.skew import materialize, shared_folder
 
@@ -41,12 +42,14 @@ GROUP = 64
 def word_encoder(load: Callable, dtype: str) -> Callable[[list[bytes]], list[bytes]]:
     """Encodes texts by their words, for tokenizers that treat words between white space on their own.
 
-    Such are those that drop white space before splitting. Each distinct word is encoded once, a
-    bounded number of them stay known to the worker process between tasks.
+    Such are those that drop white space before splitting. A distinct word is encoded once as long
+    as it is met again in time: about 2 * CACHED_WORDS of the latest stay known to the worker
+    process, also between tasks.
     """
     tokenizer = load()
     held = sys.modules.setdefault("_tidemark_word_ids", types.ModuleType("_tidemark_word_ids"))
-    known: dict[bytes, bytes] = held.__dict__.setdefault(f"{load.args}{dtype}", {})  # type: ignore[attr-defined]
+    # words of late, and those of before that, which move up when met again
+    known: list[dict[bytes, bytes]] = held.__dict__.setdefault(f"{load.args}{dtype}", [{}, {}])  # type: ignore[attr-defined]
 
     def encode_words(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         for i in range(0, len(words), GROUP):
@@ -62,14 +65,23 @@ def word_encoder(load: Callable, dtype: str) -> Callable[[list[bytes]], list[byt
 
     def encode(texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        missing = [w for w in set().union(*split) if w not in known]
+        late, early = known
+        found, missing = {}, []
+        for word in set().union(*split):
+            ids = late.get(word)
+            if ids is None:
+                ids = early.get(word)
+                if ids is None:
+                    missing.append(word)
+                    continue
+                late[word] = ids
+            found[word] = ids
         new = dict(encode_words(missing))
-        if len(known) + len(new) <= CACHED_WORDS:
-            known.update(new)
-            new = {}
-        if not new:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
+        late.update(new)
+        found.update(new)
+        if len(late) > CACHED_WORDS:
+            known[:] = [{}, late]
+        return [b"".join(map(found.__getitem__, words)) for words in split]
 
     return encode
 
@@ -198,7 +210,7 @@ def write(
         task = TaskContext.get()
         shard, uri = task.partitionId(), f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
         writer = None
-        for part in (p for b in batches for p in slices(b, "text", 1 << 19)):
+        for part in (p for b in batches for p in slices(b, "text", 1 << 21)):
             writer = writer or Writer(uri, dtype, sequence, batch)
             texts = [t or b"" for t in part.column("text").cast(pa.large_binary()).to_pylist()]
             placed = [writer.add(ids + end) for ids in encode(texts)]
@@ -211,6 +223,7 @@ def write(
         if writer:
             writer.close()
 
+    small_batches(docs.sparkSession)
     filesystem, path = _filesystem(folder)
     filesystem.create_dir(path, recursive=True)
     held = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
