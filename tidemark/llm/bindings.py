@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    compression_classifier, decontaminate, license_scan, line_dedup, log_bilinear, minhash_dedup, mixing, quality_rules, token_files, url_filter,
+    compression_classifier, decontaminate, license_scan, line_dedup, log_bilinear, minhash_dedup, mixing, oracles, quality_rules, token_files, url_filter,
 )
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-O: dict[str, str] = {}  # noqa: E741
+O: dict[str, str] = {  # noqa: E741
+    "op3_minhash_dedup": oracles.NEAR_DUPLICATES,
+    "op4_decontaminate": oracles.CONTAMINATION,
+}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
