@@ -129,3 +129,11 @@ def test_pages_of_white_space_are_blank(spark):
     read = spark.createDataFrame([("a", "d", 0, "read a"), ("b", "d", 0, "read b")], "kb_id string, doc_id string, page_index int, ocr_text string")
     merged = {(r.kb_id, r.page_index): r.markdown for r in files.merge_page_text(pages, read).collect()}
     assert merged == {("a", 0): "read a", ("a", 1): "text", ("b", 0): "read b"}
+
+
+def test_intermediate_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "written"
+    monkeypatch.setattr(skew, "written_folder", lambda _: str(folder))
+    assert skew.materialize(spark.range(3), "few").count() == 3 and folder.is_dir()
+    skew.drop_written(spark)
+    assert not folder.exists()

@@ -29,9 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def written_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie, in the shared folder."""
+    return os.path.join(shared_folder(spark), f"tidemark-{spark.sparkContext.applicationId}")
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(written_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, so lost executors cost no recompute."""
-    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(written_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
