@@ -8,8 +8,8 @@ that ranking, its size being fixed in words: documents are taken up to the first
 the target; a few further sweeps go on down the ranking among those small enough for what is left.
 
 u is a hash of the document's key, so reruns agree. The ranking is a running sum over a source that
-may hold a third of all rows: it is cut into ranges of rank of bounded size, summed per range, and
-carried on over the few range totals.
+may hold a third of all rows: it is cut into ranges of rank, as many as the root of its rows, summed
+per range, and carried on over the range totals.
 
 Defined results: a null text has size 0 and is taken as often as the whole copies say; sources sort
 by code point, null last and a source like any other; rows of equal key and text are documents of
@@ -29,7 +29,6 @@ WEIGHTS = (5.0, 2.0, 1.0)  # by a source's place, repeating
 SHARE = 1.5
 MOST = 2.0  # times a source's size
 SWEEPS = 4
-RANGE_ROWS = 50_000
 BITS = 52
 
 
@@ -113,7 +112,7 @@ def copies(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     aims = targets(numbered(sizes, "source")).withColumn("whole", F.floor(rate))
     aims = aims.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    aims = materialize(aims.withColumn("ranges", F.ceil(F.col("rows") / RANGE_ROWS)).withColumnRenamed("source", "_source"), "targets")
+    aims = materialize(aims.withColumn("ranges", F.ceil(F.sqrt("rows"))).withColumnRenamed("source", "_source"), "targets")
     rows = slim.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     held = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))  # noqa: E731  odds have no value at 0 and 1
