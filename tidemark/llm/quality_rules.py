@@ -174,7 +174,9 @@ def judged(voted: DataFrame, model: Accuracies) -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """The documents that pass, with their own columns. Reads the texts twice and shuffles none."""
     voted = votes(measures(docs, text))
-    return unpacked(judged(voted, fit(voted, rounds)).where("kept"))
+    # the partition's number keeps the filter above the counts; pushed below, it would repeat them many times over
+    done = judged(voted, fit(voted, rounds)).select("_row", "kept", F.spark_partition_id().alias("_part"))
+    return unpacked(done.where("kept AND _part >= 0"))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
