@@ -325,6 +325,30 @@ def test_only_the_first_stays(spark):
     assert clean[1] == passage and clean[3] == "own words" and len(clean[2]) < len(passage) / 2 and clean[2].startswith("before")
 
 
+@pytest.mark.parametrize("n, words", [(2, 30), (3, 20), (4, 15), (5, 12), (6, 25), (10, 10), (2, 3)])
+def test_short_passages_go_whole(spark, n, words):
+    """Passages of a few lines, none long, between other lines in two documents."""
+    docs, first, second = [], {}, {}
+    for k in range(30):
+        passage = [" ".join(f"p{k}l{i}w{j}" for j in range(words)) for i in range(n)]
+        own = [[f"own line {k} {side} {i}" for i in range(2 * (k % 5) + 2)] for side in (0, 1)]
+        first[k] = "\n".join([*own[0][:2], *passage, *own[0][2:]])
+        cut = k % len(own[1])
+        docs += [(k, first[k]), (100 + k, "\n".join([*own[1][:cut], *passage, *own[1][cut:]]))]
+        second[100 + k] = "\n".join(own[1])
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.clean(docs).collect()} == first | second
+    assert {r.n_repeated for r in line_dedup.spans(docs).collect() if r.doc_id >= 100} == {n}
+
+
+def test_a_short_line_alone_stays(spark):
+    texts = ["one\nsame\ntwo", "three\nsame\nfour", "a\na\na\n\nb", "same"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in line_dedup.clean(docs).collect()}
+    assert clean[0] == texts[0] and clean[1] == texts[1] and clean[3] == "same"
+    assert clean[2].startswith("a\n") and clean[2].endswith("b")
+
+
 # --- URL filter ---
 
 
