@@ -151,6 +151,16 @@ def test_license_spans_survive_edits(spark):
     assert got[3].labels == "" and got[1].base_labels == ""
 
 
+def test_short_notices_one_after_the_other(spark):
+    short = [text for _, text in license_scan.NOTICES if len(brute.alnum(text)) <= 8]
+    texts = [sep.join([text] * n) for text in short for sep in (" ", " and ", "\n") for n in (1, 2, 3, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = dict((text, label) for label, text in license_scan.NOTICES)
+    for r in license_scan.scan(docs).collect():
+        assert label[short[r.doc_id // 12]] in r.labels.split(","), texts[r.doc_id]
+        assert r.score == 1.0
+
+
 # --- quality rules ---
 
 

@@ -5,7 +5,8 @@ the places of known notices (a fixed list, so that side is broadcast), and equal
 hit. A hit at text place p and notice place q lies on the diagonal p - q; an undisturbed copy of a
 notice puts all its hits on one diagonal, and each inserted or lost word shifts the rest to a
 neighbouring one. Hits are counted per diagonal, neighbouring diagonals are merged, and a merged
-span counts when it covers enough of the notice without being much longer than it.
+span counts when it covers enough of the notice without being much longer than it. A diagonal that
+covers enough counts alone as well, so copies of a short notice one after the other are all seen.
 
 Short phrases are notices of their own that must match in full; their places are the base result.
 
@@ -89,7 +90,7 @@ def hits(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """Merged diagonals: one row per span of a notice in a text, with its cover, first and last word."""
+    """Merged diagonals, and single ones of enough cover: one row per span of a notice in a text, with its cover, first and last word."""
     diagonals = (
         found.withColumn("diagonal", F.col("p") - F.col("q"))
         .groupBy("id", "version", "notice", "label", "phrase", "runs", "size", "diagonal")
@@ -98,6 +99,10 @@ def spans(found: DataFrame) -> DataFrame:
     along = Window.partitionBy("id", "version", "notice").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along)) > F.when(F.col("phrase"), 0).otherwise(MAX_SHIFT), F.lit(True))
     numbered = diagonals.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(along))
+    # a diagonal that covers enough by itself is a copy of its own too, whatever stands next to it
+    alone = ~F.col("phrase") & (F.col("n") >= MIN_COVER * F.col("runs"))
+    chain, single = F.struct(F.lit(False).alias("single"), F.col("span").alias("at")), F.struct(F.lit(True).alias("single"), F.col("diagonal").cast("long").alias("at"))
+    numbered = numbered.withColumn("span", F.explode(F.when(alone, F.array(chain, single)).otherwise(F.array(chain))))
     merged = numbered.groupBy("id", "version", "notice", "label", "phrase", "runs", "size", "span").agg(
         F.sum("n").alias("n"), F.min("first").alias("first"), (F.max("last") + F.least(F.lit(GRAM), F.first("size")) - 1).alias("last")
     )
