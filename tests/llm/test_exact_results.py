@@ -388,3 +388,20 @@ def test_bad_templates_are_rejected(spark):
     labels = [(i, 0 if i % 2 else 1) for i in range(0, 400, 3)]
     rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     assert {(r.template, r.verdict) for r in rows} == {("/spam/*/*", "block"), ("/news/*/*", "allow")}
+
+
+def test_a_small_bad_branch_among_many_is_rejected(spark):
+    """40 siblings of 2.5% each; one has bad labels only."""
+    pages = [(i, f"http://h.org/{'spam' if i % 40 == 7 else f'part{i % 40}'}/{i}") for i in range(4000)]
+    labels = [(i, 0 if i % 40 == 7 else 1) for i in range(4000)]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {(r.template, r.verdict) for r in rows} == {("/spam/*", "block"), ("/*/*", "allow")}
+    assert {r.path.split("/")[1] for r in rows if r.verdict == "block"} == {"spam"}
+
+
+def test_siblings_that_differ_by_chance_are_merged(spark):
+    rng = np.random.default_rng(5)
+    pages = [(i, f"http://h.org/part{i % 300}/{i}") for i in range(9000)]
+    labels = [(i, int(rng.random() < 0.7)) for i in range(9000)]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {r.template for r in rows} == {"/*/*"}

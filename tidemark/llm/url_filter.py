@@ -1,8 +1,8 @@
 """URL filters: listed rules first, else a tree of path templates learned per host.
 
 The tree grows a level at a time. Below a template, a path segment stays a branch of its own when
-it is frequent (not variable) and its share of good labels differs clearly from that of its
-siblings; all others, variable or statistically alike, are merged into the wildcard `*`. So a
+it has `MIN_ROWS` rows (is not variable), whatever its share of them, and its share of good labels
+differs clearly from that of its siblings, the more clearly the more siblings are tested; all others, variable or statistically alike, are merged into the wildcard `*`. So a
 template is a host and a path of kept segments and wildcards. A template is rejected when its
 purity, the share of good labels smoothed towards the share of all, is too low.
 
@@ -26,8 +26,7 @@ from tidemark.plans.skew import materialize
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MAX_DEPTH = 8
 MIN_ROWS = 20
-MIN_SHARE = 0.05
-MIN_Z = 2.576
+MIN_Z = 2.576  # for one sibling; more siblings need more
 SMOOTHING = 10.0
 MIN_PURITY = 0.5
 PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -58,17 +57,24 @@ def _segments(path: Column) -> Column:
     return F.when(F.size(cut) > MAX_DEPTH, F.concat(F.slice(cut, 1, MAX_DEPTH - 1), F.array(tail))).otherwise(cut)
 
 
+def _tail(z: Column) -> Column:
+    """The chance of a larger normal deviate, up to a factor that falls slowly: exp(-z * z / 2) / z."""
+    return F.exp(-z * z / 2) / z
+
+
 def _kept(rows: DataFrame) -> DataFrame:
     """Segments that stay branches: host, template, segment."""
     sums = [F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("good")]
     below = rows.groupBy("host", "template", "segment").agg(*sums)
     above = rows.groupBy("host", "template").agg(*[s.alias(f"all_{c}") for s, c in zip(sums, ("n", "labelled", "good"))])
-    both = below.where(F.col("n") >= MIN_ROWS).join(above, ["host", "template"]).where(F.col("n") >= MIN_SHARE * F.col("all_n"))
+    frequent = below.where((F.col("n") >= MIN_ROWS) & (F.col("labelled") > 0))
+    tested = frequent.groupBy("host", "template").agg(F.count("*").alias("tested"))
+    both = frequent.join(above.join(tested, ["host", "template"]), ["host", "template"])
     rest, rest_good = F.col("all_labelled") - F.col("labelled"), F.col("all_good") - F.col("good")
     pooled = F.col("all_good") / F.col("all_labelled")
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
     z = F.abs(F.col("good") / F.col("labelled") - rest_good / rest) / F.nullif(spread, F.lit(0.0))
-    apart = F.when((F.col("labelled") > 0) & (rest > 0), z >= MIN_Z)
+    apart = F.when(rest > 0, (z >= MIN_Z) & (F.col("tested") * _tail(z) <= _tail(F.lit(MIN_Z))))
     return both.where(F.coalesce(apart, F.lit(False))).select("host", "template", "segment", F.col("segment").alias("kept"))
 
 
