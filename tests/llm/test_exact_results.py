@@ -405,3 +405,14 @@ def test_siblings_that_differ_by_chance_are_merged(spark):
     labels = [(i, int(rng.random() < 0.7)) for i in range(9000)]
     rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     assert {r.template for r in rows} == {"/*/*"}
+
+
+def test_deep_bad_branches_are_rejected(spark):
+    """The branches part at the 12th segment; the deepest paths, without labels, have 60."""
+    deep = "/".join("abcdefghijk")
+    pages = [(i, f"http://h.org/{deep}/{'spam' if i % 2 else 'news'}/{i}") for i in range(400)]
+    pages += [(i, f"http://g.org/{'x/' * 60}") for i in range(400, 430)]
+    labels = [(i, 0 if i % 2 else 1) for i in range(0, 400, 3)]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    stars = "/*" * 11
+    assert {(r.template, r.verdict) for r in rows} == {(f"{stars}/spam/*", "block"), (f"{stars}/news/*", "allow"), ("/*" * 60, "allow")}

@@ -7,7 +7,9 @@ template is a host and a path of kept segments and wildcards. A template is reje
 purity, the share of good labels smoothed towards the share of all, is too low.
 
 Statistics are sums that are combined before the exchange; the joins back to the pages are plain
-equi-joins, whose hot hosts adaptive execution splits. Segments beyond `MAX_DEPTH` are one segment.
+equi-joins, whose hot hosts adaptive execution splits. Rows whose template has too few rows or no
+different labels left get wildcards for all further segments at once; the others go on to the end of
+their paths, however deep.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and
 falls under the template of the empty host. Several labels of one page are averaged; pages without a
@@ -24,7 +26,6 @@ from tidemark.plans.skew import materialize
 
 # (rule, verdict): a rule is a host, which covers its subdomains, and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MAX_DEPTH = 8
 MIN_ROWS = 20
 MIN_Z = 2.576  # for one sibling; more siblings need more
 SMOOTHING = 10.0
@@ -52,9 +53,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _segments(path: Column) -> Column:
-    cut = F.array_remove(F.split(path, "/"), "")
-    tail = F.array_join(F.slice(cut, F.lit(MAX_DEPTH), F.greatest(F.size(cut) - (MAX_DEPTH - 1), F.lit(0))), "/")
-    return F.when(F.size(cut) > MAX_DEPTH, F.concat(F.slice(cut, 1, MAX_DEPTH - 1), F.array(tail))).otherwise(cut)
+    return F.array_remove(F.split(path, "/"), "")
 
 
 def _tail(z: Column) -> Column:
@@ -78,17 +77,33 @@ def _kept(rows: DataFrame) -> DataFrame:
     return both.where(F.coalesce(apart, F.lit(False))).select("host", "template", "segment", F.col("segment").alias("kept"))
 
 
+def _undecided(rows: DataFrame) -> DataFrame:
+    """The (host, template) below which a segment may still stay a branch.
+
+    It takes `MIN_ROWS` rows and labels that differ; what lies below has part of these rows only.
+    """
+    below = rows.groupBy("host", "template").agg(F.count("*").alias("n"), F.min("good").alias("low"), F.max("good").alias("high"))
+    return below.where((F.col("n") >= MIN_ROWS) & (F.col("low") < F.col("high"))).select("host", "template", F.lit(True).alias("undecided"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """Adds template to rows of (host, path, good)."""
     rows = pages.withColumn("segments", _segments(F.col("path"))).withColumn("template", F.lit(""))
-    deepest = rows.agg(F.max(F.size("segments"))).head()[0] or 0
-    for level in range(deepest):  # MAX_DEPTH at most
-        rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
-        kept = _kept(rows.where("segment IS NOT NULL").select("host", "template", "segment", "good"))
-        rows = rows.join(kept, ["host", "template", "segment"], "left")
+    done, level = None, 0
+    while True:  # as deep as the paths of undecided templates
+        further = F.size("segments") > level
+        undecided = materialize(_undecided(rows.where(further)), "undecided")
+        rows = rows.join(undecided, ["host", "template"], "left").withColumn("undecided", F.col("undecided").isNotNull() & further)
+        rest = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - level, F.lit(0)))
+        ready = rows.where(~F.col("undecided")).withColumn("template", F.concat("template", rest)).drop("segments", "undecided")
+        done = ready if done is None else done.unionByName(ready)
+        if undecided.isEmpty():
+            return done
+        rows = rows.where("undecided").drop("undecided").withColumn("segment", F.get("segments", F.lit(level)))
+        rows = rows.join(_kept(rows.select("host", "template", "segment", "good")), ["host", "template", "segment"], "left")
         branch = F.concat("template", F.lit("/"), F.coalesce("kept", F.lit("*")))
-        rows = materialize(rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(branch)).drop("segment", "kept"), "templates")
-    return rows.drop("segments")
+        rows = materialize(rows.withColumn("template", branch).drop("segment", "kept"), "templates")
+        level += 1
 
 
 def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", label_key: str = "doc_id", label: str = "quality") -> DataFrame:
