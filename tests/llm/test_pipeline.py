@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
+from tidemark.llm import minhash_dedup
 from tidemark.llm.bindings import tokenizer
 
 from . import brute
@@ -55,6 +56,25 @@ def test_stages(spark, sf, tmp_path):
         start += len(encoded)
 
 
+def test_near_duplicates_from_four_fifths(spark):
+    """Pairs of every similarity around 0.80, against brute force."""
+    texts = {}
+    for k in range(40):
+        words = [f"k{k}w{j}" for j in range(104)]  # 100 shingles
+        texts[2 * k] = " ".join(words)
+        texts[2 * k + 1] = " ".join(words[: 104 - k] + [f"k{k}x{j}" for j in range(k)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {at: {i for i, (_, _, k) in brute.near_duplicates(texts, at).items() if k} for at in (80, 85)}
+    assert kept[80] != kept[85] and len(kept[80]) < len(texts)
+    assert {r.doc_id for r in minhash_dedup.keep_one(docs, percent=80).collect()} == kept[80]
+
+
+def test_bands_follow_the_threshold():
+    for percent in (50, 70, 80, 85, 95, 100):
+        assert (1 - (percent / 100) ** minhash_dedup.ROWS) ** minhash_dedup.bands_for(percent) < 1e-5
+    assert minhash_dedup.bands_for(minhash_dedup.PERCENT) == minhash_dedup.BANDS
+
+
 def test_run_is_the_stages_in_order(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     names = [n for n, _ in corpus_pipeline.STAGES]

@@ -3,8 +3,8 @@
 Each document is the set of its distinct word shingles. Every permutation gives two signature
 values, the smallest and the largest hash, so half as many hash evaluations are needed for a
 signature of the same length; each value agrees between two documents with a chance equal to their
-similarity. Values are cut into bands, and documents that share a band are candidates. With 26 bands
-of 6 values a pair at the threshold of 0.85 is missed with a chance of 5e-6.
+similarity. Values are cut into bands, and documents that share a band are candidates. There are as many
+bands of 6 values as miss a pair at the threshold with a chance of 5e-6 at most: 26 at 0.85, 41 at 0.80.
 
 Copies (equal sets) are folded into one class first. Then, without building all pairs of a bucket:
 
@@ -26,6 +26,8 @@ by their text. Extra columns pass through `keep_one` untouched; an empty table g
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,11 +42,18 @@ SHINGLE = 5
 PERCENT = 85
 BANDS = 26
 ROWS = 6  # values of a band, half of them smallest and half largest hashes
+MISS = 5e-6  # chance that a pair at the threshold shares no band, at most
 PEELS = 2
 LINKS_PER_TASK = 100_000
 BLOCK = 4096
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """How many bands a threshold needs so that a pair at it is missed with a chance of `MISS` at most."""
+    apart = 1 - (percent / 100) ** rows
+    return math.ceil(math.log(MISS) / math.log(apart)) if apart > 0 else 1
+
+
 def shingle_sets(texts: pa.Array, splitter: Splitter, k: int = SHINGLE):
     """The sorted distinct shingle hashes of each text; all words as one when there are fewer than k."""
     words = splitter.words(texts)
@@ -229,7 +238,7 @@ def _cross_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, checke
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id, version, n_shingles, component_id (smallest key reachable), kept."""
     small_batches(docs.sparkSession)
-    rows = materialize(fingerprints(docs, key, text), "fingerprints")
+    rows = materialize(fingerprints(docs, key, text, bands_for(percent)), "fingerprints")
     classes = (
         rows.where("node IS NOT NULL AND id IS NOT NULL")
         .groupBy("node")
