@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.bindings.retrieval import Q
 from tidemark.bindings.tables import embed_hashed, queries
 from tidemark.bindings.tables import corpus as given_corpus
 from tidemark.config import KbConfig, SearchConfig
@@ -189,6 +190,14 @@ def test_approximate_recall(spark):
     assert len(exact & near) / len(exact) > 0.9
 
 
+def test_approximate_recall_of_the_table(spark, sf):
+    """Over all neighbours, and over those that are not the query itself."""
+    pairs = lambda name: {(r["query_id"], r["child_id"]) for r in Q[name](spark, sf).collect()}
+    exact, near = pairs("dense_search"), pairs("dense_search_approx")
+    others = {(q, c) for q, c in exact if q != c}
+    assert len(exact & near) >= 0.9 * len(exact) and len(others & near) >= 0.9 * len(others)
+
+
 def test_a_joined_side_is_shuffled_once(spark):
     """No side is copied per salt, and none is run only to be measured."""
     left = spark.range(100_000).select("id", (F.col("id") % 7).alias("model_id"))

@@ -413,7 +413,7 @@ def dense_search_by_base(spark, sf):
 @query("dense_search_approx")
 def dense_search_approx(spark, sf):
     asked, held = _vectors(spark, sf)
-    found = search.dense_search(asked, held, 5, hashing=(16, 6, 7))
+    found = search.dense_search(asked, held, 5, hashing=(48, 6, 7))
     return found.select("query_id", F.col("rank").cast("long"), "child_id", score())
 
 

@@ -211,7 +211,7 @@ def _hash_codes(vectors: np.ndarray, tables: int, bits: int, seed: int) -> np.nd
     """One bucket number per vector and table, from the sides of random planes it lies on."""
     planes = np.random.default_rng(seed).standard_normal((tables, bits, vectors.shape[1]))
     sides = np.einsum("nd,tbd->ntb", vectors, planes) > 0
-    return sides @ (1 << np.arange(bits))
+    return (sides @ (1 << np.arange(bits))).astype(np.min_scalar_type((1 << bits) - 1))
 
 
 def _best(scores: np.ndarray, groups: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
