@@ -117,6 +117,14 @@ def test_contamination_of_nothing(spark, edge_docs):
     assert decontaminate.keep_clean(edge_docs, empty(bench)).count() == edge_docs.count()
 
 
+def test_benchmark_blocks_hold_different_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 12)
+    once, often = (spark.createDataFrame(ITEMS * n, "item_id long, text string") for n in (1, 50))
+    rows = [sorted(map(str, b.collect())) for b in decontaminate._blocks(often, "item_id", "text")]
+    assert rows == [sorted(map(str, b.collect())) for b in decontaminate._blocks(once, "item_id", "text")]
+    assert len(rows) > 1 and sum(map(len, rows)) == len(set(ITEMS))
+
+
 # --- license scan ---
 
 

@@ -7,9 +7,9 @@ are looked up among the benchmark's, and each hit is extended word by word to bo
 extensions that reach a whole window are hit. Items shorter than SPAN have fingerprints of their own
 class, with a W (and K) that fits their length.
 
-The benchmark is dealt by hash into blocks of about `BLOCK_WORDS` words, a stated set searched in
-blocks; a block is sent to the executors and the documents pass it in a narrow scan, without any
-shuffle of texts. A benchmark of the usual size is one block.
+The benchmark's different rows are dealt by hash into blocks of about `BLOCK_WORDS` words, a stated
+set searched in blocks; a block is sent to the executors and the documents pass it in a narrow scan,
+without any shuffle of texts. Of several blocks one is held at a time and its results are written. A benchmark of the usual size is one block.
 
 Defined results: null, empty and wordless texts have no words and no hits; items without words have
 no windows; an item without an id marks words but is not listed; equal ids count once. Equal rows
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.text import alnum_words, packed, small_batches, unpacked
 from tidemark.llm.words import ALNUM, Splitter, grams, slices
+from tidemark.plans.skew import materialize
 
 SPAN = 13
 GRAM = 5
@@ -155,20 +156,33 @@ def _search(batches, block: pa.Table, rows):
             )
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[pa.Table]:
-    held = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text"))
+def _blocks(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
+    """The benchmark's different rows, dealt into blocks; none is fetched yet."""
+    held = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).distinct()
     total = held.agg(F.sum(F.size(alnum_words(F.col("text"))))).head()[0] or 0
     n = -(-total // BLOCK_WORDS) or 1
-    return [held.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).toArrow() for i in range(n)]
+    if n > 1:
+        held = materialize(held, "benchmark")
+    return [held.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _over(docs: DataFrame, block: pa.Table) -> DataFrame:
-    """`docs` has any columns besides `text`, which is dropped."""
+def _over(docs: DataFrame, block: DataFrame, written: bool = False) -> DataFrame:
+    """`docs` has any columns besides `text`, which is dropped. If `written`, the block is let go at once."""
     small_batches(docs.sparkSession)
     rows = [c for c in docs.columns if c != "text"]
-    held = docs.sparkSession.sparkContext.broadcast(block)
+    held = docs.sparkSession.sparkContext.broadcast(block.toArrow())
     schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + T._parse_datatype_string(RESULT).fields)
-    return docs.mapInArrow(lambda batches: _search(batches, held.value, rows), schema)
+    found = docs.mapInArrow(lambda batches: _search(batches, held.value, rows), schema)
+    if written:
+        found = materialize(found, "contamination")
+        held.destroy()
+    return found
+
+
+def _over_all(docs: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """One block at a time passes the driver and the executors when there are several."""
+    first, *more = [_over(docs, b, written=len(blocks) > 1) for b in blocks]
+    return _merged(first, more) if more else first
 
 
 def contamination(
@@ -176,10 +190,7 @@ def contamination(
 ) -> DataFrame:
     """Per row: key, n_words, spans (hit words, from and up to), n_hit, items (their ids as strings, sorted), contaminated."""
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.col(f"`{text}`").alias("text"))
-    first, *more = [_over(slim, b) for b in _blocks(benchmark, item, item_text)]
-    if more:
-        first = _merged(first, more)
-    return first.drop("version").withColumnRenamed("id", key).withColumn("contaminated", is_contaminated())
+    return _over_all(slim, _blocks(benchmark, item, item_text)).drop("version").withColumnRenamed("id", key).withColumn("contaminated", is_contaminated())
 
 
 def is_contaminated():
@@ -224,6 +235,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
         return unpacked(_over(packed(docs, text=F.col(f"`{text}`")), blocks[0]).where(~is_contaminated()))
     slim = packed(docs, id=F.monotonically_increasing_id(), version=F.xxhash64(F.col(f"`{text}`")), text=F.col(f"`{text}`"))
     slim = slim.withColumn("id", F.xxhash64("_row"))  # equal rows are judged alike
-    hits = _merged(_over(slim.drop("_row"), blocks[0]), [_over(slim.drop("_row"), b) for b in blocks[1:]])
+    hits = _over_all(slim.drop("_row"), blocks)
     bad = hits.where(is_contaminated()).select("id").distinct()
     return unpacked(slim.join(bad, "id", "left_anti"))
