@@ -123,3 +123,80 @@ def mix_targets(sizes):
         if not above:
             return target
         full |= above
+
+
+def run_buckets(text, buckets=10_000, longest=3):
+    """(words, buckets of all runs of words)"""
+    words = alnum(text)
+    runs = (" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1))
+    return len(words), [zlib.crc32(r.encode()) % buckets for r in runs]
+
+
+def resampled(rows, target):
+    """Sorted (key, features, weight, score, rank); rows: [(key, text)], target: [text]"""
+    import hashlib
+    import math
+
+    docs = [(key, *run_buckets(text)) for key, text in rows]
+    own = Counter(b for *_, found in docs for b in found)
+    other = Counter(b for text in target for b in run_buckets(text)[1])
+    mine, theirs = sum(own.values()) + 10_000, sum(other.values()) + 10_000
+    gain = lambda b: math.floor(1000 * math.log((other[b] + 1) * mine / ((own[b] + 1) * theirs)))
+    scored = []
+    for key, n, found in docs:
+        weight = sum(map(gain, found))
+        h = int(hashlib.sha256(f"42:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        scored.append([key, n, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
+    able = sorted((r for r in scored if r[1] >= 20), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    ranks = {id(r): i + 1 for i, r in enumerate(able[: 5 * len(able) // 100])}
+    return sorted(((r[0], r[2], r[3], r[4], ranks.get(id(r))) for r in scored), key=str)
+
+
+def spellings(texts, noise=199, least=6, often=5, times=5):
+    """{word: (n, near words, form, form's n, root)}; texts: [(key, text)]. Every two words are compared by all single edits."""
+    counts = Counter()
+    for key, text in texts:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % noise == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return spelling_forms({w: n for w, n in counts.items() if len(w) >= least and n >= often}, times)
+
+
+def spelling_forms(counts, times=5):
+    gaps = defaultdict(set)
+    for w in counts:
+        for i in range(len(w)):
+            gaps[w[:i], w[i + 1 :]].add(w)
+    near = defaultdict(set)
+    for (a, b), words in gaps.items():
+        for w in words:
+            near[w] |= words
+            if a + b in counts:
+                near[w].add(a + b)
+                near[a + b].add(w)
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w] - {w}, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= times * n else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (n, len(near[w] - {w}), form[w], form[w] and counts[form[w]], root(w)) for w, n in counts.items()}
+
+
+def best_fit_decreasing(sizes, length=2048):
+    """Number of sequences."""
+    from bisect import bisect_left, insort
+
+    gaps, n = [], 0
+    for size in sorted(sizes, reverse=True):
+        i = bisect_left(gaps, size)
+        room = gaps.pop(i) if i < len(gaps) else length
+        n += room == length
+        if room > size:
+            insort(gaps, room - size)
+    return n

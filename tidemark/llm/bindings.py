@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    compression_classifier, decontaminate, license_scan, line_dedup, log_bilinear, minhash_dedup, mixing, oracles, quality_rules, token_files, url_filter,
+    best_fit_packing, compression_classifier, decontaminate, importance_resampling, license_scan, line_dedup, log_bilinear, minhash_dedup, mixing,
+    oracles, quality_rules, spelling_groups, token_files, url_filter,
 )
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = best_fit_packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_groups.word_counts(table(spark, sf_dir, "documents"), noise=199)
+    return spelling_groups.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
