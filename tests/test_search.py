@@ -1,13 +1,15 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.bindings.retrieval import Q
+from tidemark.bindings.retrieval import _vectors
 from tidemark.bindings.tables import embed_hashed, queries
 from tidemark.bindings.tables import corpus as given_corpus
 from tidemark.config import KbConfig, SearchConfig
 from tidemark.functions import text as X
-from tidemark.operators import catalog, index, search
+from tidemark.operators import catalog, index, nearest, search
 from tidemark.plans.corpus import build_corpus
 from tidemark.plans.retrieval import retrieve
 
@@ -178,24 +180,44 @@ def test_dense_blocks_agree(spark, sf, monkeypatch):
     assert run() == whole
 
 
-def test_approximate_recall(spark):
+def pairs(found):
+    return {(r["query_id"], r["child_id"]) for r in found.collect()}
+
+
+@pytest.mark.parametrize("tile", [nearest.TILE, 30])
+def test_lists_find_clustered_neighbours(spark, monkeypatch, tmp_path, tile):
+    """Two bases, hot lists split into tiles, repeated and empty vectors, an index opened again from disk."""
+    monkeypatch.setattr(nearest, "TILE", tile)
     rng = np.random.default_rng(3)
     centers = rng.standard_normal((20, 16))
-    points = [(i, (centers[i % 20] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(400)]
-    held = spark.createDataFrame([("kb", i, i, v) for i, v in points], "kb_id string, parent_id long, child_id long, embedding array<float>")
-    question = spark.createDataFrame([(i, "kb", v) for i, v in points[:40]], "query_id long, kb_id string, embedding array<float>")
-    pairs = lambda df: {(r["query_id"], r["child_id"]) for r in df.collect()}
-    exact = pairs(search.dense_search(question, held, 5))
-    near = pairs(search.dense_search(question, held, 5, hashing=(12, 6, 1)))
-    assert len(exact & near) / len(exact) > 0.9
-
-
-def test_approximate_recall_of_the_table(spark, sf):
-    """Over all neighbours, and over those that are not the query itself."""
-    pairs = lambda name: {(r["query_id"], r["child_id"]) for r in Q[name](spark, sf).collect()}
-    exact, near = pairs("dense_search"), pairs("dense_search_approx")
+    points = [(i, (centers[i % 20 if i % 3 else 0] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(600)]
+    rows = [("kb" if i % 5 else "other", i // 2, i, v) for i, v in points] + [("kb", 900, 900, None), ("kb", 901, 901, []), ("kb", 902, 902, points[1][1])]
+    held = spark.createDataFrame(rows, "kb_id string, parent_id long, child_id long, embedding array<float>")
+    question = spark.createDataFrame([(i, "kb" if i % 5 else "other", v) for i, v in points[:60]] + [(999, "none", points[0][1])], "query_id long, kb_id string, embedding array<float>")
+    nearest.build(held).save(str(tmp_path / "lists"))
+    lists = nearest.open_lists(spark, str(tmp_path / "lists"))
+    assert lists.vectors.count() == 601 and lists.centroids.agg(F.max("probes")).head()[0] < 12
+    counted = spark.sparkContext.accumulator(0)
+    exact, near = pairs(search.dense_search(question, held.where("size(embedding) > 0"), 5)), pairs(nearest.search(question, lists, 5, counted=counted))
+    assert len(exact & near) / len(exact) > 0.95 and counted.value < 60 * 601 / 3
+    full = {(r["query_id"], r["child_id"]): r["score"] for r in search.dense_search(question, held.where("size(embedding) > 0"), 50).collect()}
+    scores = [(r["score"], full[r["query_id"], r["child_id"]]) for r in nearest.search(question, lists, 5).collect() if (r["query_id"], r["child_id"]) in full]
+    assert scores and all(a == pytest.approx(b, abs=1e-6) for a, b in scores)
+    parents = nearest.search(question, lists, 3, per_parent=True).collect()
+    assert all(n == 1 for n in Counter((r["query_id"], r["parent_id"]) for r in parents).values())
+
+
+@pytest.mark.parametrize("table", ["", "/root/testdata/sf0.1"])
+def test_approximate_recall_of_the_table(spark, sf, table):
+    """Over all neighbours, and over those that are not the query itself, with under a third of the dot products."""
+    asked, held = _vectors(spark, table or sf)
+    lists, counted = nearest.build(held), spark.sparkContext.accumulator(0)
+    exact, near = pairs(search.dense_search(asked, held, 5)), pairs(nearest.search(asked, lists, 5, counted=counted))
     others = {(q, c) for q, c in exact if q != c}
     assert len(exact & near) >= 0.9 * len(exact) and len(others & near) >= 0.9 * len(others)
+    n = held.count()
+    print(n, len(others & near) / len(others), (counted.value + 2 * n * lists.centroids.count()) / n / n)
+    assert counted.value + 2 * n * lists.centroids.count() < n * n / 3
 
 
 def test_a_joined_side_is_shuffled_once(spark):

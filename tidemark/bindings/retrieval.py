@@ -11,7 +11,7 @@ from tidemark.bindings.tables import (
 )
 from tidemark.config import SearchConfig
 from tidemark.functions import text as X
-from tidemark.operators import chunking, index, search
+from tidemark.operators import chunking, index, nearest, search
 from tidemark.plans.retrieval import retrieve
 from tidemark.plans.skew import materialize, spread
 
@@ -413,7 +413,7 @@ def dense_search_by_base(spark, sf):
 @query("dense_search_approx")
 def dense_search_approx(spark, sf):
     asked, held = _vectors(spark, sf)
-    found = search.dense_search(asked, held, 5, hashing=(48, 6, 7))
+    found = nearest.search(asked, nearest.build(held), 5)
     return found.select("query_id", F.col("rank").cast("long"), "child_id", score())
 
 

@@ -8,7 +8,6 @@ legs differ by more than that down to rank 30,000.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -207,13 +206,6 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
 
 
-def _hash_codes(vectors: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
-    """One bucket number per vector and table, from the sides of random planes it lies on."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, vectors.shape[1]))
-    sides = np.einsum("nd,tbd->ntb", vectors, planes) > 0
-    return (sides @ (1 << np.arange(bits))).astype(np.min_scalar_type((1 << bits) - 1))
-
-
 def _best(scores: np.ndarray, groups: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (sorted by group) and columns that may be in a column's top `limit` groups."""
     firsts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
@@ -233,7 +225,6 @@ def dense_search(
     dense: DataFrame,
     limit: int,
     per_parent: bool = False,
-    hashing: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """Nearest children by cosine: queries(query_id, kb_id, embedding) against
     dense(kb_id, parent_id, child_id, embedding), within one base.
@@ -241,15 +232,14 @@ def dense_search(
     Up to TILE queries, counted first, are sent to the vectors, which are read once and not
     shuffled. More queries and the vectors meet in tiles of bounded size. Either way a matrix
     product gives up all but its own best rows, so no (query, child) pairs are built. With
-    `per_parent` a parent counts once, by its best child. `hashing` = (tables, bits, seed)
-    compares only vectors that share a hash bucket: approximate, to be used for its recall only.
+    `per_parent` a parent counts once, by its best child. For an index see `nearest`.
     """
     vectors = materialize(queries.select("query_id", "kb_id", F.col("embedding").cast("array<float>")), "query_vectors")
     search_in = _scan if vectors.count() <= TILE else _tiled
-    return search_in(vectors, dense, limit, per_parent, partial(_dense, hashing=hashing))
+    return search_in(vectors, dense, limit, per_parent, _dense)
 
 
-def _dense(block: pd.DataFrame, hashing=None):
+def _dense(block: pd.DataFrame):
     """Score function of one block of query vectors, per base."""
     bases = {
         base: (part["query_id"].to_numpy(), _unit(np.vstack(part["embedding"]).astype("float64")))
@@ -261,12 +251,6 @@ def _dense(block: pd.DataFrame, hashing=None):
         flat = rows["embedding"].combine_chunks().flatten().to_numpy().astype("float64")
         vectors = _unit(flat.reshape(rows.num_rows, -1))
         scores = np.round(vectors @ wanted.T, PLACES) + 0.0
-        if hashing:
-            mine, theirs = _hash_codes(vectors, *hashing), _hash_codes(wanted, *hashing)
-            meets = np.zeros(scores.shape, dtype=bool)
-            for table in range(mine.shape[1]):
-                meets |= mine[:, table, None] == theirs[None, :, table]
-            scores = np.where(meets, scores, -np.inf)
         return ids, scores
 
     return bases.keys(), score
