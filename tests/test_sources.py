@@ -60,12 +60,6 @@ def test_writes_replace_only_their_own(spark, tmp_path):
     files.write_pairs(pairs("d1", "new"), out)
     got = {(r["dataset_id"], r["question"]) for r in files.read_pairs(spark, out).collect()}
     assert got == {("d1", "new"), ("d2", "two")}
-    index = str(tmp_path / "index")
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "kb_id string, child_id long")
-    files.write_index(rows, index)
-    files.append_index(rows.where("kb_id = 'b'"), index)
-    assert spark.read.parquet(index).groupBy("kb_id").count().orderBy("kb_id").collect()[1]["count"] == 2
-    assert "PartitionFilters: [isnotnull(kb_id" in spark.read.parquet(index).where("kb_id = 'a'")._jdf.queryExecution().toString()
     (tmp_path / "blob.bin").write_bytes(b"\x01\x02")
     assert bytes(files.load_blob(spark, str(tmp_path), "blob.bin").head()["content"]) == b"\x01\x02"
 

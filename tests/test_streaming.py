@@ -1,11 +1,16 @@
 import glob
 import os
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tidemark.bindings import chat as given
-from tidemark.operators import chat, chunking, index
+from tidemark.operators import chat, chunking
+from tidemark.plans.corpus import build_corpus
+from tidemark.plans.retrieval import retrieve
+from tidemark.sources import files
+from tidemark.sources.store import Index
 from tidemark.streaming import events as live
 from tidemark.streaming import live as streams
 
@@ -124,22 +129,51 @@ def test_live_hydration_equals_batch(spark, sf, tmp_path):
     assert {r[0] for r in known.select("type").distinct().collect()} == set(live.KNOWN)
 
 
-def test_uploads_are_indexed_once(spark, tmp_path):
-    uploads = tmp_path / "up"
-    uploads.mkdir()
-    (uploads / "a.txt").write_text("coins and medals")
+def build(pages):
+    return build_corpus(chunking.join_pages(pages))
+
+
+def searched(spark, corpus, *texts):
+    asked = spark.createDataFrame([(i, "kb", t) for i, t in enumerate(texts)], "query_id long, kb_id string, text string")
+    hits = retrieve(asked, corpus).orderBy("query_id", "rank")
+    return [(r["query_id"], r["rank"], r["source"], r["content"], round(r["score"], 9)) for r in hits.collect()]
 
-    def build(pages):
-        parents = chunking.chunk_recursive(chunking.join_pages(pages))
-        children = chunking.chunk_children(parents)
-        return {"parents": parents, "terms": index.child_terms(children)}
+
+def test_uploads_equal_a_rebuild(spark, tmp_path):
+    """Files come, come again and come changed; the stored index answers as one built from what is there."""
+    uploads, index = tmp_path / "up", Index(spark, str(tmp_path / "index"))
+    uploads.mkdir()
 
     def run():
-        pages = streams.uploaded_pages(spark, str(uploads), "kb")
-        streams.index_uploads(pages, build, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-        return sorted(r["source"] for r in spark.read.parquet(str(tmp_path / "out" / "parents")).collect())
-
-    assert run() == ["a.txt"]
-    (uploads / "b.txt").write_text("more coins")
-    assert run() == ["a.txt", "b.txt"]
-    assert run() == ["a.txt", "b.txt"]
+        pages = streams.uploaded_pages(spark, str(uploads), "kb", per_trigger=1)
+        streams.index_uploads(pages, build, index, "uploads", str(tmp_path / "cp")).awaitTermination(240)
+        return index.open()
+
+    def rebuilt():
+        return build(files.read_text_files(spark, str(uploads), "kb"))
+
+    questions = ("coins and medals", "silver", "pelicans", "old coins")
+    for n, (name, text) in enumerate([("a.txt", "coins and medals of old"), ("b.txt", "old coins " * 200), ("c.txt", "pelicans with silver coins")]):
+        (uploads / name).write_text(text)
+    first = run()
+    assert searched(spark, first, *questions) == searched(spark, rebuilt(), *questions) and len(index.versions()) == 3
+    assert searched(spark, run(), *questions) == searched(spark, rebuilt(), *questions) and len(index.versions()) == 3
+    (uploads / "a.txt").write_text("silver medals only")
+    os.utime(uploads / "a.txt", (time.time() + 5, time.time() + 5))
+    (uploads / "d.txt").write_text("medals")
+    # a file source looks at a path once, so the changed file comes with a stream of its own
+    pages = files.read_text_files(spark, str(uploads / "a.txt"), "kb")
+    index.put(build(pages), pages, ("edits", 0))
+    assert searched(spark, run(), *questions) == searched(spark, rebuilt(), *questions)
+    idf = lambda corpus: {(r["term"], r["df"], r["n_children"], round(r["idf"], 9)) for r in corpus.idf.collect()}
+    assert idf(index.open()) == idf(rebuilt())
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "index"))
+    pages = spark.createDataFrame([("kb", "f", "f.txt", 0, "coins coins")], "kb_id string, doc_id string, source string, page_index int, markdown string")
+    for batch in (0, 0, 1, 0):
+        index.put(build(pages), pages, ("w", batch))
+    assert len(index.versions()) == 2
+    corpus = index.open()
+    assert [(r["df"], r["n_children"]) for r in corpus.idf.collect()] == [(1, 1)] and corpus.children.count() == 1

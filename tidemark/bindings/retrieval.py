@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +15,10 @@ from tidemark.bindings.tables import (
 from tidemark.config import SearchConfig
 from tidemark.functions import text as X
 from tidemark.operators import chunking, index, nearest, search
+from tidemark.plans.corpus import build_corpus
 from tidemark.plans.retrieval import retrieve
-from tidemark.plans.skew import materialize, spread
+from tidemark.plans.skew import materialize, spread, written_folder
+from tidemark.sources.store import Index
 
 Q, O = {}, {}
 
@@ -339,6 +344,43 @@ def delete_node_rows(spark, sf):
     return index.delete_nodes(points, deleted).select("child_id", "node_id")
 
 
+def _store(spark) -> Index:
+    return Index(spark, os.path.join(written_folder(spark), f"index-{uuid.uuid4().hex}"))
+
+
+def _bm25(spark, sf, tables):
+    found = search.sparse_search(queries(spark, sf), tables.terms, tables.idf, 10)
+    return found.select("query_id", F.col("rank").cast("long"), "child_id", "parent_id", score())
+
+
+_BM25_SQL = f"{sql.BASE}, {sql.sparse('queries')} SELECT query_id, rank, child_id, parent_id, round(score, 6) AS score FROM ({sql.ranked('sparse', 10)})"
+
+
+@query("index_roundtrip", _BM25_SQL)
+def index_roundtrip(spark, sf):
+    """All documents into a stored index, and a search in what is read back."""
+    stored = _store(spark)
+    stored.put(corpus(spark, sf))
+    return _bm25(spark, sf, stored.open())
+
+
+# files with a label of low quality come again with another text, files with toxic ones go
+_REVISED = """revised AS (SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 'revised ' || d.text ELSE d.text END AS text
+  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS DISTINCT FROM 1)"""
+
+
+@query("reindex_file", _BM25_SQL.replace("FROM documents", "FROM revised").replace("WITH ", f"WITH {_REVISED}, ", 1))
+def reindex_file(spark, sf):
+    """The same search after some files were indexed again and some removed, one commit each."""
+    stored, labels = _store(spark), load(spark, sf, "labels")
+    stored.put(corpus(spark, sf))
+    low = documents(spark, sf).join(labels.where("quality = 0"), "doc_id", "left_semi")
+    again = low.withColumn("text", F.concat(F.lit("revised "), "text"))
+    stored.put(build_corpus(again, FIXED_CONFIG, {HASHED: embed_hashed}), again)
+    stored.delete(documents(spark, sf).join(labels.where("toxic = 1"), "doc_id", "left_semi"))
+    return _bm25(spark, sf, stored.open())
+
+
 @query("layout_changed", """SELECT o_orderkey AS kb_id, ch AS changed, NOT ch AND rb <> 'late-interaction' AND ra = 'late-interaction' AS missing_token_vectors
 FROM (SELECT o_orderkey, rb, ra, list_sort(list_distinct(b)) <> list_sort(list_distinct(a)) AS ch FROM (
   SELECT o_orderkey, ['bm25', o_orderpriority, 'bm25'] AS b,
@@ -371,11 +413,9 @@ _SPARSE = f"{sql.BASE}, {sql.sparse('queries')}"
 _BOTH = f"{_SPARSE}, {sql.dense('queries')}"
 
 
-@query("bm25_search", f"{_SPARSE} SELECT query_id, rank, child_id, parent_id, round(score, 6) AS score FROM ({sql.ranked('sparse', 10)})")
+@query("bm25_search", _BM25_SQL)
 def bm25_search(spark, sf):
-    tables = corpus(spark, sf)
-    found = search.sparse_search(queries(spark, sf), tables.terms, tables.idf, 10)
-    return found.select("query_id", F.col("rank").cast("long"), "child_id", "parent_id", score())
+    return _bm25(spark, sf, corpus(spark, sf))
 
 
 _VECTORS_SQL = f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS child_id,

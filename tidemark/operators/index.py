@@ -60,6 +60,11 @@ def postings(indexed: DataFrame) -> DataFrame:
     return indexed.select("kb_id", "doc_id", "parent_id", "child_id", "doc_len", F.inline(rows))
 
 
+def rarity(children: Column, holding: Column) -> Column:
+    """Inverse document frequency of a term that `holding` of a base's `children` hold."""
+    return F.log(1 + (children - holding + 0.5) / (holding + 0.5))
+
+
 def term_idf(indexed: DataFrame) -> DataFrame:
     """Per base and term: children holding it and its inverse document frequency.
 
@@ -72,8 +77,8 @@ def term_idf(indexed: DataFrame) -> DataFrame:
         .groupBy("kb_id", "term")
         .agg(F.count("*").alias("df"))
     )
-    rarity = F.log(1 + (F.col("n_children") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return held.join(sizes, "kb_id").select("kb_id", "term", "df", "n_children", rarity.alias("idf"))
+    found = held.join(sizes, "kb_id")
+    return found.select("kb_id", "term", "df", "n_children", rarity(F.col("n_children"), F.col("df")).alias("idf"))
 
 
 def multivec_rows(token_vectors: DataFrame) -> DataFrame:

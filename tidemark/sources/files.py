@@ -1,4 +1,4 @@
-"""Files in and out: archives, blobs, pages, JSON, index tables and result documents."""
+"""Files in and out: archives, blobs, pages, JSON and result documents."""
 
 from __future__ import annotations
 
@@ -126,15 +126,6 @@ def write_results(results: DataFrame, path: str) -> None:
     _replace(results, path, "json", "run_id")
 
 
-def write_index(rows: DataFrame, path: str) -> None:
-    """Index rows as Parquet, a folder per base, so a search reads its own base only."""
-    _replace(rows, path, "parquet", "kb_id")
-
-
-def append_index(rows: DataFrame, path: str) -> None:
-    rows.hint("rebalance", "kb_id").write.mode("append").partitionBy("kb_id").parquet(path)
-
-
 def _replace(df: DataFrame, path: str, kind: str, by: str) -> None:
     """Rebalancing gives small folders one file and splits a folder that holds most rows."""
     (

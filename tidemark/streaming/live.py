@@ -15,7 +15,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.chat import attention_score
+from tidemark.plans.corpus import Corpus
+from tidemark.plans.skew import materialize
 from tidemark.sources.files import as_pages
+from tidemark.sources.store import Index
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -180,16 +183,20 @@ def uploaded_pages(spark: SparkSession, path: str, kb_id: str, per_trigger: int
 
 
 def index_uploads(
-    pages: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]], out: str, checkpoint: str
+    pages: DataFrame, build: Callable[[DataFrame], Corpus], index: Index, writer: str, checkpoint: str
 ) -> StreamingQuery:
-    """Chunk and index each trigger's files. `build` maps pages to tables, written under
-    `out/<table>/batch=<id>`; a trigger that runs twice overwrites its own folder."""
+    """Chunk and index each trigger's files into a stored index, in place of what it holds of them.
 
-    def index(batch: DataFrame, batch_id: int) -> None:
-        for name, table in build(batch).items():
-            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+    `build` maps pages to index tables, for example join_pages and build_corpus. Term statistics
+    change by the files of the trigger alone. A trigger that runs twice counts once, by `writer`
+    and its batch number; `writer` must be the same whenever the stream is started again.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        held = materialize(batch, "uploads")
+        index.put(build(held), held.select("kb_id", "doc_id"), (writer, batch_id))
 
     return (
         pages.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(index).start()
+        .trigger(availableNow=True).foreachBatch(store).start()
     )
