@@ -85,15 +85,36 @@ def test_session_state(spark):
     assert got == {1: ("active", None), 2: ("disconnected", at(5)), 3: ("disconnected", at(5))}
 
 
-def test_scans_carry_over_blocks(spark):
-    rows = [("hot", i, i // 7, (i * 37) % 11) for i in range(200)] + [("cold", 5, 0, 4)]
-    df = spark.createDataFrame(rows, "k string, i long, block long, v long")
-    hot = [r for r in rows if r[0] == "hot"]
-    read = lambda d, c: [r[c] for r in d.where("k = 'hot'").orderBy("i").collect()]
-    values = [r[3] for r in hot]
-    assert read(skew.previous_value(df, ["k"], "block", ["i"], "v", "o"), "o") == [None, *values[:-1]]
-    assert read(skew.running_total(df, ["k"], "block", ["i"], "v", "o"), "o") == [sum(values[:i + 1]) for i in range(200)]
-    assert read(skew.running_max_before(df, ["k"], "block", ["i"], "v", "o"), "o") == [None] + [max(values[:i]) for i in range(1, 200)]
+@pytest.fixture
+def one_second(spark):
+    """A key with nearly all rows, all of one second, a null key as long, and short ones."""
+    rows = [(k, T0, i, (i * 37) % 11 if i % 5 else None) for k in ("hot", None) for i in range(4000)]
+    rows += [(f"k{i % 7}", T0 + timedelta(seconds=i % 3), i, i % 4) for i in range(60)]
+    return spark.createDataFrame(rows, "k string, ts timestamp, i long, v long").repartition(8)
+
+
+def test_scans_carry_over_blocks(one_second, monkeypatch):
+    def scans():
+        ordered = skew.Ordered(one_second, ["k"], ["ts", "i"]).previous("v", "before").total("v", "sum").max_before("v", "most")
+        return ordered, sorted(map(str, ordered.done().collect()))
+
+    plain, expected = scans()
+    assert not plain.cut and len(expected) == one_second.count()
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 100)
+    cut, got = scans()
+    assert cut.cut and got == expected
+    monkeypatch.setattr(skew, "MOST_BLOCKS", 7)
+    assert scans()[1] == expected
+
+
+def test_a_key_of_one_second_is_cut_evenly(one_second, monkeypatch):
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 200)
+    rows = skew.Ordered(one_second, ["k"], ["ts", "i"]).rows
+    for key in ("hot", None):
+        sizes = sorted(r["count"] for r in rows.where(F.col("k").eqNullSafe(key)).groupBy("_block").count().collect())
+        assert len(sizes) >= 12 and sizes[-1] <= 2.5 * sizes[len(sizes) // 2]
+    assert rows.where("_block IS NULL").count() == 60
+
 
 
 def test_histogram_is_cumulative(spark):

@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.skew import (
-    previous_value, running_max_before, top_k,
-)
+from tidemark.plans.skew import Ordered, top_k
 
 # Weights of the attention score, its smoothing, bands, and the idle limit.
 DOWN_WEIGHT = 100
@@ -152,14 +150,12 @@ def session_state(events: DataFrame, idle_minutes: int = IDLE_MINUTES) -> DataFr
 
     kind is connect or disconnect. Disconnecting twice keeps the first time. Connecting again
     works only within the idle limit; after one failed attempt the session stays disconnected,
-    because its time of leaving only gets older. Long histories are scanned day by day.
+    because its time of leaving only gets older.
     """
-    days = events.withColumn("_day", F.date_trunc("day", "ts"))
     order = ["ts", "event_id"]
-    known = previous_value(days, ["session_id"], "_day", order, "kind", "_before")
+    known = Ordered(events, ["session_id"], order).previous("kind", "_before")
     left = (F.col("kind") == "disconnect") & ~F.col("_before").eqNullSafe("disconnect")
-    known = known.withColumn("_left", F.when(left, F.col("ts")))
-    known = running_max_before(known, ["session_id"], "_day", order, "_left", "_gone_since")
+    known = known.column("_left", F.when(left, F.col("ts"))).max_before("_left", "_gone_since").done()
     back = (F.col("kind") == "connect") & (F.col("_before") == "disconnect")
     failed = back & ~(F.col("_gone_since") > F.col("ts") - _minutes(idle_minutes))
     moment = F.struct(*order)
@@ -203,8 +199,7 @@ def net_votes(votes: DataFrame) -> DataFrame:
 
 def vote_deltas(votes: DataFrame) -> DataFrame:
     """What each vote changes: a switch moves one count to the other, a repeat changes nothing."""
-    days = votes.withColumn("_day", F.date_trunc("day", "ts"))
-    known = previous_value(days, ["session_id", "message_id"], "_day", ["ts", "vote_id"], "value", "_old")
+    known = Ordered(votes, ["session_id", "message_id"], ["ts", "vote_id"]).previous("value", "_old").done()
 
     def change(value: str) -> Column:
         return F.col("value").eqNullSafe(value).cast("int") - F.col("_old").eqNullSafe(value).cast("int")

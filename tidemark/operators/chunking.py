@@ -18,7 +18,7 @@ from tidemark.config import CHILD_OVERLAP, CHILD_SIZE, MIN_PARENT_SIZE, PARENT_S
 from tidemark.functions.splitting import SENTENCE_BREAKS, TAG_BREAKS, TEXT_BREAKS, split_spans
 from tidemark.functions.text import let, strip
 from tidemark.functions.vectors import dot, norm
-from tidemark.plans.skew import running_total
+from tidemark.plans.skew import Ordered
 
 PAGE_JOIN = "\n\n"
 ID_LENGTH = 21
@@ -49,9 +49,8 @@ def page_spans(pages: DataFrame) -> DataFrame:
         "page_index",
         F.length("markdown").alias("_length"),
         (F.length("markdown") + len(PAGE_JOIN)).cast("long").alias("_step"),
-        (F.col("page_index") / SCAN_BLOCK).cast("long").alias("_stretch"),
     )
-    total = running_total(sized, ["kb_id", "doc_id"], "_stretch", ["page_index"], "_step", "_through")
+    total = Ordered(sized, ["kb_id", "doc_id"], ["page_index"]).total("_step", "_through").done()
     start = F.col("_through") - F.col("_step")
     return total.select(
         "kb_id", "doc_id", "page_index", start.alias("start"), (start + F.col("_length")).alias("end")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import CATEGORIES, METRICS
 from tidemark.functions.text import kept_positions, let, normalize_for_match, split_sentences
-from tidemark.plans.skew import running_max_before, running_total
+from tidemark.plans.skew import Ordered
 
 UNTAGGED = "untagged"
 FOUND = "array<struct<gold:int,start:int,end:int>>"
@@ -197,7 +197,7 @@ def best_prior_scores(runs: DataFrame, metrics: Sequence[str] = METRICS) -> Data
     """For every run and metric the best score of successful runs made strictly earlier.
 
     Runs made at the same moment are folded into one row first, so equal times never count as
-    earlier; a dataset's history is scanned day by day.
+    earlier.
     """
     moments = runs.select(
         "dataset_id",
@@ -207,10 +207,8 @@ def best_prior_scores(runs: DataFrame, metrics: Sequence[str] = METRICS) -> Data
     ).groupBy("dataset_id", "metric", "created_at").agg(
         F.max(F.col("_scores")[F.col("metric")]).alias("_score")
     )
-    days = moments.withColumn("_day", F.date_trunc("day", "created_at"))
-    best = running_max_before(
-        days, ["dataset_id", "metric"], "_day", ["created_at"], "_score", "best"
-    ).where("best IS NOT NULL").select("dataset_id", "created_at", "metric", "best")
+    scanned = Ordered(moments, ["dataset_id", "metric"], ["created_at"]).max_before("_score", "best").done()
+    best = scanned.where("best IS NOT NULL").select("dataset_id", "created_at", "metric", "best")
     return runs.select("run_id", "dataset_id", "created_at").join(best, ["dataset_id", "created_at"])
 
 
@@ -234,12 +232,10 @@ def score_delta(runs: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
 
 def run_numbers(runs: DataFrame) -> DataFrame:
     """Runs named `<dataset>#<n>` in the order they were made."""
-    counted = runs.withColumn("_one", F.lit(1)).withColumn("_day", F.date_trunc("day", "created_at"))
-    numbered = running_total(
-        counted, ["dataset_id"], "_day", ["created_at", "run_id"], "_one", "run_number"
-    )
+    counted = runs.withColumn("_one", F.lit(1))
+    numbered = Ordered(counted, ["dataset_id"], ["created_at", "run_id"]).total("_one", "run_number").done()
     name = F.concat("dataset_name", F.lit(" #"), "run_number")
-    return numbered.withColumn("name", name).drop("_one", "_day")
+    return numbered.withColumn("name", name).drop("_one")
 
 
 def reset_runs(runs: DataFrame, again: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip
-from tidemark.plans.skew import previous_value, running_total
+from tidemark.plans.skew import Ordered
 
 # Upper bounds of the histograms, in seconds.
 SEARCH_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 20, 30)
@@ -40,7 +40,7 @@ def histogram(events: DataFrame, labels: Sequence[str], value: str, bounds: Sequ
 def inflight(spans: DataFrame, labels: Sequence[str]) -> DataFrame:
     """spans(span_id, started_at, ended_at, labels): how many run at once after every change.
 
-    An end at the same moment as a start comes first. Time is scanned hour by hour.
+    An end at the same moment as a start comes first.
     """
     def change(column: str, step: int) -> DataFrame:
         return spans.where(F.col(column).isNotNull()).select(
@@ -48,8 +48,7 @@ def inflight(spans: DataFrame, labels: Sequence[str]) -> DataFrame:
         )
 
     changes = change("started_at", 1).unionByName(change("ended_at", -1))
-    hourly = changes.withColumn("_hour", F.date_trunc("hour", "ts"))
-    return running_total(hourly, labels, "_hour", ["ts", "step", "span_id"], "step", "running").drop("_hour")
+    return Ordered(changes, labels, ["ts", "step", "span_id"]).total("step", "running").done()
 
 
 def inflight_peak(spans: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -79,8 +78,7 @@ def tool_outcomes(results: DataFrame) -> DataFrame:
 
 def handoff_traffic(frames: DataFrame) -> DataFrame:
     """frames(run_id, ts, frame_id, agent): how often a run moved from one agent to another."""
-    days = frames.withColumn("_day", F.date_trunc("day", "ts"))
-    known = previous_value(days, ["run_id"], "_day", ["ts", "frame_id"], "agent", "from_agent")
+    known = Ordered(frames, ["run_id"], ["ts", "frame_id"]).previous("agent", "from_agent").done()
     moved = known.where(F.col("from_agent") != F.col("agent"))
     return moved.groupBy("from_agent", F.col("agent").alias("to_agent")).agg(F.count("*").alias("handoffs"))
 
@@ -106,9 +104,8 @@ def transfer_alone(calls: Column, is_transfer) -> Column:
 def visible_transcript(frames: DataFrame) -> DataFrame:
     """The message frames a user sees, numbered in order within the run.
 
-    One row per message; a run is never gathered into one value, and long runs are counted
-    through day by day.
+    One row per message; a run is never gathered into one value.
     """
     said = frames.where((F.col("type") == "message") & (F.length(strip(F.col("content"))) > 0))
-    days = said.withColumn("_one", F.lit(1)).withColumn("_day", F.date_trunc("day", "ts"))
-    return running_total(days, ["run_id"], "_day", ["ts", "frame_id"], "_one", "place").drop("_one", "_day")
+    said = said.withColumn("_one", F.lit(1))
+    return Ordered(said, ["run_id"], ["ts", "frame_id"]).total("_one", "place").done().drop("_one")

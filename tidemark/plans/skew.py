@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
+BLOCK_ROWS = 200_000  # rows of a key that one task may scan
+MOST_BLOCKS = 1024  # of one key; beyond, blocks grow
+DRAWN = 32  # rows of the sample in a block
+STRIDE = 32
 
 
 # --- written tables -------------------------------------------------------------------------
@@ -89,64 +93,94 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, rank:
 
 
 # --- ordered scans over long groups ---------------------------------------------------------
-#
-# A window over one hot key would put the whole key into one task. These cut each key into
-# blocks of its order (an hour, a range of positions), scan the blocks in parallel, and carry
-# one small summary per block from block to block.
-
-
-def _carry(df: DataFrame, keys: Sequence[str], block: str, summary: Column, over: Column) -> DataFrame:
-    """Per key and block, `over` of the block summaries, as column `_carried`."""
-    blocks = df.groupBy(*keys, block).agg(summary.alias("_block"))
-    return blocks.withColumn("_carried", over).drop("_block")
-
-
-def _blocks_before(keys: Sequence[str], block: str):
-    return Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def running_total(
-    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], value: str, out: str
-) -> DataFrame:
-    """Sum of `value` up to and including each row, per key, in `order`."""
-    inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum("_block").over(_blocks_before(keys, block))
-    carried = _carry(df, keys, block, F.sum(value), before)
-    scanned = df.withColumn("_inner", F.sum(value).over(inner))
-    return (
-        scanned.join(carried, [*keys, block], "left")
-        .withColumn(out, F.col("_inner") + F.coalesce(F.col("_carried"), F.lit(0)))
-        .drop("_inner", "_carried")
-    )
-
-
-def running_max_before(
-    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], value: str, out: str
-) -> DataFrame:
-    """Largest `value` among the rows strictly before each row; `order` must be unique per key."""
-    inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = _carry(df, keys, block, F.max(value), F.max("_block").over(_blocks_before(keys, block)))
-    scanned = df.withColumn("_inner", F.max(value).over(inner))
-    return (
-        scanned.join(carried, [*keys, block], "left")
-        .withColumn(out, F.greatest("_inner", "_carried"))
-        .drop("_inner", "_carried")
-    )
-
-
-def previous_value(
-    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], value: str, out: str
-) -> DataFrame:
-    """`value` of the row just before each row, NULL for the first row of a key."""
-    held = F.struct(F.col(value).alias("v"))
-    inner = Window.partitionBy(*keys, block).orderBy(*order)
-    between = Window.partitionBy(*keys).orderBy(block)
-    carried = _carry(
-        df, keys, block, F.max_by(held, F.struct(*order)), F.lag("_block").over(between)
-    )
-    scanned = df.withColumn("_inner", F.lag(held).over(inner))
-    return (
-        scanned.join(carried, [*keys, block], "left")
-        .withColumn(out, F.coalesce("_inner", "_carried")["v"])
-        .drop("_inner", "_carried")
-    )
+
+
+class Ordered:
+    """Rows in a unique ascending `order` within `keys`, for scans along it; nulls come first.
+
+    A plain window puts a key's rows into one task. Here keys are counted first. Keys of more than
+    BLOCK_ROWS rows are cut into blocks of about so many consecutive rows, at bounds taken from a
+    sample of their order; a scan then runs within blocks, all over the cluster, and carries one
+    summary per block along the blocks of its key. Rows are shuffled once, by key and block. Where
+    no key is long, as usual, scans are plain windows.
+    """
+
+    def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str]):
+        self.keys, self.order = list(keys), list(order)
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK_ROWS)
+        self.cut = bool(sizes.head(1))
+        self.rows = self._blocked(rows, materialize(sizes, "long_keys")) if self.cut else rows
+
+    def _blocked(self, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Adds `_block`, ascending along the order of a long key and null for other keys."""
+        moment = F.struct(*self.order)
+        rate = F.floor(F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col("_n") / MOST_BLOCKS)) / DRAWN)
+        long = sizes.select(*[F.col(k).alias(f"_of_{k}") for k in self.keys], F.greatest(rate, F.lit(1)).alias("_rate"))
+        drawn = rows.select(*self.keys, *[c for c in self.order if c not in self.keys]).join(long, self._same("_of_"))
+        drawn = drawn.where(F.pmod(F.xxhash64(*self.order), "_rate") == 0).groupBy(*self.keys)
+        sample = drawn.agg(F.array_sort(F.collect_list(moment)).alias("_sample"))  # DRAWN * MOST_BLOCKS values, or so
+        bounds = F.filter("_sample", lambda _, i: i % DRAWN == DRAWN - 1)
+        bounds = materialize(sample.select(*[F.col(k).alias(f"_of_{k}") for k in self.keys], bounds.alias("_bounds")), "bounds")
+        # blocks before a row's: whole strides first, then one by one
+        strides = F.size(F.filter("_bounds", lambda b, i: (i % STRIDE == STRIDE - 1) & (b <= moment)))
+        rest = F.size(F.filter(F.slice("_bounds", strides * STRIDE + 1, F.lit(STRIDE)), lambda b: b <= moment))
+        block = F.when(F.col("_bounds").isNotNull(), strides * STRIDE + rest)
+        return rows.join(bounds, self._same("_of_"), "left").select(*rows.columns, block.alias("_block"))
+
+    def _same(self, prefix: str) -> Column:
+        on = F.lit(True)
+        for key in self.keys:
+            on = on & F.col(key).eqNullSafe(F.col(f"{prefix}{key}"))
+        return on
+
+    def _window(self):
+        return Window.partitionBy(*self.keys, *(["_block"] if self.cut else [])).orderBy(*self.order)
+
+    def _with(self, rows: DataFrame) -> Ordered:
+        following = object.__new__(Ordered)
+        following.keys, following.order, following.cut, following.rows = self.keys, self.order, self.cut, rows
+        return following
+
+    def _carried(self, summary: Column, over: Callable[[WindowSpec], Column]) -> DataFrame:
+        """The rows with `_carried`: `over` of the summaries of the blocks of a long key."""
+        blocks = self.rows.where("_block IS NOT NULL").groupBy(*self.keys, "_block").agg(summary.alias("_summary"))
+        names = [F.col(c).alias(f"_at_{c}") for c in (*self.keys, "_block")]
+        blocks = blocks.select(*names, over(Window.partitionBy(*self.keys).orderBy("_block")).alias("_carried"))
+        return self.rows.join(blocks, self._same("_at_") & F.col("_block").eqNullSafe(F.col("_at__block")), "left").drop(
+            *[f"_at_{c}" for c in (*self.keys, "_block")]
+        )
+
+    def column(self, name: str, value: Column) -> Ordered:
+        return self._with(self.rows.withColumn(name, value))
+
+    def total(self, value: str, out: str) -> Ordered:
+        """Sum of `value` up to and including each row."""
+        inner = F.sum(value).over(self._window().rowsBetween(Window.unboundedPreceding, 0))
+        if not self.cut:
+            return self.column(out, inner)
+        before = lambda w: F.sum("_summary").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        rows = self._carried(F.sum(value), before)
+        summed = F.coalesce(inner + F.coalesce("_carried", F.lit(0)), "_carried")
+        return self._with(rows.withColumn(out, summed).drop("_carried"))
+
+    def max_before(self, value: str, out: str) -> Ordered:
+        """Largest `value` among the rows strictly before each row."""
+        inner = F.max(value).over(self._window().rowsBetween(Window.unboundedPreceding, -1))
+        if not self.cut:
+            return self.column(out, inner)
+        before = lambda w: F.max("_summary").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        rows = self._carried(F.max(value), before)
+        return self._with(rows.withColumn(out, F.greatest(inner, "_carried")).drop("_carried"))
+
+    def previous(self, value: str, out: str) -> Ordered:
+        """`value` of the row just before each row, NULL for the first row of a key."""
+        if not self.cut:
+            return self.column(out, F.lag(value).over(self._window()))
+        held = F.struct(F.col(value).alias("v"))
+        last = F.max_by(held, F.struct(*self.order))
+        rows = self._carried(last, lambda w: F.lag("_summary").over(w))
+        inner = F.lag(held).over(self._window())
+        return self._with(rows.withColumn(out, F.coalesce(inner, "_carried")["v"]).drop("_carried"))
+
+    def done(self) -> DataFrame:
+        return self.rows.drop("_block")

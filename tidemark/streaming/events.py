@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.skew import previous_value, running_total
+from tidemark.plans.skew import Ordered
 
 ENVELOPE = "topic string, event struct<type:string, session_id:string, data:string>"
 # The kinds of events a reader knows.
@@ -47,16 +47,13 @@ def hydrate(parsed: DataFrame, messages: DataFrame) -> DataFrame:
 def session_windows(events: DataFrame, key: str, ts: str, event_id: str, gap_minutes: int) -> DataFrame:
     """Batch twin of a session window: runs of events at most `gap_minutes` apart.
 
-    Unlike a grouped session window it does not sort a whole key in one task: neighbours and
-    numbers are carried from day to day.
+    Unlike a grouped session window it does not sort a long key in one task: neighbours and
+    numbers are carried from block to block.
     """
-    days = events.select(key, ts, event_id).withColumn("_day", F.date_trunc("day", ts))
-    order = [ts, event_id]
-    known = previous_value(days, [key], "_day", order, ts, "_before")
+    known = Ordered(events.select(key, ts, event_id), [key], [ts, event_id]).previous(ts, "_before")
     gap = F.make_dt_interval(mins=F.lit(gap_minutes))
     opens = F.col("_before").isNull() | (F.col(ts) >= F.col("_before") + gap)
-    marked = known.withColumn("_opens", opens.cast("int"))
-    numbered = running_total(marked, [key], "_day", order, "_opens", "session_number")
+    numbered = known.column("_opens", opens.cast("int")).total("_opens", "session_number").done()
     return numbered.groupBy(key, "session_number").agg(
         F.min(ts).alias("first_at"), (F.max(ts) + gap).alias("ends_at"), F.count("*").alias("events")
     )
