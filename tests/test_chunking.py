@@ -1,8 +1,12 @@
+import time
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark.functions import splitting
 from tidemark.functions.splitting import TAG_BREAKS, TEXT_BREAKS, split_spans
 from tidemark.operators import chunking
 
@@ -146,3 +150,36 @@ def test_many_children_keep_their_order(spark):
     rows = spark.createDataFrame(pieces, "kb_id int, doc_id string, parent int, child int, content string")
     text = chunking.reassemble(rows.selectExpr("kb_id", "doc_id", "struct(parent, child) AS seq", "content")).first().text
     assert text == "\n\n".join(p[-1] for p in pieces)
+
+
+def test_joining_takes_time_in_proportion(spark):
+    """20,000 overlapping chunks of one document; overlaps by a plain search on a part of them."""
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("ab é\n"), 300_000))
+    cuts = list(range(0, 300_000, 15))
+    chunks = [text[c : c + 40] for c in cuts]
+
+    def seconds(n):
+        start = time.perf_counter()
+        whole, spans = splitting.joined(chunks[:n])
+        return time.perf_counter() - start, whole, spans
+
+    seconds(1000)
+    (short, *_), (long, whole, spans) = seconds(5000), seconds(20_000)
+    assert long < 8 * short + 0.5
+    assert [spans[i][1] == spans[i + 1][0] for i in range(len(spans) - 1)] and whole[: len(text) // 2] == text[: len(text) // 2]
+    rows = spark.createDataFrame([("kb", "d", i, t) for i, t in enumerate(chunks)], "kb_id string, doc_id string, seq int, content string")
+    assert chunking.reassemble(rows).first().text == whole
+
+
+def test_overlaps_equal_a_plain_search():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        chunks = ["".join(rng.choice(list("ab"), rng.integers(0, 9))) for _ in range(rng.integers(1, 9))]
+        text, expected = "", []
+        for c in chunks:
+            shared = next((k for k in range(min(len(text), len(c)), 0, -1) if text.endswith(c[:k])), 0)
+            part = ("\n\n" if text and not shared else "") + c[shared:]
+            expected.append((len(text), len(text) + len(part)))
+            text += part
+        assert splitting.joined(chunks) == (text, expected)

@@ -4,9 +4,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.config import KbConfig
 from tidemark.functions import hooks
 from tidemark.plans import skew
+from tidemark.plans.corpus import build_corpus
 from tidemark.sources import files
+from tidemark.sources.store import Index
 
 
 def test_archives(spark, tmp_path):
@@ -131,3 +134,82 @@ def test_intermediate_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     assert skew.materialize(spark.range(3), "few").count() == 3 and folder.is_dir()
     skew.drop_written(spark)
     assert not folder.exists()
+
+
+@pytest.fixture
+def refusing():
+    def make():
+        def call(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("no " + "x" * 3000 if "long" in texts[0] else "")
+            return [[float(len(t))] for t in texts]
+        return call
+
+    return make
+
+
+def test_a_failed_text_fails_alone(spark, refusing):
+    texts = ["good", "bad", "long bad", *["fine"] * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = hooks.embedded(df, "text", refusing, error="error").orderBy("i").collect()
+    assert [r["embedding"] for r in got] == [None if "bad" in t else [float(len(t))] for t in texts]
+    assert got[1]["error"] == "ValueError" and got[2]["error"] == ("no " + "x" * 3000)[:2000] and got[0]["error"] is None
+
+
+def test_a_failed_writer_leaves_a_row(spark):
+    def make():
+        def write(row):
+            if row["n"] < 0:
+                raise RuntimeError("cannot")
+            return [{"file": row["file"], "slot": i + 1} for i in range(row["n"])]
+        return write
+
+    df = spark.createDataFrame([("f1", 2), ("f2", -1), ("f3", 1)], "file string, n int")
+    got = hooks.written(df, make, "file string, slot int", error="error", keys=["file"]).collect()
+    assert sorted(map(tuple, got), key=str) == [("f1", 1, None), ("f1", 2, None), ("f2", None, "cannot"), ("f3", 1, None)]
+
+
+def test_failed_files_are_listed_and_left_out(spark, tmp_path, refusing):
+    rows = [("kb", "a", "a", "good text"), ("kb", "b", "b", "x" * 1000 + " bad " + "y" * 1000), ("kb", "c", "c", "bad bad")]
+    docs = spark.createDataFrame(rows, "kb_id string, doc_id string, source string, text string")
+    embed = lambda df: hooks.embedded(df, next(c for c in ("context", "content") if c in df.columns), refusing, error="error")
+    for base in (
+        KbConfig(indexes=("bm25", "m")),
+        KbConfig(indexes=("bm25", "m"), chunking_method="semantic", chunking_model_id="m"),
+    ):
+        built = build_corpus(docs, base, {"m": embed})
+        assert sorted((r["doc_id"], r["stage"], r["error"]) for r in built.failed.collect()) == [("b", "m", "ValueError"), ("c", "m", "ValueError")]
+        for table in (built.parents, built.children, built.terms):
+            assert {r["doc_id"] for r in table.collect()} == {"a"}
+        assert built.dense["m"].count() == 1 and {r["n_children"] for r in built.idf.collect()} == {1}
+    stored = Index(spark, str(tmp_path / "index"))
+    stored.put(built, docs)
+    assert {r["doc_id"] for r in stored.open().failed.collect()} == {"b", "c"}
+    good = docs.where("doc_id = 'c'").withColumn("text", F.lit("fine now"))
+    stored.put(build_corpus(good, base, {"m": embed}), good)
+    assert {r["doc_id"] for r in stored.open().failed.collect()} == {"b"} and stored.open().parents.count() == 2
+
+
+def test_broken_archives_do_not_stop_a_scan(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
+        z.writestr("a.txt", "text a")
+        z.writestr("b.txt", "text b" * 50)
+    data = bytearray((tmp_path / "good.zip").read_bytes())
+    data[data.index(b"text b") + 3] ^= 255  # the checksum of one entry no longer fits
+    (tmp_path / "part.zip").write_bytes(bytes(data))
+    (tmp_path / "none.zip").write_bytes(b"no archive")
+    read = {(r["archive"].rsplit("/", 1)[1], r["name"]) for r in files.read_archives(spark, str(tmp_path)).collect()}
+    assert read == {("good.zip", "a.txt"), ("good.zip", "b.txt"), ("part.zip", "a.txt")}
+    broken = {(r["archive"].rsplit("/", 1)[1], r["name"]): r["error"] for r in files.broken_entries(spark, str(tmp_path)).collect()}
+    assert set(broken) == {("part.zip", "b.txt"), ("none.zip", None)} and all(broken.values())
+
+
+def test_blobs_by_key(spark, tmp_path):
+    root = str(tmp_path / "blobs")
+    blobs = spark.createDataFrame([("kb1/f1", bytearray(b"one")), ("kb1/f2", bytearray(b"\x00\xff")), ("datasets/d/source.zip", bytearray(b"zip"))], "key string, content binary")
+    assert files.save_blobs(blobs, root) == 3
+    assert files.save_blobs(spark.createDataFrame([("kb1/f1", bytearray(b"new"))], "key string, content binary"), root) == 1
+    load = lambda key: bytes(files.load_blob(spark, root, key).head()["content"])
+    assert (load("kb1/f1"), load("kb1/f2"), load("datasets/d/source.zip")) == (b"new", b"\x00\xff", b"zip")
+    assert files.delete_blobs(spark, root, "kb1/f1") and not files.delete_blobs(spark, root, "kb1/f1")
+    assert files.delete_blobs(spark, root, "kb1") and load("datasets/d/source.zip") == b"zip"

@@ -12,7 +12,8 @@ from tidemark.bindings import sql
 from tidemark.bindings.tables import (
     BASE, FIXED_CONFIG, HASHED, corpus, documents, embed_hashed, html_parents, load, pages, queries,
 )
-from tidemark.config import SearchConfig
+from tidemark.config import KbConfig, SearchConfig
+from tidemark.functions import hooks
 from tidemark.functions import text as X
 from tidemark.operators import chunking, index, nearest, search
 from tidemark.plans.corpus import build_corpus
@@ -381,6 +382,36 @@ def reindex_file(spark, sf):
     return _bm25(spark, sf, stored.open())
 
 
+def _refusing():
+    """A model that takes no text with an at sign."""
+
+    def call(texts: list[str]) -> list[list[float]]:
+        for text in texts:
+            if "@" in text:
+                raise ValueError(f"refused: {text}")
+        return [[float(len(t))] for t in texts]
+
+    return call
+
+
+@query("failed_rows", f"""WITH {sql.PARENTS}, {sql.CHILDREN},
+bad AS (SELECT c.doc_id, left('refused: ' || arg_min(c.content, (p.seq, c.seq)), 2000) AS error
+  FROM children c JOIN parents p USING (parent_id) WHERE contains(c.content, '@') GROUP BY c.doc_id),
+held AS (SELECT doc_id, count(*) AS chunks FROM children GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN b.error IS NULL THEN 'done' ELSE 'failed' END AS status, b.error,
+  CASE WHEN b.error IS NULL THEN coalesce(h.chunks, 0) ELSE 0 END AS chunks
+FROM documents d LEFT JOIN bad b USING (doc_id) LEFT JOIN held h USING (doc_id)""")
+def failed_rows(spark, sf):
+    """All documents indexed with a model that refuses some chunks: what became of each file."""
+    docs = documents(spark, sf)
+    embed = lambda df: hooks.embedded(df, "content", _refusing, error="error")
+    built = build_corpus(docs, KbConfig(chunking_method="fix-sized", indexes=("bm25", "m")), {"m": embed})
+    counts = built.dense["m"].join(built.children.select("child_id", "doc_id"), "child_id").groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    told = docs.select("doc_id").join(built.failed.select("doc_id", "error"), "doc_id", "left").join(counts, "doc_id", "left")
+    status = F.when(F.col("error").isNull(), "done").otherwise("failed")
+    return told.select("doc_id", status.alias("status"), "error", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+
+
 @query("layout_changed", """SELECT o_orderkey AS kb_id, ch AS changed, NOT ch AND rb <> 'late-interaction' AND ra = 'late-interaction' AS missing_token_vectors
 FROM (SELECT o_orderkey, rb, ra, list_sort(list_distinct(b)) <> list_sort(list_distinct(a)) AS ch FROM (
   SELECT o_orderkey, ['bm25', o_orderpriority, 'bm25'] AS b,

@@ -18,6 +18,8 @@ ATTEMPTS = 4
 LONGEST_WAIT = 30.0
 RETRY_STATUS = (429, 500, 502, 503, 504)
 
+ERROR_LENGTH = 2000
+
 Embed = Callable[[list[str]], list]
 Score = Callable[[str, list[str]], list[float]]
 
@@ -46,25 +48,51 @@ def with_retry(call: Callable, sleep: Callable[[float], None] = time.sleep) -> C
     return tried
 
 
+def outcome(failure: Exception) -> str:
+    """What a failed row keeps, as text.error_message: the start of the message, or the class name if it is empty."""
+    return str(failure)[:ERROR_LENGTH] or type(failure).__name__
+
+
+def _whole(call: Callable[[list], list], items: list) -> list[tuple]:
+    made = call(items)
+    if len(made) != len(items):
+        raise ValueError("the model must give one vector per text")
+    return [(x, None) for x in made]
+
+
+def _each(call: Callable[[list], list], items: list) -> list[tuple]:
+    """(result, error) per item. A batch that fails is tried again item by item, so only bad items fail."""
+    try:
+        return _whole(call, items)
+    except Exception as failure:
+        if len(items) == 1:
+            return [(None, outcome(failure))]
+        return [pair for item in items for pair in _each(call, [item])]
+
+
 def embedded(
-    df: DataFrame, text: str, make: Callable[[], Embed], per_token: bool = False, out: str = "embedding"
+    df: DataFrame, text: str, make: Callable[[], Embed], per_token: bool = False, out: str = "embedding", error: str | None = None
 ) -> DataFrame:
-    """`df` plus a vector per text (or one per token). `make` builds the model once per task."""
+    """`df` plus a vector per text (or one per token). `make` builds the model once per task.
+
+    A text that fails fails the job, unless `error` names a column for the message; then its vector
+    is null and all other texts have theirs.
+    """
     vector = T.ArrayType(T.FloatType())
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(vector) if per_token else vector)])
+    if error:
+        schema = schema.add(error, T.StringType())
     size = TOKEN_BATCH if per_token else DENSE_BATCH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = with_retry(make())
         for batch in batches:
             texts = batch[text].tolist()
-            vectors: list = []
+            made: list[tuple] = []
             for at in range(0, len(texts), size):
-                part = call(texts[at:at + size])
-                if len(part) != len(texts[at:at + size]):
-                    raise ValueError("the model must give one vector per text")
-                vectors.extend(part)
-            yield batch.assign(**{out: vectors})
+                made.extend((_each if error else _whole)(call, texts[at:at + size]))
+            told = {error: [e for _, e in made]} if error else {}
+            yield batch.assign(**{out: pd.Series([v for v, _ in made], index=batch.index, dtype=object)}, **told)
 
     return df.mapInPandas(run, schema)
 
@@ -96,21 +124,34 @@ def word_splitter(make: Callable[[], Callable[[str], Sequence[str]]]) -> Callabl
     return spaced
 
 
-def written(df: DataFrame, make: Callable[[], Callable[[dict], list[dict]]], schema: str) -> DataFrame:
+def written(
+    df: DataFrame, make: Callable[[], Callable[[dict], list[dict]]], schema: str, error: str | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
     """Rows a writer makes from each input row (eval samples, hypothetical passages).
 
-    Save the result before using it twice: a recomputed task would call the writer again.
+    Save the result before using it twice: a recomputed task would call the writer again. With
+    `error`, an input row that fails gives one row of its `keys`, the message, and nulls.
     """
 
-    names = T.StructType.fromDDL(schema).names
+    full = T.StructType.fromDDL(schema)
+    if error:
+        full = full.add(error, T.StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         write = with_retry(make())
         for batch in batches:
-            rows = [made for row in batch.to_dict("records") for made in write(row)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return df.mapInPandas(run, schema)
+            rows: list[dict] = []
+            for row in batch.to_dict("records"):
+                try:
+                    rows.extend(write(row))
+                except Exception as failure:
+                    if not error:
+                        raise
+                    rows.append({**{k: row[k] for k in keys}, error: outcome(failure)})
+            made = pd.DataFrame(rows, columns=full.names)
+            yield made.astype(object).where(made.notna(), None) if error else made
+
+    return df.mapInPandas(run, full)
 
 
 @F.pandas_udf(T.LongType())

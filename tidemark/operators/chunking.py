@@ -8,21 +8,25 @@ twice writes the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.config import CHILD_OVERLAP, CHILD_SIZE, MIN_PARENT_SIZE, PARENT_SIZE
-from tidemark.functions.splitting import SENTENCE_BREAKS, TAG_BREAKS, TEXT_BREAKS, split_spans
-from tidemark.functions.text import let, strip
+from tidemark.functions.splitting import SENTENCE_BREAKS, TAG_BREAKS, TEXT_BREAKS, joined, split_spans
+from tidemark.functions.text import strip
 from tidemark.functions.vectors import dot, norm
 from tidemark.plans.skew import Ordered
 
 PAGE_JOIN = "\n\n"
 ID_LENGTH = 21
-SPANS = "array<struct<start:int,end:int>>"
+PIECES = "array<struct<start:int,content:string>>"
 SCAN_BLOCK = 4096
 
 
@@ -92,82 +96,66 @@ def chunk_pages(parents: DataFrame, spans: DataFrame) -> DataFrame:
 # --- parents --------------------------------------------------------------------------------
 
 
-def _as_parents(documents: DataFrame, spans: Column) -> DataFrame:
-    placed = documents.select(
-        "kb_id", "doc_id", "source", "text", F.posexplode(spans).alias("seq", "_span")
-    )
-    start, end = F.col("_span.start"), F.col("_span.end")
+def _as_parents(documents: DataFrame, pieces: Column) -> DataFrame:
+    """`pieces`: array<struct<start, content>> of each document, in order. The text itself is not carried on."""
+    placed = documents.select("kb_id", "doc_id", "source", F.posexplode(pieces).alias("seq", "_piece"))
     return placed.select(
         "kb_id",
         "doc_id",
         "source",
         stable_id("p", F.col("kb_id"), F.col("doc_id"), F.col("seq")).alias("parent_id"),
         "seq",
-        start.alias("start"),
-        F.substring("text", start + 1, end - start).alias("content"),
+        F.col("_piece.start").alias("start"),
+        F.col("_piece.content").alias("content"),
     )
 
 
 def chunk_fixed(documents: DataFrame, size: int = PARENT_SIZE) -> DataFrame:
     """Cut every `size` characters, wherever that lands."""
-    starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(size))
-    spans = F.transform(
-        starts,
-        lambda s: F.struct(
-            s.alias("start"), F.least(s + F.lit(size), F.length("text")).alias("end")
-        ),
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    pieces = F.transform(cut, lambda t, i: F.struct((i * size).cast("int").alias("start"), t.alias("content")))
+    return _as_parents(documents.where(F.length("text") > 0), pieces)
+
+
+def _as_pieces(found: list[list[tuple[int, str]] | None]) -> pa.Array:
+    """Lists of (start, content) as one Arrow array; None stays null."""
+    sizes = [len(x) if x is not None else 0 for x in found]
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    flat = [piece for x in found if x is not None for piece in x]
+    parts = pa.StructArray.from_arrays(
+        [pa.array([s for s, _ in flat], pa.int32()), pa.array([t for _, t in flat], pa.string())], names=["start", "content"]
     )
-    return _as_parents(documents.where(F.length("text") > 0), spans)
+    return pa.ListArray.from_arrays(offsets, parts, mask=pa.array([x is None for x in found]))
 
 
-def _span_udf(size: int, overlap: int, breaks: Sequence[str]):
-    @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: None
-            if t is None
-            else [{"start": s, "end": e} for s, e in split_spans(t, size, overlap, breaks)]
-        )
+def _piece_udf(size: int, overlap: int, breaks: Sequence[str]):
+    @F.arrow_udf(PIECES)
+    def pieces(texts: pa.Array) -> pa.Array:
+        return _as_pieces([
+            None if t is None else [(s, t[s:e]) for s, e in split_spans(t, size, overlap, breaks)] for t in texts.to_pylist()
+        ])
 
-    return spans
+    return pieces
 
 
 def chunk_recursive(documents: DataFrame, size: int = PARENT_SIZE) -> DataFrame:
     """Cut at blank lines, else at lines, else at spaces; inside a word only as a last resort."""
-    return _as_parents(documents, _span_udf(size, 0, TEXT_BREAKS)(F.col("text")))
+    return _as_parents(documents, _piece_udf(size, 0, TEXT_BREAKS)(F.col("text")))
 
 
 def semantic_sentences(documents: DataFrame) -> DataFrame:
     """One row per sentence, with the neighbourhood that is embedded for it.
 
-    A piece keeps the whitespace before it, so piece lengths add up to places in the text.
+    A piece keeps the whitespace before it, so piece lengths add up to places in the text. Sentences
+    are rows from the start: their ends are a running sum, their neighbours a window.
     """
-    pieces = F.split("text", r"(?U)(?<=[.?!])(?=\s)")
-    cut = documents.where(F.length(strip(F.col("text"))) > 0).withColumn("_pieces", pieces)
-    ends = F.aggregate(
-        "_pieces",
-        F.array().cast("array<int>"),
-        lambda acc, p: F.concat(
-            acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p))
-        ),
-    )
-    said = F.transform("_pieces", strip)
-    rows = F.transform(
-        "_said",
-        lambda s, i: F.struct(
-            i.alias("pos"),
-            s.alias("sentence"),
-            F.array_join(
-                F.slice("_said", F.greatest(i, F.lit(1)), F.when(i > 0, 3).otherwise(2)), " "
-            ).alias("context"),
-            F.get("_ends", i).alias("end"),
-        ),
-    )
-    return (
-        cut.withColumn("_ends", ends)
-        .withColumn("_said", said)
-        .select("kb_id", "doc_id", F.inline(rows))
-    )
+    cut = documents.where(F.length(strip(F.col("text"))) > 0)
+    rows = cut.select("kb_id", "doc_id", F.posexplode(F.split("text", r"(?U)(?<=[.?!])(?=\s)")).alias("pos", "_piece"))
+    sized = rows.withColumn("sentence", strip(F.col("_piece"))).withColumn("_step", F.length("_piece").cast("long")).drop("_piece")
+    placed = Ordered(sized, ["kb_id", "doc_id"], ["pos"]).total("_step", "_through")
+    near = Window.partitionBy("kb_id", "doc_id").orderBy("pos")
+    context = F.concat_ws(" ", F.lag("sentence").over(near), F.col("sentence"), F.lead("sentence").over(near))
+    return placed.done().select("kb_id", "doc_id", "pos", "sentence", context.alias("context"), F.col("_through").cast("int").alias("end"))
 
 
 def semantic_breaks(embedded: DataFrame, percentile: float = 95.0) -> DataFrame:
@@ -209,45 +197,31 @@ def chunk_semantic(
 
     `embed` adds an `embedding` column for `context`, for example hooks.embedded(...).
     """
-    breaks = semantic_breaks(embed(semantic_sentences(documents)), percentile)
-    marks = breaks.groupBy("kb_id", "doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "end", "is_break"))).alias("_marks")
-    )
-    none = F.array().cast("array<int>")
-
-    def close(ends: Column, mark: Column) -> Column:
-        begun = F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0))
-        long_enough = mark["end"] - begun >= min_size
-        return F.when(mark["is_break"] & long_enough, F.concat(ends, F.array(mark["end"]))).otherwise(ends)
-
-    cut = F.aggregate("_marks", none, close)
-    bounds = F.array_distinct(F.concat(F.array(F.lit(0)), cut, F.array(F.length("text"))))
-    spans = F.zip_with(
-        F.slice("_bounds", 1, F.size("_bounds") - 1),
-        F.slice("_bounds", 2, F.size("_bounds") - 1),
-        lambda s, e: F.struct(s.alias("start"), e.alias("end")),
-    )
-    groups = (
-        documents.join(marks, ["kb_id", "doc_id"])
-        .withColumn("_bounds", bounds)
-        .withColumn("_group", F.explode(spans))
-        .withColumn("_slice", F.expr("substring(text, _group.start + 1, _group.end - _group.start)"))
-    )
-    inside = _span_udf(max_size, 0, SENTENCE_BREAKS)(F.col("_slice"))
-    shifted = F.transform(
-        F.col("_inside"),
-        lambda s: F.struct(
-            (s["start"] + F.col("_group.start")).alias("start"),
-            (s["end"] + F.col("_group.start")).alias("end"),
-        ),
-    )
-    placed = groups.withColumn("_inside", inside).select(
-        "kb_id", "doc_id", "source", "text", F.explode(shifted).alias("_span")
-    )
-    by_document = placed.groupBy("kb_id", "doc_id", "source").agg(
-        F.first("text").alias("text"), F.array_sort(F.collect_list("_span")).alias("_spans")
-    )
-    return _as_parents(by_document, F.col("_spans"))
+    return semantic_parents(documents, embed(semantic_sentences(documents)), min_size, max_size, percentile)
+
+
+def semantic_parents(
+    documents: DataFrame, embedded: DataFrame, min_size: int = MIN_PARENT_SIZE, max_size: int = PARENT_SIZE, percentile: float = 95.0
+) -> DataFrame:
+    """chunk_semantic from sentences that have their embedding. Only the ends of breaks are gathered per document."""
+    breaks = semantic_breaks(embedded, percentile)
+    ends = breaks.groupBy("kb_id", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("is_break"), F.col("end")))).alias("_ends"))
+
+    def pieces(text: str, ends: list[int]) -> Iterator[tuple[int, str]]:
+        begun = 0
+        for end in [*ends, len(text)]:
+            if end < len(text) and end - begun < min_size:
+                continue
+            body = text[begun:end]
+            for s, e in split_spans(body, max_size, 0, SENTENCE_BREAKS):
+                yield begun + s, body[s:e]
+            begun = end
+
+    @F.arrow_udf(PIECES)
+    def cut(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        return _as_pieces([list(pieces(t, m)) for t, m in zip(texts.to_pylist(), marks.to_pylist())])
+
+    return _as_parents(documents.join(ends, ["kb_id", "doc_id"]), cut(F.col("text"), F.col("_ends")))
 
 
 # --- children -------------------------------------------------------------------------------
@@ -262,11 +236,8 @@ def child_texts(content: Column, size: int = CHILD_SIZE, overlap: int = CHILD_OV
         F.sequence(F.lit(0), last),
         lambda i: strip(F.substring(content, i * stride + 1, F.lit(size))),
     )
-    tagged = _span_udf(size, overlap, TAG_BREAKS)(F.when(F.contains(content, F.lit("<")), content))
-    at_tags = F.transform(
-        tagged, lambda s: F.substring(content, s["start"] + 1, s["end"] - s["start"])
-    )
-    return F.filter(F.coalesce(at_tags, windows), lambda t: F.length(t) > 0)
+    tagged = _piece_udf(size, overlap, TAG_BREAKS)(F.when(F.contains(content, F.lit("<")), content))
+    return F.filter(F.coalesce(tagged["content"], windows), lambda t: F.length(t) > 0)
 
 
 def chunk_children(parents: DataFrame, size: int = CHILD_SIZE, overlap: int = CHILD_OVERLAP) -> DataFrame:
@@ -313,47 +284,31 @@ def reassemble(chunks: DataFrame) -> DataFrame:
     """Ordered chunks of a document back to one text, overlaps dropped.
 
     `chunks` has kb_id, doc_id, seq, content; seq may be of any type that sorts, a struct of several
-    numbers too. Gives kb_id, doc_id, text and ranges(seq, start, end). Only the last characters of the text so far are carried along, as many as the longest chunk has.
+    numbers too. Gives kb_id, doc_id, text and ranges(seq, start, end). A chunk's overlap is looked
+    for in as many of the last characters as it has itself, in time proportional to them.
     """
-    place_type = chunks.schema["seq"].dataType.simpleString()
-    ordered = chunks.groupBy("kb_id", "doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("_chunks"),
-        F.max(F.length("content")).alias("_longest"),
-    )
-    begin = F.struct(
-        F.lit("").alias("tail"),
-        F.lit(0).alias("at"),
-        F.array().cast("array<string>").alias("parts"),
-        F.array().cast(f"array<struct<seq:{place_type},start:int,end:int>>").alias("ranges"),
-    )
-
-    def shared(tail: Column, content: Column) -> Column:
-        most = F.least(F.length(tail), F.length(content))
-        lengths = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1)))
-        fitting = F.filter(lengths, lambda k: F.endswith(tail, F.left(content, k)))
-        return F.coalesce(F.get(fitting, F.lit(0)), F.lit(0))
-
-    def add(state: Column, chunk: Column) -> Column:
-        def piece(overlap: Column) -> Column:
-            gap = F.when((state["at"] > 0) & (overlap == 0), PAGE_JOIN).otherwise("")
-            rest = F.substring(chunk["content"], overlap + 1, F.length(chunk["content"]))
-            return F.concat(gap, rest)
-
-        def appended(text: Column) -> Column:
-            end = state["at"] + F.length(text)
-            place = F.struct(
-                chunk["seq"].alias("seq"), state["at"].alias("start"), end.alias("end")
-            )
-            return F.struct(
-                F.right(F.concat(state["tail"], text), F.col("_longest")).alias("tail"),
-                end.alias("at"),
-                F.concat(state["parts"], F.array(text)).alias("parts"),
-                F.concat(state["ranges"], F.array(place)).alias("ranges"),
-            )
-
-        return let(let(shared(state["tail"], chunk["content"]), piece), appended)
-
-    done = ordered.withColumn("_done", F.aggregate("_chunks", begin, add))
-    return done.select(
-        "kb_id", "doc_id", F.array_join("_done.parts", "").alias("text"), F.col("_done.ranges").alias("ranges")
-    )
+    kinds = {c: chunks.schema[c].dataType for c in ("kb_id", "doc_id", "seq")}
+    ordered = chunks.groupBy("kb_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("content")))).alias("_chunks"))
+    schema = T.StructType().add("kb_id", kinds["kb_id"]).add("doc_id", kinds["doc_id"]).add("text", T.StringType())
+    place = T.StructType().add("seq", kinds["seq"]).add("start", T.IntegerType()).add("end", T.IntegerType())
+    schema = schema.add("ranges", T.ArrayType(place))
+    arrow = to_arrow_schema(schema)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("_chunks")
+            flat = held.flatten()
+            contents, sizes = flat.field("content").to_pylist(), pc.list_value_length(held).to_pylist()
+            texts, starts, ends, first = [], [], [], 0
+            for n in sizes:
+                text, spans = joined(contents[first : first + n])
+                texts.append(text)
+                starts.extend(s for s, _ in spans)
+                ends.extend(e for _, e in spans)
+                first += n
+            kind = arrow.field("ranges").type.value_type
+            places = pa.StructArray.from_arrays([flat.field("seq").cast(kind.field("seq").type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=list(kind))
+            ranges = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), places)
+            yield pa.RecordBatch.from_arrays([batch.column("kb_id"), batch.column("doc_id"), pa.array(texts, pa.string()), ranges], names=arrow.names)
+
+    return ordered.mapInArrow(join, schema)

@@ -360,21 +360,47 @@ def reorder(scored: DataFrame) -> DataFrame:
 
 
 def maxsim(query_vectors: Column, chunk_vectors: Column) -> Column:
-    """For every query token its best cosine over the chunk's tokens, summed up."""
+    """For every query token its best cosine over the chunk's tokens, summed up; null without tokens.
 
-    @F.pandas_udf("double")
-    def score(asked: pd.Series, held: pd.Series) -> pd.Series:
-        def one(q, c) -> float | None:
-            if q is None or c is None or not len(q) or not len(c):
-                return None
-            q, c = _unit(np.vstack(q).astype("float64")), _unit(np.vstack(c).astype("float64"))
-            return float(np.round((q @ c.T).max(axis=1).sum(), PLACES))
+    Tokens of a batch lie one after another. Pairs of texts with numbers of tokens alike, to the
+    next power of two, are multiplied as one stack of matrices.
+    """
 
-        return pd.Series([one(q, c) for q, c in zip(asked, held)], index=asked.index, dtype="float64")
+    @F.arrow_udf("double")
+    def score(asked: pa.Array, held: pa.Array) -> pa.Array:
+        (q, q_first, q_size), (c, c_first, c_size) = _tokens(asked), _tokens(held)
+        out = np.full(len(asked), np.nan)
+        both = np.flatnonzero((q_size > 0) & (c_size > 0))
+        shapes = 1 << np.ceil(np.log2(np.stack([q_size[both], c_size[both]], axis=1))).astype(int)
+        for n, m in np.unique(shapes, axis=0).tolist():
+            alike = both[(shapes == (n, m)).all(axis=1)]
+            step = max(1, SCORE_CELLS // (n * m + (n + m) * q.shape[1]))
+            for i in range(0, len(alike), step):
+                rows = alike[i : i + step]
+                left, right = _stacked(q, q_first[rows], q_size[rows], n), _stacked(c, c_first[rows], c_size[rows], m)
+                cosines = left @ right.transpose(0, 2, 1)
+                cosines[np.broadcast_to((np.arange(m) >= c_size[rows, None])[:, None, :], cosines.shape)] = -np.inf
+                best = np.where(np.arange(n) < q_size[rows, None], cosines.max(axis=2), 0.0)
+                out[rows] = np.round(best.sum(axis=1), PLACES)
+        return pa.array(out, mask=np.isnan(out))
 
     return score(query_vectors, chunk_vectors)
 
 
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of all tokens of array<array<float>>, and each text's first and number of tokens."""
+    size = pc.fill_null(pc.list_value_length(texts), 0).to_numpy()
+    vectors = texts.flatten()
+    flat = vectors.flatten().to_numpy().astype("float64")
+    matrix = _unit(flat.reshape(len(vectors), -1)) if len(vectors) else np.zeros((0, 1))
+    return matrix, np.cumsum(size) - size, size
+
+
+def _stacked(vectors: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Texts of `size` tokens from `first` on as one array, n tokens each; what is beyond repeats the last."""
+    return vectors[first[:, None] + np.minimum(np.arange(n), size[:, None] - 1)]
+
+
 def maxsim_rerank(hits: DataFrame, query_tokens: DataFrame, chunk_tokens: DataFrame, on: str) -> DataFrame:
     """Late-interaction rerank. Chunks without stored vectors score 0.0 and keep their order.
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tidemark.functions.hooks import outcome
 from tidemark.functions.text import strip
 
+ENTRY_BYTES = 4 << 20
 
 # What an operating system leaves in an archive.
 JUNK_STARTS = (".", "__MACOSX")
@@ -44,28 +48,56 @@ def lenient_text(data: Column) -> Column:
     return F.make_valid_utf8(data.cast("string"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, text) of every real text file in the zip files under `path`.
+def scan_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, name, data, error) of every entry of the zip files under `path` that is no junk.
 
-    Archives are read in parallel and their entries one at a time; what they hold is decoded
-    and filtered by Spark.
+    Archives are read in parallel and their entries given out in batches of about ENTRY_BYTES. A
+    broken archive is one row with an error and no name, a broken entry a row with its name.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("archive", pa.string()), ("name", pa.string()), ("data", pa.binary()), ("error", pa.string())])
+
+    def rows(archive: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as opened:
+                for name in opened.namelist():
+                    if name.endswith("/"):
+                        continue
+                    try:
+                        yield archive, name, opened.read(name), None
+                    except Exception as failure:
+                        yield archive, name, None, outcome(failure)
+        except Exception as failure:
+            yield archive, None, None, outcome(failure)
+
+    def batched(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), schema.types)], schema=schema)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as opened:
-                    for name in opened.namelist():
-                        data = b"" if name.endswith("/") else opened.read(name)
-                        yield pd.DataFrame({"archive": [archive], "name": [name], "data": [data]})
-
-    raw = found.select("path", "content").mapInPandas(entries, "archive string, name string, data binary")
-    return (
-        raw.where(~is_junk_path(F.col("name")))
-        .select("archive", "name", strict_text(F.col("data")).alias("text"))
-        .where("text IS NOT NULL")
-    )
+            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                for row in rows(archive, content.as_py()):
+                    held.append(row)
+                    size += len(row[2] or b"") + 100
+                    if size > ENTRY_BYTES:
+                        yield batched(held)
+                        held, size = [], 0
+        if held:
+            yield batched(held)
+
+    raw = found.select("path", "content").mapInArrow(entries, "archive string, name string, data binary, error string")
+    return raw.where(F.col("name").isNull() | ~is_junk_path(F.col("name")))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, name, text) of every real text file in the zip files under `path`; what is broken is left out."""
+    return scan_archives(spark, path).select("archive", "name", strict_text(F.col("data")).alias("text")).where("text IS NOT NULL")
+
+
+def broken_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, name, error) of archives and entries that could not be read."""
+    return scan_archives(spark, path).where("error IS NOT NULL").select("archive", "name", "error")
 
 
 def read_text_files(spark: SparkSession, path: str, kb_id: str) -> DataFrame:
@@ -134,6 +166,35 @@ def _replace(df: DataFrame, path: str, kind: str, by: str) -> None:
     )
 
 
+def save_blobs(blobs: DataFrame, root: str) -> int:
+    """Store blobs(key, content) as files under `root`, in place of what is there; gives their number.
+
+    A file is written beside its place and then moved, so readers never see a part of it.
+    """
+    from pyarrow import fs
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root if "://" in root else root.replace("file:", "", 1))
+        for batch in batches:
+            for key, content in zip(batch.column("key").to_pylist(), batch.column("content")):
+                target = f"{base.rstrip('/')}/{key}"
+                scratch = f"{target}.{uuid.uuid4().hex}"
+                files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(scratch) as stream:
+                    stream.write(content.as_buffer() if content.is_valid else b"")
+                files.move(scratch, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    done = blobs.select("key", F.col("content").cast("binary").alias("content")).mapInArrow(write, "n long")
+    return done.agg(F.sum("n")).head()[0] or 0
+
+
+def delete_blobs(spark: SparkSession, root: str, key: str) -> bool:
+    """Remove one key, or all keys below it; False if there is nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def load_blob(spark: SparkSession, root: str, key: str) -> DataFrame:
     """The bytes stored under one key, as (path, content)."""
     return spark.read.format("binaryFile").load(f"{root}/{key}").select("path", "content")

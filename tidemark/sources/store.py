@@ -3,7 +3,8 @@
 Folder layout::
 
     versions/<number>.json   one manifest per commit; the highest number is current
-    <table>/<segment>/       rows one commit added: parents, children, terms, token_vectors, dense-<n>
+    <table>/<segment>/       rows one commit added: parents, children, terms, token_vectors, dense-<n>,
+                             and failed, the files that could not be indexed
     gone/<segment>/          (kb_id, doc_id) of files that a commit replaced or deleted
     counts/<segment>/        (kb_id, term, df) and, with a null term, children, as signed changes
 
@@ -207,6 +208,8 @@ class Index:
     def _tables(self, corpus: Corpus) -> dict[str, DataFrame]:
         held = {"parents": corpus.parents, "children": corpus.children, "terms": corpus.terms, "token_vectors": corpus.tokens}
         tables = {name: rows for name, rows in held.items() if rows is not None}
+        nothing = corpus.parents.where("false").select(*FILE, F.lit("").alias("stage"), F.lit("").alias("error"))
+        tables["failed"] = nothing if corpus.failed is None else corpus.failed.select(*nothing.columns)
         owners = corpus.children.select("kb_id", "doc_id", "child_id")
         for n, model in enumerate(sorted(corpus.dense)):
             rows = corpus.dense[model]
@@ -267,4 +270,4 @@ class Index:
         live = {table: self._live(table, version) for table in version.tables}
         idf = materialize(self.term_idf(version), "idf") if "terms" in live else None
         dense = {model: live[f"dense-{n}"] for n, model in enumerate(version.models)}
-        return Corpus(live["parents"], live["children"], live.get("terms"), idf, dense, live.get("token_vectors"))
+        return Corpus(live["parents"], live["children"], live.get("terms"), idf, dense, live.get("token_vectors"), live["failed"])

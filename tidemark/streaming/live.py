@@ -57,11 +57,11 @@ def _kinds(df: DataFrame, *names: str) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def vote_deltas(votes: DataFrame, keep: str | None = None) -> DataFrame:
+def vote_deltas(votes: DataFrame, keep: str) -> DataFrame:
     """What each vote changes, from the last vote kept per message. As chat.vote_deltas.
 
-    With `keep`, a time such as `30 days`, `ts` has a watermark that far behind, and a message
-    whose last vote it has passed is forgotten; without it all last votes are kept for ever.
+    `keep` is a time such as `30 days`: `ts` has a watermark that far behind, and a message whose
+    last vote it has passed is forgotten, so state does not grow for ever.
     """
     out = f"{_kinds(votes, 'vote_id', 'session_id', 'message_id')}, up int, down int"
     votes, timeout, expires = _kept_for(votes, keep)
@@ -95,10 +95,8 @@ def _millis(moments: pd.Series) -> int:
     return int(pd.Timestamp(moments.max()).timestamp() * 1000) if len(moments) else 0
 
 
-def _kept_for(events: DataFrame, keep: str | None):
+def _kept_for(events: DataFrame, keep: str):
     """Events with a watermark, the kind of timeout, and what sets a key's end."""
-    if keep is None:
-        return events, GroupStateTimeout.NoTimeout, lambda state, latest: None
 
     def expires(state: GroupState, latest: int) -> None:
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)  # the watermark lags by `keep`
@@ -106,7 +104,7 @@ def _kept_for(events: DataFrame, keep: str | None):
     return events.withWatermark("ts", keep), GroupStateTimeout.EventTimeTimeout, expires
 
 
-def attention(events: DataFrame, keep: str | None = None) -> DataFrame:
+def attention(events: DataFrame, keep: str) -> DataFrame:
     """Keeps likes, dislikes, stuck and message count per session, and scores every change.
 
     events(event_id, session_id, ts, kind, stuck) as for chat.attention_flags, plus kind
