@@ -96,6 +96,7 @@ def test_packing_of_the_table(spark, sf, plain_texts, encoded):
 
 def test_packing_at_the_edges(spark, edge_docs, edge_texts, encoded, monkeypatch):
     monkeypatch.setattr(best_fit_packing, "CACHED", 50)
+    monkeypatch.setattr(best_fit_packing, "GROUP", 3)
     docs = edge_docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = best_fit_packing.pack(docs, tokenizer("byte_bpe_50k.json"), length=100).withColumnRenamed("sequence_id", "s").selectExpr("*", "id AS doc_id", "s AS sequence_id").collect()
     check_packing(rows, {i: encoded(t) for i, t in edge_texts.items()}, 100)
@@ -123,7 +124,7 @@ def test_parts_encode_as_whole_texts(encoded):
 ])
 def test_places_of_given_sizes(spark, sizes):
     rows = [(i, s, i, 0, 0) for i, s in enumerate(sizes)]
-    got = best_fit_packing.place(spark.createDataFrame(rows, "row long, size long, id long, version long, piece int")).collect()
+    got = best_fit_packing.place(spark.createDataFrame(rows, "row long, length long, id long, version long, piece int")).collect()
     assert sorted(r.row for r in got) == list(range(len(sizes)))
     spans = defaultdict(list)
     for r in got:

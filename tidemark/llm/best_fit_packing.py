@@ -3,8 +3,8 @@
 A document is its ids and an end id. Only one longer than a sequence is cut: into whole sequences
 and a rest, which comes first. What is left to pack are pieces shorter than a sequence.
 
-Pieces are range-sorted by length once and numbered within their length by a running count over the
-ranges. Sequences with room are range-sorted by their gap in every round. A round then
+Pieces are range-sorted by length and numbered within their length by a running count over the
+ranges. Sequences with room are ranked within their gap's size. A round then
 
 1. takes the band of the longest pieces left: lengths above `BAND` of the longest, not across half a
    sequence, or all lengths once none is above a `FINE`-th of a sequence;
@@ -15,13 +15,14 @@ ranges. Sequences with room are range-sorted by their gap in every round. A roun
    each length and gap size;
 3. opens new sequences for what no gap can hold, first the least number and, if that leaves some of
    the band, as many as the rest fills alone, and sweeps over these as well;
-4. hands the runs to all tasks: each looks its sorted gaps up by rank, and writes down who takes
-   which pieces and what room is left.
+4. hands the runs to all tasks: each looks its gaps up by room and rank, and writes down who takes
+   which pieces, what room is left and the rank within that, since a run's gaps stay in order.
 
 Rounds repeat until no piece is left. Bands shrink geometrically, and so does a gap with each take,
-so there are a few dozen rounds whatever the number of rows. Only counts per length and per gap size
-and the runs pass through the driver, never rows; texts and ids take no part in the rounds. Each
-round's gaps are written, so a lost executor costs one round at most.
+so there are a few dozen rounds whatever the number of rows. A round moves no rows: only counts per
+length and per gap size and the runs pass through the driver, and gaps are passed over once. Texts
+and ids take no part. Each round's gaps are written, so a lost executor costs one round at most. At
+last pieces meet what was written down for their length and rank in one join.
 
 Defined results: a null or empty text is the end id alone; a very long text is cut as above, its
 full pieces have sequences of their own; pieces of one length are taken in order of key (nulls
@@ -54,7 +55,10 @@ from tidemark.plans.skew import materialize
 LENGTH = 2048
 BAND = 0.8
 FINE = 4
-CACHED = 500_000
+FAR = 1 << 44  # above any number of sequences
+CACHED = 1_000_000
+LONGEST_CACHED = 64
+GROUP = 64
 
 # Splits before white space that follows a visible character, where byte-level pre-tokenizers split too.
 SPACES = r"\t-\r \x85\xa0  -     　"
@@ -67,38 +71,61 @@ PART = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 def part_encoder(load: Callable, dtype: str) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts part by part, for byte-level tokenizers that split before white space.
 
-    A distinct part is encoded once as long as it is met again in time: about 2 * CACHED of the
-    latest stay known to the worker process, also between tasks. Texts that hold a special token's
-    string are encoded whole.
+    A distinct part is encoded once while a worker process remembers it, which it does for CACHED
+    parts at most, also between tasks. Unknown parts are encoded GROUP at a time as one text and
+    told apart by the bytes their ids stand for. Texts that hold a special token's string are
+    encoded whole.
     """
-    tokenizer = load()
+    held = sys.modules.setdefault("_tidemark_part_ids", types.ModuleType("_tidemark_part_ids")).__dict__
+    name = f"{load.args}{dtype}"
+    if name not in held:
+        tokenizer = load()
+        lengths = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            lengths[i] = len(token)  # a character of a token's name is one byte
+        held[name] = tokenizer, lengths, {}
+    tokenizer, lengths, known = held[name]
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    held = sys.modules.setdefault("_tidemark_part_ids", types.ModuleType("_tidemark_part_ids"))
-    known: list[dict[str, bytes]] = held.__dict__.setdefault(f"{load.args}{dtype}", [{}, {}])  # type: ignore[attr-defined]
+    width = np.dtype(dtype).itemsize
 
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=dtype).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encoded(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(parts: list[str]) -> dict[str, bytes]:
+        """Parts that begin with white space and end otherwise may stand one after another, others not."""
+        chained = [p for p in parts if p[0].isspace() and not p[-1].isspace()]
+        single = [p for p in parts if not p[0].isspace() or p[-1].isspace()]
+        out = {p: ids.tobytes() for p, ids in zip(single, encoded(single))}
+        groups = [chained[i : i + GROUP] for i in range(0, len(chained), GROUP)]
+        for group, ids in zip(groups, encoded(["".join(g) for g in groups])):
+            sizes = np.fromiter((len(p.encode()) for p in group), dtype=np.int64, count=len(group))
+            ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(sizes)) + 1
+            raw, cut = ids.tobytes(), (ends * width).tolist()
+            out.update((p, raw[x:z]) for p, x, z in zip(group, [0, *cut], cut))
+        return out
 
     def encode(texts: list[str]) -> list[bytes]:
-        plain = [not any(s in t for s in special) for t in texts]
-        split = [PART.findall(t) if p else [t] for t, p in zip(texts, plain)]
-        late, early = known
-        found, missing = {}, []
-        for part in set().union(*split):
-            ids = late.get(part)
-            if ids is None:
-                ids = early.get(part)
-                if ids is None:
-                    missing.append(part)
-                    continue
-                late[part] = ids
-            found[part] = ids
-        new = dict(zip(missing, whole(missing)))
-        late.update((part, ids) for part, ids in new.items() if len(part) <= 64)
-        found.update(new)
-        if len(late) > CACHED:
-            known[:] = [{}, late]
-        return [b"".join(map(found.__getitem__, parts)) for parts in split]
+        split = [PART.findall(t) for t in texts]
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in special)]
+        for i in whole:
+            split[i] = []
+        flat = [p for parts in split for p in parts]
+        ids = list(map(known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = learn(list({flat[i] for i in missing}))
+            for i in missing:
+                ids[i] = new[flat[i]]
+            if len(known) + len(new) > CACHED:
+                known.clear()
+            known.update((p, x) for p, x in new.items() if len(p) <= LONGEST_CACHED)
+        out, at = [], 0
+        for parts in split:
+            out.append(b"".join(ids[at : at + len(parts)]))
+            at += len(parts)
+        for i, x in zip(whole, encoded([texts[i] for i in whole])):
+            out[i] = x.tobytes()
+        return out
 
     return encode
 
@@ -200,97 +227,109 @@ def sweep(left: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, in
     return runs
 
 
-def _starts(counts: dict[int, int]) -> dict[int, int]:
-    """Rows before each size's, in ascending order of size."""
-    before, out = 0, {}
-    for size in sorted(counts):
-        out[size] = before
-        before += counts[size]
-    return out
-
+def _plan(runs: list[tuple], gaps: dict[int, int], taken: dict[int, int], least: int) -> tuple[np.ndarray, dict[int, int], dict[int, int]]:
+    """What a sweep does to the gaps of each room by their rank, the gaps after it, and the pieces taken.
 
-def _take(spark: SparkSession, gaps: DataFrame, runs: list[tuple], of: dict[int, int], taken: dict[int, int], round_: int) -> DataFrame:
-    """Gaps (sequence, room, place) after a sweep: with the size they take, its first piece's rank and the number of pieces."""
-    # runs by place among all gaps, one after another
-    rows = sorted((of[room] + first, used, size, n, room // size) for room, first, used, size, n in runs)
-    ranks: dict[int, int] = dict(taken)
-    first_rank = {}
-    for room, first, used, size, n in runs:  # pieces are handed out in the order of the sweep
-        first_rank[of[room] + first] = ranks.get(size, 0)
-        ranks[size] = ranks.get(size, 0) + n
-    table = np.array([(at, used, size, n, each, first_rank[at]) for at, used, size, n, each in rows], dtype=np.int64).reshape(-1, 6).T
-    shipped = spark.sparkContext.broadcast(table)  # a row per length and gap size at most
+    Rows of the table are (room, first rank, gaps, size, rank of the first piece, pieces, pieces of
+    a gap, rank of the first gap among those of its new room, the same for the last gap, which may
+    take fewer). Gaps smaller than `least` are closed.
+    """
+    table, after, ranks, covered = [], {}, dict(taken), {}
+
+    def enter(room: int, n: int) -> int:
+        at = after.get(room, 0)
+        after[room] = at + n
+        return at
+
+    for room, first, used, size, n in runs:
+        each = room // size
+        full, rest = divmod(n, each)
+        rank = ranks.get(size, 0)
+        ranks[size] = rank + n
+        table.append((room, first, used, size, rank, n, each, enter(room - each * size, full), enter(room - rest * size, 1) if rest else 0))
+        covered[room] = first + used
+    for room, n in gaps.items():
+        first = covered.get(room, 0)
+        if first < n:
+            table.append((room, first, n - first, 0, 0, 0, 0, enter(room, n - first), 0))
+    after = {room: n for room, n in after.items() if n and room >= least}
+    return np.array(sorted(table), dtype=np.int64).T, after, ranks
+
+
+def _apply(gaps: DataFrame, table: np.ndarray) -> DataFrame:
+    """Gaps (sequence, room, rank) after a sweep: what they take, their room left and their rank in it. No row moves."""
+    shipped = gaps.sparkSession.sparkContext.broadcast(table)  # a row per length and gap size at most
 
     def run(batches):
-        at, used, size, n, each, rank = shipped.value
+        rooms, firsts, used, sizes, ranks, n, each, into, last = shipped.value
+        starts = rooms * FAR + firsts
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            i = np.searchsorted(at, place, side="right") - 1
-            i = np.where(i < 0, 0, i)
-            nth = place - at[i] if len(at) else place
-            hit = (nth >= 0) & (nth < used[i]) if len(at) else np.zeros(len(place), dtype=bool)
-            i, nth = i[hit], nth[hit]
-            got, start, count = (np.zeros(len(place), dtype=np.int64) for _ in range(3))
-            got[hit] = size[i]
-            start[hit] = rank[i] + nth * each[i]
-            count[hit] = np.minimum(each[i], n[i] - nth * each[i])
-            room = batch.column("room").to_numpy()
+            room, rank = (batch.column(c).to_numpy() for c in ("room", "rank"))
+            i = np.searchsorted(starts, room * FAR + rank, side="right") - 1
+            nth = rank - firsts[i]
+            count = np.minimum(each[i], n[i] - nth * each[i])
+            partial = count < each[i]
+            columns = (room, sizes[i], ranks[i] + nth * each[i], count, room - count * sizes[i], np.where(partial, last[i], into[i] + nth))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("sequence"), *(pa.array(x) for x in (room, got, start, count, room - got * count, np.full(len(place), round_)))],
-                names=["sequence", "room", "size", "first", "n", "left", "round"],
+                [batch.column("sequence"), *map(pa.array, columns)], names=["sequence", "room", "size", "first", "n", "left", "rank"]
             )
 
-    schema = "sequence long, room long, size long, first long, n long, left long, round long"
-    return gaps.select("sequence", "room", "place").mapInArrow(run, schema)
+    return gaps.mapInArrow(run, "sequence long, room long, size long, first long, n long, left long, rank long")
 
 
 def place(sized: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Places pieces(row, size, and an order within a size: id, version, piece): row, sequence, at."""
+    """Adds sequence and at to pieces(row, length, and an order within a length: id, version, piece)."""
     spark = sized.sparkSession
-    small = sized.where(F.col("size") < length)
-    counts = {r["size"]: r["n"] for r in small.groupBy("size").agg(F.count("*").alias("n")).collect()}  # a row per length
-    ranked = numbered(small, "size", "id", "version", "piece", "row")
-    before = _starts(counts)
-    shipped = spark.createDataFrame([(s, n) for s, n in before.items()], "size long, _before long")
-    ranked = ranked.join(F.broadcast(shipped), "size").select("row", "size", (F.col("place") - F.col("_before")).alias("rank"))
-    ranked = materialize(ranked, "ranked_pieces")
-
-    left, taken, opened, round_, low, logs = dict(counts), {}, 0, 0, length, []
-    gaps = spark.createDataFrame([], "sequence long, room long")
-    rooms: dict[int, int] = {}
+    small = sized.where(F.col("length") < length)
+    counts = {r["length"]: r["n"] for r in small.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row per length
+    before, starts = 0, []
+    for size in sorted(counts):
+        starts.append((size, before))
+        before += counts[size]
+    ranked = numbered(small, "length", "id", "version", "piece", "row")
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(starts, "length long, _before long")), "length")
+    ranked = ranked.withColumn("rank", F.col("place") - F.col("_before")).drop("place", "_before")
+
+    left, taken, opened, low, logs = dict(counts), {}, 0, length, []
+    gaps, rooms = None, {}
     while left:
         again = max(left) > low
         band = {size: n for size, n in left.items() if size > low} if again else band_of(left, length)
         low = low if again else min(band) - 1
         new = needed(band, rooms, length, again)
         if new:
-            gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence"), F.lit(length).cast("long").alias("room")))
+            fresh = spark.range(opened, opened + new).select(
+                F.col("id").alias("sequence"), F.lit(length).cast("long").alias("room"), (F.col("id") - opened + rooms.get(length, 0)).alias("rank")
+            )
+            gaps = fresh if gaps is None else gaps.unionByName(fresh)
             rooms[length] = rooms.get(length, 0) + new
             opened += new
         runs = sweep(band, rooms)
-        log = materialize(_take(spark, numbered(gaps, "room", "sequence"), runs, _starts(rooms), taken, round_), "packing_round")
-        logs.append(log.where("n > 0"))
         for _, _, _, size, n in runs:
-            taken[size] = taken.get(size, 0) + n
             left[size] -= n
         left = {size: n for size, n in left.items() if n}
-        gaps = log.where(F.col("left") >= min(left, default=length + 1)).select("sequence", F.col("left").alias("room"))
-        rooms = {r["room"]: r["n"] for r in gaps.groupBy("room").agg(F.count("*").alias("n")).collect()}  # a row per size of gap
-        round_ += 1
-    if not logs:
-        placed = ranked.select("row", F.lit(0).cast("long").alias("sequence"), F.lit(0).cast("long").alias("at"))
-    else:
+        least = min(left, default=length + 1)
+        table, rooms, taken = _plan(runs, rooms, taken, least)
+        log = materialize(_apply(gaps, table), "packing_round")
+        logs.append(log.where("n > 0"))
+        gaps = log.where(F.col("left") >= least).select("sequence", F.col("left").alias("room"), "rank")
+    if logs:
         takes = logs[0]
         for log in logs[1:]:
             takes = takes.unionByName(log)
-        # a row per piece taken: its rank among those of its size
+        # a row per piece taken: its rank among those of its length
         nth = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth")
         takes = takes.select("sequence", "room", "size", "first", nth)
-        takes = takes.select("size", (F.col("first") + F.col("nth")).alias("rank"), "sequence", (length - F.col("room") + F.col("nth") * F.col("size")).alias("at"))
-        placed = ranked.join(takes, ["size", "rank"]).select("row", "sequence", "at")
+        takes = takes.select(
+            F.col("size").alias("length"), (F.col("first") + F.col("nth")).alias("rank"), "sequence",
+            (length - F.col("room") + F.col("nth") * F.col("size")).alias("at"),
+        )
+        placed = ranked.join(takes, ["length", "rank"])
+    else:
+        placed = ranked.withColumn("sequence", F.lit(0).cast("long")).withColumn("at", F.lit(0).cast("long"))
     # whole sequences are numbered after the others by their rows, which are unique
-    full = sized.where(F.col("size") >= length).select("row", (F.lit(opened) + F.col("row")).alias("sequence"), F.lit(0).cast("long").alias("at"))
-    return placed.unionByName(full)
+    full = sized.where(F.col("length") >= length).withColumn("sequence", F.lit(opened) + F.col("row")).withColumn("at", F.lit(0).cast("long"))
+    return placed.drop("rank").unionByName(full)
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, length: int = LENGTH) -> DataFrame:
@@ -299,9 +338,9 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
 
 def placed(cut: DataFrame, length: int = LENGTH) -> DataFrame:
-    """pieces() with sequence_id and offset."""
-    spots = place(cut.select("row", F.col("length").alias("size"), "id", "version", "piece"), length)
-    return cut.join(spots.select("row", F.col("sequence").alias("sequence_id"), F.col("at").alias("offset")), "row")
+    """pieces() with sequence_id and offset. Ids, if there, are joined again after the placing."""
+    spots = place(cut.drop("ids"), length).withColumnRenamed("sequence", "sequence_id").withColumnRenamed("at", "offset")
+    return spots.join(cut.select("row", "ids"), "row") if "ids" in cut.columns else spots
 
 
 def sequences(cut: DataFrame, length: int = LENGTH, dtype: str = "<u2") -> DataFrame:
