@@ -1,5 +1,8 @@
 """Operators that learn: held-out quality, exact parts, and edge cases."""
 
+import os
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -9,6 +12,7 @@ from tidemark.llm.bindings import Q
 from . import brute
 
 WIDER = "/root/testdata/sf0.01"
+ROOT = Path(__file__).parents[2]
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -60,6 +64,112 @@ def test_scores_at_the_edges(edge_docs, edge_texts):
     assert log_bilinear.score(edge_docs.where("false")).count() == 0
 
 
+@pytest.fixture(scope="module")
+def fitted(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("crc32(CAST(doc_id AS string)) % 7 <> 2")
+    return log_bilinear.fit(docs, log_bilinear.token_counts(docs))
+
+
+def plain_log10(model, hashes, n_known):
+    """log10 of a text's tokens one by one, from the fitted numbers alone. hashes: of its tokens."""
+    exp, dot = np.exp, lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b))
+    size = log_bilinear.SIZE
+    own = {int(h): i for i, h in enumerate(model.classes)}
+    word = {int(h): i for i, h in enumerate(model.words)}
+    counts = {int(h): int(n) for h, n in zip(model.hashes, model.counts)}
+    m, v, total, latest = model.model, len(own) + 1, 0.0, [len(own) + 1] * 2
+    others = model.rest_total + model.rest_distinct + 1
+    for h in map(int, hashes):
+        context = m.words[latest[0]] * m.scales[0] + m.words[latest[1]] * m.scales[1]
+        scores = m.outputs @ context + m.biases
+        k = own.get(h, v - 1)
+        p = float(exp(scores[k] - scores.max()) / exp(scores - scores.max()).sum())
+        if k == v - 1:
+            centre = model.middle[int(((model.middle - context) ** 2).sum(axis=1).argmin())]
+            level = model.weights[:, :size].astype(float) @ centre + model.weights[:, size]
+            p *= float(exp(level[word.get(h, len(word))]) / exp(level).sum())
+            if h not in word:
+                p *= (counts.get(h, n_known.get(h, 0)) + 1) / others
+        else:
+            latest = [latest[1], k]
+        total += np.log10(p)
+    return total
+
+
+def test_scores_equal_a_plain_forward_pass(spark, sf, fitted, plain_texts):
+    import pyarrow as pa
+
+    texts = {i: t for i, t in list(plain_texts.items())[:25] if t is None or len(t) < 3000}
+    splitter = log_bilinear.Splitter(log_bilinear.SPACED)
+    tokens = lambda t: log_bilinear.tokens_of(pa.array([t], pa.string()), splitter)[0]
+    all_counts = {}
+    for i, t in plain_texts.items():
+        if brute.fold(i, 7) != 2:
+            for h in map(int, tokens(t)):
+                all_counts[h] = all_counts.get(h, 0) + 1
+    got = {r.doc_id: r.score for r in Q["op10_log_bilinear"](spark, sf).collect()}
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(plain_log10(fitted, tokens(t), all_counts), rel=2e-3)
+
+
+def test_all_tokens_share_one(fitted):
+    """Classes, words, and the rest with an unseen token: probabilities after some text sum to 1."""
+    start = np.concatenate([fitted.classes[:2], fitted.words[:1], fitted.classes[5:6]])
+    every = np.concatenate([fitted.classes, fitted.words, np.array([1], np.uint64)])
+    total = 0.0
+    for token in every:
+        logs, rest = fitted.log_probabilities(np.append(start, token), np.array([0, len(start) + 1]))
+        assert rest[-1] == (token == 1)
+        total += np.exp(logs[-1])
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_the_vocabulary_grows(fitted, spark):
+    docs = spark.read.parquet(f"{WIDER}/documents.parquet")
+    counts = log_bilinear.token_counts(docs)
+    more = log_bilinear.most_frequent(counts, log_bilinear.SHIPPED)[0]
+    assert len(more) > 1.5 * len(fitted.hashes) and len(more) == counts.where("c > 1").count()
+
+
+def test_held_out_texts_are_likelier_than_by_unigrams(spark):
+    rows = [r for r in Q["op10_log_bilinear"](spark, WIDER).collect() if r.held_out]
+    n = sum(r.n_tokens for r in rows)
+    assert sum(r.score for r in rows) / n > sum(r.base_score for r in rows) / n + 0.1
+
+
+def test_words_learn_their_states():
+    """Words that occur in one state get most of its probability, exactly as often as they occur in all."""
+    rng = np.random.default_rng(6)
+    middle = rng.normal(0, 1, (4, log_bilinear.SIZE))
+    n = np.kron(np.eye(4), np.ones((5, 1))) * 40 + 1
+    weights = log_bilinear.estimate(n, n.sum(axis=0), middle)
+    norm = log_bilinear.normalisers(weights, middle)
+    p = np.exp(middle @ weights[:, :-1].T + weights[:, -1] - norm[:, None])
+    assert p.sum(axis=1) == pytest.approx(1) and all(p[s, 5 * s : 5 * s + 5].sum() > 0.7 for s in range(4))
+
+
+@pytest.mark.parametrize("name", ["op10_log_bilinear", "op5_compression_classifier"])
+def test_workers_need_no_package_on_their_path(sf, tmp_path, name):
+    """Started outside the folder, with nothing on the path: executors get what they need by value."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / 'shared')!r}).getOrCreate()
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry", {str(ROOT / '__spark_entry__.py')!r})
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+print("rows", entry.queries()[{name!r}](spark, {sf!r}).count())
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     noise = rng.random(40)

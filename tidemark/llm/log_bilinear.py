@@ -1,26 +1,36 @@
-"""Language-model scores by a log-bilinear neural model.
-
-The model predicts a token's class from the two before it. Classes are the `VOCABULARY` - 1 most
-frequent tokens and one for all others, each with an output vector and a bias; a context vector is
-the sum of its words' vectors, scaled per position. It is trained in numpy with noise-contrastive
-estimation: executors run over the corpus's counted class triples, a stochastic gradient each from
-the same start, and the results are averaged, weighted by tokens, for a few rounds. Probabilities
-are normalised exactly, by matrix products over all classes for each distinct context of a batch.
-A token outside the vocabulary gets its class's probability times its add-one share among such
-tokens, so that the probabilities of all tokens, an unseen one included, sum to 1.
+"""Language-model scores by a log-bilinear neural model with two levels of words.
+
+Classes are the `TOP` most frequent tokens and one for all others. The model predicts a token's
+class from the two latest tokens before it that have a class of their own: a context vector is the
+sum of their vectors, scaled per position, and a class's score its product with the class's output
+vector plus a bias. Within the class of all others every token with a count of two or more, `SHIPPED`
+at most, has an output vector and bias of its own, and one more word stands for the rest; they are
+scored in the same way, with the context's vector taken as the nearest of `STATES` centres of all
+context vectors. The vocabulary thus grows with the corpus.
+
+Both levels are trained in numpy with noise-contrastive estimation. Classes: executors run over the
+corpus's counted class triples, a stochastic gradient each from the same start, and the results are
+averaged, weighted by tokens, for a few rounds. Words: what the objective needs of a word is how often
+it occurs in each state, and its noise is known in expectation, so every word is a small convex
+problem of its own and words are spread over the executors. Probabilities are normalised exactly, by
+matrix products over all classes for each distinct context of a batch, and over all words for each
+state. A token of the rest gets its word's probability times its add-one share among such tokens, so
+that the probabilities of all tokens, an unseen one included, sum to 1.
 
 Counts cover every training document. Tokens are 64-bit hashes. Scoring a text needs its tokens'
-counts: the most frequent tokens' (at most `SHIPPED`, a proven bound) are sent to the executors;
-rarer ones are counted per document and joined, which spreads evenly as frequent ones are gone.
-
-Defined results: a null or empty text is one end token; without training documents every count is 0
-and the model is the uniform start. Rows are scored each, repeated ones alike. Null keys train as
-an empty key's text does. Extra columns are not looked at.
+counts: those of the words above (their number is a proven bound) are sent to the executors; rarer
+ones are counted per document and joined, which spreads evenly as frequent ones are gone.
+
+Defined results: a null or empty text is one end token; a very long text is scored whole; without
+training documents every count is 0 and the model is the uniform start. Of tokens equally frequent
+those of smaller hash become classes; words are kept from a count on, so equal counts are treated
+alike. Rows are scored each, repeated ones alike. Null keys train as an empty key's text does. An
+empty table gives an empty result. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +41,8 @@ from pyspark.sql import types as T
 from tidemark.llm.words import SPACED, Splitter, slices
 from tidemark.plans.skew import materialize
 
-VOCABULARY = 512
+TOP = 511
+STATES = 32
 SIZE = 16
 NOISE = 64
 STEP = 0.3
@@ -39,6 +50,9 @@ ROUNDS = 3
 PASSES = 3  # of each executor over its triples within a round
 MINIBATCH = 1000
 SHIPPED = 500_000
+WORD_NOISE = 25  # noise words for each word of the second level
+SHRINK = 1.0  # pull of a word's vector towards none
+NEWTON = 25  # steps at most; a handful suffice
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x656E64)  # stands for the end of a text; words have mixed hashes
 SLICE = 1 << 21
@@ -82,14 +96,12 @@ class Vocabulary:
         return np.where(found < 0, self.size - 1, found)
 
     def contexts(self, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of the token two before and one before each; `size` stands before a text."""
-        before, last = np.full(len(classes), self.size), np.full(len(classes), self.size)
-        last[1:], before[2:] = classes[:-1], classes[:-2]
-        starts = first[:-1]
-        last[starts] = before[starts] = self.size
-        second = starts[np.diff(first) > 1] + 1
-        before[second] = self.size
-        return before, last
+        """The two latest classes before each token other than the class of all others; `size` stands before a text."""
+        own = np.flatnonzero(classes < self.size - 1)
+        held = np.concatenate([classes[own], [self.size]])  # -1 is the start
+        start = np.repeat(np.searchsorted(own, first[:-1]), np.diff(first))  # own tokens before the text
+        latest = np.searchsorted(own, np.arange(len(classes))) - 1
+        return held[np.where(latest - 1 >= start, latest - 1, -1)], held[np.where(latest >= start, latest, -1)]
 
 
 class Model:
@@ -198,10 +210,10 @@ def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
 
 
 def triples(docs: DataFrame, vocabulary) -> DataFrame:
-    """Counted class triples: triple (an integer code), n."""
+    """Counted class triples: triple (an integer code), n. `vocabulary` is a broadcast of hashes and noise."""
 
     def run(batches):
-        splitter, v = Splitter(SPACED), vocabulary.value
+        splitter, v = Splitter(SPACED), Vocabulary(*vocabulary.value)
         for batch in batches:
             codes = []
             for part in slices(batch, "text", 1 << 19):
@@ -218,12 +230,12 @@ def triples(docs: DataFrame, vocabulary) -> DataFrame:
 def train(counted: DataFrame, vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """The averaged parameters. What comes back to the driver is one model."""
     spark = counted.sparkSession
-    flat = Model(vocabulary.value).flat
+    flat = Model(Vocabulary(*vocabulary.value)).flat
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(flat)
 
         def run(batches, start=start, turn=turn):
-            v = vocabulary.value
+            v = Vocabulary(*vocabulary.value)
             model = Model(v, start.value)
             trainer = Trainer(model, v, turn)
             held = [(b.column("triple").to_numpy(), b.column("n").to_numpy()) for b in batches]  # 16 bytes a triple
@@ -249,43 +261,221 @@ def train(counted: DataFrame, vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     return flat
 
 
+# --- second level ---------------------------------------------------------------------------
+
+
+def centres(model: Model, counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of the context vectors, weighted by how often they occur, and the state of every context.
+
+    Contexts are pairs of classes, (TOP + 2) ** 2 at most, so their counts are few.
+    """
+    v = len(model.biases)
+    met = counted.groupBy(F.floor(F.col("triple") / v).cast("long").alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(met["pair"].to_numpy())
+    pairs, n = met["pair"].to_numpy()[order], met["n"].to_numpy()[order].astype(np.float64)
+    every = np.arange((v + 1) ** 2)
+    vectors = model.context(every // (v + 1), every % (v + 1))
+    if not len(pairs):
+        return np.zeros((1, SIZE)), np.zeros(len(every), dtype=np.int8)
+    k = min(STATES, len(pairs))
+    found = vectors[pairs]
+    chosen = np.random.default_rng(5).choice(len(pairs), size=k, replace=False, p=n / n.sum()) if (n > 0).sum() >= k else np.arange(k)
+    middle = found[chosen]
+    for _ in range(20):
+        state = _nearest(found, middle)
+        weight = np.bincount(state, weights=n, minlength=k)
+        sums = np.stack([np.bincount(state, weights=n * found[:, j], minlength=k) for j in range(SIZE)], axis=1)
+        moved = np.where(weight[:, None] > 0, sums / np.maximum(weight, 1)[:, None], middle)
+        if np.allclose(moved, middle, atol=1e-6):
+            break
+        middle = moved
+    return middle, np.concatenate([_nearest(vectors[i : i + (1 << 16)], middle) for i in range(0, len(every), 1 << 16)]).astype(np.int8)
+
+
+def _nearest(vectors: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    return ((middle**2).sum(axis=1) - 2 * vectors @ middle.T).argmin(axis=1)
+
+
+def word_states(docs: DataFrame, vocabulary, words, states) -> DataFrame:
+    """word (its place; the rest is the last), state, n: where tokens without a class of their own occur."""
+
+    def run(batches):
+        splitter, v, hashes, state_of = Splitter(SPACED), Vocabulary(*vocabulary.value), words.value, states.value
+        for batch in batches:
+            codes = []
+            for part in slices(batch, "text", 1 << 19):
+                tokens, first = tokens_of(part.column("text"), splitter)
+                classes = v.classes(tokens)
+                before, last = v.contexts(classes, first)
+                other = classes == v.size - 1
+                at = _index(hashes, tokens[other])
+                state = state_of[(before * (v.size + 1) + last)[other]].astype(np.int64)
+                codes.append(np.where(at < 0, len(hashes), at) * STATES + state)
+            code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    summed = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return summed.select(F.floor(F.col("code") / STATES).cast("long").alias("word"), (F.col("code") % STATES).cast("int").alias("state"), "n")
+
+
+def estimate(n: np.ndarray, of_state: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Vectors and biases (last column) of words that occur n[word, state] times, by noise-contrastive estimation.
+
+    The noise is WORD_NOISE words for each of the `of_state` tokens of a state, a word's share of it
+    being its share of all tokens; its expectation stands in for draws. Newton steps on every word's
+    objective at once, with a pull of SHRINK towards no vector.
+    """
+    total = max(of_state.sum(), 1.0)
+    share = n.sum(axis=1) / total
+    noise = WORD_NOISE * share[:, None] * of_state  # expected noise by word and state
+    inputs = np.concatenate([middle, np.ones((len(middle), 1))], axis=1)
+    offset = np.log(WORD_NOISE * np.maximum(share, 1e-300))[:, None]
+    weights = np.zeros((len(n), inputs.shape[1]))
+    weights[:, -1] = np.log(np.maximum(share, 1e-300))
+    pull = np.r_[np.full(SIZE, SHRINK), 1e-6]
+    rest = weights[:, -1].copy()
+    for _ in range(NEWTON):
+        p = 1 / (1 + np.exp(-np.clip(weights @ inputs.T - offset, -30, 30)))
+        centred = weights.copy()
+        centred[:, -1] -= rest
+        gradient = (n * (1 - p) - noise * p) @ inputs - pull * centred
+        curve = np.einsum("ws,si,sj->wij", (n + noise) * p * (1 - p), inputs, inputs, optimize=True) + np.diag(pull)
+        step = np.linalg.solve(curve, gradient[:, :, None])[:, :, 0]
+        step *= np.minimum(1.0, 2.0 / np.maximum(np.abs(step).max(axis=1), 1e-12))[:, None]
+        weights += step
+        if len(step) == 0 or np.abs(step).max() < 1e-6:
+            break
+    return weights
+
+
+def word_weights(counted: DataFrame, of_state: np.ndarray, middle: np.ndarray, n_words: int) -> np.ndarray:
+    """A row of SIZE + 1 numbers for each of `n_words` words; words are worked out on the executors."""
+    per_word = counted.groupBy("word").agg(F.collect_list(F.struct("state", "n")).alias("held"))  # STATES entries at most
+    spark = counted.sparkSession
+    shipped = spark.sparkContext.broadcast((of_state, middle))
+
+    def run(batches):
+        of_state, middle = shipped.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                held = part.column("held")
+                row = np.repeat(np.arange(part.num_rows), np.diff(held.offsets.to_numpy()))
+                flat = held.flatten()
+                n = np.zeros((part.num_rows, len(middle)))
+                n[row, flat.field("state").to_numpy()] = flat.field("n").to_numpy()
+                weights = estimate(n, of_state, middle).astype(np.float32)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(weights.ravel()), weights.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column("word"), lists], names=["word", "weights"])
+
+    found = per_word.mapInArrow(run, "word long, weights array<float>").toArrow()
+    out = np.zeros((n_words, SIZE + 1), dtype=np.float32)
+    out[:, -1] = -np.inf
+    if found.num_rows:
+        out[found["word"].to_numpy()] = found["weights"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE + 1)
+    return out
+
+
+def normalisers(weights: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Log sums over all words for each state, by blocks of words."""
+    out = np.full(len(middle), -np.inf)
+    for i in range(0, len(weights), 1 << 16):
+        part = weights[i : i + (1 << 16)].astype(np.float64)
+        out = np.logaddexp(out, np.logaddexp.reduce(middle @ part[:, :SIZE].T + part[:, SIZE], axis=1))
+    return np.where(np.isfinite(out), out, 0.0)
+
+
+@dataclass
+class Fitted:
+    """All that scoring needs, as arrays and numbers."""
+
+    hashes: np.ndarray  # of the tokens whose count is known everywhere, ascending
+    counts: np.ndarray
+    classes: np.ndarray  # hashes of the first level, ascending
+    noise: np.ndarray
+    flat: np.ndarray
+    words: np.ndarray  # hashes of the second level, ascending; the rest comes after them
+    weights: np.ndarray
+    norm: np.ndarray  # log sums over all words, by state
+    middle: np.ndarray
+    state_of: np.ndarray
+    total: int  # training tokens, and how many distinct
+    distinct: int
+    rest_total: int  # of these, those of the rest
+    rest_distinct: int
+
+    def __post_init__(self):
+        self.vocabulary = Vocabulary(self.classes, self.noise)
+        self.model = Model(self.vocabulary, self.flat)
+
+    def log_probabilities(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of each token's probability, but for its share of the rest, and whether it belongs there."""
+        v = self.vocabulary
+        classes = v.classes(tokens)
+        before, last = v.contexts(classes, first)
+        logs = self.model.log_probabilities(before, last, classes)
+        other = np.flatnonzero(classes == v.size - 1)
+        at = _index(self.words, tokens[other])
+        rest = np.zeros(len(tokens), dtype=bool)
+        rest[other] = at < 0
+        weights = self.weights[np.where(at < 0, len(self.words), at)]
+        state = self.state_of[before[other] * (v.size + 1) + last[other]]
+        score = np.einsum("ij,ij->i", weights[:, :SIZE].astype(np.float64), self.middle[state]) + weights[:, SIZE]
+        logs[other] += score - self.norm[state]
+        return logs, rest
+
+
+def fit(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Fitted:
+    """The model of rows with a column text, whose token_counts are given."""
+    spark = training.sparkSession
+    total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).head())
+    hashes, n = most_frequent(counts, SHIPPED)
+    top = np.zeros(len(hashes), dtype=bool)
+    top[np.lexsort((hashes, -n))[:TOP]] = True
+    shares = np.concatenate([n[top], [total - n[top].sum()]]) + 1.0
+    classes, noise, words = hashes[top], shares / shares.sum(), hashes[~top]
+    vocabulary = spark.sparkContext.broadcast((classes, noise))
+    counted = materialize(triples(training, vocabulary), "triples")
+    flat = train(counted, vocabulary, rounds)
+    middle, state_of = centres(Model(Vocabulary(classes, noise), flat), counted)
+    second = word_states(training, vocabulary, spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(state_of))
+    second = materialize(second, "word_states")
+    of_state = np.zeros(len(middle))
+    for r in second.groupBy("state").agg(F.sum("n").alias("n")).collect():  # a row per state
+        of_state[r["state"]] = r["n"]
+    weights = word_weights(second, of_state, middle, len(words) + 1)
+    if np.isneginf(weights[-1, -1]):  # no token of the rest was met; one may be when scoring
+        weights[-1, -1] = -np.log(of_state.sum() + 1)
+    norm = normalisers(weights, middle)
+    return Fitted(hashes, n, classes, noise, flat, words, weights, norm, middle, state_of, total, distinct, int(total - n.sum()), int(distinct - len(n)))
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     training = slim.where(~held_out(F.col("id")))
     counts = materialize(token_counts(training), "token_counts")
-    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).head())
-    frequent, frequent_n = most_frequent(counts, SHIPPED)
-
-    top = np.lexsort((frequent, -frequent_n))[: VOCABULARY - 1]
-    top = np.sort(top)
-    in_model = int(frequent_n[top].sum())
-    shares = np.concatenate([frequent_n[top], [total - in_model]]) + 1.0
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(frequent[top], shares / shares.sum()))
-    counted = materialize(triples(training, vocabulary), "triples")
-    flat = spark.sparkContext.broadcast(train(counted, vocabulary, rounds))
-    shipped = spark.sparkContext.broadcast((frequent, frequent_n))
-
-    all_of = float(total + distinct + 1)  # base: (c + 1) / (N + V + 1)
-    others_of = float(total - in_model + distinct - len(top) + 1)  # among tokens outside the model's classes
+    fitted = fit(training, counts, rounds)
+    total = fitted.total
+    # plain arrays: an executor unpickles a broadcast without this package at hand
+    arrays = spark.sparkContext.broadcast(tuple(getattr(fitted, f.name) for f in fields(Fitted)))
+    all_of = float(fitted.total + fitted.distinct + 1)  # base: (c + 1) / (N + V + 1)
+    others_of = float(fitted.rest_total + fitted.rest_distinct + 1)  # among tokens of the rest
 
     def run(batches):
-        splitter, v = Splitter(SPACED), vocabulary.value
-        model = Model(v, flat.value)
-        hashes, n = shipped.value
+        splitter, model = Splitter(SPACED), Fitted(*arrays.value)
+        hashes, n = model.hashes, model.counts
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 tokens, first = tokens_of(part.column("text"), splitter)
                 rows = len(first) - 1
                 doc = np.repeat(np.arange(rows), np.diff(first))
-                classes = v.classes(tokens)
-                logs = model.log_probabilities(*v.contexts(classes, first), classes) / np.log(10)
+                logs = model.log_probabilities(tokens, first)[0] / np.log(10)
                 at = _index(hashes, tokens)
                 known = at >= 0
                 c = np.where(known, n[at] if len(n) else 0, 0)
                 base = np.where(known, np.log10((c + 1) / all_of), 0.0)
-                share = np.where(known & (classes == v.size - 1), np.log10((c + 1) / others_of), 0.0)
                 rare = np.flatnonzero(~known)
                 pair = np.lexsort((tokens[rare], doc[rare]))
                 rare_doc, rare_token = doc[rare][pair], tokens[rare][pair]
@@ -295,7 +485,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
                 times = np.diff(np.concatenate([starts, [len(pair)]]))
                 offsets = pa.array(np.searchsorted(rare_doc[starts], np.arange(rows + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (rare_token[starts].view(np.int64), times.astype(np.int64))]
-                sums = [np.bincount(doc, weights=x, minlength=rows) for x in (known, base, logs + share)]
+                sums = [np.bincount(doc, weights=x, minlength=rows) for x in (known, base, logs)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("id"), pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)),
                      pa.array(sums[1]), pa.array(sums[2]), *lists],
