@@ -169,6 +169,63 @@ def test_short_notices_one_after_the_other(spark):
         assert r.score == 1.0
 
 
+def plain_labels(text, notices=None):
+    """Labels and largest cover by diagonals worked out in plain loops."""
+    words, phrases = brute.alnum(text), [(label, t) for t, label in license_scan.PHRASES]
+    labels, score = set(), 0.0
+    for label, notice in phrases:
+        q = brute.alnum(notice)
+        if any(words[i : i + len(q)] == q for i in range(len(words))):
+            labels.add(label)
+            score = 1.0
+        else:  # a phrase of three words has one run, of two words a pair: no part counts
+            score = max(score, 0.0)
+    for label, notice in license_scan.NOTICES:
+        q = brute.alnum(notice)
+        runs = len(q) - license_scan.GRAM + 1
+        on = {}
+        for p in range(len(words) - license_scan.GRAM + 1):
+            for j in range(runs):
+                if words[p : p + license_scan.GRAM] == q[j : j + license_scan.GRAM]:
+                    on.setdefault(p - j, set()).add((p, j))
+        chains = []
+        for d in sorted(on):
+            if chains and d - chains[-1][-1] <= license_scan.MAX_SHIFT:
+                chains[-1].append(d)
+            else:
+                chains.append([d])
+        alone = [[d] for d in on if len(on[d]) >= license_scan.MIN_COVER * runs]
+        for chain in chains + alone:
+            held = set().union(*(on[d] for d in chain))
+            cover = len({j for _, j in held}) / runs
+            stretch = max(p for p, _ in held) + license_scan.GRAM - min(p for p, _ in held)
+            score = max(score, cover)
+            if cover >= license_scan.MIN_COVER and stretch <= license_scan.MAX_STRETCH * len(q):
+                labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_equal_plain_loops(spark, sf, plain_texts, edge_docs, edge_texts):
+    for rows, texts in ((Q["op8_license_scan"](spark, sf).collect(), plain_texts), (license_scan.scan(edge_docs).collect(), edge_texts)):
+        for i, r in by_id(rows).items():
+            if len(texts[i] or "") < 20_000:
+                assert (r.labels, pytest.approx(r.score)) == plain_labels(texts[i])
+
+
+def test_a_repeated_part_of_a_notice_is_no_notice(spark):
+    texts = ["licensed under cc " * n for n in (1, 4, 50)] + ["Licensed under CC BY-NC 4.0. " * n for n in (1, 4, 50)]
+    rng = np.random.default_rng(9)
+    for _, notice in license_scan.NOTICES:
+        words = notice.split()
+        for _ in range(3):
+            at = sorted(rng.choice(len(words) + 1, 2, replace=False))
+            texts.append(" ".join(words[: at[0]] + ["other"] + words[at[0] : at[1]] * int(rng.integers(1, 4)) + words[at[1] :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert got[1].labels == got[2].labels == "" and got[4].labels == got[5].labels == "cc-by-nc"
+    assert {i: (r.labels, pytest.approx(r.score)) for i, r in got.items()} == {i: plain_labels(t) for i, t in enumerate(texts)}
+
+
 # --- quality rules ---
 
 
@@ -195,7 +252,7 @@ def test_expectation_maximisation(spark, sf):
     model = quality_rules.fit(voted)
     rows = [[r[f"vote_{n}"] for n in quality_rules.RULES] for r in voted.select(*[f"vote_{n}" for n in quality_rules.RULES]).collect()]
     p = [0.95 if r.count(0) == 0 else 0.5 if r.count(0) == 1 else 0.05 for r in rows]
-    for _ in range(quality_rules.ROUNDS):
+    for _ in range(2000):
         good = (sum(p) + 1) / (len(p) + 2)
         chance = []
         for j in range(len(quality_rules.RULES)):
@@ -211,9 +268,12 @@ def test_expectation_maximisation(spark, sf):
                     on_bad *= chance[2 * j] if v == 0 else 1 - chance[2 * j]
                     on_good *= chance[2 * j + 1] if v == 0 else 1 - chance[2 * j + 1]
             following.append(on_good / (on_good + on_bad))
+        still = max(abs(a - b) for a, b in zip(p, following)) < 1e-10
         p = following
-    assert model.good == pytest.approx(good, abs=1e-6)
-    assert [x for pair in model.bad_vote.values() for x in pair] == pytest.approx(chance, abs=1e-6)
+        if still:
+            break
+    assert model.good == pytest.approx(good, abs=1e-4)
+    assert [x for pair in model.bad_vote.values() for x in pair] == pytest.approx(chance, abs=1e-3)
 
 
 def test_kept_documents_keep_their_columns(edge_docs):
@@ -278,8 +338,9 @@ def check_mix(rows, sizes_of):
         own = [r for r in rows if r.source == source]
         assert all(r.source_size == size and r.target == pytest.approx(targets[source]) for r in own)
         assert all(r.taken in (0, r.size, 2 * r.size) for r in own)
-        left = [r.size for r in own if r.taken < 2 * r.size] or [0]
-        assert abs(sum(r.taken for r in own) - targets[source]) <= max(max(left), 1)
+        left = [r.size for r in own if r.size and r.taken < (targets[source] // max(size, 1) + 1) * r.size] or [max(r.size for r in own)]
+        # nothing that is left would bring the source nearer
+        assert abs(sum(r.taken for r in own) - targets[source]) <= max(min(left), 1)
     assert all(r.size == sizes_of(r) for r in rows)
 
 
@@ -407,6 +468,79 @@ def test_a_small_bad_branch_among_many_is_rejected(spark):
     assert {r.path.split("/")[1] for r in rows if r.verdict == "block"} == {"spam"}
 
 
+def test_a_bad_branch_of_few_pages_is_rejected(spark):
+    """Eleven branches of 19 pages, one with bad labels only."""
+    pages = [(i, f"http://h.org/{'spam' if i % 11 == 4 else f'part{i % 11}'}/{i}") for i in range(209)]
+    labels = [(i, 0 if i % 11 == 4 else 1) for i in range(209)]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {(r.template, r.verdict) for r in rows} == {("/spam/*", "block"), ("/*/*", "allow")}
+
+
+def plain_templates(rows):
+    """{page: template}; rows: [(page, host, path, good or None)], by recursion over branches."""
+    from math import comb
+
+    out = {}
+
+    def chance(n, x, total, hits):
+        terms = {k: comb(hits, k) * comb(total - hits, n - k) / comb(total, n) for k in range(max(0, n - total + hits), min(n, hits) + 1)}
+        return min(1.0, 2 * sum(p for k, p in terms.items() if (k >= x if x * total >= n * hits else k <= x)))
+
+    def grow(held, level, template):
+        for page, path, _ in held:
+            if len(path) <= level:
+                out[page] = template
+        held = [r for r in held if len(r[1]) > level]
+        known = [g for *_, g in held if g is not None]
+        if not known or min(known) == max(known):
+            for page, path, _ in held:
+                out[page] = template + "/*" * (len(path) - level)
+            return
+        branches = {}
+        for r in held:
+            branches.setdefault(r[1][level], []).append(r)
+        counts = {s: [g >= 0.5 for *_, g in b if g is not None] for s, b in branches.items()}
+        tested = sum(1 for c in counts.values() if c)
+        total, hits = sum(map(len, counts.values())), sum(map(sum, counts.values()))
+        kept = {s for s, c in counts.items() if c and 0 < hits < total and tested * chance(len(c), sum(c), total, hits) <= url_filter.CHANCE}
+        for s in kept:
+            grow(branches[s], level + 1, f"{template}/{s}")
+        grow([r for s, b in branches.items() if s not in kept for r in b], level + 1, f"{template}/*")
+
+    hosts = {}
+    for page, host, path, good in rows:
+        hosts.setdefault(host, []).append((page, [s for s in path.split("/") if s], good))
+    for held in hosts.values():
+        grow(held, 0, "")
+    return out
+
+
+@pytest.mark.parametrize("written", [16, 2])
+def test_learned_verdicts_equal_a_plain_tree(spark, monkeypatch, written):
+    monkeypatch.setattr(url_filter, "WRITTEN_LEVELS", written)
+    rng = np.random.default_rng(8)
+    bad = {"/spam", "/a/x", "/b/b/b/y"}
+    pages, labels = [], []
+    for i in range(1500):
+        path = "".join(f"/{rng.choice(['a', 'b', 'spam', 'x', 'y', str(i)])}" for _ in range(rng.integers(0, 6)))
+        pages.append((i, f"s://h{rng.integers(0, 3)}.org{path}"))
+        if rng.random() < 0.7:
+            labels += [(i, int(rng.random() > (0.9 if any(path.startswith(b) for b in bad) else 0.1)))] * (1 + (i % 50 == 0))
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    good = dict(labels)
+    expected = plain_templates([(i, *brute.split_url(u), good.get(i)) for i, u in pages])
+    assert {r.page_id: r.template for r in rows} == expected
+    overall = np.mean(list(good.values()))
+    of = {}
+    for i, u in pages:
+        of.setdefault((brute.split_url(u)[0], expected[i]), []).extend([good[i]] if i in good else [])
+    purity = {k: (sum(v) + url_filter.SMOOTHING * overall) / (len(v) + url_filter.SMOOTHING) for k, v in of.items()}
+    for r in rows:
+        if r.rule is None:
+            assert r.verdict == ("block" if purity[r.host, r.template] < url_filter.MIN_PURITY else "allow")
+    assert {r.verdict for r in rows if r.rule is None} == {"block", "allow"}
+
+
 def test_siblings_that_differ_by_chance_are_merged(spark):
     rng = np.random.default_rng(5)
     pages = [(i, f"http://h.org/part{i % 300}/{i}") for i in range(9000)]

@@ -29,7 +29,7 @@ def test_stages(spark, sf, tmp_path):
         assert n >= 20 and 100 * repeated <= 30 * n
     assert len(ruled) > 0.7 * len(raw)
 
-    groups = brute.near_duplicates({r.doc_id: r.text for r in ruled})
+    groups = brute.near_duplicates({r.doc_id: r.text for r in ruled}, 80)
     assert ids(single) == sorted(i for i, (_, _, kept) in groups.items() if kept)
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -69,6 +69,16 @@ def test_near_duplicates_from_four_fifths(spark):
     assert {r.doc_id for r in minhash_dedup.keep_one(docs, percent=80).collect()} == kept[80]
 
 
+def test_stages_at_the_edges(spark, sf, edge_docs):
+    """Nulls, empty and very long texts, repeated rows, clashing names; and no rows at all."""
+    for docs in (edge_docs, edge_docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, docs, sf)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert made.columns == docs.columns
+            assert (made.count() > 0) == (docs is edge_docs)
+
+
 def test_bands_follow_the_threshold():
     for percent in (50, 70, 80, 85, 95, 100):
         assert (1 - (percent / 100) ** minhash_dedup.ROWS) ** minhash_dedup.bands_for(percent) < 1e-5

@@ -7,12 +7,14 @@ total is turned into a probability by logistic calibration on labelled texts tha
 have not seen.
 
 Bounded samples: about `SAMPLE_TEXTS` labelled texts of each side for the dictionaries, at most half
-of those there are, with `SAMPLE_PIECES` pieces from each, and about `CALIBRATION_TEXTS` others, all
-chosen by a hash of the key. Everything else reads every row.
+of those there are and at most `SAMPLE_BYTES` together, taken whole in the order of a hash of their
+key, and about `CALIBRATION_TEXTS` others. Everything else reads every row.
 
 Defined results: null and empty texts score the share of good labels; with labels of one kind only
-every text scores that share smoothed, (good + 1) / (labels + 2). Labels without a document do not
-count; repeated rows are scored each. Extra columns are not looked at.
+every text scores that share smoothed, (good + 1) / (labels + 2). A very long text is scored whole,
+piece by piece; as a sample it counts whole or, above an eighth of `SAMPLE_BYTES`, not. Labels without
+a document do not count; a key with several labels counts with each; repeated rows are scored each,
+and texts alike score alike. An empty table gives an empty result. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_TEXTS = 4000
-SAMPLE_PIECES = 4
+SAMPLE_BYTES = 16 << 20  # of each side
 CALIBRATION_TEXTS = 6000
 PIECE = 512
 DICTIONARY = 112_640
@@ -114,15 +116,14 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         share = [min(0.5, SAMPLE_TEXTS / c) for c in n]
         mine = F.when(F.col("y") == 1, share[1]).otherwise(share[0])
         learn = known.where(_chance(F.col("id"), 1) < mine)  # its expected size is bounded, so it may be broadcast
-        # pieces from places spread by a hash over the text
-        room = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
-        places = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda i: F.pmod(F.xxhash64(F.col("id"), i), room).cast("int") + 1)
-        cut = slim.join(F.broadcast(learn), "id").select(
-            "y", F.explode(F.array_distinct(F.transform(places, lambda p: F.substring(F.col("text"), p, F.lit(PIECE))))).alias("piece")
-        )
+        order = [_chance(F.col("id"), 1), F.col("id"), F.xxhash64("text")]
+        sample = slim.join(F.broadcast(learn), "id").withColumn("size", F.octet_length("text")).where(f"size BETWEEN 1 AND {SAMPLE_BYTES // 8}")
+        along = Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        sample = sample.withColumn("sum", F.sum("size").over(along)).where(F.col("sum") <= SAMPLE_BYTES)
         pieces: tuple[list[bytes], list[bytes]] = ([], [])
-        for row in sorted(cut.where("piece <> ''").collect()):
-            pieces[row["y"]].append(row["piece"].encode())
+        for row in sample.orderBy("y", *order).select("y", "text").collect():  # bounded by SAMPLE_BYTES
+            raw = row["text"].encode()
+            pieces[row["y"]].extend(raw[i : i + PIECE] for i in range(0, len(raw), PIECE))
         if all(pieces):
             model = spark.sparkContext.broadcast(tuple(_dictionary(p).as_bytes() for p in pieces))
             rest = known.where((_chance(F.col("id"), 1) >= mine) & (_chance(F.col("id"), 2) < CALIBRATION_TEXTS / sum(n)))

@@ -4,13 +4,15 @@ Built from DataFrame functions alone. Every run of `GRAM` words of a text is joi
 the places of known notices (a fixed list, so that side is broadcast), and equal words confirm each
 hit. A hit at text place p and notice place q lies on the diagonal p - q; an undisturbed copy of a
 notice puts all its hits on one diagonal, and each inserted or lost word shifts the rest to a
-neighbouring one. Hits are counted per diagonal, neighbouring diagonals are merged, and a merged
-span counts when it covers enough of the notice without being much longer than it. A diagonal that
-covers enough counts alone as well, so copies of a short notice one after the other are all seen.
+neighbouring one. The notice's places that are hit are gathered per diagonal as bits, neighbouring
+diagonals are merged, and a merged span counts when it covers enough of the notice's places without
+being much longer than it; a place hit again and again is one place. A diagonal that covers enough
+counts alone as well, so copies of a short notice one after the other are all seen.
 
 Short phrases are notices of their own that must match in full; their places are the base result.
 
-Defined results: a null or empty text has no words, no labels and score 0. Rows with equal key and
+Defined results: a null or empty text has no words, no labels and score 0; a very long one is
+searched whole. Labels are sorted, so ties among notices do not matter. Rows with equal key and
 text are searched once and all get the result; a null key is a key like any other. Extra columns
 are not looked at. An empty table gives an empty result.
 """
@@ -26,6 +28,7 @@ GRAM = 3
 MAX_SHIFT = 4  # diagonals at most so far apart are merged
 MIN_COVER = 0.6
 MAX_STRETCH = 1.5
+BITS = 60  # places of a notice in one number
 
 # The phrases of the base result.
 PHRASES = (
@@ -43,6 +46,13 @@ NOTICES = (
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("mit", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
@@ -89,12 +99,22 @@ def hits(docs: DataFrame, key: str, text: str) -> DataFrame:
     return found.select("id", "version", "notice", "label", "phrase", "runs", "size", "q", "p").distinct()
 
 
+def _masks() -> list[str]:
+    """Columns that hold a bit for every place of the longest notice."""
+    longest = max(len(text.split()) for _, text in (*NOTICES, *((label, text) for text, label in PHRASES)))
+    return [f"places_{i}" for i in range(2 * longest // BITS + 1)]  # a word may be cut into several
+
+
 def spans(found: DataFrame) -> DataFrame:
     """Merged diagonals, and single ones of enough cover: one row per span of a notice in a text, with its cover, first and last word."""
+    masks = _masks()
+    bits = [F.bit_or(F.when(F.floor(F.col("q") / BITS) == i, F.expr(f"shiftleft(1L, q % {BITS})")).otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(masks)]
+    covered = sum((F.bit_count(m) for m in masks), F.lit(0))
     diagonals = (
         found.withColumn("diagonal", F.col("p") - F.col("q"))
         .groupBy("id", "version", "notice", "label", "phrase", "runs", "size", "diagonal")
-        .agg(F.count("*").alias("n"), F.min("p").alias("first"), F.max("p").alias("last"))
+        .agg(*bits, F.min("p").alias("first"), F.max("p").alias("last"))
+        .withColumn("n", covered)
     )
     along = Window.partitionBy("id", "version", "notice").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along)) > F.when(F.col("phrase"), 0).otherwise(MAX_SHIFT), F.lit(True))
@@ -104,9 +124,9 @@ def spans(found: DataFrame) -> DataFrame:
     chain, single = F.struct(F.lit(False).alias("single"), F.col("span").alias("at")), F.struct(F.lit(True).alias("single"), F.col("diagonal").cast("long").alias("at"))
     numbered = numbered.withColumn("span", F.explode(F.when(alone, F.array(chain, single)).otherwise(F.array(chain))))
     merged = numbered.groupBy("id", "version", "notice", "label", "phrase", "runs", "size", "span").agg(
-        F.sum("n").alias("n"), F.min("first").alias("first"), (F.max("last") + F.least(F.lit(GRAM), F.first("size")) - 1).alias("last")
+        *[F.bit_or(m).alias(m) for m in masks], F.min("first").alias("first"), (F.max("last") + F.least(F.lit(GRAM), F.first("size")) - 1).alias("last")
     )
-    return merged.withColumn("cover", F.least(F.lit(1.0), F.col("n") / F.col("runs")))
+    return merged.withColumn("cover", covered / F.col("runs"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

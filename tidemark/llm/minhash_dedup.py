@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import small_batches
+from tidemark.llm.text import packed, small_batches, unpacked
 from tidemark.llm.words import SPACED, Splitter, draws, grams, mix, slices
 from tidemark.plans.skew import materialize
 
@@ -274,8 +274,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group left: the smallest key's, and of its repeated rows one."""
-    gone = near_duplicates(docs, key, text, percent).where("NOT kept").select("id", "version").distinct()
-    gone = gone.select(F.col("id").alias("_gone_id"), F.col("version").alias("_gone_version"))
-    mine, version = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
-    left = docs.join(gone, (mine == F.col("_gone_id")) & (version == F.col("_gone_version")), "left_anti")
-    return left.where(mine.isNotNull()).dropDuplicates([key, text]).unionByName(docs.where(mine.isNull()))
+    found = near_duplicates(docs, key, text, percent).where("id IS NOT NULL")
+    # what is not simply kept: rows to go, and rows of equal key and text
+    marks = found.groupBy("id", "version").agg(F.min("kept").alias("kept"), F.count("*").alias("m")).where("NOT kept OR m > 1")
+    marks = materialize(marks.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "kept", "m"), "marks")
+    keyed = packed(docs, id=F.col(f"`{key}`"), version=F.xxhash64(F.col(f"`{text}`")))
+    joined = keyed.join(marks, (F.col("id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left")
+    alone = joined.where("kept IS NULL").select("_row")
+    once = joined.where("kept").dropDuplicates(["id", "version"]).select("_row")
+    return unpacked(alone.unionByName(once))

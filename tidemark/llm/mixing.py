@@ -5,13 +5,14 @@ average. The whole part of that number is taken for certain as whole copies. For
 document gets an inclusion probability (f, or in proportion to a weight column), and documents are
 ranked by random odds over inclusion odds, u / (1 - u) over p / (1 - p). The sample is the head of
 that ranking, its size being fixed in words: documents are taken up to the first that would exceed
-the target; a few further sweeps go on down the ranking among those small enough for what is left.
+the target; further sweeps go on down the ranking among those small enough for what is left, until
+none fits. What a sweep leaves is less than the document it stopped at, so a few do.
 
 u is a hash of the document's key, so reruns agree. The ranking is a running sum over a source that
 may hold a third of all rows: it is cut into ranges of rank, as many as the root of its rows, summed
 per range, and carried on over the range totals.
 
-Defined results: a null text has size 0 and is taken as often as the whole copies say; sources sort
+Defined results: a very long text counts whole, like any other; a null text has size 0 and is taken as often as the whole copies say; sources sort
 by code point, null last and a source like any other; rows of equal key and text are documents of
 their own that rank side by side; an empty table gives an empty result; extra columns pass through
 `mixed` untouched.
@@ -28,7 +29,6 @@ from tidemark.plans.skew import materialize
 WEIGHTS = (5.0, 2.0, 1.0)  # by a source's place, repeating
 SHARE = 1.5
 MOST = 2.0  # times a source's size
-SWEEPS = 4
 BITS = 52
 
 
@@ -126,18 +126,20 @@ def copies(
     rows = materialize(rows.drop("odds", "odds_size", "rows", "ranges"), "ranked")
 
     picked = rows.where("false").select("row", "source", "size")
-    for _ in range(SWEEPS):
+    while True:
         got = picked.groupBy("source").agg(F.sum("size").alias("_got")).withColumnRenamed("source", "_source")
         room = F.col("rest") - F.coalesce("_got", F.lit(0))
         left = rows.where("rest >= 1 AND size > 0").join(picked.select("row"), "row", "left_anti")
         left = left.join(got, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("room", room).where("size <= room")
-        head = _head(left.select("row", "id", "version", "source", "size", "rank", "range", "room"))
+        head = materialize(_head(left.select("row", "id", "version", "source", "size", "rank", "range", "room")), "head")
+        if head.isEmpty():
+            break
         picked = materialize(picked.unionByName(head), "picked")
     # one document more where that brings a source nearer to its target
     got = picked.groupBy("source").agg(F.sum("size").alias("_got")).withColumnRenamed("source", "_source")
     left = rows.where("rest >= 1 AND size > 0").join(picked.select("row"), "row", "left_anti")
     left = left.join(got, F.col("source").eqNullSafe(F.col("_source")), "left").where("size < 2 * (rest - coalesce(_got, 0))")
-    last = left.groupBy("source").agg(F.min(F.struct("size", "rank", "id", "version", "row")).alias("x")).select(F.col("x.row").alias("row"))
+    last = left.groupBy("source").agg(F.min(F.struct("rank", "id", "version", "row")).alias("x")).select(F.col("x.row").alias("row"))
     picked = materialize(picked.select("row").unionByName(last), "picked")
     extra = rows.join(picked.select("row", F.lit(1).alias("more")), "row", "left")
     n = F.col("whole") + F.coalesce("more", F.lit(0))
@@ -152,7 +154,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     per_text = per_text.where("n > 0").select(F.col("id").alias("_id"), F.col("version").alias("_version"), "n", "m")
     keyed = packed(docs, id=F.col(f"`{key}`"), version=F.xxhash64(F.col(f"`{text}`")))
     joined = keyed.join(per_text, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
-    # of rows alike in key and text each takes its part
+    # of rows alike in key and text each takes its part; only those whose parts differ are told apart by a window
+    even = joined.where("n % m = 0").withColumn("times", (F.col("n") / F.col("m")).cast("int"))
     nth = F.row_number().over(Window.partitionBy("id", "version").orderBy(F.xxhash64("_row")))
-    joined = joined.withColumn("times", F.when(F.col("m") == 1, F.col("n")).otherwise(F.floor(F.col("n") / F.col("m")) + (nth <= F.col("n") % F.col("m")).cast("int")))
-    return joined.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("_row.*")
+    uneven = joined.where("n % m > 0").withColumn("times", (F.floor(F.col("n") / F.col("m")) + (nth <= F.col("n") % F.col("m")).cast("int")).cast("int"))
+    taken = even.select("_row", "times").unionByName(uneven.where("times > 0").select("_row", "times"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")

@@ -6,7 +6,7 @@ patterns, whatever the corpus), and expectation-maximisation over that table est
 good documents and, per rule, how often it votes bad on bad and on good documents. A document is
 kept when its posterior probability of being good is at least one half.
 
-Defined results: a null or empty text has no words, gets the base failure of a short text and goes.
+Defined results: a very long text counts whole; a posterior of exactly one half keeps; a null or empty text has no words, gets the base failure of a short text and goes.
 Equal rows get equal results; an empty table gives an empty result. Rows are never joined or
 grouped by document, so ids may repeat or be null, and extra columns may have any name.
 """
@@ -47,7 +47,8 @@ RULES = {
     "common_words": ("n_common", "n_words", "< 0.03", "> 0.1"),
 }
 SMOOTHING = 1.0
-ROUNDS = 25
+CONVERGED = 1e-6  # largest change of a share or chance in a round
+MOST_ROUNDS = 500
 
 
 def _without(text: Column, letters: str) -> Column:
@@ -123,6 +124,11 @@ class Accuracies:
     good: float
     bad_vote: dict[str, tuple[float, float]]
 
+    def distance(self, other: Accuracies) -> float:
+        """The largest difference of two estimates."""
+        mine, theirs = ([m.good, *(x for pair in m.bad_vote.values() for x in pair)] for m in (self, other))
+        return max(abs(a - b) for a, b in zip(mine, theirs))
+
     def log_odds(self) -> Column:
         """Natural log of the odds of being good, given a row's votes."""
         total = F.lit(math.log(self.good / (1 - self.good)))
@@ -139,11 +145,12 @@ class Accuracies:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(voted: DataFrame, rounds: int = ROUNDS) -> Accuracies:
-    """Expectation-maximisation over the counted vote patterns.
+def fit(voted: DataFrame, rounds: int = MOST_ROUNDS) -> Accuracies:
+    """Expectation-maximisation over the counted vote patterns, until the numbers stand still.
 
     Starts from the number of bad votes (none: good with 0.95, one: 0.5, more: 0.05). Each round is
-    one aggregate over at most 3 ** rules rows; only its sums come back.
+    one aggregate over at most 3 ** rules rows; only its sums come back. It ends when no estimate
+    moves by CONVERGED any more, or after `rounds`.
     """
     names = [f"vote_{r}" for r in RULES]
     patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "vote_patterns")
@@ -159,9 +166,11 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> Accuracies:
                 sums.append(F.sum(F.when(F.col(v).isNotNull(), F.col("n") * weight).otherwise(0.0)))
         good, total, *rest = (x or 0.0 for x in p.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).head())
         share = lambda a, b: (a + SMOOTHING) / (b + 2 * SMOOTHING)
-        model = Accuracies(
+        before, model = model, Accuracies(
             share(good, total), {r: (share(*rest[4 * i : 4 * i + 2]), share(*rest[4 * i + 2 : 4 * i + 4])) for i, r in enumerate(RULES)}
         )
+        if model.distance(before) < CONVERGED:
+            break
         probability = model.probability()
     return model
 
@@ -171,15 +180,15 @@ def judged(voted: DataFrame, model: Accuracies) -> DataFrame:
     return voted.withColumn("p_good", model.probability()).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
-def keep_good(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """The documents that pass, with their own columns. Reads the texts twice and shuffles none."""
-    voted = votes(measures(docs, text))
-    # the partition's number keeps the filter above the counts; pushed below, it would repeat them many times over
-    done = judged(voted, fit(voted, rounds)).select("_row", "kept", F.spark_partition_id().alias("_part"))
-    return unpacked(done.where("kept AND _part >= 0"))
+def keep_good(docs: DataFrame, text: str = "text", rounds: int = MOST_ROUNDS) -> DataFrame:
+    """The documents that pass, with their own columns. Counts once, writes votes beside the rows, shuffles no text."""
+    names = [f"vote_{r}" for r in RULES]
+    voted = votes(measures(docs, text)).select("_row", "base_failed", *names)
+    voted = materialize(voted, "voted_rows")
+    return unpacked(judged(voted, fit(voted, rounds)).where("kept"))
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = MOST_ROUNDS) -> DataFrame:
     """Per document: key, base counts, votes, base_failed, p_good, kept."""
     slim = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
     voted = votes(measures(slim)).withColumn(key, F.col(f"_row.{key}")).drop("_row")
