@@ -1,4 +1,8 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and
+columns named like the operators' own; all but the last return their input's columns.
+"""
 
 from __future__ import annotations
 
@@ -9,23 +13,26 @@ from tidemark.llm.bindings import tokenizer
 from tidemark.plans.skew import materialize
 
 
+PERCENT = 80  # of all shingles that near copies share
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null, empty and very short texts go."""
     return quality_rules.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return minhash_dedup.keep_one(docs)
+    """One document of each group of near copies, that of the smallest key; of repeated rows one, of null keys all."""
+    return minhash_dedup.keep_one(docs, percent=PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold benchmark passages."""
+    """Documents that do not hold benchmark passages; without a benchmark all stay, null texts too."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources reach their target weights."""
+    """Documents repeated or left out so that sources reach their target weights; a null source is one of its own."""
     return mixing.mixed(docs)
 
 
