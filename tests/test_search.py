@@ -9,7 +9,7 @@ from tidemark.bindings.tables import embed_hashed, queries
 from tidemark.bindings.tables import corpus as given_corpus
 from tidemark.config import KbConfig, SearchConfig
 from tidemark.functions import text as X
-from tidemark.operators import catalog, index, nearest, search
+from tidemark.operators import catalog, index, nearest, postings, search
 from tidemark.plans.corpus import build_corpus
 from tidemark.plans.retrieval import retrieve
 
@@ -155,6 +155,42 @@ def test_sparse_search_equals_brute_force(spark, sf, monkeypatch, per_parent):
     assert [r[3] for r in joined] == pytest.approx([r[3] for r in whole])
 
 
+@pytest.mark.parametrize("per_parent, limit", [(False, 7), (True, 3), (False, 5000)])
+def test_pruned_search_equals_a_scan(spark, sf, tmp_path, per_parent, limit):
+    built, question = given_corpus(spark, sf), queries(spark, sf)
+    postings.save(postings.cluster(built.terms), str(tmp_path))
+    blocks = postings.read(spark, str(tmp_path))
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["child_id"], round(r["score"], 6)) for r in df.collect())
+    assert rows(postings.search(question, blocks, built.idf, limit, per_parent)) == rows(search.sparse_search(question, built.terms, built.idf, limit, per_parent))
+
+
+def test_asked_terms_are_all_that_is_read(spark, sf, tmp_path):
+    """Files opened and rows scanned follow the terms of the question, not the index."""
+    built = given_corpus(spark, sf)
+    postings.save(postings.cluster(built.terms), str(tmp_path))
+    blocks = postings.read(spark, str(tmp_path))
+    terms = built.idf.orderBy(F.desc("df"), "term").limit(4).select("kb_id", "term")
+    read = postings.named(blocks, terms)
+    plan = read._jdf.queryExecution().toString()
+    assert "PartitionFilters: [folder" in plan and "In(term" in plan
+    assert {r["term"] for r in read.select("term").distinct().collect()} == {r["term"] for r in terms.collect()}
+    assert read.select("folder").distinct().count() <= 4 < blocks.select("folder").distinct().count()
+
+
+def test_weak_blocks_are_left_closed(spark):
+    """A rare term decides; of a term that all children hold only the children found are looked up."""
+    texts = [f"common words {'rare' if i % 500 == 0 else ''} filler{i}" for i in range(2000)]
+    built = build_corpus(docs(spark, *texts))
+    blocks = postings.cluster(built.terms)
+    question = asked(spark, "rare common")
+    found = postings.search(question, blocks, built.idf, 3)
+    expected = search.sparse_search(question, built.terms, built.idf, 3)
+    assert [r["child_id"] for r in found.orderBy("rank").collect()] == [r["child_id"] for r in expected.orderBy("rank").collect()]
+    held = {r["term"]: r["n"] for r in blocks.groupBy("term").agg(F.sum(F.size("held")).alias("n")).collect()}
+    assert held["common"] == 2000 and held["rare"] == 4
+    assert blocks.where("term = 'common'").count() >= 4 and blocks.agg(F.max(F.size("held"))).head()[0] < 2 * postings.BLOCK
+
+
 def test_many_queries_stay_on_the_executors(spark, sf, monkeypatch):
     built, question = given_corpus(spark, sf), queries(spark, sf)
     monkeypatch.setattr(search, "SHIPPED_QUERIES", 1)

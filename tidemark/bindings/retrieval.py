@@ -15,7 +15,7 @@ from tidemark.bindings.tables import (
 from tidemark.config import KbConfig, SearchConfig
 from tidemark.functions import hooks
 from tidemark.functions import text as X
-from tidemark.operators import chunking, index, nearest, search
+from tidemark.operators import chunking, index, nearest, postings, search
 from tidemark.plans.corpus import build_corpus
 from tidemark.plans.retrieval import retrieve
 from tidemark.plans.skew import materialize, spread, written_folder
@@ -449,6 +449,15 @@ def bm25_search(spark, sf):
     return _bm25(spark, sf, corpus(spark, sf))
 
 
+@query("bm25_pruned", _BM25_SQL)
+def bm25_pruned(spark, sf):
+    """The same from stored blocks of postings."""
+    tables, path = corpus(spark, sf), os.path.join(written_folder(spark), f"postings-{uuid.uuid4().hex}")
+    postings.save(postings.cluster(tables.terms), path)
+    found = postings.search(queries(spark, sf), postings.read(spark, path), tables.idf, 10)
+    return found.select("query_id", F.col("rank").cast("long"), "child_id", "parent_id", score())
+
+
 _VECTORS_SQL = f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS child_id,
   round({sql.cosine('a.embedding', 'b.embedding')}, 9) AS score FROM embeddings a, embeddings b)"""
 
