@@ -177,7 +177,7 @@ def test_probabilities_sum_to_one():
     model = log_bilinear.Model(vocabulary)
     model.flat += rng.normal(0, 0.5, len(model.flat))
     model = log_bilinear.Model(vocabulary, model.flat)
-    logs = model.log_probabilities(np.full(40, 3), np.full(40, 40), np.arange(40))
+    logs = model.log_probabilities(np.full(40, 3), np.full(40, 40), np.arange(40), model.normalisers())
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
 
 
@@ -193,4 +193,4 @@ def test_training_learns_what_follows():
         for i in range(0, 4000, 500):
             s = slice(i, i + 500)
             trainer.step(before[s], last[s], target[s], np.ones(500))
-    assert model.log_probabilities(before, last, target).mean() > -np.log(21) + 0.5
+    assert model.log_probabilities(before, last, target, model.normalisers()).mean() > -np.log(21) + 0.5

@@ -13,7 +13,7 @@ corpus's counted class triples, a stochastic gradient each from the same start,
 averaged, weighted by tokens, for a few rounds. Words: what the objective needs of a word is how often
 it occurs in each state, and its noise is known in expectation, so every word is a small convex
 problem of its own and words are spread over the executors. Probabilities are normalised exactly, by
-matrix products over all classes for each distinct context of a batch, and over all words for each
+matrix products over all classes for each of the (TOP + 2) ** 2 contexts, and over all words for each
 state. A token of the rest gets its word's probability times its add-one share among such tokens, so
 that the probabilities of all tokens, an unseen one included, sum to 1.
 
@@ -107,35 +107,46 @@ class Vocabulary:
 class Model:
     """Parameters as one flat array: context vectors, position scales, output vectors, biases."""
 
-    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
+    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None, dtype=np.float64):
         v = vocabulary.size
         shapes = ((v + 1, SIZE), (2, SIZE), (v, SIZE), (v,))
         if flat is None:
             rng = np.random.default_rng(3)
             parts = [rng.normal(0, 0.3, shapes[0]), np.ones(shapes[1]), rng.normal(0, 0.1, shapes[2]), np.log(vocabulary.noise)]
             flat = np.concatenate([p.ravel() for p in parts])
-        self.flat = np.array(flat, dtype=np.float64)
+        self.flat = np.array(flat, dtype=dtype)
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
         self.words, self.scales, self.outputs, self.biases = (p.reshape(s) for p, s in zip(np.split(self.flat, cuts), shapes))
 
     def context(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         return self.words[before] * self.scales[0] + self.words[last] * self.scales[1]
 
-    def log_probabilities(self, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logs, normalised over all classes; each distinct context is worked out once."""
+    def normalisers(self) -> np.ndarray:
+        """Log sums over all classes for every pair of classes before a token, by blocks of pairs."""
         width = len(self.words)
-        pairs, which = np.unique(before * width + last, return_inverse=True)
-        norm = np.empty(len(pairs))
-        for i in range(0, len(pairs), 2048):
-            context = self.context(pairs[i : i + 2048] // width, pairs[i : i + 2048] % width).astype(np.float32)
-            scores = context @ self.outputs.T.astype(np.float32) + self.biases.astype(np.float32)
+        outputs, biases = self.outputs.T.astype(np.float32), self.biases.astype(np.float32)
+        norm = np.empty(width * width)
+        for i in range(0, len(norm), 2048):
+            pair = np.arange(i, min(i + 2048, len(norm)))
+            scores = self.context(pair // width, pair % width).astype(np.float32) @ outputs + biases
             top = scores.max(axis=1)
-            norm[i : i + 2048] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
+            norm[pair] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
+        return norm
+
+    def log_probabilities(self, before: np.ndarray, last: np.ndarray, target: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Natural logs, normalised over all classes."""
         out = np.empty(len(target))
         for i in range(0, len(target), 1 << 16):
             s = slice(i, i + (1 << 16))
             out[s] = (self.context(before[s], last[s]) * self.outputs[target[s]]).sum(axis=1) + self.biases[target[s]]
-        return out - norm[which]
+        return out - norm[before * len(self.words) + last]
+
+
+def _scatter(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of `rows` by `place`, which is below `n`."""
+    width = rows.shape[1]
+    cells = (place[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cells, weights=rows.ravel(), minlength=n * width).reshape(n, width)
 
 
 class Trainer:
@@ -143,31 +154,28 @@ class Trainer:
 
     def __init__(self, model: Model, vocabulary: Vocabulary, seed: int):
         self.model, self.noise = model, vocabulary.noise
-        self.log_noise = np.log(NOISE * vocabulary.noise)
+        self.log_noise = np.log(NOISE * vocabulary.noise).astype(model.flat.dtype)
         self.cumulated = np.cumsum(vocabulary.noise)
         self.rng = np.random.default_rng(seed)
         self.seen = [np.full_like(p, 1e-3) for p in (model.words, model.scales, model.outputs, model.biases)]
 
     def step(self, before: np.ndarray, last: np.ndarray, target: np.ndarray, n: np.ndarray) -> None:
         m = self.model
-        weight = n / n.sum()
+        weight = (n / n.sum()).astype(m.flat.dtype)
         noise = np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1]).clip(0, len(self.noise) - 1)
-        context = m.context(before, last)
-        of_target = (context * m.outputs[target]).sum(axis=1) + m.biases[target] - self.log_noise[target]
-        of_noise = context @ m.outputs[noise].T + m.biases[noise] - self.log_noise[noise]
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        up = weight * (1 - sigmoid(of_target))
-        down = -weight[:, None] * sigmoid(of_noise)
-        to_context = up[:, None] * m.outputs[target] + down @ m.outputs[noise]
-        outputs, biases = np.zeros_like(m.outputs), np.zeros_like(m.biases)
-        np.add.at(outputs, target, up[:, None] * context)
-        np.add.at(outputs, noise, down.T @ context)
-        np.add.at(biases, target, up)
-        np.add.at(biases, noise, down.sum(axis=0))
-        words = np.zeros_like(m.words)
-        np.add.at(words, before, to_context * m.scales[0])
-        np.add.at(words, last, to_context * m.scales[1])
-        scales = np.stack([(to_context * m.words[before]).sum(axis=0), (to_context * m.words[last]).sum(axis=0)])
+        first, second, output, noise_output = m.words[before], m.words[last], m.outputs[target], m.outputs[noise]
+        context = first * m.scales[0] + second * m.scales[1]
+        of_target = np.einsum("ij,ij->i", context, output) + m.biases[target] - self.log_noise[target]
+        of_noise = context @ noise_output.T + (m.biases[noise] - self.log_noise[noise])
+        up = weight * (0.5 - 0.5 * np.tanh(0.5 * of_target))  # 1 - sigmoid
+        down = np.tanh(0.5 * of_noise)
+        down += 1
+        down *= -0.5 * weight[:, None]
+        to_context = up[:, None] * output + down @ noise_output
+        outputs = _scatter(target, up[:, None] * context, len(m.outputs)) + _scatter(noise, down.T @ context, len(m.outputs))
+        biases = np.bincount(target, weights=up, minlength=len(m.biases)) + np.bincount(noise, weights=down.sum(axis=0), minlength=len(m.biases))
+        words = _scatter(before, to_context * m.scales[0], len(m.words)) + _scatter(last, to_context * m.scales[1], len(m.words))
+        scales = np.stack([np.einsum("ij,ij->j", to_context, first), np.einsum("ij,ij->j", to_context, second)])
         for value, gradient, seen in zip((m.words, m.scales, m.outputs, m.biases), (words, scales, outputs, biases), self.seen):
             seen += gradient**2
             value += STEP * gradient / np.sqrt(seen)
@@ -236,7 +244,7 @@ def train(counted: DataFrame, vocabulary, rounds: int = ROUNDS) -> np.ndarray:
 
         def run(batches, start=start, turn=turn):
             v = Vocabulary(*vocabulary.value)
-            model = Model(v, start.value)
+            model = Model(v, start.value, np.float32)
             trainer = Trainer(model, v, turn)
             held = [(b.column("triple").to_numpy(), b.column("n").to_numpy()) for b in batches]  # 16 bytes a triple
             code, n = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
@@ -249,7 +257,7 @@ def train(counted: DataFrame, vocabulary, rounds: int = ROUNDS) -> np.ndarray:
                     trainer.step(*np.divmod(context, v.size + 1), target, n[s].astype(np.float64))
             if total:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(model.flat))), pa.array(model.flat * total), pa.array(np.full(len(model.flat), total))],
+                    [pa.array(np.arange(len(model.flat))), pa.array(model.flat.astype(np.float64) * total), pa.array(np.full(len(model.flat), total))],
                     names=["place", "value", "n"],
                 )
 
@@ -334,16 +342,20 @@ def estimate(n: np.ndarray, of_state: np.ndarray, middle: np.ndarray) -> np.ndar
     weights[:, -1] = np.log(np.maximum(share, 1e-300))
     pull = np.r_[np.full(SIZE, SHRINK), 1e-6]
     rest = weights[:, -1].copy()
+    squares = np.einsum("si,sj->sij", inputs, inputs).reshape(len(inputs), -1)
+    moving = np.arange(len(n))
     for _ in range(NEWTON):
-        p = 1 / (1 + np.exp(-np.clip(weights @ inputs.T - offset, -30, 30)))
-        centred = weights.copy()
-        centred[:, -1] -= rest
-        gradient = (n * (1 - p) - noise * p) @ inputs - pull * centred
-        curve = np.einsum("ws,si,sj->wij", (n + noise) * p * (1 - p), inputs, inputs, optimize=True) + np.diag(pull)
+        now, mine, noisy = weights[moving], n[moving], noise[moving]
+        p = 1 / (1 + np.exp(-np.clip(now @ inputs.T - offset[moving], -30, 30)))
+        centred = now.copy()
+        centred[:, -1] -= rest[moving]
+        gradient = (mine * (1 - p) - noisy * p) @ inputs - pull * centred
+        curve = (((mine + noisy) * p * (1 - p)) @ squares).reshape(-1, len(pull), len(pull)) + np.diag(pull)
         step = np.linalg.solve(curve, gradient[:, :, None])[:, :, 0]
-        step *= np.minimum(1.0, 2.0 / np.maximum(np.abs(step).max(axis=1), 1e-12))[:, None]
-        weights += step
-        if len(step) == 0 or np.abs(step).max() < 1e-6:
+        size = np.abs(step).max(axis=1, initial=0.0)
+        weights[moving] += step * np.minimum(1.0, 2.0 / np.maximum(size, 1e-12))[:, None]
+        moving = moving[size > 1e-4]
+        if len(moving) == 0:
             break
     return weights
 
@@ -394,6 +406,7 @@ class Fitted:
     classes: np.ndarray  # hashes of the first level, ascending
     noise: np.ndarray
     flat: np.ndarray
+    class_norm: np.ndarray  # log sums over all classes, by context
     words: np.ndarray  # hashes of the second level, ascending; the rest comes after them
     weights: np.ndarray
     norm: np.ndarray  # log sums over all words, by state
@@ -413,7 +426,7 @@ class Fitted:
         v = self.vocabulary
         classes = v.classes(tokens)
         before, last = v.contexts(classes, first)
-        logs = self.model.log_probabilities(before, last, classes)
+        logs = self.model.log_probabilities(before, last, classes, self.class_norm)
         other = np.flatnonzero(classes == v.size - 1)
         at = _index(self.words, tokens[other])
         rest = np.zeros(len(tokens), dtype=bool)
@@ -437,7 +450,8 @@ def fit(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Fitted:
     vocabulary = spark.sparkContext.broadcast((classes, noise))
     counted = materialize(triples(training, vocabulary), "triples")
     flat = train(counted, vocabulary, rounds)
-    middle, state_of = centres(Model(Vocabulary(classes, noise), flat), counted)
+    model = Model(Vocabulary(classes, noise), flat)
+    middle, state_of = centres(model, counted)
     second = word_states(training, vocabulary, spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(state_of))
     second = materialize(second, "word_states")
     of_state = np.zeros(len(middle))
@@ -447,7 +461,7 @@ def fit(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Fitted:
     if np.isneginf(weights[-1, -1]):  # no token of the rest was met; one may be when scoring
         weights[-1, -1] = -np.log(of_state.sum() + 1)
     norm = normalisers(weights, middle)
-    return Fitted(hashes, n, classes, noise, flat, words, weights, norm, middle, state_of, total, distinct, int(total - n.sum()), int(distinct - len(n)))
+    return Fitted(hashes, n, classes, noise, flat, model.normalisers(), words, weights, norm, middle, state_of, total, distinct, int(total - n.sum()), int(distinct - len(n)))
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
