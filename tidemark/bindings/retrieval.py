@@ -12,7 +12,7 @@ from tidemark.bindings import sql
 from tidemark.bindings.tables import (
     BASE, FIXED_CONFIG, HASHED, corpus, documents, embed_hashed, html_parents, load, pages, queries,
 )
-from tidemark.config import KbConfig, SearchConfig
+from tidemark.config import MIN_PARENT_SIZE, KbConfig, SearchConfig
 from tidemark.functions import hooks
 from tidemark.functions import text as X
 from tidemark.operators import chunking, index, nearest, postings, search
@@ -252,13 +252,16 @@ sentences AS (
     SELECT kb_id, doc_id, list_transform(p, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS said FROM pieces)))"""
 
 
-@query("semantic_breaks", f"""WITH {_SENTENCES},
+_BREAKS_SQL = f"""{_SENTENCES},
 {sql.hashed('vectors', 'sentences', 'kb_id, doc_id, pos', sql.tokens('context'))},
 gaps AS (SELECT doc_id, pos, round(1 - {sql.cosine('v', 'lead(v) OVER w')}, 6) AS distance,
   lead(pos) OVER w AS following FROM vectors WINDOW w AS (PARTITION BY kb_id, doc_id ORDER BY pos)),
-known AS (SELECT doc_id, pos, CASE WHEN following IS NULL THEN NULL ELSE distance END AS distance FROM gaps)
-SELECT doc_id, pos, distance, coalesce(distance > round(quantile_cont(distance, 0.95)
-  OVER (PARTITION BY doc_id), 6), false) AS is_break FROM known""")
+known AS (SELECT doc_id, pos, CASE WHEN following IS NULL THEN NULL ELSE distance END AS distance FROM gaps),
+broken AS (SELECT doc_id, pos, distance, coalesce(distance > round(quantile_cont(distance, 0.95)
+  OVER (PARTITION BY doc_id), 6), false) AS is_break FROM known)"""
+
+
+@query("semantic_breaks", f"WITH {_BREAKS_SQL} SELECT doc_id, pos, distance, is_break FROM broken")
 def semantic_breaks(spark, sf):
     cut = chunking.semantic_sentences(documents(spark, sf, by_language=True))
     return chunking.semantic_breaks(embed_hashed(cut)).select(
@@ -266,6 +269,26 @@ def semantic_breaks(spark, sf):
     )
 
 
+# Parents are not capped here; what the cap does is tested by its properties.
+@query("chunk_semantic", f"""WITH RECURSIVE {_BREAKS_SQL},
+ends AS (SELECT doc_id, i - 1 AS pos, sum(length(p[i])) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e
+  FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM pieces)),
+marks AS (SELECT doc_id, e FROM ends JOIN broken USING (doc_id, pos) WHERE is_break),
+begins AS (SELECT doc_id, 0::BIGINT AS s FROM documents UNION SELECT doc_id, e FROM marks),
+nexts AS MATERIALIZED (SELECT a.doc_id, a.s, b.e AS nxt FROM begins a ASOF JOIN marks b ON a.doc_id = b.doc_id AND a.s + {MIN_PARENT_SIZE} <= b.e),
+cuts AS (SELECT doc_id, 0::BIGINT AS s FROM documents
+  UNION ALL SELECT n.doc_id, n.nxt FROM cuts JOIN nexts n USING (doc_id, s)),
+slices AS (SELECT c.doc_id, c.s, substring(d.text, c.s + 1, coalesce(lead(c.s) OVER (PARTITION BY c.doc_id ORDER BY c.s), length(d.text)) - c.s) AS x
+  FROM cuts c JOIN documents d USING (doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS seq,
+  s + length(x) - length(regexp_replace(x, '^\\s+', '')) AS start, {sql.strip('x')} AS content
+FROM slices WHERE {sql.strip('x')} <> ''""")
+def chunk_semantic(spark, sf):
+    docs = documents(spark, sf, by_language=True)
+    parents = chunking.chunk_semantic(docs, embed_hashed, max_size=1 << 30)
+    return parents.select("doc_id", F.col("seq").cast("long"), F.col("start").cast("long"), "content")
+
+
 # --- index ----------------------------------------------------------------------------------
 
 

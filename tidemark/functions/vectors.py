@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +33,11 @@ def hashed_terms(terms: Column, dims: int = 64) -> Column:
         terms, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims
     )
 
-    def counted(held: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda d: (F.size(held) - F.size(F.array_remove(held, d.cast("long")))).cast("float"),
-        )
+    @F.arrow_udf("array<float>")
+    def counted(held: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(held), 0).to_numpy()
+        cells = np.repeat(np.arange(len(held)) * dims, sizes) + held.flatten().to_numpy()
+        counts = np.bincount(cells, minlength=len(held) * dims).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * dims, pa.int32()), pa.array(counts))
 
-    return let(buckets, counted)
+    return counted(buckets)
