@@ -243,6 +243,23 @@ def test_lists_find_clustered_neighbours(spark, monkeypatch, tmp_path, tile):
     assert all(n == 1 for n in Counter((r["query_id"], r["parent_id"]) for r in parents).values())
 
 
+@pytest.mark.parametrize("tile, per_parent", [(nearest.TILE, False), (40, True)])
+def test_bounds_skip_lists_and_lose_nothing(spark, monkeypatch, tile, per_parent):
+    """Clusters far apart: results as of an exact search, with a small part of its dot products."""
+    monkeypatch.setattr(nearest, "TILE", tile)
+    rng = np.random.default_rng(12)
+    centers = rng.standard_normal((30, 12))
+    points = [(i, (centers[i % 30] + 0.05 * rng.standard_normal(12)).tolist()) for i in range(900)]
+    held = spark.createDataFrame([("kb", i // 3, i, v) for i, v in points], "kb_id string, parent_id long, child_id long, embedding array<float>")
+    question = spark.createDataFrame([(i, "kb", v) for i, v in points[:90]] + [(900, "kb", rng.standard_normal(12).tolist())], "query_id long, kb_id string, embedding array<float>")
+    counted = spark.sparkContext.accumulator(0)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["child_id"], round(r["score"], 6)) for r in df.collect())
+    found = rows(nearest.exact(question, nearest.build(held), 7, per_parent, counted))
+    assert counted.value < 91 * 900 / 3
+    assert found == rows(search.dense_search(question, held, 7, per_parent))
+    assert rows(nearest.exact(question, nearest.build(held.where("child_id < 5")), 7, per_parent)) == rows(search.dense_search(question, held.where("child_id < 5"), 7, per_parent))
+
+
 @pytest.mark.parametrize("table", ["", "/root/testdata/sf0.1"])
 def test_approximate_recall_of_the_table(spark, sf, table):
     """Over all neighbours, and over those that are not the query itself, with under a third of the dot products."""

@@ -513,6 +513,14 @@ def dense_search_by_base(spark, sf):
     return found.select("query_id", F.col("rank").cast("long"), "parent_id", "child_id", score())
 
 
+@query("dense_search_bounded", f"WITH {_VECTORS_SQL} SELECT query_id, rank, child_id, round(score, 6) AS score FROM ({sql.ranked('pairs', 5)})")
+def dense_search_bounded(spark, sf):
+    """The same from inverted lists, without those that cannot hold a result."""
+    asked, held = _vectors(spark, sf)
+    found = nearest.exact(asked, nearest.build(held), 5)
+    return found.select("query_id", F.col("rank").cast("long"), "child_id", score())
+
+
 @query("dense_search_approx")
 def dense_search_approx(spark, sf):
     asked, held = _vectors(spark, sf)

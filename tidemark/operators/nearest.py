@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: inverted lists of vectors with bit sketches, re-scored exactly.
+"""Nearest neighbours from inverted lists of vectors: approximate with bit sketches, or exact with bounds.
 
 `build` works out per base centroids of a bounded sample, puts every vector into the list of its
 nearest centroid and stores it there beside a sketch: the sides of `BITS` random planes it lies on.
@@ -11,6 +11,10 @@ bits, and only the nearest few (more in the first lists) are multiplied out, so
 cosines. Lists beyond
 `TILE` rows, and many queries to one list, are split into tiles that meet as groups of their own.
 
+`exact` finds all nearest neighbours. The k-th score of an approximate search must be reached; a list
+is looked into only if that is possible for a vector as far from the list's centroid as its farthest
+member, in the direction of the query (angles obey the triangle inequality).
+
 The sample is the `SAMPLE` rows of smallest id hash of each base; every vector is indexed. Vectors
 that are null or empty are not indexed and find nothing.
 """
@@ -42,13 +46,17 @@ LEAST_KEPT = 2
 SHARE_KEPT = 0.05
 CELLS = 1 << 21
 SEED = 17
+SLACK = 1e-6
 
 Kernel = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
 class Lists:
-    """centroids(kb_id, list, centroid, probes), vectors(kb_id, list, parent_id, child_id, embedding, sketch)."""
+    """centroids(kb_id, list, centroid, probes, radius, rows), vectors(kb_id, list, parent_id, child_id, embedding, sketch).
+
+    radius is the largest angle of a member to the centroid.
+    """
 
     centroids: DataFrame
     vectors: DataFrame
@@ -132,15 +140,21 @@ def fit(dense: DataFrame) -> DataFrame:
     return sample.groupBy("kb_id").applyInArrow(train, schema)
 
 
-def _near_lists(rows: DataFrame, key: str, centroids: DataFrame, columns: str, probe: bool) -> DataFrame:
-    """`rows` with the number of their nearest list, or of all lists they probe, and their sketch.
+HOME, PROBE, REACH = "home", "probe", "reach"
+
+
+def _near_lists(rows: DataFrame, key: str, centroids: DataFrame, columns: str, which: str) -> DataFrame:
+    """`rows` with the number of a list, its angle, and their sketch.
+
+    HOME gives the nearest list, PROBE all that a query must look into to be likely right, REACH all
+    that may hold a vector whose score is at least the row's `reach`.
 
     Rows of a base are dealt into slices of about TILE, and each slice gets the base's centroids, a
     row for 1 in TILE / MOST_LISTS or fewer.
     """
-    schema = T.StructType.fromDDL(f"kb_id string, list int, nth int, {columns}, embedding array<float>, sketch binary")
+    schema = T.StructType.fromDDL(f"kb_id string, list int, nth int, angle double, {columns}, embedding array<float>, sketch binary")
     arrow = to_arrow_schema(schema)
-    kept = [f.name for f in schema.fields if f.name not in ("list", "nth", "sketch")]
+    kept = [f.name for f in schema.fields if f.name not in ("list", "nth", "angle", "sketch")]
     slices = rows.groupBy("kb_id").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_slices"))
     dealt = rows.select(*kept).join(slices, "kb_id").withColumn("_slice", F.pmod(F.xxhash64(key), F.col("_slices")).cast("int")).drop("_slices")
     spread = centroids.join(slices, "kb_id").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
@@ -151,12 +165,19 @@ def _near_lists(rows: DataFrame, key: str, centroids: DataFrame, columns: str, p
         near = near.sort_by("list")
         vectors = _matrix(held["embedding"])
         scores = vectors @ np.vstack(near["centroid"].to_numpy()).astype("float64").T
-        wanted = min(near["probes"][0].as_py(), scores.shape[1]) if probe else 1
-        lists = np.argsort(-scores, axis=1, kind="stable")[:, :wanted].astype(np.int32)
-        row = pa.array(np.repeat(np.arange(len(vectors)), wanted))
+        angles = np.arccos(np.clip(scores, -1.0, 1.0))
+        if which == REACH:
+            best = np.cos(np.maximum(angles - near["radius"].to_numpy(), 0.0))
+            row, lists = np.nonzero(best >= held["reach"].to_numpy()[:, None] - SLACK)
+            nth = np.zeros(len(row))
+        else:
+            wanted = min(near["probes"][0].as_py(), scores.shape[1]) if which == PROBE else 1
+            lists = np.argsort(-scores, axis=1, kind="stable")[:, :wanted].ravel()
+            row, nth = np.repeat(np.arange(len(vectors)), wanted), np.tile(np.arange(wanted), len(vectors))
         codes = _sketches(vectors)
-        out = held.select(kept).append_column("sketch", pa.array([c.tobytes() for c in codes], pa.binary())).take(row)
-        out = out.append_column("list", pa.array(lists.ravel())).append_column("nth", pa.array(np.tile(np.arange(wanted), len(vectors))))
+        out = held.select(kept).append_column("sketch", pa.array([c.tobytes() for c in codes], pa.binary())).take(pa.array(row))
+        for name, values in (("list", near["list"].to_numpy()[lists]), ("nth", nth), ("angle", angles[row, lists])):
+            out = out.append_column(name, pa.array(values))
         return out.select(arrow.names).cast(arrow)
 
     return dealt.groupBy("kb_id", "_slice").cogroup(spread.groupBy("kb_id", "_slice")).applyInArrow(find, schema)
@@ -167,7 +188,9 @@ def build(dense: DataFrame) -> Lists:
     dense = dense.where(F.size("embedding") > 0).withColumn("embedding", F.col("embedding").cast("array<float>"))
     centroids = materialize(fit(dense), "centroids")
     columns = ", ".join(f"{c} {dense.schema[c].dataType.simpleString()}" for c in ("parent_id", "child_id"))
-    return Lists(centroids, materialize(_in_order(_near_lists(dense, "child_id", centroids, columns, probe=False).drop("nth")), "lists"))
+    vectors = materialize(_in_order(_near_lists(dense, "child_id", centroids, columns, HOME).drop("nth")), "lists")
+    sizes = vectors.groupBy("kb_id", "list").agg(F.max("angle").alias("radius"), F.count("*").alias("rows"))
+    return Lists(materialize(centroids.join(sizes, ["kb_id", "list"]), "centroids"), vectors.drop("angle"))
 
 
 # --- searching ------------------------------------------------------------------------------
@@ -185,8 +208,8 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
 
 
-def _meet(asked: pa.Table, held: pa.Table, group: str, limit: int, counted: Accumulator | None) -> pa.Table:
-    """The rows (sorted by `group`) among a query's best, of those whose sketches are nearest."""
+def _meet(asked: pa.Table, held: pa.Table, group: str, limit: int, every: bool, counted: Accumulator | None) -> pa.Table:
+    """The rows (sorted by `group`) among a query's best, of all or of those whose sketches are nearest."""
     queries, vectors = _matrix(asked["embedding"]), _matrix(held["embedding"])
     wanted, codes = _codes(asked["sketch"]), _codes(held["sketch"])
     kept = 2 * limit // (asked["nth"].to_numpy() + 1) + LEAST_KEPT + int(SHARE_KEPT * len(vectors))
@@ -194,14 +217,16 @@ def _meet(asked: pa.Table, held: pa.Table, group: str, limit: int, counted: Accu
     step = max(1, CELLS // len(vectors))
     parts = []
     for start in range(0, len(queries), step):
-        apart = _differing(codes, wanted[start : start + step])
-        most = np.take_along_axis(np.sort(apart, axis=0), kept[None, start : start + step] - 1, axis=0)
-        near = apart <= most
-        at, to = np.nonzero(near)
-        scores = np.full(near.shape, -np.inf)
-        scores[at, to] = np.round(np.einsum("ij,ij->i", vectors[at], queries[start + to]), PLACES) + 0.0
+        if every:
+            scores = np.round(vectors @ queries[start : start + step].T, PLACES) + 0.0
+        else:
+            apart = _differing(codes, wanted[start : start + step])
+            near = apart <= np.take_along_axis(np.sort(apart, axis=0), kept[None, start : start + step] - 1, axis=0)
+            at, to = np.nonzero(near)
+            scores = np.full(near.shape, -np.inf)
+            scores[at, to] = np.round(np.einsum("ij,ij->i", vectors[at], queries[start + to]), PLACES) + 0.0
         if counted is not None:
-            counted.add(len(at))
+            counted.add(int(np.isfinite(scores).sum()))
         at, to = _best(scores, held[group].to_numpy(), limit)
         rows = held.select(["kb_id", "parent_id", "child_id"]).take(pa.array(at))
         rows = rows.append_column("query_id", asked["query_id"].take(pa.array(start + to)))
@@ -214,10 +239,28 @@ def search(queries: DataFrame, lists: Lists, limit: int, per_parent: bool = Fals
 
     `counted` adds up the dot products with stored vectors.
     """
-    group = "parent_id" if per_parent else "child_id"
     vectors = queries.where(F.size("embedding") > 0).withColumn("embedding", F.col("embedding").cast("array<float>"))
-    query_id = f"query_id {queries.schema['query_id'].dataType.simpleString()}"
-    asked = materialize(_near_lists(vectors, "query_id", lists.centroids, query_id, probe=True), "probes")
+    return _looked_into(_near_lists(vectors, "query_id", lists.centroids, _kind(queries), PROBE), lists, limit, per_parent, False, counted)
+
+
+def exact(queries: DataFrame, lists: Lists, limit: int, per_parent: bool = False, counted: Accumulator | None = None) -> DataFrame:
+    """As search.dense_search, without the lists that cannot hold a result."""
+    vectors = queries.where(F.size("embedding") > 0).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    first = search(queries, lists, limit, per_parent, counted).where(F.col("rank") == limit)
+    known = vectors.join(first.select("query_id", F.col("score").alias("reach")), "query_id", "left")
+    known = known.withColumn("reach", F.coalesce("reach", F.lit(-2.0)))  # too few found: every list
+    asked = _near_lists(known, "query_id", lists.centroids, f"{_kind(queries)}, reach double", REACH)
+    return _looked_into(asked.drop("reach"), lists, limit, per_parent, True, counted)
+
+
+def _kind(queries: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}"
+
+
+def _looked_into(asked: DataFrame, lists: Lists, limit: int, per_parent: bool, every: bool, counted: Accumulator | None) -> DataFrame:
+    """The best rows of the lists that each query is sent to."""
+    group = "parent_id" if per_parent else "child_id"
+    asked = materialize(asked.drop("angle"), "probes")
     keys = ["kb_id", "list"]
     # a unit is a tile of a list's rows against a tile of the queries sent there
     sized = lambda df, name, tile: df.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
@@ -226,13 +269,13 @@ def search(queries: DataFrame, lists: Lists, limit: int, per_parent: bool = Fals
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     asked = asked.join(tiles, keys).withColumn("_qt", mine("query_id", "_q")).withColumn("_rt", each("_r")).drop("_q", "_r")
     held = lists.vectors.join(tiles, keys).withColumn("_rt", mine("child_id", "_r")).withColumn("_qt", each("_q")).drop("_q", "_r")
-    schema = _found_schema(queries, lists.vectors)
+    schema = _found_schema(asked, lists.vectors)
     arrow = to_arrow_schema(schema)
 
     def meet(block: pa.Table, part: pa.Table) -> pa.Table:
         if not block.num_rows or not part.num_rows:
             return arrow.empty_table()
-        return _meet(block, part.sort_by(group), group, limit, counted).select(arrow.names).cast(arrow)
+        return _meet(block, part.sort_by(group), group, limit, every, counted).select(arrow.names).cast(arrow)
 
     unit = [*keys, "_qt", "_rt"]
     return _ranked(asked.groupBy(*unit).cogroup(held.groupBy(*unit)).applyInArrow(meet, schema), limit, per_parent)
