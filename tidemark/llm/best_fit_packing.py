@@ -42,7 +42,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,7 @@ GROUP = 64
 
 # Splits before white space that follows a visible character, where byte-level pre-tokenizers split too.
 SPACES = r"\t-\r \x85\xa0  -     　"
+WHITE = re.compile(f"[{SPACES}]")
 PART = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
 
@@ -93,8 +94,8 @@ def part_encoder(load: Callable, dtype: str) -> Callable[[list[str]], list[bytes
 
     def learn(parts: list[str]) -> dict[str, bytes]:
         """Parts that begin with white space and end otherwise may stand one after another, others not."""
-        chained = [p for p in parts if p[0].isspace() and not p[-1].isspace()]
-        single = [p for p in parts if not p[0].isspace() or p[-1].isspace()]
+        chained = [p for p in parts if WHITE.match(p) and not WHITE.match(p[-1])]
+        single = [p for p in parts if not WHITE.match(p) or WHITE.match(p[-1])]
         out = {p: ids.tobytes() for p, ids in zip(single, encoded(single))}
         groups = [chained[i : i + GROUP] for i in range(0, len(chained), GROUP)]
         for group, ids in zip(groups, encoded(["".join(g) for g in groups])):

@@ -94,10 +94,6 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 # --- units of comparison --------------------------------------------------------------------
 
 
-def part_bounds(longer: int, parts: int = PARTS) -> list[int]:
-    return [longer * i // parts for i in range(parts + 1)]
-
-
 def _keyed(words: DataFrame, parts: int) -> DataFrame:
     """word, n, longer, part, low, high (bounds of the part), key: a row per part and length of the longer word."""
     size = F.length("word")
