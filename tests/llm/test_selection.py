@@ -111,7 +111,7 @@ def test_parts_encode_as_whole_texts(encoded):
     encode = best_fit_packing.part_encoder(best_fit_packing.Loader(tokenizer("byte_bpe_50k.json")), "<u2")
     texts = [
         "", " ", "  a  b ", "a\n\n  b\r\n c\t\td", "it's we'll 'tis 12 345,6 !!! ?  . end  \n", "naïve  café\u00a0\u2003x\u3000y", "a\x1cb !\x1c! \x1d x\x85y",
-        "x<|endoftext|>y <|endoftext|>", "日本語 テキスト 😀😀 a\u200bb\ufeffc", "\u180e a \u180eb", " 's 's\n's", "tab\tspace \t mix\n\n\n\nend", "\u2028a\u2029 b \x0b\x0c c",
+        "x<|endoftext|>y <|endoftext|>", "日本語 テキスト 😀😀 a\u200bb\ufeffc", "\u180e a \u180eb", " 's 's\n's", "tab\tspace \t mix\n\n\n\nend", "\u2028a\u2029 b \x0b\x0c c", "\x1cab !", "\x1f! \x1e", "a! \x1d!",
     ]
     rng = np.random.default_rng(7)
     marks = ["a", "B", "'s", " ", "  ", "\n", "\t", "1", "é", "!", "\u00a0", "\u2003", "\x1f", "\x85", "'", "中", "\u200b"]

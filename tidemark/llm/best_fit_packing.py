@@ -61,7 +61,7 @@ LONGEST_CACHED = 64
 GROUP = 64
 
 # Splits before white space that follows a visible character, where byte-level pre-tokenizers split too.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACES}]")
 PART = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
