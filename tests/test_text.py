@@ -72,3 +72,26 @@ def test_term_id_and_splitter(spark):
 def test_error_message(spark):
     assert len(one(spark, lambda m, c: X.error_message(m, c), "x" * 5000, "ValueError")) == 2000
     assert one(spark, lambda m, c: X.error_message(m, c), "", "ValueError") == "ValueError"
+
+
+def test_ways_to_type_a_word_meet(spark):
+    """Code points out of order, doubled, decomposed or of no width."""
+    word = lambda *points: "".join(map(chr, points))
+    pairs = [
+        (word(0xE19, 0xE4D, 0xE49, 0xE32), word(0xE19, 0xE49, 0xE33)),  # decomposed, tone between
+        (word(0xE19, 0xE4D, 0xE32), word(0xE19, 0xE33)),
+        (word(0xE40, 0xE40, 0xE21), word(0xE41, 0xE21)),  # two signs for one
+        (word(0xE17, 0xE48, 0xE35), word(0xE17, 0xE35, 0xE48)),  # tone typed before its vowel
+        (word(0xE01, 0xE32, 0xE48), word(0xE01, 0xE48, 0xE32)),
+        (word(0xE14, 0xE35, 0xE35, 0xE35), word(0xE14, 0xE35)),  # typed twice
+        (word(0xE01, 0xE48, 0xE49, 0xE32), word(0xE01, 0xE49, 0xE32)),  # two tones
+        (word(0xE01, 0x200B, 0xE02), word(0xE01, 0xE02)),
+        (word(0xE48, 0xE01), word(0xE01)),
+    ]
+    rows = [(i, side, f"MIX {t} 12") for i, p in enumerate(pairs) for side, t in enumerate(p)]
+    df = spark.createDataFrame(rows, "i int, side int, t string")
+    got = {(r["i"], r["side"]): r["x"] for r in df.select("i", "side", X.tokenize(F.col("t")).alias("x")).collect()}
+    for i in range(len(pairs) - 1):
+        assert got[i, 0] == got[i, 1] and len(got[i, 0]) == 3
+    alone = spark.createDataFrame([(a, b) for a, b in pairs] + [("caf\u00e9 \u4e2d", "caf\u00e9 \u4e2d"), ("plain", "plain"), (None, None)], "a string, b string")
+    assert all(r["a"] == r["b"] for r in alone.select(X.normalize_marks(F.col("a")).alias("a"), "b").collect())

@@ -23,6 +23,19 @@ MARKUP_STEPS = (
     (r"(?U)[^\S\n]*(\|[^\S\n]*)+", " | "),
     (r"(?md)^ \| | \| $", ""),
 )
+# Thai marks by code point: e31, e34-e39 vowels above and below, e30 e32 e33 e45 after and e40-e44 before
+# a consonant, e48-e4b tones, e3a e47 e4c-e4e other signs.
+MARKS = r"[\x{e30}-\x{e3a}\x{e40}-\x{e4e}\x{200b}\x{200c}]"
+MARK_RULES = (
+    (r"[\x{200b}\x{200c}]", ""),  # of no width
+    (r"\x{e40}\x{e40}", "แ"),  # one sign typed as two
+    (r"([\x{e48}-\x{e4c}]+)([\x{e31}\x{e34}-\x{e39}]+)", "$2$1"),  # vowel before tone
+    (r"\x{e4d}([\x{e48}-\x{e4b}]*)\x{e32}", "$1ำ"),  # decomposed
+    (r"([\x{e30}\x{e32}\x{e33}\x{e45}]+)([\x{e48}-\x{e4b}]+)", "$2$1"),  # tone before a vowel that follows
+    (r"([\x{e30}-\x{e3a}\x{e40}-\x{e45}\x{e47}\x{e4c}-\x{e4e}])\1+", "$1"),  # typed twice
+    (r"[\x{e48}-\x{e4b}]+([\x{e48}-\x{e4b}])", "$1"),  # the last of several tones
+    (r"^[\x{e31}\x{e34}-\x{e3a}\x{e47}-\x{e4e}]+", ""),  # nothing to stand on
+)
 DIGIT_GROUP = r"(?<=\d),(?=\d\d\d)"
 REPEAT_MARK = r"(?U)\s*ๆ"
 JOINERS = r"[-–—/\\]"
@@ -47,6 +60,14 @@ def linearize_markup(text: Column) -> Column:
     return text
 
 
+def normalize_marks(text: Column) -> Column:
+    """Marks in their usual order and once each, so that different ways to type a word meet. Other text is passed by."""
+    marked = text
+    for pattern, replacement in MARK_RULES:
+        marked = F.regexp_replace(marked, pattern, replacement)
+    return F.when((F.octet_length(text) > F.length(text)) & text.rlike(MARKS), marked).otherwise(text)
+
+
 def fold_digits(text: Column) -> Column:
     return F.translate(text, THAI_DIGITS, ASCII_DIGITS)
 
@@ -67,7 +88,7 @@ def tokenize(text: Column, split_words: Callable[[Column], Column] | None = None
     """
     marked = F.contains(text, F.lit("<")) | F.contains(text, F.lit("|"))
     repeats = F.contains(text, F.lit("ๆ"))
-    text = F.when(marked, linearize_markup(text)).otherwise(text)
+    text = normalize_marks(F.when(marked, linearize_markup(text)).otherwise(text))
     text = ungroup_digits(fold_digits(text))
     text = F.when(repeats, F.regexp_replace(text, REPEAT_MARK, "")).otherwise(text)
     text = F.regexp_replace(text, JOINERS, " ")
