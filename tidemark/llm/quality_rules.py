@@ -129,6 +129,14 @@ class Accuracies:
         mine, theirs = ([m.good, *(x for pair in m.bad_vote.values() for x in pair)] for m in (self, other))
         return max(abs(a - b) for a, b in zip(mine, theirs))
 
+    def chance(self, cast: tuple) -> float:
+        """Posterior probability of being good, given votes in the order of RULES."""
+        odds = math.log(self.good / (1 - self.good))
+        for vote, (on_bad, on_good) in zip(cast, self.bad_vote.values()):
+            if vote is not None:
+                odds += math.log(on_good / on_bad) if vote == 0 else math.log((1 - on_good) / (1 - on_bad))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
     def log_odds(self) -> Column:
         """Natural log of the odds of being good, given a row's votes."""
         total = F.lit(math.log(self.good / (1 - self.good)))
@@ -148,30 +156,34 @@ class Accuracies:
 def fit(voted: DataFrame, rounds: int = MOST_ROUNDS) -> Accuracies:
     """Expectation-maximisation over the counted vote patterns, until the numbers stand still.
 
-    Starts from the number of bad votes (none: good with 0.95, one: 0.5, more: 0.05). Each round is
-    one aggregate over at most 3 ** rules rows; only its sums come back. It ends when no estimate
-    moves by CONVERGED any more, or after `rounds`.
+    Starts from the number of bad votes (none: good with 0.95, one: 0.5, more: 0.05). Spark counts the
+    patterns; their table, 3 ** rules rows at most whatever the corpus, is all the rounds need. They
+    end when no estimate moves by CONVERGED any more, or after `rounds`.
     """
     names = [f"vote_{r}" for r in RULES]
-    patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "vote_patterns")
-    bad = sum((F.when(F.col(v) == 0, 1).otherwise(0) for v in names), F.lit(0))
-    probability = F.when(bad == 0, 0.95).when(bad == 1, 0.5).otherwise(0.05)
+    patterns = sorted(
+        ((tuple(r[v] for v in names), r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()),
+        key=lambda row: [-1 if v is None else v for v in row[0]],
+    )
+    total = sum(n for _, n in patterns)
+    start = {0: 0.95, 1: 0.5}
+    probability = [start.get(cast.count(0), 0.05) for cast, _ in patterns]
     model = Accuracies(0.5, {r: (0.5, 0.5) for r in RULES})
+    share = lambda part, whole: (part + SMOOTHING) / (whole + 2 * SMOOTHING)
     for _ in range(rounds):
-        p = patterns.withColumn("p", probability)
-        sums = [F.sum(F.col("n") * F.col("p")), F.sum("n")]
-        for v in names:
-            for weight in (1 - F.col("p"), F.col("p")):
-                sums.append(F.sum(F.when(F.col(v) == 0, F.col("n") * weight).otherwise(0.0)))
-                sums.append(F.sum(F.when(F.col(v).isNotNull(), F.col("n") * weight).otherwise(0.0)))
-        good, total, *rest = (x or 0.0 for x in p.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).head())
-        share = lambda a, b: (a + SMOOTHING) / (b + 2 * SMOOTHING)
-        before, model = model, Accuracies(
-            share(good, total), {r: (share(*rest[4 * i : 4 * i + 2]), share(*rest[4 * i + 2 : 4 * i + 4])) for i, r in enumerate(RULES)}
-        )
+        weights = [(n * (1 - p), n * p) for (_, n), p in zip(patterns, probability)]
+        bad_vote = {}
+        for j, rule in enumerate(RULES):
+            sides = []
+            for side in (0, 1):
+                bad = sum(w[side] for w, (cast, _) in zip(weights, patterns) if cast[j] == 0)
+                voting = sum(w[side] for w, (cast, _) in zip(weights, patterns) if cast[j] is not None)
+                sides.append(share(bad, voting))
+            bad_vote[rule] = (sides[0], sides[1])
+        before, model = model, Accuracies(share(sum(good for _, good in weights), total), bad_vote)
         if model.distance(before) < CONVERGED:
             break
-        probability = model.probability()
+        probability = [model.chance(cast) for cast, _ in patterns]
     return model
 
 
