@@ -195,8 +195,9 @@ def judged(voted: DataFrame, model: Accuracies) -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text", rounds: int = MOST_ROUNDS) -> DataFrame:
     """The documents that pass, with their own columns. Counts once, writes votes beside the rows, shuffles no text."""
     names = [f"vote_{r}" for r in RULES]
-    voted = votes(measures(docs, text)).select("_row", "base_failed", *names)
-    voted = materialize(voted, "voted_rows")
+    # rows that go in any case vote, but are not written
+    voted = votes(measures(docs, text)).select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "base_failed", *names)
+    voted = materialize(voted, "voted_rows", "zstd")
     return unpacked(judged(voted, fit(voted, rounds)).where("kept"))
 
 
