@@ -47,7 +47,7 @@ def drop_written(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back, so lost executors cost no recompute.
 
-    Tables that hold whole texts take a third less room with `zstd`.
+    Tables that hold whole texts take a quarter less room with `zstd`.
     """
     path = os.path.join(written_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", compression).parquet(path)
