@@ -60,6 +60,24 @@ def test_term_weights(spark):
     assert weights == sorted(weights) and max(weights) < 2.2
 
 
+def test_terms_of_a_long_row_are_counted_in_one_pass(spark):
+    """Comparing every term with every other takes minutes here."""
+    import time
+
+    begun = time.monotonic()
+    row = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(119_999)), lambda i: F.concat(F.lit("t"), i % 100_000)).alias("t"))
+    got = row.select(F.explode(index.weighted_terms("t")).alias("w")).agg(F.count("*"), F.sum("w.tf"), F.max("w.tf")).head()
+    assert tuple(got) == (100_000, 120_000, 2) and time.monotonic() - begun < 20
+
+
+def test_words_are_cut_outside_generated_code(spark):
+    text = "\x1c a-b\u2003(C)\x85..d\x1ce.. ~ é 1,000,000\u3000ก,ๆ000"
+    assert one(spark, X.tokenize, text) == ["a", "b", "c", "d\x1ce", "1000000", "ก,000"]
+    plan = spark.createDataFrame([("a",)], "t string").select(X.tokenize(F.col("t")))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan
+    assert one(spark, X.strip, "\u2003\x1f a\u00a0b \u3000\n") == "a\u00a0b"
+
+
 def test_term_id_and_splitter(spark):
     import hashlib
 

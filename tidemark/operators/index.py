@@ -8,36 +8,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.text import let, tokenize
+from tidemark.functions.text import tokenize
 
 # BM25 constants; index and query must use the same.
 K1 = 1.2
 B = 0.75
 AVERAGE_LENGTH = 256
+WEIGHTED = T.ArrayType(T.StructType().add("term", T.StringType()).add("tf", T.IntegerType()).add("weight", T.DoubleType()))
 
 
 def term_weight(tf: Column, length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / AVERAGE_LENGTH))
 
 
-def weighted_terms(terms: Column) -> Column:
-    """An array of terms to array<struct<term, tf, weight>>, counted inside the row."""
-
-    def weighted(held: Column) -> Column:
-        def counted(term: Column) -> Column:
-            tf = F.size(held) - F.size(F.array_remove(held, term))
-            return F.struct(term.alias("term"), tf.alias("tf"))
-
-        def with_weight(c: Column) -> Column:
-            weight = term_weight(c["tf"].cast("double"), F.size(held))
-            return F.struct(c["term"].alias("term"), c["tf"].alias("tf"), weight.alias("weight"))
-
-        return F.transform(F.transform(F.array_distinct(held), counted), with_weight)
-
-    return let(terms, weighted)
+@F.arrow_udf(WEIGHTED)
+def weighted_terms(terms: pa.Array) -> pa.Array:
+    """An array of terms to array<struct<term, tf, weight>>, in order of first use; rows are counted a batch at once."""
+    length = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+    words = terms.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(length)), length)
+    pairs = owner * max(1, len(words.dictionary)) + words.indices.to_numpy()
+    _, first, tf = np.unique(pairs, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    first, tf = first[order], tf[order]
+    weight = term_weight(tf.astype("float64"), length[owner[first]])
+    held = [words.dictionary.take(words.indices.take(pa.array(first))), pa.array(tf, pa.int32()), pa.array(weight)]
+    ends = np.r_[0, np.cumsum(np.bincount(owner[first], minlength=len(length)))]
+    return pa.ListArray.from_arrays(
+        pa.array(ends, pa.int32()), pa.StructArray.from_arrays(held, names=["term", "tf", "weight"]), mask=terms.is_null()
+    )
 
 
 def child_terms(children: DataFrame, tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
