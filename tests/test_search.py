@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.bindings.retrieval import _vectors
+from tidemark.bindings.retrieval import Q, _vectors
 from tidemark.bindings.tables import embed_hashed, queries
 from tidemark.bindings.tables import corpus as given_corpus
 from tidemark.config import KbConfig, SearchConfig
@@ -191,6 +191,18 @@ def test_weak_blocks_are_left_closed(spark):
     assert blocks.where("term = 'common'").count() >= 4 and blocks.agg(F.max(F.size("held"))).head()[0] < 2 * postings.BLOCK
 
 
+def test_unanswerable_queries_need_no_pairs(spark, monkeypatch):
+    """As an empty search says, without scoring any child."""
+    built = build_corpus(docs(spark, "coin medal", "coin coin", "badge"))
+    question = spark.createDataFrame([(1, "kb", "gold coin"), (2, "kb", "silver"), (3, "none", "coin"), (4, "kb", None), (5, "kb", "...")], "query_id long, kb_id string, text string")
+    question = question.withColumn("kb_id", F.when(F.col("kb_id") == "kb", F.lit(built.children.head()["kb_id"])).otherwise(F.col("kb_id")))
+    empty = {r["query_id"] for r in search.empty_queries(question, search.sparse_search(question, built.terms, built.idf, 1)).collect()}
+    monkeypatch.setattr(search, "sparse_search", None)
+    assert {r["query_id"] for r in search.unanswerable(question, built.idf).collect()} == empty == {2, 3, 4, 5}
+    given = Q["empty_queries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "child_id" not in given.split("== Physical Plan ==")[1]
+
+
 def test_many_queries_stay_on_the_executors(spark, sf, monkeypatch):
     built, question = given_corpus(spark, sf), queries(spark, sf)
     monkeypatch.setattr(search, "SHIPPED_QUERIES", 1)

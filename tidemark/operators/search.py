@@ -436,6 +436,16 @@ def empty_queries(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
 
 
+def unanswerable(queries: DataFrame, idf: DataFrame, tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """Queries that sparse_search can find nothing for: their base holds none of their terms.
+
+    Terms meet the base's statistics, a row per term, so no pairs of queries and children are made.
+    """
+    asked = queries.select("query_id", "kb_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    known = asked.join(idf.select("kb_id", "term"), ["kb_id", "term"], "left_semi")
+    return empty_queries(queries, known)
+
+
 def unavailable_indexes(requested: DataFrame, available: DataFrame) -> DataFrame:
     """(kb_id, index_name) asked for and not there."""
     keys = ["kb_id", "index_name"]
