@@ -191,6 +191,25 @@ def test_weak_blocks_are_left_closed(spark):
     assert blocks.where("term = 'common'").count() >= 4 and blocks.agg(F.max(F.size("held"))).head()[0] < 2 * postings.BLOCK
 
 
+def test_only_asked_indexes_are_built(spark, monkeypatch):
+    """A sparse search makes no vectors, one file's chunks need no index of all files."""
+    from tidemark.bindings import catalog as files
+    from tidemark.bindings import tables
+
+    def never(*_, **__):
+        raise AssertionError("built")
+
+    monkeypatch.setattr(tables, "_built", {})
+    monkeypatch.setattr(tables, "_chunked", {})
+    monkeypatch.setattr(tables, "embed_hashed", never)
+    assert Q["bm25_search"](spark, "/root/testdata/sf0.001").count() > 0
+    tables._built.clear()
+    monkeypatch.setattr(tables, "build_corpus", never)
+    assert Q["delete_node_rows"](spark, "/root/testdata/sf0.001").count() > 0
+    monkeypatch.setattr(tables, "materialize", never)
+    assert files.Q["file_chunks"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_unanswerable_queries_need_no_pairs(spark, monkeypatch):
     """As an empty search says, without scoring any child."""
     built = build_corpus(docs(spark, "coin medal", "coin coin", "badge"))

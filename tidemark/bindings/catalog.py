@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.bindings.tables import corpus, load
+from tidemark.bindings.tables import documents, load
 from tidemark.bindings import sql
-from tidemark.operators import catalog
+from tidemark.operators import catalog, chunking
 
 Q, O = {}, {}
 
@@ -216,7 +216,7 @@ def dangling_refs(spark, sf):
 @query("file_chunks", f"""WITH {sql.PARENTS} SELECT seq, content FROM parents WHERE doc_id = (SELECT min(doc_id) FROM labels WHERE toxic = 1)""")
 def file_chunks(spark, sf):
     opened = load(spark, sf, "labels").where("toxic = 1").agg(F.min("doc_id")).head()[0]
-    return catalog.file_chunks(corpus(spark, sf).parents, opened).select(F.col("seq").cast("long"), "content")
+    return catalog.file_chunks(chunking.chunk_fixed(documents(spark, sf)), opened).select(F.col("seq").cast("long"), "content")
 
 
 _AGENTS = """tools AS (SELECT l_suppkey, list({'name': 'tool-' || l_linenumber, 'enabled': on_} ORDER BY l_linenumber) AS tools
