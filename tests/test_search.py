@@ -291,6 +291,24 @@ def test_bounds_skip_lists_and_lose_nothing(spark, monkeypatch, tile, per_parent
     assert rows(nearest.exact(question, nearest.build(held.where("child_id < 5")), 7, per_parent)) == rows(search.dense_search(question, held.where("child_id < 5"), 7, per_parent))
 
 
+def test_a_query_is_sent_once_per_part_not_per_list(spark, sf, monkeypatch):
+    """Nothing that is written or met grows with queries times lists."""
+    written = {}
+    keep = nearest.materialize
+
+    def kept(df, name):
+        written[name] = keep(df, name)
+        return written[name]
+
+    monkeypatch.setattr(nearest, "materialize", kept)
+    asked, held = _vectors(spark, sf)
+    found = nearest.exact(asked, nearest.build(held), 5)
+    assert written["probes"].count() == asked.count() and written["centroids"].count() > 5
+    assert written["probes"].agg(F.max(F.size("lists"))).head()[0] > 5
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["child_id"], r["score"]) for r in df.collect())
+    assert rows(found) == rows(search.dense_search(asked, held, 5))
+
+
 @pytest.mark.parametrize("table", ["", "/root/testdata/sf0.1"])
 def test_approximate_recall_of_the_table(spark, sf, table):
     """Over all neighbours, and over those that are not the query itself, with under a third of the dot products."""

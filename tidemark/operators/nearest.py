@@ -26,8 +26,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,7 +42,7 @@ TURNS = 10
 COVERAGE = 0.99
 NEIGHBOURS = 10
 BITS = 512
-TILE = 20_000  # rows of a tile; queries of a tile are a tenth
+TILE = 20_000  # rows, or queries, of a tile
 LEAST_KEPT = 2
 SHARE_KEPT = 0.05
 CELLS = 1 << 21
@@ -144,18 +145,19 @@ HOME, PROBE, REACH = "home", "probe", "reach"
 
 
 def _near_lists(rows: DataFrame, key: str, centroids: DataFrame, columns: str, which: str) -> DataFrame:
-    """`rows` with the number of a list, its angle, and their sketch.
+    """`rows` with lists and their sketch.
 
-    HOME gives the nearest list, PROBE all that a query must look into to be likely right, REACH all
-    that may hold a vector whose score is at least the row's `reach`.
+    HOME gives the number and angle of the nearest list, PROBE all lists that a query must look into
+    to be likely right, REACH all that may hold a vector whose score is at least the row's `reach`.
+    Of many lists, those of one `part` share a row, so a vector is repeated per part, not per list.
 
-    Rows of a base are dealt into slices of about TILE, and each slice gets the base's centroids, a
-    row for 1 in TILE / MOST_LISTS or fewer.
+    Rows of a base are dealt into slices of about TILE / 10, and each slice gets the base's centroids.
     """
-    schema = T.StructType.fromDDL(f"kb_id string, list int, nth int, angle double, {columns}, embedding array<float>, sketch binary")
+    found = "list int, angle double" if which == HOME else "part int, lists array<int>, nths array<int>"
+    schema = T.StructType.fromDDL(f"kb_id string, {found}, {columns}, embedding array<float>, sketch binary")
     arrow = to_arrow_schema(schema)
-    kept = [f.name for f in schema.fields if f.name not in ("list", "nth", "angle", "sketch")]
-    slices = rows.groupBy("kb_id").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_slices"))
+    kept = [f.name for f in schema.fields if f.name not in ("list", "angle", "part", "lists", "nths", "sketch")]
+    slices = rows.groupBy("kb_id").agg(F.ceil(F.count("*") / max(1, TILE // 10)).cast("int").alias("_slices"))
     dealt = rows.select(*kept).join(slices, "kb_id").withColumn("_slice", F.pmod(F.xxhash64(key), F.col("_slices")).cast("int")).drop("_slices")
     spread = centroids.join(slices, "kb_id").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
 
@@ -169,15 +171,25 @@ def _near_lists(rows: DataFrame, key: str, centroids: DataFrame, columns: str, w
         if which == REACH:
             best = np.cos(np.maximum(angles - near["radius"].to_numpy(), 0.0))
             row, lists = np.nonzero(best >= held["reach"].to_numpy()[:, None] - SLACK)
-            nth = np.zeros(len(row))
+            nth = np.zeros(len(row), dtype=int)
         else:
             wanted = min(near["probes"][0].as_py(), scores.shape[1]) if which == PROBE else 1
             lists = np.argsort(-scores, axis=1, kind="stable")[:, :wanted].ravel()
             row, nth = np.repeat(np.arange(len(vectors)), wanted), np.tile(np.arange(wanted), len(vectors))
         codes = _sketches(vectors)
-        out = held.select(kept).append_column("sketch", pa.array([c.tobytes() for c in codes], pa.binary())).take(pa.array(row))
-        for name, values in (("list", near["list"].to_numpy()[lists]), ("nth", nth), ("angle", angles[row, lists])):
-            out = out.append_column(name, pa.array(values))
+        out = held.select(kept).append_column("sketch", pa.array([c.tobytes() for c in codes], pa.binary()))
+        number = near["list"].to_numpy()[lists]
+        if which == HOME:
+            out = out.take(pa.array(row)).append_column("list", pa.array(number)).append_column("angle", pa.array(angles[row, lists]))
+            return out.select(arrow.names).cast(arrow)
+        part = near["part"].to_numpy()[lists]
+        order = np.lexsort((nth, part, row))
+        row, part, number, nth = row[order], part[order], number[order], nth[order]
+        firsts = np.flatnonzero(np.r_[len(row) > 0, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
+        ends = pa.array(np.r_[firsts, len(row)], pa.int32())
+        out = out.take(pa.array(row[firsts])).append_column("part", pa.array(part[firsts]))
+        for name, values in (("lists", number), ("nths", nth)):
+            out = out.append_column(name, pa.ListArray.from_arrays(ends, pa.array(values, pa.int32())))
         return out.select(arrow.names).cast(arrow)
 
     return dealt.groupBy("kb_id", "_slice").cogroup(spread.groupBy("kb_id", "_slice")).applyInArrow(find, schema)
@@ -188,7 +200,7 @@ def build(dense: DataFrame) -> Lists:
     dense = dense.where(F.size("embedding") > 0).withColumn("embedding", F.col("embedding").cast("array<float>"))
     centroids = materialize(fit(dense), "centroids")
     columns = ", ".join(f"{c} {dense.schema[c].dataType.simpleString()}" for c in ("parent_id", "child_id"))
-    vectors = materialize(_in_order(_near_lists(dense, "child_id", centroids, columns, HOME).drop("nth")), "lists")
+    vectors = materialize(_in_order(_near_lists(dense, "child_id", centroids, columns, HOME)), "lists")
     sizes = vectors.groupBy("kb_id", "list").agg(F.max("angle").alias("radius"), F.count("*").alias("rows"))
     return Lists(materialize(centroids.join(sizes, ["kb_id", "list"]), "centroids"), vectors.drop("angle"))
 
@@ -209,22 +221,29 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _meet(asked: pa.Table, held: pa.Table, group: str, limit: int, every: bool, counted: Accumulator | None) -> pa.Table:
-    """The rows (sorted by `group`) among a query's best, of all or of those whose sketches are nearest."""
+    """The rows (sorted by `group`) among a query's best in its lists, of all or of those whose sketches are nearest."""
     queries, vectors = _matrix(asked["embedding"]), _matrix(held["embedding"])
     wanted, codes = _codes(asked["sketch"]), _codes(held["sketch"])
-    kept = 2 * limit // (asked["nth"].to_numpy() + 1) + LEAST_KEPT + int(SHARE_KEPT * len(vectors))
-    kept = np.minimum(kept, len(vectors))
+    sizes = pc.list_value_length(asked["lists"]).to_numpy()
+    owner, number = np.repeat(np.arange(len(sizes)), sizes), asked["lists"].combine_chunks().flatten().to_numpy()
+    nth, lists = asked["nths"].combine_chunks().flatten().to_numpy(), held["list"].to_numpy()
+    members = {n: np.flatnonzero(lists == n) for n in np.unique(lists).tolist()}
     step = max(1, CELLS // len(vectors))
     parts = []
     for start in range(0, len(queries), step):
-        if every:
-            scores = np.round(vectors @ queries[start : start + step].T, PLACES) + 0.0
-        else:
-            apart = _differing(codes, wanted[start : start + step])
-            near = apart <= np.take_along_axis(np.sort(apart, axis=0), kept[None, start : start + step] - 1, axis=0)
-            at, to = np.nonzero(near)
-            scores = np.full(near.shape, -np.inf)
-            scores[at, to] = np.round(np.einsum("ij,ij->i", vectors[at], queries[start + to]), PLACES) + 0.0
+        scores = np.full((len(vectors), min(step, len(queries) - start)), -np.inf)
+        mine = slice(*np.searchsorted(owner, (start, start + step)))
+        for n, rows in members.items():
+            place = np.flatnonzero(number[mine] == n)
+            to = owner[mine][place]
+            if every:
+                scores[np.ix_(rows, to - start)] = np.round(vectors[rows] @ queries[to].T, PLACES) + 0.0
+            elif len(to):
+                kept = np.minimum(2 * limit // (nth[mine][place] + 1) + LEAST_KEPT + int(SHARE_KEPT * len(rows)), len(rows))
+                apart = _differing(codes[rows], wanted[to])
+                near = apart <= np.take_along_axis(np.sort(apart, axis=0), kept[None] - 1, axis=0)
+                at, by = np.nonzero(near)
+                scores[rows[at], to[by] - start] = np.round(np.einsum("ij,ij->i", vectors[rows[at]], queries[to[by]]), PLACES) + 0.0
         if counted is not None:
             counted.add(int(np.isfinite(scores).sum()))
         at, to = _best(scores, held[group].to_numpy(), limit)
@@ -234,13 +253,19 @@ def _meet(asked: pa.Table, held: pa.Table, group: str, limit: int, every: bool,
     return pa.concat_tables(parts)
 
 
+def _parted(centroids: DataFrame) -> DataFrame:
+    """Neighbouring lists of a base as parts of about TILE rows; a longer list is a part of its own or ends one."""
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("kb_id").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return centroids.withColumn("part", F.floor(before / TILE).cast("int"))
+
+
 def search(queries: DataFrame, lists: Lists, limit: int, per_parent: bool = False, counted: Accumulator | None = None) -> DataFrame:
     """Nearest children of queries(query_id, kb_id, embedding), as search.dense_search but approximate.
 
     `counted` adds up the dot products with stored vectors.
     """
     vectors = queries.where(F.size("embedding") > 0).withColumn("embedding", F.col("embedding").cast("array<float>"))
-    return _looked_into(_near_lists(vectors, "query_id", lists.centroids, _kind(queries), PROBE), lists, limit, per_parent, False, counted)
+    return _looked_into(_near_lists(vectors, "query_id", _parted(lists.centroids), _kind(queries), PROBE), lists, limit, per_parent, False, counted)
 
 
 def exact(queries: DataFrame, lists: Lists, limit: int, per_parent: bool = False, counted: Accumulator | None = None) -> DataFrame:
@@ -249,7 +274,7 @@ def exact(queries: DataFrame, lists: Lists, limit: int, per_parent: bool = False
     first = search(queries, lists, limit, per_parent, counted).where(F.col("rank") == limit)
     known = vectors.join(first.select("query_id", F.col("score").alias("reach")), "query_id", "left")
     known = known.withColumn("reach", F.coalesce("reach", F.lit(-2.0)))  # too few found: every list
-    asked = _near_lists(known, "query_id", lists.centroids, f"{_kind(queries)}, reach double", REACH)
+    asked = _near_lists(known, "query_id", _parted(lists.centroids), f"{_kind(queries)}, reach double", REACH)
     return _looked_into(asked.drop("reach"), lists, limit, per_parent, True, counted)
 
 
@@ -260,15 +285,16 @@ def _kind(queries: DataFrame) -> str:
 def _looked_into(asked: DataFrame, lists: Lists, limit: int, per_parent: bool, every: bool, counted: Accumulator | None) -> DataFrame:
     """The best rows of the lists that each query is sent to."""
     group = "parent_id" if per_parent else "child_id"
-    asked = materialize(asked.drop("angle"), "probes")
-    keys = ["kb_id", "list"]
-    # a unit is a tile of a list's rows against a tile of the queries sent there
+    asked = materialize(asked, "probes")
+    keys = ["kb_id", "part"]
+    rows = lists.vectors.join(F.broadcast(_parted(lists.centroids).select(*keys, "list")), ["kb_id", "list"])
+    # a unit is a tile of the rows of some lists against a tile of the queries sent to any of them
     sized = lambda df, name, tile: df.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
-    tiles = sized(lists.vectors, "_r", TILE).join(sized(asked, "_q", max(1, TILE // 10)), keys)
+    tiles = sized(rows, "_r", 2 * TILE).join(sized(asked, "_q", TILE), keys)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     asked = asked.join(tiles, keys).withColumn("_qt", mine("query_id", "_q")).withColumn("_rt", each("_r")).drop("_q", "_r")
-    held = lists.vectors.join(tiles, keys).withColumn("_rt", mine("child_id", "_r")).withColumn("_qt", each("_q")).drop("_q", "_r")
+    held = rows.join(tiles, keys).withColumn("_rt", mine("child_id", "_r")).withColumn("_qt", each("_q")).drop("_q", "_r")
     schema = _found_schema(asked, lists.vectors)
     arrow = to_arrow_schema(schema)
 
