@@ -357,3 +357,18 @@ def test_refused_searches():
         with pytest.raises(ValueError):
             config.check_against(KbConfig())
     assert (SearchConfig(top_k=7).pool, SearchConfig(top_k=7).prefetch) == (7, 14)
+
+
+def test_blocks_are_made_and_searched_within_segments(spark, sf, monkeypatch):
+    """No row per child and term is shuffled for blocks, and ids are stored once a child; scores are the scan's."""
+    built, question = given_corpus(spark, sf), queries(spark, sf)
+    assert "Exchange" not in postings.cluster(built.terms)._jdf.queryExecution().toString()
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["child_id"], round(r["score"], 6)) for r in df.collect())
+    expected = rows(search.sparse_search(question, built.terms, built.idf, 5))
+    monkeypatch.setattr(postings, "SEGMENT", 100)
+    monkeypatch.setattr(postings, "SHIPPED_QUERIES", 9)
+    blocks = postings.cluster(built.terms)
+    lists = blocks.where("term IS NULL").select("segment", F.size("children").alias("n")).collect()
+    assert len({r["segment"] for r in lists}) == len(lists) and max(r["n"] for r in lists) == 100
+    assert sum(r["n"] for r in lists) == built.children.count()
+    assert rows(postings.search(question, blocks, built.idf, 5)) == expected
