@@ -183,3 +183,12 @@ def test_overlaps_equal_a_plain_search():
             expected.append((len(text), len(text) + len(part)))
             text += part
         assert splitting.joined(chunks) == (text, expected)
+
+
+def test_distances_of_many_sentences_at_once(spark):
+    """No lambda runs per number of a vector; missing and zero vectors are as far as can be."""
+    rows = [("kb", 1, i, v) for i, v in enumerate([[3.0, 4.0], [4.0, 3.0], [0.0, 0.0], None, [0.0, 1.0], [0.0, 2.0]])]
+    embedded = spark.createDataFrame(rows, "kb_id string, doc_id long, pos int, embedding array<float>")
+    marked = chunking.semantic_breaks(embedded.withColumn("sentence", F.lit("")).withColumn("context", F.lit("")))
+    assert "lambda" not in marked._jdf.queryExecution().toString()
+    assert [r["distance"] for r in marked.orderBy("pos").collect()] == [0.04, 1.0, None, 1.0, 0.0, None]
