@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,11 @@ def test_ways_to_type_a_word_meet(spark):
         assert got[i, 0] == got[i, 1] and len(got[i, 0]) == 3
     alone = spark.createDataFrame([(a, b) for a, b in pairs] + [("caf\u00e9 \u4e2d", "caf\u00e9 \u4e2d"), ("plain", "plain"), (None, None)], "a string, b string")
     assert all(r["a"] == r["b"] for r in alone.select(X.normalize_marks(F.col("a")).alias("a"), "b").collect())
+
+
+def test_a_batch_looks_at_a_distinct_word_once(monkeypatch):
+    looked, plain = [], X._as_terms
+    monkeypatch.setattr(X, "_as_terms", lambda words: looked.extend(words.to_pylist()) or plain(words))
+    terms = X._terms.func(pa.array(["Red red/blue", None, "", "red \x1c!! Red É9"] * 50))
+    assert terms.to_pylist() == [["red", "red", "blue"], None, [], ["red", "red", "é9"]] * 50
+    assert len(looked) == len(set(looked))
