@@ -111,3 +111,10 @@ def test_replacing_a_file_reads_its_part_of_the_terms_only(spark, tmp_path):
     assert old.count() == 1
     idf = {r["term"]: (r["df"], r["n_children"]) for r in index.open().idf.collect()}
     assert idf == {r["term"]: (r["df"], r["n_children"]) for r in statistics.term_idf(index.open().terms).collect()}
+
+
+def test_vectors_are_stored_without_a_join(spark, tmp_path):
+    """A corpus knows the files of its vectors, so children are not read again to store them."""
+    tables = Index(spark, str(tmp_path))._tables(built(docs(spark, {1: "coins of old"})))
+    assert "Join" not in tables["dense-0"]._jdf.queryExecution().toString()
+    assert {"kb_id", "doc_id", "parent_id", "child_id", "embedding"} == set(tables["dense-0"].columns)

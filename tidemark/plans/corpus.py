@@ -101,7 +101,7 @@ def build_corpus(
             parents, children, terms, vectors = (_without(t, failed) for t in (parents, children, terms, vectors))
             dense = {model: _without(rows, failed) for model, rows in dense.items()}
             idf = materialize(index.term_idf(terms), "idf") if terms is not None else None
-    dense = {model: rows.select("kb_id", "parent_id", "child_id", "embedding") for model, rows in dense.items()}
+    dense = {model: rows.select("kb_id", "doc_id", "parent_id", "child_id", "embedding") for model, rows in dense.items()}
     if vectors is not None:
         vectors = vectors.select("kb_id", "chunk_id", "is_parent", "vectors")
     return Corpus(parents, children, terms, idf, dense, vectors, failed)
