@@ -1,6 +1,8 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +374,43 @@ def test_blocks_are_made_and_searched_within_segments(spark, sf, monkeypatch):
     assert len({r["segment"] for r in lists}) == len(lists) and max(r["n"] for r in lists) == 100
     assert sum(r["n"] for r in lists) == built.children.count()
     assert rows(postings.search(question, blocks, built.idf, 5)) == expected
+
+
+def test_tiles_give_up_a_few_rows_per_query(spark, monkeypatch):
+    """Many queries: what is handed on does not grow with small tiles, nor with equal vectors and equal scores."""
+    rng = np.random.default_rng(5)
+    points = [[0.0] * 8 if i % 9 == 0 else [1.0] * 8 if i % 3 == 0 else rng.integers(-2, 3, 8).astype(float).tolist() for i in range(600)]
+    held = spark.createDataFrame([("kb", i // 4, i, v) for i, v in enumerate(points)], "kb_id string, parent_id long, child_id long, embedding array<float>")
+    asked = held.select(F.col("child_id").alias("query_id"), "kb_id", "embedding")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["child_id"], round(r["score"], 6)) for r in df.collect())
+    whole = [rows(search.dense_search(asked, held, 5, per_parent)) for per_parent in (False, True)]
+    given, ranked = [], search._ranked
+    monkeypatch.setattr(search, "_ranked", lambda found, *more: given.append(found.count()) or ranked(found, *more))
+    monkeypatch.setattr(search, "TILE", 16)
+    assert [rows(search.dense_search(asked, held, 5, per_parent)) for per_parent in (False, True)] == whole
+    most = np.ceil((search.GROUPS_PER_CORE * spark.sparkContext.defaultParallelism) ** 0.5)
+    assert all(n <= 600 * 5 * most for n in given)
+
+
+@pytest.mark.parametrize("group", ["child_id", "parent_id"])
+def test_best_of_blocks_is_exact(group):
+    """Any blocks of scores in single precision, ties and repeated vectors: the best by double precision."""
+    rng = np.random.default_rng(8)
+    vectors = search._unit(np.repeat(rng.standard_normal((150, 6)), 2, axis=0) + 1e-7 * rng.standard_normal((300, 6)))
+    vectors[40:80] = vectors[0]
+    rows = pa.table({"kb_id": ["kb"] * 300, "parent_id": pa.array(np.arange(300) // 7), "child_id": [f"{i:03}" for i in range(300)], "embedding": list(vectors)})
+    asked = pa.table({"query_id": np.arange(60), "embedding": list(vectors[:60])})
+    best = search.Best(search._matrix(asked["embedding"]), rows, group, 5)
+    for some in search._blocks(best.group, 37, best.distinct()):
+        for start in (0, 25, 50):
+            asking = np.arange(start, min(start + 25, 60))
+            best.look(asking, some, (best.queries[asking] @ best.vectors[some].T).astype(np.float32))
+    found = best.found(asked, rows)
+    exact = np.round(best.queries @ best.vectors.T, search.PLACES)
+    for q in range(60):
+        order, seen = sorted(range(300), key=lambda i: (-exact[q, i], i)), []
+        for i in order:
+            if best.group[i] not in [best.group[j] for j in seen]:
+                seen.append(i)
+        mine = found.filter(pa.compute.equal(found["query_id"], q))
+        assert sorted(mine["child_id"].to_pylist()) == sorted(f"{i:03}" for i in seen[:5])

@@ -7,6 +7,7 @@ legs differ by more than that down to rank 30,000.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -25,7 +26,12 @@ from tidemark.plans.skew import materialize, small_enough, top_k
 PLACES = 9
 SHIPPED_QUERIES = 512  # sparse queries, with SHIPPED_TERMS terms, that are sent to the index
 SHIPPED_TERMS = 40_000
-TILE = 2000  # dense queries sent to the index; beyond, queries and rows of a tile
+TILE = 2000  # dense queries sent to the index; beyond, the least queries and rows of a tile
+TILE_BYTES = 1 << 25  # of vectors in a tile at most
+GROUPS_PER_CORE = 4  # pairs of tiles
+BLOCK = 8192  # rows scored at once
+BLOCK_CELLS = 1 << 20  # scores at once
+SEGMENT = 64  # rows whose best score is looked at first
 SCORE_CELLS = 4_000_000
 
 BEST_FIRST = ("-score", "child_id")
@@ -127,16 +133,20 @@ def _scan(queries: DataFrame, rows: DataFrame, limit: int, per_parent: bool, mak
     return _ranked(sent.mapInArrow(scan, schema), limit, per_parent)
 
 
-def _tiled(queries: DataFrame, rows: DataFrame, limit: int, per_parent: bool, make) -> DataFrame:
-    """Queries and rows of a base are dealt into tiles of about TILE each; every pair of tiles is a group.
+def _tiled(queries: DataFrame, rows: DataFrame, limit: int, per_parent: bool) -> DataFrame:
+    """Queries and rows of a base are dealt into tiles; every pair of tiles is a group.
 
-    A group holds TILE x TILE scores and gives up its best rows per query, so memory does not grow
-    with either side and nothing passes through the driver.
+    A side has as many tiles as keep all cores busy, none below TILE vectors, and more only beyond
+    TILE_BYTES of vectors in one. So a vector is sent a few times, whatever the size of a base that
+    fits these tiles, a group holds two tiles and one block of scores, and nothing passes through
+    the driver. A group gives up `limit` rows per query.
     """
     schema = _found_schema(queries, rows)
+    spread = math.ceil((GROUPS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism) ** 0.5)
 
     def sized(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("kb_id").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+        large = F.ceil(F.count("*") * F.max(F.size("embedding")) * 4 / TILE_BYTES)
+        return df.groupBy("kb_id").agg(F.greatest(large, F.least(F.ceil(F.count("*") / TILE), F.lit(spread))).cast("int").alias(name))
 
     tiles = sized(queries, "_q").join(sized(rows, "_r"), "kb_id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -149,8 +159,15 @@ def _tiled(queries: DataFrame, rows: DataFrame, limit: int, per_parent: bool, ma
     def meet(block: pa.Table, part: pa.Table) -> pa.Table:
         if not block.num_rows or not part.num_rows:
             return arrow.empty_table()
-        _, score = make(block.to_pandas())
-        return _near(score, block["kb_id"][0].as_py(), part.sort_by(group), group, limit, arrow)
+        part = part.sort_by(group)
+        best = Best(_matrix(block["embedding"]), part, group, limit)
+        wanted, vectors = best.queries.astype(np.float32), best.vectors.astype(np.float32)
+        for some in _blocks(best.group, BLOCK, best.distinct()):
+            step, near = max(1, BLOCK_CELLS // len(some)), vectors[some].T
+            for start in range(0, len(wanted), step):
+                asking = np.arange(start, min(start + step, len(wanted)))
+                best.look(asking, some, wanted[asking] @ near)
+        return best.found(block, part).select(arrow.names).cast(arrow)
 
     keys = ["kb_id", "_qt", "_rt"]
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, schema)
@@ -220,6 +237,98 @@ def _best(scores: np.ndarray, groups: np.ndarray, limit: int) -> tuple[np.ndarra
     return np.nonzero(np.repeat(kept, sizes, axis=0) & (scores == np.repeat(tops, sizes, axis=0)))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors, a row each."""
+    held = column.combine_chunks()
+    sizes = pc.list_value_length(held)
+    if held.null_count or pc.count_distinct(sizes).as_py() > 1:
+        raise ValueError("vectors of one model must have one length")
+    return _unit(held.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(held), -1))
+
+
+def _blocks(group: np.ndarray, size: int, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (sorted by group) in blocks of whole groups, of `size` or so."""
+    firsts = np.flatnonzero(np.r_[True, np.diff(group[rows]) != 0])
+    ends = np.unique(firsts[np.searchsorted(firsts, np.arange(size, len(rows), size), side="right") - 1])
+    yield from np.split(rows, ends[ends > 0])
+
+
+class Best:
+    """The `limit` best groups per query among rows, from blocks of scores in single precision.
+
+    `rows` are sorted by group. Of a block's scores only those count that may be, by the error of
+    single precision, among a query's best of this block and of those before; they are worked out
+    again in double precision. A block holds whole groups, so the k-th best of its groups is a bound.
+    """
+
+    def __init__(self, queries: np.ndarray, rows: pa.Table, group: str, limit: int, floor: np.ndarray | None = None):
+        self.queries, self.vectors, self.limit = queries, _matrix(rows["embedding"]), limit
+        self.slack = 2.0 ** -22 * (queries.shape[1] + 8) + 10.0**-PLACES
+        order = lambda name: pc.rank(rows[name].combine_chunks(), null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        self.child = order("child_id")
+        self.group = self.child if group == "child_id" else order(group)
+        self.one = group != "child_id"  # row of a group counts
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor - self.slack
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def distinct(self) -> np.ndarray:
+        """Rows that can be among a query's best, in order: of equal vectors the first `limit`."""
+        plain = np.ascontiguousarray(self.vectors + 0.0)
+        same = np.unique(plain.view(np.dtype((np.void, plain.itemsize * plain.shape[1]))).ravel(), return_inverse=True)[1]
+        return np.sort(self._first(same, np.arange(len(same)), np.zeros(len(same)))[1])
+
+    def look(self, asking: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
+        """`scores` of the queries `asking` (down) and `rows`, each group side by side (across); -inf does not count."""
+        group = self.group[rows]
+        firsts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        cuts = np.unique(firsts[np.searchsorted(firsts, np.arange(0, len(rows), SEGMENT), side="right") - 1])
+        tops = np.maximum.reduceat(scores, cuts, axis=1)
+        floor = self.floor[asking]
+        if len(cuts) >= self.limit:
+            floor = self.floor[asking] = np.maximum(floor, np.partition(tops, -self.limit, axis=1)[:, -self.limit] - self.slack)
+        to, segment = np.nonzero((tops >= floor[:, None]) & (tops > -np.inf))
+        sizes = np.diff(np.r_[cuts, len(rows)])[segment]
+        at = np.arange(sizes.sum()) + np.repeat(cuts[segment] - (np.cumsum(sizes) - sizes), sizes)
+        to = np.repeat(to, sizes)
+        held = scores[to, at]
+        near = (held >= floor[to]) & (held > -np.inf)
+        to, at = asking[to[near]], rows[at[near]]
+        exact = np.empty(len(to))
+        step = max(1, SCORE_CELLS // self.vectors.shape[1])
+        for i in range(0, len(to), step):
+            exact[i : i + step] = np.einsum("ij,ij->i", self.vectors[at[i : i + step]], self.queries[to[i : i + step]])
+        self.parts.append(self._first(to, at, np.round(exact, PLACES) + 0.0))
+        self.held += len(self.parts[-1][0])
+        if self.held > 4 * self.limit * (len(self.queries) + 100_000):
+            self._merge()
+
+    def _first(self, to: np.ndarray, at: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The `limit` best of each `to`, the smaller child on a tie."""
+        order = np.lexsort((self.child[at], -score, to))
+        to, at, score = to[order], at[order], score[order]
+        if len(to):
+            key = to * (self.group.max() + 1) + self.group[at]
+            _, first, its = np.unique(key, return_index=True, return_inverse=True)
+            kept = np.sort(first) if self.one else np.flatnonzero(score == score[first[its]])
+            to, at, score = to[kept], at[kept], score[kept]
+            firsts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            place = np.arange(len(to)) - np.repeat(firsts, np.diff(np.r_[firsts, len(to)]))
+            to, at, score = (x[place < self.limit] for x in (to, at, score))
+        return to, at, score
+
+    def _merge(self) -> None:
+        self.parts = [self._first(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))] if self.parts else []
+        self.held = sum(len(x[0]) for x in self.parts)
+
+    def found(self, asked: pa.Table, rows: pa.Table) -> pa.Table:
+        """The best rows with their query's id and score."""
+        self._merge()
+        to, at, score = self.parts[0] if self.parts else (np.zeros(0, int),) * 3
+        found = rows.select(["kb_id", "parent_id", "child_id"]).take(pa.array(at))
+        return found.append_column("query_id", asked["query_id"].take(pa.array(to))).append_column("score", pa.array(score, pa.float64()))
+
+
 def dense_search(
     queries: DataFrame,
     dense: DataFrame,
@@ -235,8 +344,9 @@ def dense_search(
     `per_parent` a parent counts once, by its best child. For an index see `nearest`.
     """
     vectors = materialize(queries.select("query_id", "kb_id", F.col("embedding").cast("array<float>")), "query_vectors")
-    search_in = _scan if vectors.count() <= TILE else _tiled
-    return search_in(vectors, dense, limit, per_parent, _dense)
+    if vectors.count() <= TILE:
+        return _scan(vectors, dense, limit, per_parent, _dense)
+    return _tiled(vectors, dense, limit, per_parent)
 
 
 def _dense(block: pd.DataFrame):
