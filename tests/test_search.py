@@ -414,3 +414,22 @@ def test_best_of_blocks_is_exact(group):
                 seen.append(i)
         mine = found.filter(pa.compute.equal(found["query_id"], q))
         assert sorted(mine["child_id"].to_pylist()) == sorted(f"{i:03}" for i in seen[:5])
+
+
+def test_sketches_compared_as_products(monkeypatch):
+    """Two rows share a number, and the order of differing bits comes out exactly."""
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 2**63, (31, nearest.BITS // 64)).astype(np.uint64)
+    asked = np.r_[codes[:4], np.zeros((1, codes.shape[1]), np.uint64), ~codes[5:6], ~np.zeros((1, codes.shape[1]), np.uint64)]
+    alike = nearest._alike(2 * nearest._bits(asked) - 1, nearest._sides(codes), len(codes))
+    apart = np.bitwise_count(asked[:, None] ^ codes[None]).sum(axis=2)
+    set_bits = np.bitwise_count(asked).sum(axis=1)
+    assert (alike == set_bits[:, None].astype(int) - apart).all()
+
+
+def test_many_vectors_keep_all_cores_busy(spark):
+    """Parts and tiles of an index follow the number of cores, not a fixed size alone."""
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([("kb", i, i, v) for i, v in enumerate(rng.standard_normal((18_000, 4)).tolist())], "kb_id string, parent_id long, child_id long, embedding array<float>")
+    parts = nearest._parted(nearest.build(vectors).centroids).agg(F.count_distinct("part")).head()[0]
+    assert parts >= 3
