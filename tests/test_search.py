@@ -416,6 +416,17 @@ def test_best_of_blocks_is_exact(group):
         assert sorted(mine["child_id"].to_pylist()) == sorted(f"{i:03}" for i in seen[:5])
 
 
+def test_few_lists_are_looked_into_for_a_bound(spark, sf, monkeypatch):
+    """An exact search needs no whole approximate one before it."""
+    asked, held = _vectors(spark, sf)
+    lists, counted = nearest.build(held), spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(nearest, "search", None)
+    found = nearest.exact(asked, lists, 5, counted=counted)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["child_id"], r["score"]) for r in df.collect())
+    assert rows(found) == rows(search.dense_search(asked, held, 5))
+    assert counted.value > 0
+
+
 def test_sketches_compared_as_products(monkeypatch):
     """Two rows share a number, and the order of differing bits comes out exactly."""
     rng = np.random.default_rng(2)

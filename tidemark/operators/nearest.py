@@ -11,7 +11,8 @@ bits, and only the nearest few (more in the first lists) are multiplied out, so
 cosines. Lists beyond
 `TILE` rows, and many queries to one list, are split into tiles that meet as groups of their own.
 
-`exact` finds all nearest neighbours. The k-th score of an approximate search must be reached; a list is looked into only if that is possible for a vector as far from the list's centroid
+`exact` finds all nearest neighbours. The k-th score of the nearest few lists, looked into wholly, must
+be reached; a list is looked into only if that is possible for a vector as far from the list's centroid
 as its farthest member, in the direction of the query (angles obey the triangle inequality).
 
 The sample is the `SAMPLE` rows of smallest id hash of each base; every vector is indexed. Vectors
@@ -357,7 +358,8 @@ def search(queries: DataFrame, lists: Lists, limit: int, per_parent: bool = Fals
 def exact(queries: DataFrame, lists: Lists, limit: int, per_parent: bool = False, counted: Accumulator | None = None) -> DataFrame:
     """As search.dense_search, without the lists that cannot hold a result."""
     vectors = queries.where(F.size("embedding") > 0).withColumn("embedding", F.col("embedding").cast("array<float>"))
-    first = search(queries, lists, limit, per_parent, counted).where(F.col("rank") == limit)
+    nearest = _near_lists(vectors, "query_id", _parted(lists.centroids), _kind(queries), FIRST, limit)
+    first = _looked_into(nearest, lists, limit, per_parent, True, counted).where(F.col("rank") == limit)
     known = vectors.join(first.select("query_id", F.col("score").alias("reach")), "query_id", "left")
     known = known.withColumn("reach", F.coalesce("reach", F.lit(-2.0)))  # too few found: every list
     asked = _near_lists(known, "query_id", _parted(lists.centroids), f"{_kind(queries)}, reach double", REACH)
