@@ -3,9 +3,13 @@ from pyspark.sql import functions as F
 
 from tidemark.bindings.tables import HASHED, embed_hashed
 from tidemark.config import KbConfig, SearchConfig
+from tidemark.functions import hooks
 from tidemark.operators import index as statistics
+from tidemark.plans import corpus as plans
 from tidemark.plans.corpus import build_corpus
 from tidemark.plans.retrieval import retrieve
+from tidemark.plans.skew import materialize
+from tidemark.sources import store
 from tidemark.sources.store import Index
 
 BASE = KbConfig(indexes=("bm25", HASHED), reranker_type="late-interaction", reranker_model_id="late")
@@ -118,3 +122,63 @@ def test_vectors_are_stored_without_a_join(spark, tmp_path):
     tables = Index(spark, str(tmp_path))._tables(built(docs(spark, {1: "coins of old"})))
     assert "Join" not in tables["dense-0"]._jdf.queryExecution().toString()
     assert {"kb_id", "doc_id", "parent_id", "child_id", "embedding"} == set(tables["dense-0"].columns)
+
+
+def test_a_build_writes_each_table_once(spark, tmp_path, texts, monkeypatch):
+    """The tables are stored as they are made, without a copy or a shuffle beside; the rows are those of a put."""
+    written = []
+    monkeypatch.setattr(store, "materialize", lambda df, name, *how: written.append(name) or materialize(df, name, *how))
+    monkeypatch.setattr(plans, "materialize", lambda df, name, *how: written.append(name) or materialize(df, name, *how))
+    given, embedders = docs(spark, texts), {HASHED: embed_hashed}
+    config = KbConfig(indexes=("bm25", HASHED))
+    one, other = Index(spark, str(tmp_path / "i")), Index(spark, str(tmp_path / "o"))
+    kinds = []
+    monkeypatch.setattr(Index, "_write", lambda self, rows, table, segment, ordered=False, write=Index._write: kinds.append((table, ordered)) or write(self, rows, table, segment, ordered))
+    assert one.build(given, config, embedders) == 1
+    assert sorted(t for t, _ in kinds) == ["children", "dense-0", "failed", "gone", "parents", "terms"]
+    assert {t for t, ordered in kinds if ordered} == {"children", "dense-0", "terms"} and not written
+    other.put(build_corpus(given, config, embedders))
+    assert tables(one) == tables(other)
+    one.build(docs(spark, {1: "", 5: "new coins"}), config, embedders, files=docs(spark, {1: "", 5: ""}))
+    other.put(build_corpus(docs(spark, {1: "", 5: "new coins"}), config, embedders), docs(spark, {1: "", 5: ""}))
+    assert tables(one) == tables(other) and one.open().parents.where("doc_id = 1").count() == 0
+    assert one.build(given, config, embedders, batch=("w", 0)) == one.build(given, config, embedders, batch=("w", 0))
+    assert tables(one) == tables(Index(spark, str(tmp_path / "i")))
+
+
+def tables(index):
+    held = index.open()
+    every = [held.parents, held.children, held.terms, held.idf, *held.dense.values(), held.failed]
+    return [sorted(str(r.asDict()) for r in t.select(*sorted(t.columns)).collect()) for t in every]
+
+
+def test_a_build_leaves_out_files_that_fail(spark, tmp_path):
+    """Their rows are in no table, and all others are."""
+
+    def refusing():
+        def call(texts):
+            if any("@" in t for t in texts):
+                raise ValueError("refused")
+            return [[float(len(t))] for t in texts]
+
+        return call
+
+    embed = {"m": lambda df: hooks.embedded(df, "content", refusing, error="error")}
+    given, config = docs(spark, {1: "coins", 2: "a@b", 3: "old silver"}), KbConfig(indexes=("bm25", "m"))
+    one, other = Index(spark, str(tmp_path / "i")), Index(spark, str(tmp_path / "o"))
+    one.build(given, config, embed)
+    other.put(build_corpus(given, config, embed))
+    assert tables(one) == tables(other)
+    assert {r["doc_id"] for r in one.open().children.collect()} == {1, 3} and [r["doc_id"] for r in one.open().failed.collect()] == [2]
+    good = Index(spark, str(tmp_path / "g"))
+    good.build(docs(spark, {1: "coins", 3: "old silver"}), config, embed)
+    assert [set(t.columns) for t in good.open().dense.values()] == [{"kb_id", "doc_id", "parent_id", "child_id", "embedding"}]
+
+
+def test_stored_and_written_tables_are_packed_well(spark, tmp_path):
+    """Both kinds hold whole texts and words."""
+    corpus = built(docs(spark, {1: "coins of old"}))
+    index = Index(spark, str(tmp_path / "i"))
+    index.put(corpus)
+    for table in (index.open().terms, index.open().idf, corpus.terms, corpus.parents, corpus.idf):
+        assert all(".zstd." in path for path in table.inputFiles())

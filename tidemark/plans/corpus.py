@@ -47,11 +47,17 @@ def _without(table: DataFrame | None, failed: DataFrame) -> DataFrame | None:
     return None if table is None else table.join(failed, ["kb_id", "doc_id"], "left_anti")
 
 
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """Written and read back; texts, words and counts take a third less room with zstd."""
+    return materialize(rows, name, "zstd")
+
+
 def build_corpus(
     documents: DataFrame,
     config: KbConfig = KbConfig(),
     embedders: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
     tokens: Callable[[Column], Column] = tokenize,
+    keep: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> Corpus:
     """Chunk and index documents(kb_id, doc_id, source, text).
 
@@ -62,33 +68,36 @@ def build_corpus(
     An embedder may tell failures in a column `error` instead of raising. A file with a chunk that
     failed is then left out of all tables and listed in `failed` with the stage and message of its
     first failure; all other files are indexed.
+
+    `keep` writes a table, given its name in a stored index, and reads it back.
     """
-    embedders = embedders or {}
+    embedders, keep = embedders or {}, keep or _packed
     told: list[DataFrame] = []
     if config.chunking_method == "semantic":
         parents, failures = _semantic_parents(documents, config, embedders[config.chunking_model_id])
         told += [failures] if failures is not None else []
     else:
         parents = _parents(documents, config)
-    parents = materialize(parents, "parents")
-    children = materialize(chunking.chunk_children(parents), "children")
+    parents = keep(parents, "parents")
+    children = keep(chunking.chunk_children(parents), "children")
     terms = idf = None
     if BM25 in config.indexes:
-        terms = materialize(index.child_terms(children, tokens), "terms")
-        idf = materialize(index.term_idf(terms), "idf")
+        terms = keep(index.child_terms(children, tokens), "terms")
+        idf = keep(index.term_idf(terms), "idf")
     seqs = parents.select("kb_id", "parent_id", F.col("seq").alias("_parent_seq"))
     dense = {}
+    models = sorted(set(config.indexes) - {BM25})
     for model in config.indexes:
         if model != BM25:
             made = embedders[model](children)
-            kept = ["kb_id", "doc_id", "parent_id", "child_id", "seq", "embedding", *([ERROR] if ERROR in made.columns else [])]
-            dense[model] = materialize(made.select(*kept), "dense")
+            kept = ["kb_id", "doc_id", "parent_id", "child_id", "embedding", *(["seq", ERROR] if ERROR in made.columns else [])]
+            dense[model] = keep(made.select(*kept), f"dense-{models.index(model)}")
             if ERROR in made.columns:
                 bad = dense[model].where(F.col(ERROR).isNotNull()).join(seqs, ["kb_id", "parent_id"])
                 told.append(_failures(bad, model, ["_parent_seq", "seq"]))
     vectors = None
     if config.reranker_type == "late-interaction":
-        vectors = materialize(_token_vectors(parents, children, embedders[config.reranker_model_id]), "token_vectors")
+        vectors = keep(_token_vectors(parents, children, embedders[config.reranker_model_id]), "token_vectors")
         if ERROR in vectors.columns:
             told.append(_failures(vectors, config.reranker_model_id, ["is_parent", "chunk_id"]))
     failed = None

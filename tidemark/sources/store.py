@@ -9,11 +9,11 @@ Folder layout::
     counts/<segment>/        (kb_id, term, df) and, with a null term, children, as signed changes
 
 `put` writes the rows of the files it is given and marks the same files gone for all commits before
-it; `delete` only marks. Neither reads or writes rows of other files: of the stored terms it looks
-at the files concerned, to take their counts off, and rows are stored in order of file, so that
-only the parts that may hold them are read. `open` reads the segments of a manifest and hides rows
-older than the mark of their file; statistics are the sums of all changes. `compact` writes what is
-live as one segment.
+it; `delete` only marks. `build` makes the tables in place. None reads or writes rows of other files: of
+the stored terms they look at the files concerned, to take their counts off, and rows are stored in order
+of file (by `build` the tables made of parents within each part), so that only what may hold them is
+read. `open` reads the segments of a manifest and hides rows older than the mark of their file;
+statistics are the sums of all changes. `compact` writes what is live as one segment.
 
 A commit is one rename of a manifest, which fails if another writer took the number; the loser takes
 the next one and counts again. Readers see a whole version or the one before. A commit may carry a
@@ -26,14 +26,16 @@ from __future__ import annotations
 import json
 import posixpath
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import KbConfig
+from tidemark.functions.text import tokenize
 from tidemark.operators.index import rarity
-from tidemark.plans.corpus import Corpus
+from tidemark.plans.corpus import ERROR, Corpus, build_corpus
 from tidemark.plans.skew import materialize
 
 FEW_FILES = 1000  # ids of so few files are also pushed into the scan
@@ -130,23 +132,66 @@ class Index:
     def _where(self, table: str, segment: str) -> str:
         return f"{self.path}/{table}/{segment}"
 
-    def _write(self, rows: DataFrame, table: str, segment: str) -> None:
-        """In order of file, so that a scan for few files skips most of it."""
+    def _write(self, rows: DataFrame, table: str, segment: str, ordered: bool = False) -> None:
+        """In order of file, so that a scan for few files skips most of it; `ordered` rows are so already."""
         order = [c for c in FILE if c in rows.columns]
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(self._where(table, segment))
-
-    def put(self, corpus: Corpus, files: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
+        rows = rows if ordered else rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(self._where(table, segment))
+
+    def build(
+        self,
+        documents: DataFrame,
+        config: KbConfig = KbConfig(),
+        embedders: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+        tokens: Callable[[Column], Column] = tokenize,
+        files: DataFrame | None = None,
+        batch: tuple[str, int] | None = None,
+    ) -> int:
+        """`put` of what `build_corpus` makes of documents, whose tables are written here at once.
+
+        Parents are put in order of file; all other tables are made of theirs within tasks and keep
+        that order, so nothing else is shuffled and no table is written twice. If some files failed,
+        their rows must go again, and the tables are stored as by `put`.
+        """
+        if batch and self.version().batches.get(batch[0], -1) >= batch[1]:
+            return self.version().number
+        segment, written = uuid.uuid4().hex, set()
+
+        def keep(rows: DataFrame, name: str) -> DataFrame:
+            if name == "idf":
+                return rows  # summed up from the counts when the index is opened
+            if ERROR in rows.columns or name == "token_vectors":
+                return materialize(rows, name, "zstd")
+            self._write(rows, name, segment, ordered=name != "parents")
+            written.add(name)
+            return self.spark.read.schema(rows.schema).parquet(self._where(name, segment))
+
+        corpus = build_corpus(documents, config, embedders, tokens, keep)
+        if corpus.failed is not None and corpus.failed.head(1):
+            return self.put(corpus, files, batch)
+        return self.put(corpus, files, batch, segment, written)
+
+    def put(
+        self,
+        corpus: Corpus,
+        files: DataFrame | None = None,
+        batch: tuple[str, int] | None = None,
+        segment: str | None = None,
+        written: Collection[str] = (),
+    ) -> int:
         """Add the rows of `corpus`, in place of what is stored of files(kb_id, doc_id); gives the version.
 
         Without `files`, those that have parents. A file listed without any rows is removed. All
         tables must belong to the same files; `batch` = (writer, number) makes repeats harmless.
+        The tables `written` lie in `segment` already, see `build`.
         """
         if batch and self.version().batches.get(batch[0], -1) >= batch[1]:
             return self.version().number
-        segment = uuid.uuid4().hex
+        segment = segment or uuid.uuid4().hex
         tables = self._tables(corpus)
         for name, rows in tables.items():
-            self._write(rows, name, segment)
+            if name not in written:
+                self._write(rows, name, segment)
         files = corpus.parents if files is None else files
         self._write(files.select(*FILE).distinct(), "gone", segment)
         added = self._read("terms", [(segment, 0)]).drop("_commit") if "terms" in tables else None
@@ -188,7 +233,7 @@ class Index:
             changes = changes.unionByName(per_term).unionByName(rows.select("kb_id", F.lit(None).cast("string").alias("term"), F.lit(sign).cast("long").alias("df")))
         segment = uuid.uuid4().hex
         summed = changes.groupBy("kb_id", "term").agg(F.sum("df").alias("df")).where("df <> 0")
-        summed.write.mode("overwrite").parquet(self._where("counts", segment))
+        summed.write.mode("overwrite").option("compression", "zstd").parquet(self._where("counts", segment))
         return segment
 
     def compact(self) -> int:
@@ -198,7 +243,7 @@ class Index:
             segment, at = uuid.uuid4().hex, old.number + 1
             for table in old.tables:
                 self._write(self._live(table, old), table, segment)
-            self._folded(old).write.mode("overwrite").parquet(self._where("counts", segment))
+            self._folded(old).write.mode("overwrite").option("compression", "zstd").parquet(self._where("counts", segment))
             return replace(old, segments=((segment, at),), gone=(), counts=((segment, at),))
 
         return self._commit(change, None)
@@ -257,7 +302,7 @@ class Index:
 
     def term_idf(self, version: Version) -> DataFrame:
         """As index.term_idf of all live rows, from the sums of changes alone."""
-        counts = materialize(self._folded(version), "term_counts")
+        counts = materialize(self._folded(version), "term_counts", "zstd")
         sizes = counts.where("term IS NULL").select("kb_id", F.col("df").alias("n_children"))
         held = counts.where("term IS NOT NULL").join(sizes, "kb_id")
         return held.select("kb_id", "term", "df", "n_children", rarity(F.col("n_children"), F.col("df")).alias("idf"))
@@ -268,6 +313,6 @@ class Index:
         if not version.segments:
             raise ValueError(f"nothing is stored in {self.path}")
         live = {table: self._live(table, version) for table in version.tables}
-        idf = materialize(self.term_idf(version), "idf") if "terms" in live else None
+        idf = materialize(self.term_idf(version), "idf", "zstd") if "terms" in live else None
         dense = {model: live[f"dense-{n}"] for n, model in enumerate(version.models)}
         return Corpus(live["parents"], live["children"], live.get("terms"), idf, dense, live.get("token_vectors"), live["failed"])
